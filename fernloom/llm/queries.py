@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from fernloom.llm import linededup, simhash
+from fernloom.llm import linededup, matroska, reshard, simhash, urlfilter
 
 QUERIES = {
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
+    "op3_min_cost_flow_reshard": reshard.op3_min_cost_flow_reshard,
+    "op4_matroska": matroska.op4_matroska,
+    "op5_url_filter": urlfilter.op5_url_filter,
     "op10_line_dedup": linededup.op10_line_dedup,
 }
-ORACLE_SQL = {"op10_line_dedup": linededup.OP10_SQL}
+ORACLE_SQL = {"op5_url_filter": urlfilter.OP5_SQL, "op10_line_dedup": linededup.OP10_SQL}
