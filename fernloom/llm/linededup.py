@@ -151,7 +151,7 @@ def dedup_lines(
         runs.add(hashes.where(F.col("batch") == b).drop("batch"))
     gone = (
         hashes.drop("batch")
-        .join(runs.frequent(min_docs), ["h1", "h2"])
+        .join(materialize(runs.frequent(min_docs), "frequent"), ["h1", "h2"])  # two plain exchanges: AQE can split a hot line
         .where(~F.col("doc_id").eqNullSafe(F.col("max_doc")))
         .groupBy(F.col("doc_id").alias("__gone_id"))
         .agg(F.collect_set(F.concat(_le_bytes("h1"), _le_bytes("h2"))).alias("__gone"))
