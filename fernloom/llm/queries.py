@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from fernloom.llm import linededup, matroska, reshard, simhash, urlfilter
+from fernloom.llm import langid, linededup, matroska, pii, reshard, simhash, urlfilter
 
 QUERIES = {
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
     "op3_min_cost_flow_reshard": reshard.op3_min_cost_flow_reshard,
     "op4_matroska": matroska.op4_matroska,
     "op5_url_filter": urlfilter.op5_url_filter,
+    "op6_pii_spans": pii.op6_pii_spans,
+    "op8_language_id": langid.op8_language_id,
     "op10_line_dedup": linededup.op10_line_dedup,
 }
 ORACLE_SQL = {"op5_url_filter": urlfilter.OP5_SQL, "op10_line_dedup": linededup.OP10_SQL}
