@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fernloom.llm import langid, linededup, matroska, pii, reshard, simhash, urlfilter
+from fernloom.llm import decontam, langid, linededup, matroska, pii, reshard, simhash, spm, urlfilter
 
 QUERIES = {
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
@@ -10,7 +10,9 @@ QUERIES = {
     "op4_matroska": matroska.op4_matroska,
     "op5_url_filter": urlfilter.op5_url_filter,
     "op6_pii_spans": pii.op6_pii_spans,
+    "op7_sentencepiece": spm.op7_sentencepiece,
     "op8_language_id": langid.op8_language_id,
+    "op9_lsa_decontamination": decontam.op9_lsa_decontamination,
     "op10_line_dedup": linededup.op10_line_dedup,
 }
 ORACLE_SQL = {"op5_url_filter": urlfilter.OP5_SQL, "op10_line_dedup": linededup.OP10_SQL}
