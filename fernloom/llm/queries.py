@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from fernloom.llm import decontam, langid, linededup, matroska, pii, reshard, simhash, spm, urlfilter
+from fernloom.llm import decontam, langid, linededup, matroska, pii, quotes, reshard, simhash, spm, urlfilter
 
 QUERIES = {
+    "op1_quotation_linking": quotes.op1_quotation_linking,
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
     "op3_min_cost_flow_reshard": reshard.op3_min_cost_flow_reshard,
     "op4_matroska": matroska.op4_matroska,
@@ -15,4 +16,8 @@ QUERIES = {
     "op9_lsa_decontamination": decontam.op9_lsa_decontamination,
     "op10_line_dedup": linededup.op10_line_dedup,
 }
-ORACLE_SQL = {"op5_url_filter": urlfilter.OP5_SQL, "op10_line_dedup": linededup.OP10_SQL}
+ORACLE_SQL = {
+    "op1_quotation_linking": quotes.OP1_SQL,
+    "op5_url_filter": urlfilter.OP5_SQL,
+    "op10_line_dedup": linededup.OP10_SQL,
+}
