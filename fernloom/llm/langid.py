@@ -1,7 +1,7 @@
 """Language identification by words first, with back-off to shorter character n-grams.
 
 Training counts words per language over a bounded sample of labelled documents
-(``sample_docs``, the rows with the smallest hash of id and text).  The model keeps the
+(about ``sample_docs``, the rows whose hash of id and text falls in that share).  The model keeps the
 ``max_words`` most frequent words and, for n from ``max_n`` down to 1, the ``max_ngrams``
 most frequent character n-grams (words padded with ``^`` and ``$``), each with its log
 frequency per language; so its size is bounded by parameters and it can be broadcast.
@@ -18,90 +18,131 @@ extra columns are ignored or passed through; an empty table gives an empty resul
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fernloom.scratch import materialize
+
 UNDETERMINED = "und"
 WORD = re.compile(r"[^\W\d_]+")
 
 
+#: Back-off vectors a worker keeps; beyond it they are worked out anew.
+CACHED_WORDS = 400_000
+
+
+@dataclass
+class Table:
+    """Terms and their log frequencies per language, one row a term."""
+
+    terms: list[str]
+    logs: np.ndarray
+
+    def index(self) -> dict[str, int]:
+        return {t: i for i, t in enumerate(self.terms)}
+
+
 @dataclass
 class Model:
-    """Bounded tables of log frequencies, one vector per word or n-gram."""
+    """Bounded tables of log frequencies of words and of n-grams by n."""
 
     langs: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[int, dict[str, np.ndarray]]
+    words: Table
+    grams: dict[int, Table]
     unseen: np.ndarray
     penalty: float = 0.5
-    cache: dict[str, np.ndarray] = field(default_factory=dict, repr=False)
-
-    def word(self, word: str) -> np.ndarray:
-        known = self.words.get(word)
-        if known is None:
-            known = self.cache.get(word)
-        if known is None:
-            if len(self.cache) > 200_000:  # bounded; entries are only saved work
-                self.cache.clear()
-            known = self.cache[word] = self._back_off(word)
-        return known
-
-    def _back_off(self, word: str) -> np.ndarray:
-        padded = f"^{word}$"
-        for step, n in enumerate(sorted(self.grams, reverse=True)):
-            table = self.grams[n]
-            found = [v for i in range(len(padded) - n + 1) if (v := table.get(padded[i : i + n])) is not None]
-            if found:
-                return np.mean(found, axis=0) - self.penalty * step
-        return self.unseen
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = Counter(WORD.findall((text or "").lower()))
-        if not words or not self.langs:
-            return UNDETERMINED, 0.0
-        total = np.zeros(len(self.langs))
-        for w, n in words.items():
-            total += n * self.word(w)
-        best = int(total.argmax())  # the first of equals
-        return self.langs[best], float(1.0 / np.exp(total - total[best]).sum())
+
+
+class Scorer:
+    """One worker's view of a model: word -> row of a matrix, unseen words added as they come."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.gram_index = {n: t.index() for n, t in model.grams.items()}
+        self._reset()
+
+    def _reset(self) -> None:
+        self.index = self.model.words.index()
+        self.logs = self.model.words.logs
+
+    def _add(self, words: list[str]) -> None:
+        """Back-off vectors of unseen words: the mean of their known n-grams of the longest n that has any."""
+        out = np.tile(self.model.unseen, (len(words), 1))
+        todo = np.arange(len(words))
+        padded = [f"^{w}$" for w in words]
+        for step, n in enumerate(sorted(self.gram_index, reverse=True)):
+            get, logs = self.gram_index[n].get, self.model.grams[n].logs
+            counts = [max(0, len(padded[i]) - n + 1) for i in todo]
+            rows = np.array([get(padded[i][k : k + n], -1) for i, c in zip(todo, counts, strict=True) for k in range(c)], np.int64)
+            owner = np.repeat(np.arange(len(todo)), counts)[rows >= 0]
+            rows = rows[rows >= 0]
+            known = np.bincount(owner, minlength=len(todo))
+            sums = np.stack([np.bincount(owner, logs[rows, x], len(todo)) for x in range(logs.shape[1])], axis=1)
+            has = known > 0
+            out[todo[has]] = sums[has] / known[has, None] - self.model.penalty * step
+            todo = todo[~has]
+            if not len(todo):
+                break
+        self.index.update(zip(words, range(len(self.logs), len(self.logs) + len(words)), strict=True))
+        self.logs = np.concatenate([self.logs, out])
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        found = [WORD.findall((t or "").lower()) for t in texts]
+        if not self.model.langs:
+            return [(UNDETERMINED, 0.0)] * len(texts)
+        if len(self.index) > len(self.model.words.terms) + CACHED_WORDS:
+            self._reset()
+        new = sorted(set().union(*found) - self.index.keys())
+        if new:
+            self._add(new)
+        out, get = [], self.index.__getitem__
+        for words in found:
+            if not words:
+                out.append((UNDETERMINED, 0.0))
+                continue
+            total = self.logs[np.fromiter(map(get, words), np.int64, len(words))].sum(axis=0)
+            best = int(total.argmax())  # the first of equals
+            out.append((self.model.langs[best], float(1.0 / np.exp(total - total[best]).sum())))
+        return out
 
 
 def sampled(labelled: DataFrame, sample_docs: int) -> DataFrame:
-    """The bounded sample: rows with the smallest hashes, the same at every partitioning."""
-    return labelled.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(sample_docs)
+    """The bounded sample: rows whose hash falls in the share ``sample_docs / rows``; it stays distributed."""
+    share = min(1.0, sample_docs / max(labelled.count(), 1))
+    return labelled.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
+
+
+def _cut(n: int):
+    return lambda i: F.substr(F.col("p"), i, F.lit(n))
 
 
-def train(labelled: DataFrame, sample_docs: int = 20_000, max_words: int = 60_000, max_ngrams: int = 40_000, max_n: int = 5) -> Model:
+def train(labelled: DataFrame, sample_docs: int = 8_000, max_words: int = 30_000, max_ngrams: int = 20_000, max_n: int = 5) -> Model:
     """Fit on ``(doc_id, text, lang)``; counts run in Spark, only the bounded tables reach the driver."""
     rows = sampled(labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang"), sample_docs)
     words = rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}]+"), F.lit(0))).alias("w"))
-    counts = words.groupBy("w", "lang").agg(F.count("*").alias("n")).cache()
+    counts = materialize(words.groupBy("w", "lang").agg(F.count("*").alias("n")), "words")
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted(totals)
+    by_lang = [F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, x in enumerate(langs)]
 
-    def table(frame: DataFrame, most: int) -> dict[str, np.ndarray]:
-        """Log frequencies of the most frequent terms, smoothed by one count."""
-        own = frame.groupBy("w").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-        kept = own.orderBy(F.col("all").desc(), "w").limit(most).collect()
-        sums = Counter()
-        for r in kept:
-            sums.update(r["by"])
-        return {r["w"]: np.array([math.log((r["by"].get(x, 0) + 0.5) / (sums[x] + 0.5 * len(kept))) for x in langs], np.float64) for r in kept}
+    def table(frame: DataFrame, most: int) -> Table:
+        """Log frequencies of the most frequent terms, smoothed by half a count."""
+        own = frame.groupBy("w").agg(F.sum("n").alias("all"), *by_lang)
+        kept = own.orderBy(F.col("all").desc(), "w").limit(most).drop("all").toPandas()
+        n = kept.drop(columns="w").to_numpy(np.float64)
+        return Table(kept["w"].tolist(), np.log((n + 0.5) / (n.sum(axis=0) + 0.5 * max(len(n), 1))).reshape(len(n), len(langs)))
 
     frequent = table(counts.where("n > 1"), max_words)
-    grams = {}
     padded = counts.select(F.concat(F.lit("^"), "w", F.lit("$")).alias("p"), "lang", "n")
-    for n in range(max_n, 0, -1):
-        parts = F.transform(F.sequence(F.lit(1), F.length("p") - n + 1), lambda i, n=n: F.substr(F.col("p"), i, F.lit(n)))
-        each = padded.where(F.length("p") >= n).select(F.explode(parts).alias("w"), "lang", "n")
-        grams[n] = table(each.groupBy("w", "lang").agg(F.sum("n").alias("n")), max_ngrams)
-    counts.unpersist()
+    parts = [F.transform(F.sequence(F.lit(1), F.length("p") - n + 1), _cut(n)) for n in range(1, max_n + 1)]
+    cut = F.flatten(F.array(*[F.when(F.length("p") >= n, x).otherwise(F.array().cast("array<string>")) for n, x in enumerate(parts, 1)]))
+    each = materialize(padded.select(F.explode(cut).alias("w"), "lang", "n").groupBy("w", "lang").agg(F.sum("n").alias("n")), "ngrams")
+    grams = {n: table(each.where(F.length("w") == n), max_ngrams) for n in range(max_n, 0, -1)}
     floor = np.array([math.log(0.5 / (totals[x] + 1)) for x in langs])
     return Model(langs, frequent, grams, floor)
 
@@ -114,9 +155,13 @@ def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> Data
 
 
 def _predictor(shared):
-    def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for column in texts:
-            yield pd.DataFrame([shared.value.predict(t) for t in column], columns=["lang_pred", "score"])
+    def predict(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        scorer = Scorer(shared.value)
+        for column in columns:
+            rows = []
+            for at in range(0, len(column), 512):  # bounds what long texts take at once
+                rows += scorer.predict(column.iloc[at : at + 512].tolist())
+            yield pd.DataFrame(rows, columns=["lang_pred", "score"])
 
     return predict
 
