@@ -21,8 +21,10 @@ be; a null doc_id is dealt like any other; extra columns are not written unless
 
 from __future__ import annotations
 
+from bisect import insort
 from heapq import heappop, heappush
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -101,24 +103,50 @@ def place_blocks(blocks: list[tuple], capacity: list[int], cost: list[list[int]]
         quota[j] -= b[-1]
         load[j] += b[-1]
         where[b[:-1]] = j
-    size = {b[:-1]: b[-1] for b in blocks}
-    inside: list[list] = [sorted(((size[k], k) for k, j in where.items() if j == s)) for s in range(shards)]
+    inside = [sorted((b[-1], b[:-1]) for b in blocks if where[b[:-1]] == j) for j in range(shards)]
+    nothing = [(0, None)]  # a swap with nothing is a move
     for _ in range(4 * len(blocks)):  # what whole blocks left uneven
         gaps = [x - c for x, c in zip(load, capacity, strict=True)]
         high, low = max(range(shards), key=gaps.__getitem__), min(range(shards), key=gaps.__getitem__)
         gap = gaps[high] - gaps[low]
-        best = min(((abs(gap - 2 * s), s, k) for s, k in inside[high] if 0 < s < gap), default=None)
-        if not best:
+        at_home = [x for x in inside[high] if x[1][0] == high]
+        guests = [x for x in inside[high] if x[1][0] != high]
+        ours = [x for x in inside[low] if x[1][0] == high]
+        others = nothing + [x for x in inside[low] if x[1][0] != low]
+        # first what moves no byte more than the gap, then anything while the gap is over half a per cent
+        choices = [(at_home, ours), (guests, others)]
+        swaps = [(x[0], h[x[1]], w[x[2]]) for h, w in choices if (x := best_swap(h, w, gap))]
+        if not swaps and gap * 200 > max(capacity):
+            h, w = nothing + inside[high], nothing + inside[low]
+            swaps = [(x[0], h[x[1]], w[x[2]]) for _ in (0,) if (x := best_swap(h, w, gap))]
+        if not swaps:
             break
-        _, s, k = best
-        inside[high].remove((s, k))
-        inside[low].append((s, k))
-        where[k] = low
-        load[high] -= s
-        load[low] += s
+        _, give, take = min(swaps, key=lambda x: (x[0], str(x[1:])))
+        for shard, out, into in ((high, give, take), (low, take, give)):
+            if out[1] is not None:
+                inside[shard].remove(out)
+            if into[1] is not None:
+                insort(inside[shard], into)
+                where[into[1]] = shard
+            load[shard] += into[0] - out[0]
     return where
 
 
+def best_swap(high: list[tuple], low: list[tuple], gap: int) -> tuple[float, int, int] | None:
+    """(miss, place, place) of the blocks (sorted by size) whose exchange best halves a gap; None if none narrows it."""
+    if not high or not low:
+        return None
+    h, w = np.array([x[0] for x in high]), np.array([x[0] for x in low])
+    at = np.searchsorted(w, h - gap / 2)
+    best = None
+    for near in (np.clip(at - 1, 0, len(w) - 1), np.clip(at, 0, len(w) - 1)):
+        miss = np.abs(h - w[near] - gap / 2)
+        i = int(miss.argmin())
+        if miss[i] < gap / 2 and (best is None or miss[i] < best[0]):
+            best = (float(miss[i]), i, int(near[i]))
+    return best
+
+
 def text_size(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
 
@@ -160,31 +188,26 @@ def rewrite(assigned: DataFrame, path: str, affected_only: bool = False) -> Data
     return spark.read.schema(f"{schema}, shard int").parquet(path)
 
 
-def with_slots(stored: DataFrame) -> DataFrame:
-    """``stored`` plus ``slot``, each row's place in its shard from 0, by file and row in file."""
-    at = stored.withColumns({"__file": F.col("_metadata.file_path"), "__row": F.col("_metadata.row_index")})
+def with_slots(stored: DataFrame, **columns: Column) -> DataFrame:
+    """``shard`` and ``columns`` of the stored rows plus ``slot``, a row's place in its shard by file and row in file.
+
+    The columns are worked out at the scan, so only they meet the files' offsets.
+    """
+    at = stored.select("shard", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"), *[c.alias(n) for n, c in columns.items()])
     files = at.groupBy("shard", "__file").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
     offsets = files.select("shard", "__file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
-    return at.join(offsets, ["shard", "__file"]).withColumn("slot", (F.col("__before") + F.col("__row")).cast("long")).select(*stored.columns, "slot")
+    return at.join(offsets, ["shard", "__file"]).select(*columns, "shard", (F.col("__before") + F.col("__row")).cast("long").alias("slot"))
 
 
 def reshard(docs: DataFrame, old_shard: Column, shards: int, path: str | None = None, blocks: int = 512) -> DataFrame:
-    """Plan, rewrite, and read back ``(doc_id, text, shard, slot)``."""
-    spark = docs.sparkSession
-    return with_slots(rewrite(plan(docs, old_shard, shards, blocks), path or scratch_path(spark, "shards")))
+    """Plan and rewrite ``(doc_id, text)``; the stored rows with their ``shard``."""
+    return rewrite(plan(docs, old_shard, shards, blocks), path or scratch_path(docs.sparkSession, "shards"))
 
 
 def op3_min_cost_flow_reshard(spark: SparkSession, sf_dir: str, old_shards: int = 6, shards: int = 8) -> DataFrame:
     """Contract query: six hash shards of ``documents`` become eight of near equal bytes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = reshard(docs, F.pmod(text_crc32(F.col("text")), F.lit(old_shards)), shards)
-    return out.select(
-        "doc_id",
-        text_size(F.col("text")).alias("size"),
-        text_crc32(F.col("text")).alias("text_crc32"),
-        F.lit("bytes").alias("law"),
-        "shard",
-        "slot",
-        F.lit(None).cast("int").alias("grown_shard"),
-    )
+    stored = reshard(docs, F.pmod(text_crc32(F.col("text")), F.lit(old_shards)), shards)
+    out = with_slots(stored, doc_id=F.col("doc_id"), size=text_size(F.col("text")), text_crc32=text_crc32(F.col("text")))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -18,19 +18,20 @@ def test_flow_is_cheapest():
 
 
 def test_blocks_move_no_more_than_needed():
-    blocks = [(o, b, 0, 100 + b % 7) for o in range(6) for b in range(60)]
+    blocks = [(o, b, 0, 100 + b % 7) for o in range(6) for b in range(400)]
     where = reshard.place_blocks(blocks, reshard.even_capacity(sum(b[-1] for b in blocks), 8))
     load = [sum(b[-1] for b in blocks if where[b[:-1]] == j) for j in range(8)]
     moved = sum(b[-1] for b in blocks if where[b[:-1]] != b[0])
-    assert max(load) - min(load) <= 7
+    assert max(load) - min(load) <= sum(load) / 8 / 200
     fewest = sum(max(0, sum(b[-1] for b in blocks if b[0] == o) - sum(load) // 8) for o in range(6))
-    assert moved <= fewest + 6 * 107
+    assert moved <= 1.02 * fewest
 
 
 def test_reshard_is_whole_even_and_gapless(spark):
     texts = [*TEXTS[:5], *(f"document {i % 400} " * (1 + i % 5) for i in range(900)), *["hot copy"] * 600, *[""] * 300]
     df = documents(spark, texts)
-    out = reshard.reshard(df.select("doc_id", "text"), F.pmod(reshard.text_crc32(F.col("text")), F.lit(6)), 8).collect()
+    stored = reshard.reshard(df.select("doc_id", "text"), F.pmod(reshard.text_crc32(F.col("text")), F.lit(6)), 8)
+    out = reshard.with_slots(stored, doc_id=F.col("doc_id"), text=F.col("text")).collect()
     assert sorted(r.doc_id for r in out) == list(range(len(texts)))
     assert {r.doc_id: r.text for r in out} == dict(enumerate(texts))
     for s in range(8):
