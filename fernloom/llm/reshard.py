@@ -155,25 +155,41 @@ def text_crc32(text: Column) -> Column:
     return F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))
 
 
-def plan(docs: DataFrame, old_shard: Column, shards: int, blocks: int = 512, heavy: int = 128) -> DataFrame:
-    """``docs`` plus ``shard``; ``docs`` has doc_id and text.  One driver row per block."""
-    spark = docs.sparkSession
+def plan(docs: DataFrame, old_shard: Column, shards: int, blocks: int = 512, heavy: int = 128, parts: int = 256) -> DataFrame:
+    """``docs`` (with doc_id and text) plus ``shard`` and ``old_shard``.  The driver holds one row per block.
+
+    A block over ``1/heavy`` of all bytes or rows is cut in ``parts`` by a second hash of
+    the text; a part that is still too heavy is one group of copies and is cut by doc_id.
+    """
+    spark, at = docs.sparkSession, ["__old", "__block", "__part", "__cut"]
     keyed = docs.withColumns({"__old": old_shard.cast("int"), "__block": F.pmod(F.xxhash64("text"), F.lit(blocks)).cast("int"), "__size": text_size(F.col("text"))})
-    by_block = keyed.groupBy("__old", "__block").agg(F.sum("__size").alias("s"), F.count("*").alias("n")).collect()
-    total, rows = sum(r["s"] for r in by_block), sum(r["n"] for r in by_block)
-    split = [(r["__old"], r["__block"], 2 * max(r["s"] * heavy // max(total, 1), r["n"] * heavy // max(rows, 1)) + 2) for r in by_block if r["s"] * heavy > total or r["n"] * heavy > rows]
-    heavies = spark.createDataFrame(split, "__old int, __block int, __k int")  # at most 2 x heavy rows
-    keyed = keyed.join(F.broadcast(heavies), ["__old", "__block"], "left").withColumn(
-        "__sub", F.coalesce(F.pmod(F.xxhash64(F.struct("doc_id")), F.col("__k")).cast("int"), F.lit(0))
+    sizes, total, rows = _sizes(keyed, at[:2])
+    big = {k for k, (s, n) in sizes.items() if s * heavy > total or n * heavy > rows}
+    keyed = _marked(keyed, spark, [(*k, 1) for k in big], at[:2]).withColumn(
+        "__part", F.when(F.col("__k").isNotNull(), F.pmod(F.xxhash64("text", F.lit("part")), F.lit(parts)).cast("int")).otherwise(0)
     )
-    sizes = [(r["__old"], r["__block"], 0, r["s"]) for r in by_block]
-    if split:
-        cut = {x[:2] for x in split}
-        fine = keyed.where("__k IS NOT NULL").groupBy("__old", "__block", "__sub").agg(F.sum("__size").alias("s")).collect()
-        sizes = [x for x in sizes if x[:2] not in cut] + [(r["__old"], r["__block"], r["__sub"], r["s"]) for r in fine]
-    where = place_blocks(sizes, even_capacity(total, shards))
-    moves = spark.createDataFrame([(*k, j) for k, j in where.items()], "__old int, __block int, __sub int, shard int")
-    return keyed.join(F.broadcast(moves), ["__old", "__block", "__sub"]).select(*[keyed[c] for c in docs.columns], "shard", keyed["__old"].alias("old_shard"))
+    inner = _sizes(keyed.where("__k IS NOT NULL"), at[:3])[0] if big else {}
+    hot = {k: 2 * max(s * heavy // max(total, 1), n * heavy // max(rows, 1)) + 2 for k, (s, n) in inner.items() if s * heavy > total or n * heavy > rows}
+    keyed = _marked(keyed.drop("__k"), spark, [(*k, v) for k, v in hot.items()], at[:3]).withColumn(
+        "__cut", F.coalesce(F.pmod(F.xxhash64(F.struct("doc_id")), F.col("__k")).cast("int"), F.lit(0))
+    )
+    last = _sizes(keyed.where("__k IS NOT NULL"), at)[0] if hot else {}
+    whole = {(*k, 0, 0): v for k, v in sizes.items() if k not in big} | {(*k, 0): v for k, v in inner.items() if k not in hot} | last
+    where = place_blocks([(*k, s) for k, (s, _) in whole.items()], even_capacity(total, shards))
+    moves = spark.createDataFrame([(*k, j) for k, j in where.items()], "__old int, __block int, __part int, __cut int, shard int")
+    return keyed.join(F.broadcast(moves), at).select(*docs.columns, "shard", F.col("__old").alias("old_shard"))
+
+
+def _sizes(keyed: DataFrame, by: list[str]) -> tuple[dict, int, int]:
+    """Bytes and rows by block, and in all; one row per block reaches the driver."""
+    got = {tuple(r[c] for c in by): (r["s"], r["n"]) for r in keyed.groupBy(*by).agg(F.sum("__size").alias("s"), F.count("*").alias("n")).collect()}
+    return got, sum(s for s, _ in got.values()), sum(n for _, n in got.values())
+
+
+def _marked(keyed: DataFrame, spark: SparkSession, rows: list[tuple], by: list[str]) -> DataFrame:
+    """``__k`` on the rows of the listed blocks; the list has at most 2 x heavy rows."""
+    listed = spark.createDataFrame(rows, ", ".join(f"{c} int" for c in by) + ", __k int")
+    return keyed.join(F.broadcast(listed), by, "left")
 
 
 def rewrite(assigned: DataFrame, path: str, affected_only: bool = False) -> DataFrame:
