@@ -2,11 +2,13 @@
 
 Three passes over the whole documents, none of which shuffles a text:
 
-1. document frequencies of hashed words (features), summed in Spark; very frequent
-   features are left out, the rest are a text's *terms*;
+1. document frequencies of the benchmark's words (hashed to features), summed in Spark;
+   very frequent ones are left out, the rest are a text's *terms* (a word of no item can
+   neither meet one in a product of vectors nor in a common subsequence);
 2. a randomised SVD of the TF-IDF passages A (non-overlapping runs of ``passage`` terms,
-   unit rows): one pass forms A'A*Omega for a random Omega, and its Nystroem form gives the
-   right singular vectors and values.  Only features x rank numbers reach the driver;
+   unit rows): one pass forms A'A*Omega for a random Omega, where each task first adds
+   ``sketch`` passages with random signs to a row; its Nystroem form gives the right
+   singular vectors and values.  Only features x rank numbers reach the driver;
 3. every document slides windows of terms (a size for each benchmark item's length) over
    its passages' latent vectors; windows whose cosine with an item reaches ``min_cosine``
    are candidates.  A candidate must share enough terms with the item (an upper bound of
@@ -26,30 +28,43 @@ empty benchmark contaminates nothing.
 """
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Upper bound of the words whose features a worker remembers.
-CACHED_WORDS = 500_000
-#: ASCII letters folded to lower case and digits kept; other ASCII is a space; other bytes stay.
-FOLD = bytes(c if c > 127 or chr(c).isdigit() or chr(c).islower() else c + 32 if chr(c).isupper() else 32 for c in range(256))
+#: A-Z folded, digits and a-z kept, other ASCII a space, other bytes kept (Latin-1 capitals are folded apart).
+FOLD = np.array([c if c > 127 or chr(c).isdigit() or chr(c).islower() else c + 32 if chr(c).isupper() else 32 for c in range(256)], np.uint8)
 SENTENCE = re.compile(r"[.!?\n]+")
-CHUNK_TERMS = 1 << 16
+#: Bytes hashed and terms projected at once.
+PIECE_BYTES, CHUNK_TERMS = 1 << 18, 1 << 14
+
+# A word's hash is its polynomial in an odd base modulo 2**64, over random values of the bytes.
+_BASE, _MIX = 0x5851F42D4C957F2D, 0x9E3779B97F4A7C15
+_VALUES = np.random.default_rng(1).integers(1, 2**63, 256, np.uint64) | np.uint64(1)
+
+
+def _powers(base: int) -> np.ndarray:
+    out = np.full(PIECE_BYTES + 1, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_UP, _DOWN = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
 
 
 @dataclass(frozen=True)
 class Params:
     features: int = 1 << 13
-    rank: int = 64
+    rank: int = 96
     passage: int = 32
+    sketch: int = 64
     block: int = 8
-    min_cosine: float = 0.45
+    min_cosine: float = 0.18
     min_lcs: float = 0.75
     min_paraphrase: float = 0.55
     min_answer: float = 0.5
@@ -59,49 +74,117 @@ class Params:
     seed: int = 7
 
 
-class Words(dict):
-    """Word -> 32-bit hash, remembered up to a bound; a feature is the hash modulo the features."""
+def _hash_piece(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of ``data``, and how many begin in each of the texts between ``bounds``."""
+    folded = FOLD[data]
+    if (data == 0xC3).any():
+        capital = np.zeros(len(data), bool)
+        capital[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+        folded[capital] += 32
+    inside = folded != 32
+    edge = np.zeros(len(data) + 1, bool)
+    edge[bounds] = True  # a word ends with its text
+    begin, end = inside.copy(), inside.copy()
+    begin[1:] &= ~inside[:-1] | edge[1:-1]
+    end[:-1] &= ~inside[1:] | edge[1:-1]
+    first, last = np.nonzero(begin)[0], np.nonzero(end)[0] + 1
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_VALUES[folded] * _UP[: len(data)], out=sums[1:])
+    hashes = (sums[last] - sums[first]) * _DOWN[first] * np.uint64(_MIX)
+    return hashes, np.diff(np.searchsorted(first, bounds))
+
+
+def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of all texts of a column, and the number of words of each row (null: none)."""
+    column = pc.fill_null(column, "").cast(pa.large_string())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    hashes, counts, row = [np.zeros(0, np.uint64)], np.zeros(len(column), np.int64), 0
+    while row < len(column):
+        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + PIECE_BYTES, "right")) - 1)
+        at, end = int(offsets[row]), int(offsets[stop])
+        if end - at <= PIECE_BYTES:
+            found, n = _hash_piece(data[at:end], offsets[row : stop + 1] - at)
+            hashes.append(found)
+            counts[row:stop] = n
+        else:  # one very long text, cut at white space
+            while at < end:
+                cut = min(end, at + PIECE_BYTES)
+                if cut < end and len(spaces := np.nonzero(FOLD[data[at:cut]] == 32)[0]):
+                    cut = at + int(spaces[-1]) + 1
+                found, n = _hash_piece(data[at:cut], np.array([0, cut - at]))
+                hashes.append(found)
+                counts[row] += n[0]
+                at = cut
+        row = stop
+    return np.concatenate(hashes), counts
+
+
+MASK_BITS = 22
+MASK_SHIFT = np.uint64(64 - MASK_BITS)
+
+
+def vocabulary(benchmark: DataFrame) -> np.ndarray:
+    """Which cells (the first 22 bits of a word's hash) hold a word of the benchmark; 4 MB whatever its size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = np.unique(words_of(batch.column(0))[0] >> MASK_SHIFT)
+            yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32))], ["cell"])
+
+    known = np.zeros(1 << MASK_BITS, bool)
+    known[benchmark.select("text").mapInArrow(run, "cell int").distinct().toPandas()["cell"].to_numpy(np.int64)] = True
+    return known
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        value = self[word] = zlib.crc32(word)
-        return value
 
+def feature_of(hashes: np.ndarray, features: int) -> np.ndarray:
+    return (hashes >> np.uint64(33)).astype(np.int64) % features
 
-def word_hashes(text: str | None, words: Words) -> np.ndarray:
-    found = (text or "").lower().encode().translate(FOLD).split()
-    return np.fromiter(map(words.__getitem__, found), np.uint32, len(found))
 
+def terms_of(column: pa.Array, weights: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and features of a column's terms (the benchmark's words of positive weight), and their number by row."""
+    hashes, counts = words_of(column)
+    at = np.nonzero(known[hashes >> MASK_SHIFT])[0]
+    ids = feature_of(hashes[at], len(weights))
+    heavy = weights[ids] > 0
+    at, ids = at[heavy], ids[heavy]
+    return hashes[at], ids, np.diff(np.searchsorted(at, np.concatenate(([0], np.cumsum(counts)))))
 
-def _texts(batch: pa.RecordBatch, column: int) -> Iterator[str | None]:
-    for value in batch.column(column):
-        yield value.as_py()
 
+def _runs(counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of runs of ``size`` terms that never cross a row, and each run's row."""
+    runs = -(-counts // size)
+    row = np.repeat(np.arange(len(counts)), runs)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(runs) - runs, runs)
+    return (np.cumsum(counts) - counts)[row] + nth * size, row
 
-def document_frequencies(docs: DataFrame, features: int) -> tuple[int, np.ndarray]:
-    """Number of documents, and of those holding each feature (bounded by ``features`` rows)."""
+
+def document_frequencies(docs: DataFrame, features: int, known: np.ndarray) -> tuple[int, np.ndarray]:
+    """Number of documents, and of those holding each of the benchmark's features (at most ``features`` rows)."""
+    shared, every = docs.sparkSession.sparkContext.broadcast(known), np.ones(features, np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts, n = Words(), np.zeros(features, np.int64), 0
+        total, n, step = np.zeros(features, np.int64), 0, 64
         for batch in batches:
-            for text in _texts(batch, 0):
-                seen = np.zeros(features, bool)
-                seen[word_hashes(text, words) % features] = True
-                counts += seen
-                n += 1
-        held = np.nonzero(counts)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(held, -1).astype(np.int32)), pa.array(np.append(counts[held], n))], ["feature", "n"])
+            _, ids, counts = terms_of(batch.column(0), every, shared.value)
+            ends = np.concatenate(([0], np.cumsum(counts)))
+            n += batch.num_rows
+            for row in range(0, batch.num_rows, step):
+                own = counts[row : row + step]
+                seen = np.zeros((len(own), features), bool)
+                seen[np.repeat(np.arange(len(own)), own), ids[ends[row] : ends[row + len(own)]]] = True
+                total += seen.sum(axis=0)
+        held = np.nonzero(total)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(held, -1).astype(np.int32)), pa.array(np.append(total[held], n))], ["feature", "n"])
 
     rows = docs.select("text").mapInArrow(run, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
-    df = np.zeros(features)
-    total = 0
+    df, n_docs = np.zeros(features), 0
     for r in rows:
         if r["feature"] < 0:
-            total = r["n"]
+            n_docs = r["n"]
         else:
             df[r["feature"]] = r["n"]
-    return total, df
+    return n_docs, df
 
 
 def idf_of(n_docs: int, df: np.ndarray, p: Params) -> np.ndarray:
@@ -110,59 +193,50 @@ def idf_of(n_docs: int, df: np.ndarray, p: Params) -> np.ndarray:
     return np.where(share > p.stop_share, 0.0, np.log((n_docs + p.prior_docs) / (df + 1.0))).astype(np.float32)
 
 
-def _runs(ids: np.ndarray, size: int) -> np.ndarray:
-    return np.arange(0, len(ids), size)
+class _Sketch:
+    """A'S'SA*Omega and A'1 of one task's passages A, where S adds ``sketch`` passages with random signs to a row."""
 
+    ROWS = 32
 
-def gram_times(docs: DataFrame, idf: np.ndarray, omega: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, float]:
-    """A'A*Omega, the column sums A'1, and the number of passages, over all documents."""
-    spark, rank = docs.sparkSession, omega.shape[1]
-    shared = spark.sparkContext.broadcast((idf, omega))
+    def __init__(self, idf: np.ndarray, omega: np.ndarray, p: Params):
+        self.idf, self.omega, self.p = idf, omega, p
+        self.sums, self.ones, self.passages = np.zeros((len(idf), omega.shape[1]), np.float64), np.zeros(len(idf)), 0
 
-    def add(sums: np.ndarray, ids: np.ndarray, starts: np.ndarray, idf: np.ndarray, weighted: np.ndarray) -> None:
-        """Add one chunk of whole passages beginning at ``starts``."""
-        w = idf[ids]
-        norm = np.sqrt(np.add.reduceat(w * w, starts))
-        y = np.empty((len(starts), rank + 1), np.float32)
-        y[:, :rank] = np.add.reduceat(weighted[ids], starts, axis=0) / norm[:, None]
-        y[:, rank] = 1.0
+    def add(self, hashes: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        starts, _ = _runs(counts, self.p.passage)
+        if not len(starts):
+            return
+        w = self.idf[ids]
         owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ids))))
-        order = np.argsort(ids, kind="stable")
-        grouped = ids[order]
-        first = np.nonzero(np.diff(grouped, prepend=-1))[0]
-        rows = y[owner[order]] * (w / norm[owner])[order][:, None]
-        sums[grouped[first]] += np.add.reduceat(rows, first, axis=0)
+        w = w / np.sqrt(np.add.reduceat(w * w, starts))[owner]
+        self.ones += np.bincount(ids, w, len(self.idf))
+        self.passages += len(starts)
+        mixed = np.bitwise_xor.reduceat(hashes, starts) * np.uint64(_MIX)
+        w = np.where((mixed >> np.uint64(63)).astype(bool)[owner], w, -w)
+        width, step = len(self.idf), self.ROWS * self.p.sketch
+        for first in range(0, len(starts), step):
+            a, b = int(starts[first]), int(starts[first + step]) if first + step < len(starts) else len(ids)
+            row = (owner[a:b] - first) // self.p.sketch
+            rows = np.bincount(row * width + ids[a:b], w[a:b], (int(row[-1]) + 1) * width).reshape(-1, width).astype(np.float32)
+            self.sums += rows.T @ (rows @ self.omega)
+
+
+def gram_times(docs: DataFrame, idf: np.ndarray, known: np.ndarray, omega: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, float]:
+    """A'A*Omega (by the sketch), the column sums A'1 and the number of passages, over all documents."""
+    rank = omega.shape[1]
+    shared = docs.sparkSession.sparkContext.broadcast((idf, omega, known))
+    names = [f"y{i}" for i in range(rank + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, omega = shared.value
-        weighted, words, sums, passages = omega * idf[:, None], Words(), np.zeros((len(idf), rank + 1), np.float64), 0
-        held, starts, size = [], [], 0
-
-        def flush():
-            nonlocal held, starts, size, passages
-            if size:
-                cut = np.concatenate(starts)
-                passages += len(cut)
-                add(sums, np.concatenate(held), cut, idf, weighted)
-            held, starts, size = [], [], 0
-
+        idf, omega, known = shared.value
+        sketch = _Sketch(idf, omega, p)
         for batch in batches:
-            for text in _texts(batch, 0):
-                ids = (word_hashes(text, words) % len(idf)).astype(np.int64)
-                ids = ids[idf[ids] > 0]
-                for at in range(0, len(ids), CHUNK_TERMS):
-                    part = ids[at : at + CHUNK_TERMS]
-                    held.append(part)
-                    starts.append(_runs(part, p.passage) + size)
-                    size += len(part)
-                    if size >= CHUNK_TERMS:
-                        flush()
-        flush()
-        some = np.nonzero(sums[:, rank])[0]
-        out = np.vstack([sums[some], np.full((1, rank + 1), passages, np.float64)]).astype(np.float32)
+            for at in range(0, batch.num_rows, 1024):
+                sketch.add(*terms_of(batch.column(0).slice(at, 1024), idf, known))
+        some = np.nonzero(sketch.ones)[0]
+        out = np.vstack([np.column_stack([sketch.sums, sketch.ones])[some], np.full((1, rank + 1), sketch.passages)]).astype(np.float32)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1).astype(np.int32)), *(pa.array(out[:, i]) for i in range(rank + 1))], ["feature", *names])
 
-    names = [f"y{i}" for i in range(rank + 1)]
     made = docs.select("text").mapInArrow(run, "feature int, " + ", ".join(f"{n} float" for n in names))
     rows = made.groupBy("feature").agg(*[F.sum(n).alias(n) for n in names]).toPandas()  # at most features + 1 rows
     total = float(rows.loc[rows.feature < 0, names[0]].sum())
@@ -172,41 +246,55 @@ def gram_times(docs: DataFrame, idf: np.ndarray, omega: np.ndarray, p: Params) -
     return out[:, :rank], out[:, rank], total
 
 
-def latent_space(docs: DataFrame, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(idf, projection, mean): a window's latent vector is the sum of its terms' projection rows
-    over its norm, less the mean passage's."""
-    n_docs, df = document_frequencies(docs, p.features)
-    idf = idf_of(n_docs, df, p)
+@dataclass
+class Space:
+    """What a search needs of the corpus: a window's latent vector is the sum of its terms' projection
+    rows over its norm, less the mean passage's."""
+
+    known: np.ndarray
+    idf: np.ndarray
+    projection: np.ndarray
+    mean: np.ndarray
+
+
+def latent_space(docs: DataFrame, benchmark: DataFrame, p: Params) -> Space:
+    known = vocabulary(benchmark)
+    idf = idf_of(*document_frequencies(docs, p.features, known), p)
     omega = np.linalg.qr(np.random.default_rng(p.seed).standard_normal((p.features, p.rank)))[0].astype(np.float32)
-    w, sums, passages = gram_times(docs, idf, omega, p)
-    shift = 1e-6 * max(np.linalg.norm(w), 1e-12)
+    return space_of(known, idf, omega, *gram_times(docs, idf, known, omega, p))
+
+
+def space_of(known, idf, omega, w, sums, passages) -> Space:
+    """Right singular vectors over their values from A'A*Omega, by the Nystroem form."""
+    if not passages:
+        return Space(known, idf, np.zeros_like(omega), np.zeros(omega.shape[1], np.float32))
+    shift = 1e-6 * np.linalg.norm(w)
     w = w + shift * omega
     core = omega.T @ w
-    lower = np.linalg.cholesky((core + core.T) / 2 + 1e-9 * shift * np.eye(p.rank))
+    lower = np.linalg.cholesky((core + core.T) / 2 + 1e-9 * shift * np.eye(omega.shape[1]))
     vectors, values, _ = np.linalg.svd(np.linalg.solve(lower, w.T).T, full_matrices=False)
-    projection = (vectors / np.maximum(values, 1e-6 * values[0])).astype(np.float32)  # every direction of equal weight
-    mean = (sums / max(passages, 1.0)) @ projection
-    return idf, (projection * idf[:, None]).astype(np.float32), mean.astype(np.float32)
+    projection = (vectors / np.maximum(values, 1e-4 * values[0])).astype(np.float32)  # every direction of equal weight
+    mean = (sums / passages) @ projection
+    return Space(known, idf, (projection * idf[:, None]).astype(np.float32), mean.astype(np.float32))
 
 
 @dataclass
 class Item:
     item_id: int
-    terms: np.ndarray  # 32-bit hashes of the item's terms, in order
+    terms: np.ndarray  # hashes of the item's terms, in order
     answer: np.ndarray
-    exact: bytes | None = None
+    exact: np.ndarray | None = None  # hashes of all words, for an item of very few terms
 
 
-def read_item(item_id: int, text: str | None, idf: np.ndarray, p: Params) -> Item | None:
-    words = Words()
-    hashes = word_hashes(text, words)
-    terms = hashes[idf[hashes % len(idf)] > 0]
-    sentences = [s for s in SENTENCE.split(text or "") if s.strip()]
-    last = word_hashes(sentences[-1], words) if sentences else hashes
-    if not len(hashes):
+def read_item(item_id: int, text: str | None, space: Space, p: Params) -> Item | None:
+    sentences = [x for x in SENTENCE.split(text or "") if x.strip()]
+    column = pa.array([text or "", sentences[-1] if sentences else ""], pa.string())
+    words, counts = words_of(column)
+    if not counts[0]:
         return None
-    exact = b" ".join((text or "").lower().encode().translate(FOLD).split()) if len(terms) < p.min_terms else None
-    return Item(item_id, terms, np.unique(last[idf[last % len(idf)] > 0]), exact)
+    terms, _, by_row = terms_of(column, space.idf, space.known)
+    exact = words[: counts[0]] if by_row[0] < p.min_terms else None
+    return Item(item_id, terms[: by_row[0]], np.unique(terms[by_row[0] :]), exact)
 
 
 def lcs_length(a: list[int], b: list[int]) -> int:
@@ -223,86 +311,113 @@ def lcs_length(a: list[int], b: list[int]) -> int:
 
 
 class Searcher:
-    """Items of one block with their latent vectors, against one document at a time."""
+    """One block of items with their latent vectors, against columns of texts."""
 
-    def __init__(self, idf, projection, mean, items: list[Item], p: Params):
-        self.idf, self.projection, self.mean, self.p = idf, projection, mean, p
+    def __init__(self, space: Space, items: list[Item], p: Params):
+        self.idf, self.known, self.projection, self.mean, self.p = space.idf, space.known, space.projection, space.mean, p
         self.short = [x for x in items if x.exact is not None]
         self.by_blocks: dict[int, list[Item]] = {}
         for x in items:
             if x.exact is None:
                 self.by_blocks.setdefault(-(-len(x.terms) // p.block) + 1, []).append(x)
+        self.widest = max(self.by_blocks, default=1)
         self.vectors = {b: np.stack([self._unit(x.terms) for x in own]) for b, own in self.by_blocks.items()}
-        self.member = {b: self._members(own) for b, own in self.by_blocks.items()}
+        self.places = {b: self._places(own) for b, own in self.by_blocks.items()}
+        # an LCS of the needed length leaves out at most so many of the item's distinct features
+        self.need_kinds = {
+            b: np.array([len(np.unique(feature_of(x.terms, len(self.idf)))) - (len(x.terms) - int(np.ceil(p.min_paraphrase * len(x.terms) - 1e-9))) for x in own]) for b, own in self.by_blocks.items()
+        }
         self.need = {b: np.array([int(np.ceil(p.min_paraphrase * len(x.terms) - 1e-9)) for x in own]) for b, own in self.by_blocks.items()}
 
     def _unit(self, terms):
-        ids = terms % len(self.idf)
+        ids = feature_of(terms, len(self.idf))
         v = self.projection[ids].sum(axis=0) / np.sqrt((self.idf[ids] ** 2).sum()) - self.mean
         return v / max(float(np.linalg.norm(v)), 1e-12)
 
-    def _members(self, own):
-        table = np.zeros((len(own), len(self.idf)), bool)
+    def _places(self, own):
+        """Per item, feature -> 1 + its place among the item's distinct features; 0 for others and the padding."""
+        table = np.zeros((len(own), len(self.idf) + 1), np.int16)
         for i, x in enumerate(own):
-            table[i, x.terms % len(self.idf)] = True
+            kinds = np.unique(feature_of(x.terms, len(self.idf)))
+            table[i, kinds] = np.arange(1, len(kinds) + 1)
         return table
 
-    def search(self, text: str | None, words: Words) -> list[tuple[int, float, float, str]]:
-        """(item_id, share of the item's terms in the LCS, cosine, kind) of the items found in a text."""
-        found = []
-        if not text:
-            return found
+    def search(self, column: pa.Array) -> dict[int, dict[int, tuple[float, float, str]]]:
+        """row -> item_id -> (share of the item's terms in the LCS, cosine, kind)."""
+        found: dict[int, dict[int, tuple]] = {}
         if self.short:
-            joined = b" " + b" ".join(text.lower().encode().translate(FOLD).split()) + b" "
-            found += [(x.item_id, 1.0, 1.0, "exact") for x in self.short if b" " + x.exact + b" " in joined]
-        hashes = word_hashes(text, words)
-        ids = (hashes % len(self.idf)).astype(np.int64)
-        keep = self.idf[ids] > 0
-        hashes, ids = hashes[keep], ids[keep]
-        if not len(ids):
-            return found
-        p = self.p
-        margin = max(self.by_blocks, default=1) * p.block
-        best: dict[int, tuple] = {}
-        for at in range(0, len(ids), CHUNK_TERMS):  # chunks overlap by the widest window
-            self._chunk(hashes[at : at + CHUNK_TERMS + margin], ids[at : at + CHUNK_TERMS + margin], best)
-        return found + [(i, *x) for i, x in best.items()]
-
-    def _chunk(self, hashes, ids, best) -> None:
+            self._exact(column, found)
+        hashes, ids, counts = terms_of(column, self.idf, self.known)
+        ends = np.concatenate(([0], np.cumsum(counts)))
+        row, margin = 0, self.widest * self.p.block
+        while row < len(counts):
+            stop = max(row + 1, int(np.searchsorted(ends, ends[row] + CHUNK_TERMS, "right")) - 1)
+            a, b = int(ends[row]), int(ends[stop])
+            if b - a <= CHUNK_TERMS:
+                self._chunk(hashes[a:b], ids[a:b], counts[row:stop], row, found)
+            else:  # one very long text: chunks that overlap by the widest window
+                for at in range(a, b, CHUNK_TERMS):
+                    end = min(b, at + CHUNK_TERMS + margin)
+                    self._chunk(hashes[at:end], ids[at:end], np.array([end - at]), row, found)
+            row = stop
+        return found
+
+    def _exact(self, column, found) -> None:
+        hashes, counts = words_of(column)
+        owner = np.repeat(np.arange(len(counts)), counts)
+        for x in self.short:
+            n = len(x.exact)
+            at = np.nonzero(hashes[: len(hashes) - n + 1] == x.exact[0])[0] if n <= len(hashes) else []
+            for i in at:
+                if owner[i] == owner[i + n - 1] and (hashes[i : i + n] == x.exact).all():
+                    found.setdefault(int(owner[i]), {})[x.item_id] = (1.0, 1.0, "exact")
+
+    def _chunk(self, hashes, ids, counts, row0, found) -> None:
         p, n = self.p, len(ids)
-        starts = _runs(ids, p.block)
-        sums = np.add.reduceat(self.projection[ids], starts, axis=0)
-        squares = np.add.reduceat(self.idf[ids] ** 2, starts)
-        total = np.vstack([np.zeros((1, sums.shape[1]), np.float64), np.cumsum(sums, axis=0, dtype=np.float64)])
-        energy = np.concatenate(([0.0], np.cumsum(squares, dtype=np.float64)))
-        padded = np.append(ids, np.full(p.block * (max(self.by_blocks, default=1) + 1), -1))
+        starts, rows = _runs(counts, p.block)
+        if not len(starts) or not self.by_blocks:
+            return
+        total = np.zeros((len(starts) + 1, self.projection.shape[1]), np.float32)
+        np.cumsum(np.add.reduceat(self.projection[ids], starts, axis=0), axis=0, out=total[1:])
+        energy = np.concatenate(([0.0], np.cumsum(np.add.reduceat(self.idf[ids] ** 2, starts), dtype=np.float64)))
+        row_end = np.searchsorted(rows, rows, "right")  # past the row's last block
+        row_begin = np.searchsorted(rows, rows, "left")
+        term_end = np.cumsum(counts)[rows]
+        blocks_at = np.arange(len(starts))
+        padded = np.append(ids, np.full((self.widest + 1) * p.block, len(self.idf)))
         for blocks, own in self.by_blocks.items():
-            first = np.arange(max(1, len(starts) - blocks + 1))
-            last = np.minimum(first + blocks, len(starts))
-            v = (total[last] - total[first]) / np.sqrt(energy[last] - energy[first])[:, None] - self.mean
-            v = (v / np.maximum(np.linalg.norm(v, axis=1), 1e-12)[:, None]).astype(np.float32)
+            first = blocks_at[(blocks_at + blocks <= row_end) | (blocks_at == row_begin)]
+            last = np.minimum(first + blocks, row_end[first])
+            v = total[last] - total[first]
+            v /= np.sqrt(energy[last] - energy[first]).astype(np.float32)[:, None]
+            v -= self.mean
+            v /= np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v)), 1e-12)[:, None]
             for j0 in range(0, len(own), 512):
                 cosine = v @ self.vectors[blocks][j0 : j0 + 512].T
                 i, j = np.nonzero(cosine >= p.min_cosine)
                 if not len(i):
                     continue
-                value, j = cosine[i, j], j + j0
-                width = blocks * p.block
-                near = np.empty(len(i), np.int64)
-                for c in range(0, len(i), 4096):  # terms of the window that the item has: no less than the LCS
-                    at = first[i[c : c + 4096], None] * p.block + np.arange(width)
-                    term = padded[at]
-                    near[c : c + 4096] = (self.member[blocks][j[c : c + 4096, None], term] & (term >= 0)).sum(axis=1)
-                ok = near >= self.need[blocks][j]
-                for a, k, cos in zip(i[ok].tolist(), j[ok].tolist(), value[ok].tolist(), strict=True):
-                    self._verify(own[k], hashes[a * p.block : min(n, a * p.block + width)], cos, best)
-
-    def _verify(self, item: Item, window, cosine: float, best) -> None:
+                value, j, width = cosine[i, j], j + j0, blocks * p.block
+                ok = np.zeros(len(i), bool)
+                for c in range(0, len(i), 4096):  # upper bounds of the LCS: terms, then distinct features, of the item
+                    jc = j[c : c + 4096]
+                    place = self.places[blocks][jc[:, None], padded[starts[first[i[c : c + 4096]], None] + np.arange(width)]]
+                    some = np.nonzero((place > 0).sum(axis=1) >= self.need[blocks][jc])[0]
+                    kinds = np.zeros((len(some), width + 1), bool)
+                    kinds[np.arange(len(some))[:, None], place[some]] = True
+                    ok[c + some] = kinds[:, 1:].sum(axis=1) >= self.need_kinds[blocks][jc[some]]
+                for k, item, cos in zip(first[i[ok]].tolist(), j[ok].tolist(), value[ok].tolist(), strict=True):
+                    window = hashes[starts[k] : min(int(term_end[k]), int(starts[k]) + width, n)]
+                    self._verify(own[item], window, cos, found, row0 + int(rows[k]))
+
+    def _verify(self, item: Item, window, cosine: float, found, row: int) -> None:
         p = self.p
         share = lcs_length(item.terms.tolist(), window.tolist()) / len(item.terms)
         kind = "copy" if share >= p.min_lcs else "paraphrase" if share >= p.min_paraphrase and self._answered(item, window) else None
-        if kind and (item.item_id not in best or share > best[item.item_id][0]):
-            best[item.item_id] = (share, cosine, kind)
+        if kind:
+            own = found.setdefault(row, {})
+            if item.item_id not in own or share > own[item.item_id][0]:
+                own[item.item_id] = (share, cosine, kind)
 
     def _answered(self, item: Item, window) -> bool:
         return not len(item.answer) or np.isin(item.answer, window).mean() >= self.p.min_answer
@@ -313,11 +428,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, params: Params = P
     item_id is null for a document without any, so each row of ``docs`` appears."""
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    idf, projection, mean = latent_space(own, params)
+    space = latent_space(own, benchmark, params)
     schema = f"doc_id {own.schema['doc_id'].dataType.simpleString()}, item_id long, share double, cosine double, kind string"
     out = None
     for items in _item_blocks(benchmark, block_items):
-        shared = spark.sparkContext.broadcast((idf, projection, mean, [x for i, t in items if (x := read_item(i, t, idf, params))]))
+        shared = spark.sparkContext.broadcast((space, [x for i, t in items if (x := read_item(i, t, space, params))]))
         part = own.mapInArrow(_searching(shared, params), schema)
         out = part if out is None else out.unionAll(part)
     return out
@@ -338,13 +453,14 @@ def _item_blocks(benchmark: DataFrame, size: int) -> Iterator[list[tuple]]:
 
 def _searching(shared, params: Params):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searcher, words = Searcher(*shared.value, params), Words()
+        searcher = Searcher(*shared.value, params)
         for batch in batches:
+            found = searcher.search(batch.column(1))
             at, rows = [], []
-            for i, text in enumerate(_texts(batch, 1)):
-                found = searcher.search(text, words) or [(None, None, None, None)]
-                at += [i] * len(found)
-                rows += found
+            for i in range(batch.num_rows):
+                own = [(k, *v) for k, v in found[i].items()] if i in found else [(None, None, None, None)]
+                at += [i] * len(own)
+                rows += own
             columns = list(zip(*rows, strict=True)) or [()] * 4
             kinds = [pa.int64(), pa.float64(), pa.float64(), pa.string()]
             yield pa.RecordBatch.from_arrays(
@@ -358,19 +474,20 @@ def _searching(shared, params: Params):
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, params: Params = Params(), text_col: str = "text", block_items: int = 4096) -> DataFrame:
     """``docs`` less the documents that hold a benchmark item; all columns stay, nothing is shuffled."""
     spark = docs.sparkSession
-    idf, projection, mean = latent_space(docs.select(F.col(text_col).alias("text")), params)
+    space = latent_space(docs.select(F.col(text_col).alias("text")), benchmark, params)
     at = docs.columns.index(text_col)
 
     def keep(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            searcher, words = Searcher(*shared.value, params), Words()
+            searcher = Searcher(*shared.value, params)
             for batch in batches:
-                yield batch.filter(pa.array([not searcher.search(t, words) for t in _texts(batch, at)], pa.bool_()))
+                found = searcher.search(batch.column(at))
+                yield batch.filter(pa.array([i not in found for i in range(batch.num_rows)], pa.bool_()))
 
         return run
 
     for items in _item_blocks(benchmark, block_items):
-        shared = spark.sparkContext.broadcast((idf, projection, mean, [x for i, t in items if (x := read_item(i, t, idf, params))]))
+        shared = spark.sparkContext.broadcast((space, [x for i, t in items if (x := read_item(i, t, space, params))]))
         docs = docs.mapInArrow(keep(shared), docs.schema)
     return docs
 
