@@ -167,6 +167,7 @@ class Codec:
         self.vocab = {text: i for i, (text, _, _) in enumerate(m.pieces)}
         self.bytes_of = [bytes([int(t[3:5], 16)]) if k == BYTE else t.replace(MARKER, " ").encode() for t, _, k in m.pieces]
         self.bytes_of[m.unk_id] = " \u2047 ".encode()
+        self.starts = np.array([t.startswith(MARKER) and k != BYTE for t, _, k in m.pieces])
         self._reset()
 
     def _reset(self) -> None:
@@ -179,11 +180,31 @@ class Codec:
         theirs = self.peer.encode(texts, num_threads=self.threads)
         return [np.array(b, "<i4").tobytes() for b in theirs], [a == b for a, b in zip(ours, theirs, strict=True)]
 
+    def _words(self, keys: list[str], at_once: int = 512) -> tuple[list[bytes], list[bool]]:
+        """Ids of keys without spaces.  Many are encoded as one text: only a chunk's first piece begins with the marker."""
+        groups = [keys[i : i + at_once] for i in range(0, len(keys), at_once)]
+        joined = [" ".join(g) for g in groups]
+        ours = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
+        theirs = self.peer.encode(joined, num_threads=self.threads)
+        ids, same = [], []
+        for group, a, b in zip(groups, ours, theirs, strict=True):
+            found = np.array(b, "<i4")
+            first = np.nonzero(self.starts[found])[0]
+            if a.ids == b and len(first) == len(group):
+                raw, ends = found.tobytes(), [*(first * 4).tolist(), len(found) * 4]
+                ids += [raw[i:j] for i, j in zip(ends, ends[1:], strict=False)]
+                same += [True] * len(group)
+            else:  # one by one, to know which differ
+                one, ok = self._both(group)
+                ids += one
+                same += ok
+        return ids, same
+
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
         """Ids of each text as int32 bytes, and whether both libraries agreed on them.
 
         With independent chunks every distinct chunk is encoded by both libraries once,
-        in one multithreaded batch, and texts are put together from verified chunks.
+        in multithreaded batches, and texts are put together from verified chunks.
         """
         if not self.chunked:
             return self._both(texts)
@@ -196,10 +217,11 @@ class Codec:
             cut.append(keys)
         if len(self.cache) > self.cached_chunks:
             self._reset()
-        new = list(set().union(*cut) - self.cache.keys() - {""})
-        ids, same = self._both(new)
-        self.cache.update(zip(new, ids, strict=True))
-        self.differ.update(k for k, s in zip(new, same, strict=True) if not s)
+        new = set().union(*cut) - self.cache.keys() - {""}
+        for keys, encode in (([k for k in new if " " not in k], self._words), ([k for k in new if " " in k], self._both)):
+            ids, same = encode(keys)
+            self.cache.update(zip(keys, ids, strict=True))
+            self.differ.update(k for k, s in zip(keys, same, strict=True) if not s)
         if "" not in self.cache:
             self.cache[""] = np.array([self.vocab.get(MARKER, self.model.unk_id)], "<i4").tobytes()
         get = self.cache.__getitem__
