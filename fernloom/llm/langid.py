@@ -22,10 +22,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from fernloom.llm.batches import bounded_slices
 from fernloom.scratch import materialize
 
 UNDETERMINED = "und"
@@ -33,7 +35,7 @@ WORD = re.compile(r"[^\W\d_]+")
 
 
 #: Back-off vectors a worker keeps; beyond it they are worked out anew.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 100_000
 
 
 @dataclass
@@ -148,22 +150,20 @@ def train(labelled: DataFrame, sample_docs: int = 8_000, max_words: int = 30_000
 
 
 def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` plus ``lang_pred`` and ``score``."""
+    """``docs`` plus ``lang_pred`` and ``score``; texts go to the workers once and come back as they were."""
+    docs = docs.drop("lang_pred", "score")  # columns of these names are replaced
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    both = F.pandas_udf(_predictor(shared), "lang_pred string, score double")(F.col(text_col))
-    return docs.withColumn("__lid", both).select(*docs.columns, "__lid.lang_pred", "__lid.score")
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    at = docs.columns.index(text_col)
 
-
-def _predictor(shared):
-    def predict(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for column in columns:
-            rows = []
-            for at in range(0, len(column), 512):  # bounds what long texts take at once
-                rows += scorer.predict(column.iloc[at : at + 512].tolist())
-            yield pd.DataFrame(rows, columns=["lang_pred", "score"])
+        for whole in batches:
+            for part in bounded_slices(whole, at, 1 << 20):
+                langs, scores = zip(*scorer.predict(part.column(at).to_pylist()), strict=True)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*whole.schema.names, "lang_pred", "score"])
 
-    return predict
+    return docs.mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -143,7 +143,7 @@ def dedup_lines(
     16-byte hashes meet in a shuffle per line, and each text moves once, beside its
     list of dropped hashes.
     """
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, docs.drop("deduped")  # a column of this name is replaced
     batch_of: Column = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")
     hashes = materialize(line_hashes(docs, min_chars, id_col, text_col).withColumn("batch", batch_of), "lines", ["batch"])
     runs = LineRuns(spark, fanout)

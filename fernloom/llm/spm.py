@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fernloom.llm.batches import bounded_slices
+
 MARKER = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -126,7 +128,7 @@ def build(model: PieceModel):
     vocab = {text: i for i, (text, _, _) in enumerate(model.pieces)}
     unknown = model.pieces[model.unk_id][0]
     if model.model_type == BPE:
-        core = models.BPE(vocab, merges(model), unk_token=unknown, fuse_unk=True, byte_fallback=model.byte_fallback, cache_capacity=100_000)
+        core = models.BPE(vocab, merges(model), unk_token=unknown, fuse_unk=True, byte_fallback=model.byte_fallback, cache_capacity=1_000)  # the codec keeps its own cache
     else:
         core = models.Unigram([(text, score) for text, score, _ in model.pieces], model.unk_id, model.byte_fallback)
     out = Tokenizer(core)
@@ -153,7 +155,7 @@ SPACES = re.compile(" +[^ ]*")
 class Codec:
     """One worker's tokenizer, SentencePiece's own for the parity check, and a bounded cache of chunks."""
 
-    def __init__(self, data: bytes, threads: int = 2, cached_chunks: int = 400_000):
+    def __init__(self, data: bytes, threads: int = 2, cached_chunks: int = 100_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         import sentencepiece
@@ -245,7 +247,7 @@ def _codec(data: bytes, threads: int) -> Codec:
     return _CODECS[key]
 
 
-def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL, threads: int = 2, id_col: str = "doc_id", text_col: str = "text", batch: int = 256) -> DataFrame:
+def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL, threads: int = 2, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 1 << 20) -> DataFrame:
     """``(doc_id, ids, decoded, parity)``; the model file (bounded, under 16 MB) goes out as a broadcast."""
     with open(model_path, "rb") as file:
         data = file.read()
@@ -258,8 +260,7 @@ def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL, threads: int = 2, i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value, threads)
         for whole in batches:
-            for at in range(0, whole.num_rows, batch):  # keeps the ids of long texts bounded
-                part = whole.slice(at, batch)
+            for part in bounded_slices(whole, 1, batch_chars):
                 ids, same = codec.encode([t or "" for t in part.column(1).to_pylist()])
                 ends = pa.array(np.cumsum([0, *(len(x) // 4 for x in ids)]), pa.int32())
                 lists = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(ids), "<i4")))
