@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
+from fernloom.operators import filtering  # noqa: F401
 from fernloom.plans import search
+from fernloom.registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "search_first_page"
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-for module in (search,):
-    QUERIES |= module.QUERIES
-    ORACLE_SQL |= module.ORACLE_SQL
+QUERIES |= search.QUERIES
+ORACLE_SQL |= search.ORACLE_SQL
