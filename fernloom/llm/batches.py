@@ -5,6 +5,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+
+#: Bytes of an Arrow batch on its way to a Python worker.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(docs: DataFrame) -> DataFrame:
+    """``docs`` as it is; from now on the session sends texts to Python in batches of ``BATCH_BYTES``.
+
+    The setting bounds what the JVM and a worker hold of a table of long texts; it changes no result.
+    """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return docs
 
 
 def bounded_slices(batch: pa.RecordBatch, column: int, most_bytes: int) -> Iterator[pa.RecordBatch]:

@@ -37,6 +37,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fernloom.llm.batches import small_batches
+
 #: A-Z folded, digits and a-z kept, other ASCII a space, other bytes kept (Latin-1 capitals are folded apart).
 FOLD = np.array([c if c > 127 or chr(c).isdigit() or chr(c).islower() else c + 32 if chr(c).isupper() else 32 for c in range(256)], np.uint8)
 SENTENCE = re.compile(r"[.!?\n]+")
@@ -427,7 +429,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, params: Params = P
     """``(doc_id, item_id, share, cosine, kind)`` of every benchmark item found in a document;
     item_id is null for a document without any, so each row of ``docs`` appears."""
     spark = docs.sparkSession
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    own = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     space = latent_space(own, benchmark, params)
     schema = f"doc_id {own.schema['doc_id'].dataType.simpleString()}, item_id long, share double, cosine double, kind string"
     out = None
@@ -473,7 +475,7 @@ def _searching(shared, params: Params):
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, params: Params = Params(), text_col: str = "text", block_items: int = 4096) -> DataFrame:
     """``docs`` less the documents that hold a benchmark item; all columns stay, nothing is shuffled."""
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     space = latent_space(docs.select(F.col(text_col).alias("text")), benchmark, params)
     at = docs.columns.index(text_col)
 

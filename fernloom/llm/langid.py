@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fernloom.llm.batches import bounded_slices
+from fernloom.llm.batches import bounded_slices, small_batches
 from fernloom.scratch import materialize
 
 UNDETERMINED = "und"
@@ -151,7 +151,7 @@ def train(labelled: DataFrame, sample_docs: int = 8_000, max_words: int = 30_000
 
 def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` plus ``lang_pred`` and ``score``; texts go to the workers once and come back as they were."""
-    docs = docs.drop("lang_pred", "score")  # columns of these names are replaced
+    docs = small_batches(docs).drop("lang_pred", "score")  # columns of these names are replaced
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     at = docs.columns.index(text_col)

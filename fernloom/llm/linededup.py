@@ -18,12 +18,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from fernloom.llm.batches import small_batches
 from fernloom.scratch import materialize, remove, scratch_path
 
 #: Fixed value: the white space stripped at both ends of a line.
@@ -41,7 +42,7 @@ def line_digest(line: str, min_chars: int) -> bytes | None:
 
 def line_hashes(docs: DataFrame, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document and distinct long line: ``(doc_id, h1, h2)``."""
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    own = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = f"doc_id {own.schema['doc_id'].dataType.simpleString()}, h1 long, h2 long"
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,21 +112,26 @@ def merge_runs(runs: DataFrame) -> DataFrame:
     return runs.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
 
 
-def _without(min_chars: int):
-    """UDF (text, dropped hashes) -> struct(n_lines, n_dropped, text)."""
+DEDUPED = "n_lines long, n_dropped long, text string"
 
-    def cut(text: pd.Series, gone: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t, g in zip(text, gone, strict=True):
-            lines = (t or "").split("\n")
-            kept = lines
-            if g is not None and len(g):
-                dropped = set(g)
-                kept = [x for x in lines if line_digest(x, min_chars) not in dropped]
-            rows.append((len(lines), len(lines) - len(kept), "\n".join(kept)))
-        return pd.DataFrame(rows, columns=["n_lines", "n_dropped", "text"])
 
-    return F.pandas_udf(cut, "n_lines long, n_dropped long, text string")
+def _cutting(at: int, min_chars: int):
+    """Replaces the last column (dropped hashes) by struct(n_lines, n_dropped, text) of the text at ``at``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts, gone_counts, texts = [], [], []
+            for text, gone in zip(batch.column(at), batch.column(batch.num_columns - 1), strict=True):
+                text, gone = text.as_py() or "", set(gone.as_py() or ())
+                lines = text.split("\n")
+                kept = [x for x in lines if line_digest(x, min_chars) not in gone] if gone else lines
+                counts.append(len(lines))
+                gone_counts.append(len(lines) - len(kept))
+                texts.append("\n".join(kept) if gone else text)
+            out = pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(gone_counts, pa.int64()), pa.array(texts, pa.string())], ["n_lines", "n_dropped", "text"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], out], [*batch.schema.names[:-1], "deduped"])
+
+    return run
 
 
 def dedup_lines(
@@ -156,8 +162,9 @@ def dedup_lines(
         .groupBy(F.col("doc_id").alias("__gone_id"))
         .agg(F.collect_set(F.concat(_le_bytes("h1"), _le_bytes("h2"))).alias("__gone"))
     )
-    joined = docs.join(gone, docs[id_col].eqNullSafe(gone["__gone_id"]), "left")
-    return joined.withColumn("deduped", _without(min_chars)(docs[text_col], F.col("__gone"))).select(*[docs[c] for c in docs.columns], "deduped")
+    joined = docs.join(gone, docs[id_col].eqNullSafe(gone["__gone_id"]), "left").select(*[docs[c] for c in docs.columns], "__gone")
+    schema = T.StructType([*docs.schema.fields, T.StructField("deduped", T.StructType.fromDDL(DEDUPED))])
+    return joined.mapInArrow(_cutting(docs.columns.index(text_col), min_chars), schema)
 
 
 def _le_bytes(name: str) -> Column:

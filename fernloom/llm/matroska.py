@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fernloom.llm.batches import small_batches
+
 # Fixed values of the public Matroska specification: element ids.
 EBML, DOC_TYPE, DOC_VERSION, DOC_READ_VERSION = 0x1A45DFA3, 0x4282, 0x4287, 0x4285
 SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
@@ -244,7 +246,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """``(doc_id, n_bytes, media)``: each text's Matroska file."""
     mux_udf = F.pandas_udf(_mux_column, "binary")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), mux_udf(text).alias("media"))
+    return small_batches(docs).select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), mux_udf(text).alias("media"))
 
 
 def _mux_column(column: pd.Series) -> pd.Series:

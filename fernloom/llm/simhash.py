@@ -33,6 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fernloom.llm.batches import small_batches
 from fernloom.llm.components import connected_components
 from fernloom.scratch import materialize
 
@@ -59,7 +60,7 @@ def fingerprint(text: str | None, shingle_words: int = 4, seed: int = 42) -> int
 
 def fingerprints(docs: DataFrame, shingle_words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, fp)``; fp is the fingerprint as a signed long."""
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    own = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = f"doc_id {own.schema['doc_id'].dataType.simpleString()}, fp long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernloom.llm.batches import bounded_slices
+from fernloom.llm.batches import bounded_slices, small_batches
 
 MARKER = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -254,7 +254,7 @@ def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL, threads: int = 2, i
     if len(data) > 16 << 20:
         raise ValueError("model file over 16 MB")
     shared = docs.sparkSession.sparkContext.broadcast(data)
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    own = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = f"doc_id {own.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string, parity boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
