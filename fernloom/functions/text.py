@@ -69,7 +69,7 @@ def company_key(name: Column) -> Column:
 
 
 def split_dba(name: Column) -> Column:
-    return F.transform(F.split(name, r"(?i) +d/?b/?a +"), F.trim)
+    return F.transform(F.split(name, r"(?i) +d/?b/?a +"), lambda x: F.trim(x))
 
 
 def title_key(title: Column) -> Column:
