@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fernloom.operators import aggregates, domain, filtering, ingest, joins, ranking, secondary, setops, text  # noqa: F401
+from fernloom.operators import aggregates, domain, filtering, ingest, joins, lifecycle, plugins, ranking, secondary, setops, text  # noqa: F401
 from fernloom.plans import search
 from fernloom.registry import ORACLE_SQL, QUERIES
 
