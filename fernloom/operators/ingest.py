@@ -11,7 +11,12 @@ from fernloom.scratch import scratch_path
 from fernloom.sources import boards as b
 from fernloom.sources import files as fs
 
-KEY = F.col("o_orderkey")
+
+
+def _key() -> Column:
+    return F.col("o_orderkey")
+
+
 DAY = "date_format(o_orderdate, \"yyyy-MM-dd'T'00:00:00'Z'\")"
 
 
@@ -56,7 +61,7 @@ def scan_workable(t: Tables) -> DataFrame:
 
 @query("merge_by_shortcode", "SELECT CAST(o_custkey AS STRING) AS external_id, arg_min('Job ' || o_orderpriority, o_orderkey) AS title, array_to_string(list_transform(list_sort(list_transform(list_distinct(list(o_orderstatus)), lambda s: [CAST(CASE s WHEN 'F' THEN f WHEN 'O' THEN o ELSE p END AS STRING), s])), lambda x: x[2]), '; ') AS location FROM (SELECT *, lpad(CAST(min(o_orderkey) FILTER (o_orderstatus = 'F') OVER w AS STRING), 12, '0') AS f, lpad(CAST(min(o_orderkey) FILTER (o_orderstatus = 'O') OVER w AS STRING), 12, '0') AS o, lpad(CAST(min(o_orderkey) FILTER (o_orderstatus = 'P') OVER w AS STRING), 12, '0') AS p FROM orders WINDOW w AS (PARTITION BY o_custkey)) GROUP BY o_custkey, f, o, p")
 def merge_by_shortcode(t: Tables) -> DataFrame:
-    rows = t.orders.select(F.col("o_custkey").cast("string").alias("external_id"), F.concat(F.lit("Job "), "o_orderpriority").alias("title"), F.col("o_orderstatus").alias("location"), KEY.alias("ord"))
+    rows = t.orders.select(F.col("o_custkey").cast("string").alias("external_id"), F.concat(F.lit("Job "), "o_orderpriority").alias("title"), F.col("o_orderstatus").alias("location"), _key().alias("ord"))
     return b.merge_by_id(rows)
 
 
@@ -68,13 +73,13 @@ def scan_recruitee(t: Tables) -> DataFrame:
 
 @query("scan_board_personio", f"SELECT {_ID}, {_TITLE}, o_orderstatus AS location, 'Tasks' || chr(10) || 'Do <b>it</b>' AS text FROM orders")
 def scan_personio(t: Tables) -> DataFrame:
-    xml = F.format_string("<position><id>%s</id><name>%s</name><office>%s</office><jobDescriptions><jobDescription><name>Tasks</name><value><![CDATA[Do <b>it</b>]]></value></jobDescription></jobDescriptions></position>", KEY, F.expr(_T), F.col("o_orderstatus"))
+    xml = F.format_string("<position><id>%s</id><name>%s</name><office>%s</office><jobDescriptions><jobDescription><name>Tasks</name><value><![CDATA[Do <b>it</b>]]></value></jobDescription></jobDescriptions></position>", _key(), F.expr(_T), F.col("o_orderstatus"))
     return facts(t.orders.select(b.personio(xml).alias("p")), "external_id", "title", "location", "text")
 
 
 @query("scan_board_teamtailor", f"SELECT {_ID}, {_TITLE}, {_URL}, {_AT} FROM orders")
 def scan_teamtailor(t: Tables) -> DataFrame:
-    xml = F.format_string("<item><guid>%s</guid><title>%s</title><link>%s</link><pubDate>%s</pubDate></item>", KEY, F.expr(_T), F.expr(_U), F.date_format("o_orderdate", "EEE, dd MMM yyyy '00:00:00 +0000'"))
+    xml = F.format_string("<item><guid>%s</guid><title>%s</title><link>%s</link><pubDate>%s</pubDate></item>", _key(), F.expr(_T), F.expr(_U), F.date_format("o_orderdate", "EEE, dd MMM yyyy '00:00:00 +0000'"))
     return facts(t.orders.select(b.teamtailor(xml).alias("p")), "external_id", "title", "url", "posted_at")
 
 
@@ -87,8 +92,8 @@ def scan_gem(t: Tables) -> DataFrame:
 @query("scan_xml_parse", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10 <> 0 THEN o_orderstatus END AS status FROM orders")
 def scan_xml(t: Tables) -> DataFrame:
     """Broken XML gives unknown facts, not a failed job."""
-    xml = F.when(KEY % 10 != 0, F.concat(F.lit("<o><s>"), "o_orderstatus", F.lit("</s></o>"))).otherwise("<o><s>")
-    return t.orders.select(KEY.alias("id"), F.from_xml(xml, "s string", {"mode": "PERMISSIVE"})["s"].alias("status"))
+    xml = F.when(_key() % 10 != 0, F.concat(F.lit("<o><s>"), "o_orderstatus", F.lit("</s></o>"))).otherwise("<o><s>")
+    return t.orders.select(_key().alias("id"), F.from_xml(xml, "s string", {"mode": "PERMISSIVE"})["s"].alias("status"))
 
 
 @query("scan_feed_remoteok", f"SELECT {_ID}, {_TITLE}, {_AT} FROM orders WHERE o_orderkey % 7 <> 0")
@@ -99,8 +104,8 @@ def scan_remoteok(t: Tables) -> DataFrame:
 
 @query("scan_feed_themuse", f"SELECT {_ID}, {_TITLE}, o_orderstatus AS location FROM orders")
 def scan_themuse(t: Tables) -> DataFrame:
-    result = F.struct(KEY.alias("id"), F.expr(_T).alias("name"), F.array(F.struct(F.col("o_orderstatus").alias("name"))).alias("locations"))
-    pages = t.orders.groupBy(F.floor(KEY / 20).alias("page")).agg(F.collect_list(result).alias("results"))  # twenty a page
+    result = F.struct(_key().alias("id"), F.expr(_T).alias("name"), F.array(F.struct(F.col("o_orderstatus").alias("name"))).alias("locations"))
+    pages = t.orders.groupBy(F.floor(_key() / 20).alias("page")).agg(F.collect_list(result).alias("results"))  # twenty a page
     answers = pages.select(F.to_json(F.struct(F.col("page").cast("int").alias("page"), F.lit(1).alias("page_count"), "results")).alias("payload"))
     return facts(b.themuse(answers), "external_id", "title", "location")
 
@@ -114,7 +119,7 @@ def scan_hn_pick(t: Tables) -> DataFrame:
 
 @query("scan_feed_hn_comment", "SELECT 'Co ' || o_orderstatus AS company, 'Job ' || o_orderpriority AS title, 'Place' AS location FROM orders WHERE o_orderkey % 3 <> 0")
 def scan_hn_comment(t: Tables) -> DataFrame:
-    body = F.when(KEY % 3 != 0, F.concat(F.lit("Co "), "o_orderstatus", F.lit(" | Job "), "o_orderpriority", F.lit(" | Place\nmore"))).otherwise("just a remark")
+    body = F.when(_key() % 3 != 0, F.concat(F.lit("Co "), "o_orderstatus", F.lit(" | Job "), "o_orderpriority", F.lit(" | Place\nmore"))).otherwise("just a remark")
     return facts(t.orders.select(b.hn_comment(body).alias("p")), "company", "title", "location")
 
 
@@ -126,8 +131,8 @@ def scan_github_json(t: Tables) -> DataFrame:
 
 @query("scan_feed_github_md", f"SELECT 'Co ' || CAST(o_orderkey AS STRING) AS company, {_TITLE}, {_URL} FROM orders")
 def scan_github_md(t: Tables) -> DataFrame:
-    line = F.format_string("| **Co %s** | %s | X | [apply](%s) |", KEY, F.expr(_T), F.expr(_U))
-    tables = t.orders.groupBy(F.floor(KEY / 50).alias("n")).agg(F.concat(F.lit("# Jobs\n| Company | Role | Location | Link |\n| --- | --- | --- | --- |\n"), F.array_join(F.collect_list(line), "\n")).alias("text"))  # fifty a file
+    line = F.format_string("| **Co %s** | %s | X | [apply](%s) |", _key(), F.expr(_T), F.expr(_U))
+    tables = t.orders.groupBy(F.floor(_key() / 50).alias("n")).agg(F.concat(F.lit("# Jobs\n| Company | Role | Location | Link |\n| --- | --- | --- | --- |\n"), F.array_join(F.collect_list(line), "\n")).alias("text"))  # fifty a file
     return facts(b.markdown_table(tables), "company", "title", "url")
 
 
@@ -140,17 +145,17 @@ def scan_remotive(t: Tables) -> DataFrame:
 @query("scan_feed_usajobs", f"SELECT {_ID}, {_TITLE}, CAST(o_orderkey % 100 AS DOUBLE) AS pay_min FROM orders WHERE o_orderdate >= TIMESTAMP '1999-01-01'")
 def scan_usajobs(t: Tables) -> DataFrame:
     """Expired rows are left out by their closing date."""
-    body = F.struct(F.expr(_T).alias("PositionTitle"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("ApplicationCloseDate"), F.array(F.struct((KEY % 100).cast("string").alias("MinimumRange"))).alias("PositionRemuneration"))
-    items = t.orders.select(F.floor(KEY / 25).alias("page"), F.struct(KEY.cast("string").alias("MatchedObjectId"), body.alias("MatchedObjectDescriptor")).alias("i")).groupBy("page").agg(F.collect_list("i").alias("SearchResultItems"))  # 25 a page
+    body = F.struct(F.expr(_T).alias("PositionTitle"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("ApplicationCloseDate"), F.array(F.struct((_key() % 100).cast("string").alias("MinimumRange"))).alias("PositionRemuneration"))
+    items = t.orders.select(F.floor(_key() / 25).alias("page"), F.struct(_key().cast("string").alias("MatchedObjectId"), body.alias("MatchedObjectDescriptor")).alias("i")).groupBy("page").agg(F.collect_list("i").alias("SearchResultItems"))  # 25 a page
     pages = items.select(F.to_json(F.struct(F.struct("SearchResultItems").alias("SearchResult"))).alias("payload"))
     return facts(b.usajobs(pages, "1999-01-01"), "external_id", "title", "pay_min")
 
 
 def mixed(t: Tables) -> DataFrame:
     """Payloads of several formats, some broken."""
-    key = F.when(KEY % 5 == 0, "absolute_url").when(KEY % 5 == 1, "hostedUrl").when(KEY % 5 == 2, "jobUrl").when(KEY % 5 == 3, "other")
-    good = F.concat(F.lit('{"id":'), KEY.cast("string"), F.lit(',"title":"T","text":"T","'), key, F.lit('":"u"}'))
-    return t.orders.select(KEY.alias("o_orderkey"), F.when(key.isNotNull(), good).otherwise("{broken").alias("payload"))
+    key = F.when(_key() % 5 == 0, "absolute_url").when(_key() % 5 == 1, "hostedUrl").when(_key() % 5 == 2, "jobUrl").when(_key() % 5 == 3, "other")
+    good = F.concat(F.lit('{"id":'), _key().cast("string"), F.lit(',"title":"T","text":"T","'), key, F.lit('":"u"}'))
+    return t.orders.select(_key().alias("o_orderkey"), F.when(key.isNotNull(), good).otherwise("{broken").alias("payload"))
 
 
 @query("scan_board_format_detect", "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'lever' WHEN 2 THEN 'ashby' END AS format FROM orders")
@@ -203,7 +208,7 @@ def scan_gz(t: Tables) -> DataFrame:
 @query("scan_ndjson_import", "SELECT CASE WHEN o_orderkey % 10 = 0 THEN 'rejected' ELSE 'kept' END AS outcome, count(*) AS n FROM orders GROUP BY 1")
 def scan_ndjson(t: Tables) -> DataFrame:
     """Lines that are broken or lack a required field are rejected, each on its own."""
-    line = F.when(KEY % 10 == 0, F.when(KEY % 20 == 0, "{oops").otherwise('{"company":"x"}')).otherwise(F.concat(F.lit('{"title":"'), "o_orderpriority", F.lit('"}')))
+    line = F.when(_key() % 10 == 0, F.when(_key() % 20 == 0, "{oops").otherwise('{"company":"x"}')).otherwise(F.concat(F.lit('{"title":"'), "o_orderpriority", F.lit('"}')))
     parsed = t.orders.select(F.from_json(line, "title string, company string, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
     bad = F.col("r._corrupt").isNotNull() | F.col("r.title").isNull()
     return parsed.select(F.when(bad, "rejected").otherwise("kept").alias("outcome")).groupBy("outcome").agg(F.count("*").alias("n"))
@@ -216,7 +221,7 @@ def one_of(column: Column, allowed: list[str]) -> Column:
 
 @query("scan_lenient_normalize", "SELECT o_orderkey, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN o_orderpriority END AS level, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderkey AS DOUBLE) END AS pay, CASE WHEN o_orderkey % 50 = 0 THEN 'no title' END AS error FROM orders")
 def scan_lenient(t: Tables) -> DataFrame:
-    raw = t.orders.select("o_orderkey", "o_orderpriority", F.when(KEY % 3 == 0, "a lot").otherwise(KEY.cast("string")).alias("pay"), F.when(KEY % 50 == 0, "  ").otherwise("T").alias("title"))
+    raw = t.orders.select("o_orderkey", "o_orderpriority", F.when(_key() % 3 == 0, "a lot").otherwise(_key().cast("string")).alias("pay"), F.when(_key() % 50 == 0, "  ").otherwise("T").alias("title"))
     return raw.select("o_orderkey", one_of(F.col("o_orderpriority"), ["1-URGENT", "2-HIGH"]).alias("level"), F.col("pay").try_cast("double").alias("pay"), F.when(F.trim("title") == "", "no title").alias("error"))
 
 
@@ -248,17 +253,17 @@ def upsert(store: DataFrame, batch: DataFrame, key: str, newer: str) -> DataFram
 
 @query("sink_upsert_store", "SELECT outcome, count(*) AS n, CAST(sum(price) AS BIGINT) AS total FROM (SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'inserted' WHEN b.k IS NULL OR b.v < a.v THEN 'kept' ELSE 'updated' END AS outcome, CASE WHEN a.k IS NULL OR b.v >= a.v THEN coalesce(b.price, a.price) ELSE a.price END AS price FROM (SELECT o_orderkey AS k, o_orderkey % 5 AS v, 1 AS price FROM orders WHERE o_orderkey % 3 <> 0) a FULL OUTER JOIN (SELECT o_orderkey AS k, o_orderkey % 4 AS v, CASE WHEN o_orderkey % 2 = 0 THEN 2 END AS price FROM orders WHERE o_orderkey % 2 = 0) b ON a.k = b.k) GROUP BY outcome")
 def sink_upsert(t: Tables) -> DataFrame:
-    store = t.orders.where("o_orderkey % 3 <> 0").select(KEY.alias("k"), (KEY % 5).alias("v"), F.lit(1).alias("price"))
-    batch = t.orders.where("o_orderkey % 2 = 0").select(KEY.alias("k"), (KEY % 4).alias("v"), F.when(KEY % 2 == 0, 2).alias("price"))
+    store = t.orders.where("o_orderkey % 3 <> 0").select(_key().alias("k"), (_key() % 5).alias("v"), F.lit(1).alias("price"))
+    batch = t.orders.where("o_orderkey % 2 = 0").select(_key().alias("k"), (_key() % 4).alias("v"), F.when(_key() % 2 == 0, 2).alias("price"))
     return upsert(store, batch, "k", "v").groupBy("outcome").agg(F.count("*").alias("n"), F.sum("price").alias("total"))
 
 
 @query("sink_upsert_crawler", "SELECT b.o_orderkey AS job_id, CASE WHEN a.o_orderkey IS NULL THEN 'new' WHEN a.o_orderstatus = b.o_orderstatus AND a.o_orderkey % 4 <> 0 THEN 'unchanged' ELSE 'changed' END AS outcome FROM orders b LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 3 = 0) a ON a.o_orderkey = b.o_orderkey")
 def sink_upsert_crawler(t: Tables) -> DataFrame:
     """Equal content hash and open: only seen again."""
-    saved = t.orders.where("o_orderkey % 3 = 0").select("o_orderkey", F.when(KEY % 4 != 0, F.col("o_orderstatus")).alias("hash"), F.lit(True).alias("known"))
+    saved = t.orders.where("o_orderkey % 3 = 0").select("o_orderkey", F.when(_key() % 4 != 0, F.col("o_orderstatus")).alias("hash"), F.lit(True).alias("known"))
     outcome = F.when(F.col("known").isNull(), "new").when(F.col("hash").eqNullSafe(F.col("o_orderstatus")), "unchanged").otherwise("changed")
-    return t.orders.join(saved, "o_orderkey", "left").select(KEY.alias("job_id"), outcome.alias("outcome"))
+    return t.orders.join(saved, "o_orderkey", "left").select(_key().alias("job_id"), outcome.alias("outcome"))
 
 
 @query("sink_chunked_write", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
@@ -277,8 +282,8 @@ def sink_credit(t: Tables) -> DataFrame:
 @query("sink_feed_apply", "WITH s AS (SELECT o_orderkey AS k, o_orderstatus = 'O' AS open FROM orders WHERE o_orderkey % 3 <> 0), f AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 2 = 0) SELECT coalesce(s.k, f.k) AS k, CASE WHEN s.k IS NULL THEN 'new' WHEN f.k IS NOT NULL AND NOT open THEN 'reopened' WHEN f.k IS NOT NULL THEN 'seen' WHEN open THEN 'closed' ELSE 'still_closed' END AS outcome FROM s FULL OUTER JOIN f ON s.k = f.k")
 def sink_feed(t: Tables) -> DataFrame:
     """One complete answer of a feed against the store."""
-    s = t.orders.where("o_orderkey % 3 <> 0").select(KEY.alias("k"), (F.col("o_orderstatus") == "O").alias("open"))
-    f = t.orders.where("o_orderkey % 2 = 0").select(KEY.alias("k"), F.lit(True).alias("listed"))
+    s = t.orders.where("o_orderkey % 3 <> 0").select(_key().alias("k"), (F.col("o_orderstatus") == "O").alias("open"))
+    f = t.orders.where("o_orderkey % 2 = 0").select(_key().alias("k"), F.lit(True).alias("listed"))
     outcome = F.when(F.col("open").isNull(), "new").when(F.col("listed") & ~F.col("open"), "reopened").when(F.col("listed"), "seen").when(F.col("open"), "closed").otherwise("still_closed")
     return s.join(f, "k", "full_outer").select("k", outcome.alias("outcome"))
 
@@ -337,8 +342,8 @@ def sink_purge(t: Tables) -> DataFrame:
 @query("sink_release_dups", "SELECT a.o_orderkey, CASE WHEN b.o_orderstatus = 'F' THEN NULL ELSE b.o_orderkey END AS duplicate_of FROM orders a LEFT JOIN orders b ON b.o_orderkey = a.o_orderkey - 1 AND a.o_orderkey % 10 = 0")
 def sink_release(t: Tables) -> DataFrame:
     """A duplicate is its own posting again when its canonical row closes."""
-    a = t.orders.select("o_orderkey", F.when(KEY % 10 == 0, KEY - 1).alias("d"))
-    live = t.orders.where("o_orderstatus <> 'F'").select(KEY.alias("d"), KEY.alias("duplicate_of"))
+    a = t.orders.select("o_orderkey", F.when(_key() % 10 == 0, _key() - 1).alias("d"))
+    live = t.orders.where("o_orderstatus <> 'F'").select(_key().alias("d"), _key().alias("duplicate_of"))
     return a.join(live, "d", "left").select("o_orderkey", "duplicate_of")
 
 

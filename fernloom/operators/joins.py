@@ -154,8 +154,13 @@ def within_radius(left: DataFrame, right: DataFrame, miles: float) -> DataFrame:
     """
     step = miles / 69.0
     band = lambda lat: F.floor((lat + 90) / step)
-    # cells of a band: as many as fit with the radius at the band's higher latitude
-    cells = lambda b: F.greatest(F.lit(1), F.floor(360 / (F.lit(step) / F.greatest(F.cos(F.radians(F.least(F.greatest(F.abs(b * step - 90), F.abs((b + 1) * step - 90)), F.lit(89.0)))), F.lit(0.01))) - 1)).cast("long")
+
+    def cells(b: Column) -> Column:
+        """Cells of a band: as many as the radius fits at its higher latitude; one where it comes near a pole."""
+        edge = F.greatest(F.abs(b * step - 90), F.abs((b + 1) * step - 90))
+        fit = F.floor(360 * F.cos(F.radians(edge)) / step - 1).cast("long")
+        return F.when(edge > 90 - 2 * step, F.lit(1)).otherwise(F.greatest(F.lit(1), fit)).cast("long")
+
     column = lambda lon, b: F.pmod(F.floor((lon + 180) / 360 * cells(b)), cells(b))
     l_side = left.select("id", F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), F.explode(F.sequence(band(F.col("lat")) - 1, band(F.col("lat")) + 1)).alias("band"))
     l_side = l_side.withColumn("column", F.explode(F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(column(F.col("lon1"), F.col("band")) + d, cells(F.col("band")))))))
