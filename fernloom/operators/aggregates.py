@@ -306,7 +306,7 @@ def fit_counts(t: Tables) -> DataFrame:
     return out.agg(F.count("v").alias("indexed"), F.count_if(F.col("v").isNull()).alias("waiting"))
 
 
-@query("a_due_reminders", "SELECT count(*) AS n, list(c_custkey ORDER BY c_custkey) AS ids FROM customer WHERE c_acctbal < -900 AND c_custkey % 2 = 0")
+@query("a_due_reminders", "SELECT count(*) AS n, coalesce(list(c_custkey ORDER BY c_custkey), []) AS ids FROM customer WHERE c_acctbal < -900 AND c_custkey % 2 = 0")
 def due_reminders(t: Tables) -> DataFrame:
     return t.customer.where("c_acctbal < -900 AND c_custkey % 2 = 0").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("c_custkey")).alias("ids"))
 
