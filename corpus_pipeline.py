@@ -3,6 +3,10 @@
 language ID -> line dedup -> SimHash near-dedup -> benchmark decontamination ->
 SentencePiece encoding.  Each stage is ``(spark, docs, sf_dir) -> DataFrame``; all but the
 last return the columns of ``documents``.
+
+Defined cases: a null or letterless text is rejected by the first stage; extra columns are
+dropped; empty tables pass through empty; nulls in other columns are kept, save ``lang``,
+which becomes the predicted language, and ``n_chars``, which is counted anew.
 """
 
 from __future__ import annotations
@@ -39,9 +43,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by fingerprints within four bits, the smallest doc_id stays."""
-    kept = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(materialize(kept, "kept"), "doc_id", "left_semi").select(COLUMNS)
+    """Of each group linked by fingerprints within four bits, the smallest doc_id stays.
+
+    Rows that repeat an id are one document; rows without an id stay while any of them
+    stands for a group of its own.
+    """
+    docs = docs.select(COLUMNS)
+    kept = simhash.near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(materialize(kept, "kept"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
