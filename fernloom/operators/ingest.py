@@ -369,3 +369,42 @@ def sink_vacuum(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "compact")
     t.orders.coalesce(1).write.parquet(path)
     return t.spark.read.parquet(path).agg(F.count("*").alias("n"))
+
+
+def small_sheet(rows: list[list[str]]) -> bytes:
+    """A spreadsheet with inline strings, for readers to be tried on."""
+    import io
+    import zipfile
+
+    body = "".join(f'<row r="{i}">' + "".join(f'<c r="{chr(65 + j)}{i}" t="inlineStr"><is><t>{v}</t></is></c>' for j, v in enumerate(r)) + "</row>" for i, r in enumerate(rows, 1))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{fs.NS[1:-1]}"><sheetData>{body}</sheetData></worksheet>')
+    return out.getvalue()
+
+
+@query("scan_xlsx_rows", "SELECT 'f.xlsx' AS path, row_no::BIGINT AS row, cells FROM (VALUES (1, ['EMPLOYER', 'CITY']), (2, ['Acme', 'Bonn']), (3, ['Bolt', 'Rome'])) v(row_no, cells)")
+def scan_xlsx(t: Tables) -> DataFrame:
+    data = small_sheet([["EMPLOYER", "CITY"], ["Acme", "Bonn"], ["Bolt", "Rome"]])
+    return fs.binary_rows(t.spark.createDataFrame([("f.xlsx", bytearray(data))], "path string, content binary"), fs.xlsx_rows)
+
+
+@query("scan_dbf", "SELECT 'f.dbf' AS path, row_no::BIGINT AS row, cells FROM (VALUES (0, ['Ada', 'US']), (2, ['Cy', 'FR'])) v(row_no, cells)")
+def scan_dbf(t: Tables) -> DataFrame:
+    """A deleted record is left out."""
+    import struct
+
+    head = b"".join(n.ljust(11, b"\0") + b"C" + b"\0" * 4 + bytes([w]) + b"\0" * 15 for n, w in ((b"N", 5), (b"C", 3)))
+    data = struct.pack("<BBBBIHH", 3, 24, 1, 1, 3, 32 + len(head) + 1, 9).ljust(32, b"\0") + head + b"\r" + b" Ada  US *Bo   DE  Cy   FR "
+    return fs.binary_rows(t.spark.createDataFrame([("f.dbf", bytearray(data))], "path string, content binary"), fs.dbf_rows)
+
+
+@query("scan_docx_lines", "SELECT 'f.docx' AS path, row_no::BIGINT AS row, cells FROM (VALUES (0, ['Ada Lo']), (1, ['Engineer'])) v(row_no, cells)")
+def scan_docx(t: Tables) -> DataFrame:
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{fs.WORD[1:-1]}"><w:p><w:r><w:t>Ada</w:t></w:r><w:r><w:t> Lo</w:t></w:r></w:p><w:p><w:r><w:t>Engineer</w:t></w:r></w:p></w:document>')
+    return fs.binary_rows(t.spark.createDataFrame([("f.docx", bytearray(out.getvalue()))], "path string, content binary"), fs.docx_lines)
