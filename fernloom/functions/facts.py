@@ -120,13 +120,15 @@ def parse_pay(text: Column) -> Column:
     return F.when(usable, F.struct(low.alias("min"), high.alias("max"), currency.alias("currency"), period.alias("period")))
 
 
+#: Sentences end after two characters that are no stops, so initials do not end one.
+SENTENCE_END = r"(?<=[^.\s]{2}[.!?;])\s+|\n"
+NOT_ASKED = r"(?i)\bup to\b|years? old|\b(?:founded|history|in business)\b"
 YEARS = r"(?i)(\d{1,2})\s*(?:\+|-|–|to)?\s*(\d{1,2})?\s*\+?\s*years?\b"
 
 
 def years_required(text: Column) -> Column:
     """struct(min, max) of the required years: required sentences over preferred ones, alternatives take the least."""
-    sentences = F.split(text, r"(?<=[.!?;\n])\s*")
-    asked = F.filter(sentences, lambda s: s.rlike(YEARS) & ~s.rlike(r"(?i)\bup to\b|years? old|\b(?:founded|history|in business)\b"))
+    asked = F.filter(F.split(text, SENTENCE_END), lambda s: s.rlike(YEARS) & ~s.rlike(NOT_ASKED))
     needed = F.filter(asked, lambda s: ~s.rlike(r"(?i)\b(?:preferred|nice to have|a plus|bonus|ideally)\b"))
     lows = F.transform(needed, lambda s: F.regexp_extract(s, YEARS, 1).cast("int"))
     highs = F.transform(needed, lambda s: F.regexp_extract(s, YEARS, 2).try_cast("int"))
@@ -180,7 +182,7 @@ def statements(text: Column) -> Column:
 def employment_type(field: Column, title: Column, text: Column) -> Column:
     rules = [(r"\bintern(?:ship)?\b", "intern"), (r"\bpart[- _]?time\b", "part_time"), (r"\b(?:contract|contractor|freelance)\b", "contract"), (r"\btemporary\b", "temporary"), (r"\b(?:full[- _]?time|permanent)\b", "full_time")]
     told = lambda c: first_case([(F.lower(c).rlike(rx), F.lit(v)) for rx, v in rules])
-    return F.coalesce(told(field), told(title), told(F.regexp_extract(text, r"(?im)^\s*(?:employment|job) type\s*:\s*(.+)$", 1)))
+    return F.coalesce(told(field), told(title), told(F.regexp_extract(text, r"(?im)(?:^|[.;])[ \t]*(?:employment|job) type[ \t]*:[ \t]*(.+)$", 1)))
 
 
 STATES = {"california": "CA", "new york": "NY", "texas": "TX", "washington": "WA", "massachusetts": "MA", "illinois": "IL"}

@@ -121,11 +121,15 @@ POSTS = [
 ]
 
 
+#: What the texts above state, written down by hand.
+STATED_PLACES = "(1, 'USA', NULL, NULL, 'US'), (2, 'Berlin, Germany', 'Berlin', NULL, 'DE'), (3, 'New York, NY', 'New York', 'NY', 'US'), (3, 'Austin, TX', 'Austin', 'TX', 'US'), (4, 'London, United Kingdom', 'London', NULL, 'GB'), (6, 'Paris, France', 'Paris', NULL, 'FR')"
+
+
 def posts(t: Tables) -> DataFrame:
     return frame(t, POSTS, "id int, title string, location string, text string")
 
 
-@query("d_parse_pay")
+@query("d_parse_pay", "SELECT * FROM (VALUES (1, 120000.0::DOUBLE, 150000.0::DOUBLE, 'USD', 'year'), (2, 60000.0, 70000.0, 'EUR', 'year'), (3, 45.0, 60.0, 'USD', 'hour'), (4, NULL, NULL, NULL, NULL), (5, NULL, NULL, NULL, NULL), (6, 30000.0, 35000.0, 'GBP', 'year'), (7, NULL, NULL, NULL, NULL)) v(id, \"min\", \"max\", currency, period)")
 def parse_pay(t: Tables) -> DataFrame:
     return posts(t).select("id", x.parse_pay(F.col("text")).alias("pay")).select("id", "pay.*")
 
@@ -151,12 +155,12 @@ def format_pay(t: Tables) -> DataFrame:
     return jobs(t).where("currency IS NOT NULL").select("job_id", F.concat("currency", F.lit(" "), F.format_number("annual_min", 0), top).alias("pay"))
 
 
-@query("d_years_required")
+@query("d_years_required", "SELECT * FROM (VALUES (1, 5, NULL::INT), (2, NULL, NULL), (3, 2, NULL), (4, NULL, NULL), (5, NULL, NULL), (6, NULL, NULL), (7, NULL, NULL)) v(id, \"min\", \"max\")")
 def years_required(t: Tables) -> DataFrame:
     return posts(t).select("id", x.years_required(F.col("text")).alias("y")).select("id", "y.*")
 
 
-@query("d_level")
+@query("d_level", "SELECT * FROM (VALUES (1, 'senior'), (2, NULL), (3, 'mid'), (4, 'intern'), (5, 'director'), (6, NULL), (7, NULL)) v(id, level)")
 def level(t: Tables) -> DataFrame:
     return posts(t).select("id", x.level(F.col("title"), x.years_required(F.col("text"))["min"], F.lit(None).cast("string")).alias("level"))
 
@@ -188,7 +192,7 @@ def level_bucket(t: Tables) -> DataFrame:
     return jobs(t).select("job_id", x.level_bucket(F.col("level")).alias("bucket"))
 
 
-@query("d_work_model")
+@query("d_work_model", "SELECT * FROM (VALUES (1, 'remote'), (2, 'onsite'), (3, 'hybrid'), (4, 'onsite'), (5, NULL), (6, NULL), (7, NULL)) v(id, work_model)")
 def work_model(t: Tables) -> DataFrame:
     return posts(t).select("id", x.work_model(F.col("location"), F.col("text")).alias("work_model"))
 
@@ -200,17 +204,17 @@ def regions_of_area(t: Tables) -> DataFrame:
     return t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.element_at(table, F.col("r_name")).alias("regions"))
 
 
-@query("d_statements")
+@query("d_statements", "SELECT * FROM (VALUES (1, 'yes', NULL::BOOLEAN, NULL::BOOLEAN), (2, 'no', NULL, NULL), (3, NULL, NULL, TRUE), (4, NULL, TRUE, NULL), (5, NULL, NULL, NULL), (6, NULL, NULL, NULL), (7, NULL, NULL, NULL)) v(id, sponsorship, clearance_required, us_citizen_only)")
 def statements(t: Tables) -> DataFrame:
     return posts(t).select("id", x.statements(F.coalesce("text", F.lit(""))).alias("s")).select("id", "s.*")
 
 
-@query("d_employment_type")
+@query("d_employment_type", "SELECT * FROM (VALUES (1, NULL), (2, NULL), (3, NULL), (4, 'intern'), (5, NULL), (6, 'part_time'), (7, NULL)) v(id, employment_type)")
 def employment_type(t: Tables) -> DataFrame:
     return posts(t).select("id", x.employment_type(F.lit(""), F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))).alias("employment_type"))
 
 
-@query("d_parse_location")
+@query("d_parse_location", f"SELECT * FROM (VALUES {STATED_PLACES}) v(id, text, city, region, country)")
 def parse_location(t: Tables) -> DataFrame:
     return posts(t).select("id", F.explode(x.parse_location(F.col("location"))).alias("p")).select("id", "p.*")
 
@@ -297,7 +301,7 @@ def scan_aliases(tokens: Column, aliases: dict[str, str]) -> Column:
     return F.pandas_udf(run, "array<string>")(tokens)
 
 
-@query("d_scan_skills")
+@query("d_scan_skills", "SELECT * FROM (VALUES ('Registered Nurse II', []), ('Senior Data Engineer', ['data engineering']), ('Software Developer (C++)', ['development', 'c']), ('Junior Software Engineer', ['software']), ('Engineering Manager', []), ('Director of Data', ['data']), ('Lead Analyst, 2024 Summer', ['analysis']), ('Recruiter', [])) v(title, skills)")
 def scan_skills(t: Tables) -> DataFrame:
     aliases = {"software developer": "development", "c": "c", "data engineer": "data engineering", "data": "data", "software": "software", "analyst": "analysis"}
     return jobs(t).select("title").distinct().select("title", scan_aliases(words(F.col("title")), aliases).alias("skills"))
@@ -334,11 +338,11 @@ def h1b_tag(t: Tables) -> DataFrame:
     return jobs(t).select("job_id", F.when(no, "no").when(F.col("sponsorship") == "yes", "yes").when(F.col("company_id") % 3 == 0, "likely").otherwise("unknown").alias("tag"))
 
 
-@query("d_requirements")
+@query("d_requirements", "SELECT * FROM (VALUES (1, '5+ years of experience required.', 'years', FALSE), (1, 'Visa sponsorship is available.', 'authorization', FALSE), (2, '3-5 years preferred.', 'years', TRUE), (2, 'We cannot sponsor visas.', 'authorization', FALSE), (3, '2 years or 4 years of SQL.', 'years', FALSE), (3, 'Must be a U.S. citizen.', 'authorization', FALSE), (4, 'Security clearance required.', 'clearance', FALSE)) v(id, s, kind, preferred)")
 def requirements(t: Tables) -> DataFrame:
     """Must-haves named by sentences, with whether they are only preferred."""
-    s = F.explode(F.split("text", r"(?<=[.!?;\n])\s*")).alias("s")
-    kinds = x.first_case([(F.col("s").rlike(x.YEARS), F.lit("years")), (F.col("s").rlike(r"(?i)\b(?:bachelor|master|degree|phd)\b"), F.lit("degree")), (F.col("s").rlike(r"(?i)clearance"), F.lit("clearance")), (F.col("s").rlike(r"(?i)citizen|sponsor"), F.lit("authorization"))])
+    s = F.explode(F.split("text", x.SENTENCE_END)).alias("s")
+    kinds = x.first_case([(F.col("s").rlike(x.YEARS) & ~F.col("s").rlike(x.NOT_ASKED), F.lit("years")), (F.col("s").rlike(r"(?i)\b(?:bachelor|master|degree|phd)\b"), F.lit("degree")), (F.col("s").rlike(r"(?i)clearance"), F.lit("clearance")), (F.col("s").rlike(r"(?i)citizen|sponsor"), F.lit("authorization"))])
     return posts(t).select("id", s).select("id", "s", kinds.alias("kind"), F.col("s").rlike("(?i)preferred|a plus").alias("preferred")).where("kind IS NOT NULL")
 
 

