@@ -6,16 +6,16 @@ any plan moves.  The flow is then carried out by blocks: each old shard is a set
 blocks (equal texts share a block), and whole blocks go where the flow sends bytes.
 
 Sizes are measured per block by one aggregation, so the driver holds one row per block
-(a parameter), never one per document.  A block that outweighs ``1/heavy`` of all bytes
-or rows (a hot group of copies) is split by doc_id hash, so no block stays large.
+(a parameter), never one per document.  A heavy block is cut by a second hash of the
+text; only a group of copies of more than half a new shard is split by doc_id hash.
 
 The new shards are written as files under the shared folder (``shard=k/part-*``), each
 map task writing its own rows: texts are never shuffled.  A slot is the row's place in
 its shard's files, so numbering needs file row counts only.
 
 Defined cases: a null text counts one byte (its terminator) and has the checksum of the
-empty text; equal texts land in one shard unless their group is heavier than a block may
-be; a null doc_id is dealt like any other; extra columns are not written unless named in
+empty text; equal texts land in one shard unless their group is heavier than half a
+shard; a null doc_id is dealt like any other; extra columns are not written unless named in
 ``keep``; an empty table gives an empty result; fewer rows than shards leaves some empty.
 """
 
@@ -159,7 +159,8 @@ def plan(docs: DataFrame, old_shard: Column, shards: int, blocks: int = 512, hea
     """``docs`` (with doc_id and text) plus ``shard`` and ``old_shard``.  The driver holds one row per block.
 
     A block over ``1/heavy`` of all bytes or rows is cut in ``parts`` by a second hash of
-    the text; a part that is still too heavy is one group of copies and is cut by doc_id.
+    the text.  A part of more than half a new shard is one group of copies, which equal
+    sizes cannot keep whole; it is cut by doc_id.
     """
     spark, at = docs.sparkSession, ["__old", "__block", "__part", "__cut"]
     keyed = docs.withColumns({"__old": old_shard.cast("int"), "__block": F.pmod(F.xxhash64("text"), F.lit(blocks)).cast("int"), "__size": text_size(F.col("text"))})
@@ -169,7 +170,7 @@ def plan(docs: DataFrame, old_shard: Column, shards: int, blocks: int = 512, hea
         "__part", F.when(F.col("__k").isNotNull(), F.pmod(F.xxhash64("text", F.lit("part")), F.lit(parts)).cast("int")).otherwise(0)
     )
     inner = _sizes(keyed.where("__k IS NOT NULL"), at[:3])[0] if big else {}
-    hot = {k: 2 * max(s * heavy // max(total, 1), n * heavy // max(rows, 1)) + 2 for k, (s, n) in inner.items() if s * heavy > total or n * heavy > rows}
+    hot = {k: 2 * (s * heavy // max(total, 1)) + 2 for k, (s, _) in inner.items() if s * 2 * shards > total}
     keyed = _marked(keyed.drop("__k"), spark, [(*k, v) for k, v in hot.items()], at[:3]).withColumn(
         "__cut", F.coalesce(F.pmod(F.xxhash64(F.struct("doc_id")), F.col("__k")).cast("int"), F.lit(0))
     )

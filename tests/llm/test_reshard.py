@@ -43,6 +43,19 @@ def test_reshard_is_whole_even_and_gapless(spark):
         if r.text not in ("hot copy", ""):
             cool.setdefault(r.text, set()).add(r.shard)
     assert all(len(s) == 1 for s in cool.values())
+    assert len({r.shard for r in out if r.text == "hot copy"}) > 1  # more bytes than half a shard
+    assert len({r.shard for r in out if r.text == ""}) == 1  # many rows, few bytes
+
+
+def test_a_group_of_a_third_of_all_bytes_is_split(spark):
+    texts = [*(f"document {i} " * (1 + i % 5) for i in range(600)), *["copy of many words " * 4] * 200, *["light copy"] * 60]
+    df = documents(spark, texts)
+    stored = reshard.reshard(df.select("doc_id", "text"), F.pmod(reshard.text_crc32(F.col("text")), F.lit(6)), 8)
+    out = stored.collect()
+    assert sorted(r.doc_id for r in out) == list(range(len(texts)))
+    load = [sum(len(r.text.encode()) + 1 for r in out if r.shard == s) for s in range(8)]
+    assert max(load) - min(load) <= 0.02 * sum(load) / 8
+    assert len({r.shard for r in out if r.text.startswith("copy")}) > 1 and len({r.shard for r in out if r.text == "light copy"}) == 1
 
 
 def test_only_affected_shards_are_rewritten(spark, tmp_path):
