@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernloom.llm import decontam, langid, linededup, simhash, spm
+from fernloom.llm import decontam, langid, linededup, nearcopies, spm
 from fernloom.scratch import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -43,13 +43,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by fingerprints within four bits, the smallest doc_id stays.
+    """Of each group linked by a similarity of 0.8 or more over five-word shingles, the smallest doc_id stays.
 
     Rows that repeat an id are one document; rows without an id stay while any of them
     stands for a group of its own.
     """
     docs = docs.select(COLUMNS)
-    kept = simhash.near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = nearcopies.near_copies(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
     return docs.join(materialize(kept, "kept"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
 
 
