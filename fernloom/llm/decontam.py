@@ -3,8 +3,10 @@
 Three passes over the whole documents, none of which shuffles a text:
 
 1. document frequencies of the benchmark's words (hashed to features), summed in Spark;
-   very frequent ones are left out, the rest are a text's *terms* (a word of no item can
-   neither meet one in a product of vectors nor in a common subsequence);
+   function words, frequent in many contexts, are left out, the rest are a text's *terms*
+   (a word of no item can neither meet one in a product of vectors nor in a common
+   subsequence).  Repeats of one context (the words on both sides), as in copies of a text
+   that holds an item, do not make a word frequent, however many rows hold them;
 2. a randomised SVD of the TF-IDF passages A (non-overlapping runs of ``passage`` terms,
    unit rows): one pass forms A'A*Omega for a random Omega, where each task first adds
    ``sketch`` passages with random signs to a row; its Nystroem form gives the right
@@ -144,7 +146,7 @@ def feature_of(hashes: np.ndarray, features: int) -> np.ndarray:
 
 
 def terms_of(column: pa.Array, weights: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes and features of a column's terms (the benchmark's words of positive weight), and their number by row."""
+    """Hashes and features of a column's terms (the benchmark's words but function words), and their number by row."""
     hashes, counts = words_of(column)
     at = np.nonzero(known[hashes >> MASK_SHIFT])[0]
     ids = feature_of(hashes[at], len(weights))
@@ -161,36 +163,56 @@ def _runs(counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.cumsum(counts) - counts)[row] + nth * size, row
 
 
+#: Groups of contexts in which a feature's documents are counted.
+CONTEXT_BITS = 4
+
+
+def _contexts(column: pa.Array, features: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, feature and context group of every word of the benchmark in a column; a context is the words on both sides."""
+    hashes, counts = words_of(column)
+    at, ends = np.nonzero(known[hashes >> MASK_SHIFT])[0], np.cumsum(counts)
+    row = np.searchsorted(ends, at, "right")
+    before = np.where(at == (ends - counts)[row], np.uint64(0), hashes[at - 1])
+    after = np.where(at == ends[row] - 1, np.uint64(0), hashes[np.minimum(at + 1, len(hashes) - 1)])
+    mixed = (before * np.uint64(_MIX) ^ after) * np.uint64(_BASE)
+    return row, feature_of(hashes[at], features), (mixed >> np.uint64(64 - CONTEXT_BITS)).astype(np.int64)
+
+
+def spread_frequencies(df: np.ndarray, by_context: np.ndarray) -> np.ndarray:
+    """Document frequencies less what stands out in single context groups: copies of one text repeat one context."""
+    usual = 4 * np.maximum(np.median(by_context, axis=1, keepdims=True), 1)
+    return np.maximum(df - np.maximum(by_context - usual, 0).sum(axis=1), np.minimum(df, 1))
+
+
 def document_frequencies(docs: DataFrame, features: int, known: np.ndarray) -> tuple[int, np.ndarray]:
-    """Number of documents, and of those holding each of the benchmark's features (at most ``features`` rows)."""
-    shared, every = docs.sparkSession.sparkContext.broadcast(known), np.ones(features, np.float32)
+    """Number of documents, and of those holding each of the benchmark's features in spread contexts (at most ``features`` rows)."""
+    shared, groups = docs.sparkSession.sparkContext.broadcast(known), 1 << CONTEXT_BITS
+    names = ["n", *(f"c{i}" for i in range(groups))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n, step = np.zeros(features, np.int64), 0, 64
+        total, n = np.zeros((features, groups + 1), np.int64), 0
         for batch in batches:
-            _, ids, counts = terms_of(batch.column(0), every, shared.value)
-            ends = np.concatenate(([0], np.cumsum(counts)))
             n += batch.num_rows
-            for row in range(0, batch.num_rows, step):
-                own = counts[row : row + step]
-                seen = np.zeros((len(own), features), bool)
-                seen[np.repeat(np.arange(len(own)), own), ids[ends[row] : ends[row + len(own)]]] = True
-                total += seen.sum(axis=0)
-        held = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(held, -1).astype(np.int32)), pa.array(np.append(total[held], n))], ["feature", "n"])
-
-    rows = docs.select("text").mapInArrow(run, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
-    df, n_docs = np.zeros(features), 0
-    for r in rows:
-        if r["feature"] < 0:
-            n_docs = r["n"]
-        else:
-            df[r["feature"]] = r["n"]
-    return n_docs, df
+            for at in range(0, batch.num_rows, 1024):
+                row, ids, group = _contexts(batch.column(0).slice(at, 1024), features, shared.value)
+                held = np.unique((row * features + ids) * groups + group)
+                total[:, 1:] += np.bincount(held % (features * groups), minlength=features * groups).reshape(features, groups)
+                total[:, 0] += np.bincount(np.unique(held // groups) % features, minlength=features)
+        some = np.nonzero(total[:, 0])[0]
+        out = np.vstack([total[some], np.full((1, groups + 1), n)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1).astype(np.int32)), *(pa.array(out[:, i]) for i in range(groups + 1))], ["feature", *names])
+
+    made = docs.select("text").mapInArrow(run, "feature int, " + ", ".join(f"{c} long" for c in names))
+    rows = made.groupBy("feature").agg(*[F.sum(c).alias(c) for c in names]).toPandas()
+    n_docs = int(rows.loc[rows.feature < 0, "n"].sum())
+    rows = rows[rows.feature >= 0]
+    counted = np.zeros((features, groups + 1))
+    counted[rows.feature.to_numpy()] = rows[names].to_numpy()
+    return n_docs, spread_frequencies(counted[:, 0], counted[:, 1:])
 
 
 def idf_of(n_docs: int, df: np.ndarray, p: Params) -> np.ndarray:
-    """Inverse document frequencies; 0 marks the very frequent features."""
+    """Inverse document frequencies; 0 marks function words."""
     share = df / (n_docs + p.prior_docs)
     return np.where(share > p.stop_share, 0.0, np.log((n_docs + p.prior_docs) / (df + 1.0))).astype(np.float32)
 

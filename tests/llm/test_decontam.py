@@ -129,3 +129,32 @@ def test_item_blocks_change_nothing(spark):
     parts = dc.by_document(dc.find_contamination(documents(spark, docs), bench, block_items=7)).collect()
     assert sorted(whole) == sorted(parts)
     assert sorted(r.doc_id for r in dc.without_contaminated(documents(spark, docs), bench, block_items=7).collect()) == [d for d in range(60) if d not in planted]
+
+
+def test_edited_item_in_a_copy_group_of_a_third_of_the_rows(spark):
+    """Words of an item that a third of the rows hold still count: edited copies are found in the group and elsewhere."""
+    rng = random.Random(11)
+    items, docs, planted = corpus(seed=8, n=300)
+    words = items[3][1].split()
+    edited = [rng.choice(VOCAB) if k % 9 == 4 and k < len(words) - 4 else w for k, w in enumerate(words)]
+    hot = " ".join([prose(rng, 40), *edited, prose(rng, 40)])
+    other = [rng.choice(VOCAB) if k % 9 == 7 and k < len(words) - 4 else w for k, w in enumerate(words)]
+    apart = " ".join([prose(rng, 60), *other, prose(rng, 25)])
+    texts = [*docs, *[hot] * 160, apart]
+    want = {**planted, **dict.fromkeys(range(300, 461), 3)}
+    out = dc.by_document(dc.find_contamination(documents(spark, texts), spark.createDataFrame(items, "item_id long, text string"))).collect()
+    assert {r.doc_id: r.item_id for r in out if r.contaminated} == want
+
+
+def test_edits_within_a_hot_group_do_not_hide_its_item(spark):
+    """The same where each row of the group has edits of its own, so no two rows are equal."""
+    items, docs, planted = corpus(seed=8, n=300)
+    words, rng, hot = items[3][1].split(), random.Random(12), []
+    for _ in range(160):
+        off = rng.randrange(9)
+        hot.append(" ".join([rng.choice(VOCAB) if k % 9 == off and k < len(words) - 4 else w for k, w in enumerate(words)]))
+    texts = [*docs, *(f"{prose(rng, 40)} {t} {prose(rng, 40)}" for t in hot)]
+    out = dc.by_document(dc.find_contamination(documents(spark, texts), spark.createDataFrame(items, "item_id long, text string"))).collect()
+    got = {r.doc_id: r.item_id for r in out if r.contaminated}
+    assert {d: i for d, i in got.items() if d < 300} == planted
+    assert sum(got.get(d) == 3 for d in range(300, 460)) >= 150  # the latent search is approximate: 156 when written
