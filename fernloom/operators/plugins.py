@@ -70,9 +70,12 @@ def embed(column: Column, dims: int = 64) -> Column:
             for s in texts:
                 v = np.zeros(dims, np.float32)
                 for w in (s or "").lower().split():
-                    if w not in places and len(places) < 100_000:
-                        places[w] = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=4).digest(), "big") % dims
-                    v[places.get(w, 0)] += 1
+                    place = places.get(w)
+                    if place is None:
+                        place = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=4).digest(), "big") % dims
+                        if len(places) < 100_000:  # a full cache only costs time
+                            places[w] = place
+                    v[place] += 1
                 out.append(v / max(float(np.linalg.norm(v)), 1e-9))
             yield pd.Series(out)
 
