@@ -9,17 +9,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder's path; sets one of our own only where none is named."""
+    """The shared folder's path; sets one of our own only where none is named and all runs on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     chosen = spark.sparkContext._jsc.sc().getCheckpointDir()
     if chosen.isEmpty():
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fernloom-"))
         chosen = spark.sparkContext._jsc.sc().getCheckpointDir()
     return chosen.get().rstrip("/")
@@ -30,10 +34,34 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/fernloom/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here."""
+#: Paths written inside each open ``temporary`` block, the innermost last.
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables materialised inside go when the block ends, save those made with ``keep``."""
+    paths: list[str] = []
+    _OPEN.append(paths)
+    try:
+        yield
+    finally:
+        _OPEN[:] = [x for x in _OPEN if x is not paths]
+        for path in paths:
+            remove(spark, path)
+
+
+def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None, keep: bool = False, **options: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends here.
+
+    Inside a ``temporary`` block the table goes with the block; ``keep`` leaves it to the caller.
+    """
     path = scratch_path(df.sparkSession, label)
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+    if _OPEN and not keep:
+        _OPEN[-1].append(path)
+    writer = df.write.options(**options)
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
