@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernloom.llm import decontam, langid, linededup, nearcopies, spm
-from fernloom.scratch import materialize
+from fernloom.scratch import materialize, temporary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document whose best language has less of the posterior than this is rejected.
@@ -45,12 +45,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by a similarity of 0.8 or more over five-word shingles, the smallest doc_id stays.
 
+    Fingerprints propose pairs by their grid, bands of minima the others; the shingle sets decide.
+
     Rows that repeat an id are one document; rows without an id stay while any of them
     stands for a group of its own.
     """
     docs = docs.select(COLUMNS)
-    kept = nearcopies.near_copies(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(materialize(kept, "kept"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    with temporary(spark):
+        kept = nearcopies.near_copies(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+        kept = materialize(kept, "kept", keep=True)
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,3 +29,28 @@ def bounded_slices(batch: pa.RecordBatch, column: int, most_bytes: int) -> Itera
         stop = max(row + 1, int(np.searchsorted(ends, before + most_bytes, "right")))
         yield batch.slice(row, stop - row)
         row = stop
+
+
+def groups(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[pa.RecordBatch]:
+    """The runs of rows that are equal in the first ``by`` (long or int) columns, one batch each; rows arrive sorted by them."""
+    open_run: list[pa.RecordBatch] = []
+
+    def keys(batch: pa.RecordBatch, row: int) -> tuple:
+        return tuple(batch.column(c)[row].as_py() for c in range(by))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(by)]
+        cuts = np.nonzero(np.any([np.diff(c) != 0 for c in columns], axis=0))[0] + 1
+        edges = [0, *cuts.tolist(), batch.num_rows]
+        if open_run and keys(open_run[-1], 0) != keys(batch, 0):
+            yield pa.concat_batches(open_run)
+            open_run = []
+        for a, b in zip(edges, edges[1:], strict=False):
+            if a:
+                yield pa.concat_batches(open_run)
+                open_run = []
+            open_run.append(batch.slice(a, b - a))
+    if open_run:
+        yield pa.concat_batches(open_run)

@@ -62,20 +62,35 @@ def test_stage_keeps_one_of_each_group(spark, sf):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(brute_roots(texts)[0].values()))
 
 
-def test_shared_tokens_across_batches():
+def test_cells_in_chunks_that_meet_pairwise(spark, monkeypatch):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(120)]
+    texts = {i: edited(rng, words, rng.randint(1, 8)) for i in range(60)}
+    want = brute_roots(texts)[0]
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    seen = []
+    real = nc.materialize
+    monkeypatch.setattr(nc, "materialize", lambda df, label, *a, **k: seen.append((label, out := real(df, label, *a, **k))) or out)
+    for chunk in (1 << 20, 2_000):
+        monkeypatch.setattr(nc, "CHUNK", chunk)
+        seen.clear()
+        assert {r.doc_id: r.component_id for r in nc.near_copies(docs).collect()} == want
+    assert dict(seen)["flagged"].where("part > 0").count() > 0
+
+
+def test_groups_across_batches():
     import pyarrow as pa
 
+    from fernloom.llm.batches import groups
+
     rng = random.Random(1)
-    rows = sorted((rng.randint(0, 60), rng.randint(0, 5), 1) for _ in range(120))
-    nodes = {}
-    for t, n, _ in rows:
-        nodes.setdefault(t, set()).add(n)
-    want = [(t, n) for t in sorted(nodes) for n in sorted(nodes[t]) if len(nodes[t]) > 1]
+    rows = sorted((rng.randint(0, 9), rng.randint(0, 3), i) for i in range(120))
     for size in (1, 2, 3, 7, 500):
         cut = [rows[i : i + size] for i in range(0, len(rows), size)]
-        batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in part]) for i in range(3)], ["token", "node", "n"]) for part in cut]
-        got = [(t, n) for b in nc._shared(iter(batches)) for t, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-        assert got == want
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in part]) for i in range(3)], ["a", "b", "c"]) for part in cut]
+        got = [[tuple(r.values()) for r in g.to_pylist()] for g in groups(iter(batches), 2)]
+        assert [r for g in got for r in g] == rows
+        assert len(got) == len({r[:2] for r in rows}) and all(len({r[:2] for r in g}) == 1 for g in got)
 
 
 def test_null_ids_repeats_and_empty(spark):
