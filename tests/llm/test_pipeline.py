@@ -1,6 +1,6 @@
 import corpus_pipeline as cp
 from fernloom.llm import queries
-from tests.llm.test_simhash import brute_components, brute_fingerprint
+from tests.llm.test_nearcopies import brute_roots
 
 
 def test_stages_on_small_tables(spark, sf):
@@ -12,8 +12,7 @@ def test_stages_on_small_tables(spark, sf):
     assert all(steps[n].columns == cp.COLUMNS for n, _ in cp.STAGES[:-1])
     lines = {r.doc_id: r.text for r in steps["line_dedup"].collect()}
     assert all(len(t) == n for t, n in ((r.text, r.n_chars) for r in steps["line_dedup"].collect()))
-    roots = brute_components({i: brute_fingerprint(t) for i, t in lines.items()})
-    assert {r.doc_id for r in steps["simhash_near_dedup"].collect()} == set(roots.values())
+    assert {r.doc_id for r in steps["simhash_near_dedup"].collect()} == set(brute_roots(lines)[0].values())
     last = steps["sentencepiece_encoding"].collect()
     assert {r.doc_id for r in last} == {r.doc_id for r in steps["benchmark_decontamination"].collect()}
     assert all(r.parity and r.n_tokens == len(r.ids) for r in last)
