@@ -7,9 +7,10 @@ scores as they are; a BPE model (the one installed here) takes them as merge pri
 Text is cut before each run of markers whenever no piece holds a marker after another
 character: no merge can cross such a cut, and each worker keeps a bounded cache of chunks.
 
-New chunks are encoded in batches by the library's own threads.  Parity is verified, not
-assumed: each of them is also encoded by the SentencePiece library; where the ids differ,
-SentencePiece's are taken and the rows say so in ``parity``.
+New chunks are encoded in batches by the library's own threads; its ids are the result.
+Parity is verified, not assumed: each of them is also encoded by the SentencePiece library
+and decoded by the rebuilt decoder.  Where ids or texts differ, the rows say so in ``parity``;
+the ids stay.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text; very long
 texts are encoded whole; repeated rows and doc_ids are rows of their own; extra columns
@@ -177,10 +178,12 @@ class Codec:
         self.differ: set[str] = set()
 
     def _both(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
-        """Ids of whole texts as int32 bytes; where the libraries differ, SentencePiece's count."""
+        """Ids of whole texts as int32 bytes, and whether SentencePiece has the same ids and decoding."""
         ours = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         theirs = self.peer.encode(texts, num_threads=self.threads)
-        return [np.array(b, "<i4").tobytes() for b in theirs], [a == b for a, b in zip(ours, theirs, strict=True)]
+        decoded = self.tokenizer.decode_batch(ours, skip_special_tokens=False)
+        ids = [np.array(a, "<i4").tobytes() for a in ours]
+        return ids, [a == b and self.decode(i) == d for a, b, i, d in zip(ours, theirs, ids, decoded, strict=True)]
 
     def _words(self, keys: list[str], at_once: int = 512) -> tuple[list[bytes], list[bool]]:
         """Ids of keys without spaces.  Many are encoded as one text: only a chunk's first piece begins with the marker."""
@@ -189,10 +192,11 @@ class Codec:
         ours = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
         theirs = self.peer.encode(joined, num_threads=self.threads)
         ids, same = [], []
-        for group, a, b in zip(groups, ours, theirs, strict=True):
-            found = np.array(b, "<i4")
+        decoded = self.tokenizer.decode_batch([a.ids for a in ours], skip_special_tokens=False)
+        for group, text, a, b, back in zip(groups, joined, ours, theirs, decoded, strict=True):
+            found = np.array(a.ids, "<i4")
             first = np.nonzero(self.starts[found])[0]
-            if a.ids == b and len(first) == len(group):
+            if a.ids == b and back == text and len(first) == len(group):
                 raw, ends = found.tobytes(), [*(first * 4).tolist(), len(found) * 4]
                 ids += [raw[i:j] for i, j in zip(ends, ends[1:], strict=False)]
                 same += [True] * len(group)
@@ -203,10 +207,10 @@ class Codec:
         return ids, same
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
-        """Ids of each text as int32 bytes, and whether both libraries agreed on them.
+        """The tokenizers library's ids of each text as int32 bytes, and whether SentencePiece agreed on them.
 
         With independent chunks every distinct chunk is encoded by both libraries once,
-        in multithreaded batches, and texts are put together from verified chunks.
+        in multithreaded batches, and texts are put together from the chunks.
         """
         if not self.chunked:
             return self._both(texts)

@@ -50,7 +50,7 @@ def test_batches_small_cache_and_whole_texts_agree(codec):
         assert all(s for _, same in got for s in same)
 
 
-def test_difference_is_reported_and_sentencepiece_wins(codec):
+def test_difference_is_reported_and_the_tokenizers_ids_stay(codec):
     other = spm.Codec(DATA, 1)
 
     class Wrong:
@@ -61,8 +61,28 @@ def test_difference_is_reported_and_sentencepiece_wins(codec):
         def encode_batch_fast(texts, **_):
             return [Wrong() for _ in texts]
 
+        @staticmethod
+        def decode_batch(ids, **_):
+            return ["hello"] * len(ids)
+
     other.tokenizer = Liar()
     (ids,), (same,) = other.encode(["hello world"])
+    assert np.frombuffer(ids, "<i4").tolist() == [1, 1] and not same
+
+
+def test_a_decoder_that_differs_clears_parity():
+    other = spm.Codec(DATA, 1)
+    real = other.tokenizer
+
+    class Deaf:
+        encode_batch_fast = real.encode_batch_fast
+
+        @staticmethod
+        def decode_batch(ids, **_):
+            return ["" for _ in ids]
+
+    other.tokenizer = Deaf()
+    (ids,), (same,) = other.encode(["hello world"])
     assert np.frombuffer(ids, "<i4").tolist() == PEER.encode("hello world") and not same
 
 
@@ -89,6 +109,15 @@ def test_unigram_model_with_scores():
     tok, peer = spm.build(model), sentencepiece.SentencePieceProcessor(model_proto=data)
     for text in ("ab abc c", "a b", "abcab"):
         assert tok.encode(text, add_special_tokens=False).ids == peer.encode(text)
+    # byte fallback: characters without a piece become their bytes, and come back
+    bytes_ = [(f"<0x{b:02X}>", 0.0, spm.BYTE) for b in range(256)]
+    data = b"".join(field(1, 2, field(1, 2, t.encode()) + field(2, 5, s) + field(3, 0, k)) for t, s, k in [*pieces, *bytes_])
+    data += field(2, 2, field(3, 0, spm.UNIGRAM) + field(35, 0, 1)) + field(3, 2, field(1, 2, b"identity") + field(3, 0, 1) + field(4, 0, 0) + field(5, 0, 1))
+    small, peer = spm.Codec(data, 1), sentencepiece.SentencePieceProcessor(model_proto=data)
+    assert small.model.byte_fallback
+    for text in ("ab abc c", "é", "a漢b 🤖", "xyz  c"):
+        (ids,), (same,) = small.encode([text])
+        assert np.frombuffer(ids, "<i4").tolist() == peer.encode(text) and same and small.decode(ids) == peer.decode(peer.encode(text))
 
 
 def test_frames(spark):
