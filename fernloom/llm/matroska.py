@@ -3,11 +3,18 @@
 ``mux`` stores a payload losslessly as 8-bit PCM: EBML header, Segment with Info and
 Tracks, Clusters of laced SimpleBlocks (576 samples a frame), Cues.  ``demux`` parses any
 file of that kind: variable-length ids and sizes, unknown sizes, Xiph, EBML and fixed
-lacing, BlockGroups, and returns packets with track, timestamp and byte range.
+lacing, BlockGroups with references, and returns packets with track, timestamp and byte
+range.  Laced frames follow each other by the track's default duration, else by the
+duration of their PCM samples, else they share their block's timestamp.
+
+``packets`` reads a stored media column once: every file's packet list, its digests and
+sums; ``packet_table`` has a row per packet, and features are worked out from the lists.
 
 Defined cases: a null or empty text is one frame of padding; equal texts give equal
 files; very long texts only add clusters; a damaged file raises ``ValueError`` in
-``demux``; extra columns are ignored; an empty table gives an empty result.
+``demux`` and gives a row with ``error`` set and the rest null in ``packets`` (no packet in
+the table, null features); a null file is a damaged one; extra columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,10 +28,12 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fernloom.llm.batches import small_batches
+from fernloom.scratch import materialize
 
 # Fixed values of the public Matroska specification: element ids.
 EBML, DOC_TYPE, DOC_VERSION, DOC_READ_VERSION = 0x1A45DFA3, 0x4282, 0x4287, 0x4285
@@ -32,7 +41,8 @@ SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F4
 TIMESTAMP_SCALE, DURATION, MUXING_APP, WRITING_APP = 0x2AD7B1, 0x4489, 0x4D80, 0x5741
 TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, FLAG_LACING, CODEC_ID = 0xAE, 0xD7, 0x73C5, 0x83, 0x9C, 0x86
 AUDIO, SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
-CLUSTER_TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0xE7, 0xA3, 0xA0, 0xA1
+DEFAULT_DURATION = 0x23E383
+CLUSTER_TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, REFERENCE_BLOCK = 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
 CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 MASTERS = {SEGMENT, INFO, TRACKS, TRACK_ENTRY, AUDIO, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_POSITIONS}
 NO_LACING, XIPH_LACING, FIXED_LACING, EBML_LACING = 0x00, 0x02, 0x04, 0x06
@@ -126,10 +136,24 @@ class Packet(NamedTuple):
     size: int
 
 
+class Track(NamedTuple):
+    codec: str
+    rate: float
+    channels: int
+    bits: int
+    frame_ms: float | None  # the default duration
+
+    def duration_ms(self, size: int) -> float:
+        """Of a packet: the default duration, else that of its PCM samples, else unknown and 0."""
+        if self.frame_ms is not None:
+            return self.frame_ms
+        bytes_a_second = self.rate * self.channels * self.bits / 8
+        return size * 1000 / bytes_a_second if self.codec.startswith("A_PCM") and bytes_a_second else 0.0
+
+
 class Media(NamedTuple):
     packets: list[Packet]
-    codecs: dict[int, str]
-    durations_ms: dict[int, float]
+    tracks: dict[int, Track]
     clusters: int
     blocks: int
     cues: list[tuple[float, int, int]]
@@ -183,24 +207,61 @@ def _frames(data: bytes, at: int, end: int, kind: int) -> list[tuple[int, int]]:
     return out
 
 
+def _uint_of(body: bytes) -> int:
+    return int.from_bytes(body, "big")
+
+
+def _float_of(body: bytes) -> float:
+    if len(body) not in (0, 4, 8):
+        raise ValueError(f"float of {len(body)} bytes")
+    return struct.unpack(">d" if len(body) == 8 else ">f", body)[0] if body else 0.0
+
+
+#: Elements of a track entry that are kept, how their bodies are read and what holds without them.
+TRACK_FIELDS = {
+    TRACK_NUMBER: (_uint_of, 0),
+    CODEC_ID: (bytes.decode, ""),
+    SAMPLING_FREQUENCY: (_float_of, 8000.0),
+    CHANNELS: (_uint_of, 1),
+    BIT_DEPTH: (_uint_of, 0),
+    DEFAULT_DURATION: (_uint_of, None),
+}
+
+
 def demux(data: bytes) -> Media:
-    """Packets, tracks and cues of a Matroska file."""
-    codecs: dict[int, str] = {}
-    packets, cues, blocks, clusters = [], [], 0, 0
-    scale, ticks, cluster_time, base, track = 1_000_000, 0.0, 0, 0, 0
-    cue = [0, 0, 0]
+    """Packets, tracks and cues of a Matroska file; ``ValueError`` if it is damaged."""
+    try:
+        return _demux(data)
+    except (IndexError, OverflowError, struct.error, UnicodeDecodeError) as broken:
+        raise ValueError(f"damaged file: {broken}") from broken
+
+
+def _demux(data: bytes) -> Media:
+    entries: list[dict] = []
+    cues, blocks, clusters = [], 0, 0
+    scale, ticks, cluster_time, base = 1_000_000, 0.0, 0, 0
+    cue = [0, 0]
+    raw: list[list] = []  # track, ticks, place in its lace, keyframe, offset, size
+    group: list[list] = []
     number, at = read_vint(data, 0, True)
     if number != EBML:
         raise ValueError("no EBML header")
     size, at = read_vint(data, at)
+    if size is None:
+        raise ValueError("EBML header of unknown size")
     at += size
-    raw: list[tuple[int, int, bool, int, int]] = []
     while at < len(data):  # masters are entered, so the walk is flat and unknown sizes need no stack
         number, at = read_vint(data, at, True)
         size, at = read_vint(data, at)
         if number in MASTERS:
+            if size is not None and at + size > len(data):
+                raise ValueError(f"element {number:#x} runs past the end")
             if number == SEGMENT:
                 base = at
+            elif number == TRACK_ENTRY:
+                entries.append({})
+            elif number == BLOCK_GROUP:
+                group = []
             clusters += number == CLUSTER
             continue
         if size is None or at + size > len(data):
@@ -208,33 +269,41 @@ def demux(data: bytes) -> Media:
         end = at + size
         if number in (SIMPLE_BLOCK, BLOCK):
             own, body = read_vint(data, at)
+            if body + 3 > end:
+                raise ValueError("block without a header")
             delta, flags = struct.unpack_from(">hB", data, body)
             blocks += 1
-            for k, (start, length) in enumerate(_frames(data, body + 3, end, flags & 0x06)):
-                raw.append((own, (cluster_time + delta, k), number == BLOCK or bool(flags & 0x80), start, length))
-        elif number in (TIMESTAMP_SCALE, CLUSTER_TIMESTAMP, TRACK_NUMBER, CUE_TIME, CUE_TRACK, CUE_CLUSTER):
-            value = int.from_bytes(data[at:end], "big")
-            if number == TIMESTAMP_SCALE:
-                scale = value
-            elif number == CLUSTER_TIMESTAMP:
-                cluster_time = value
-            elif number == TRACK_NUMBER:
-                track = value
-            elif number == CUE_TIME:
-                cue[0] = value
-            elif number == CUE_TRACK:
-                cue[1] = value
-            else:
-                cues.append((cue[0] * scale / 1e6, cue[1], base + value))
-        elif number == CODEC_ID:
-            codecs[track] = data[at:end].decode()
+            found = [[own, cluster_time + delta, k, number == BLOCK or bool(flags & 0x80), start, length] for k, (start, length) in enumerate(_frames(data, body + 3, end, flags & 0x06))]
+            raw += found
+            group = found if number == BLOCK else group
+        elif number == REFERENCE_BLOCK:  # what refers to another block is no keyframe, wherever it stands in its group
+            for packet in group:
+                packet[3] = False
+        elif number in TRACK_FIELDS and entries:
+            entries[-1][number] = TRACK_FIELDS[number][0](data[at:end])
+        elif number == TIMESTAMP_SCALE:
+            scale = _uint_of(data[at:end])
+        elif number == CLUSTER_TIMESTAMP:
+            cluster_time = _uint_of(data[at:end])
+        elif number == CUE_TIME:
+            cue[0] = _uint_of(data[at:end])
+        elif number == CUE_TRACK:
+            cue[1] = _uint_of(data[at:end])
+        elif number == CUE_CLUSTER:
+            cues.append((cue[0] * scale / 1e6, cue[1], base + _uint_of(data[at:end])))
         elif number == DURATION:
-            ticks = struct.unpack(">d" if size == 8 else ">f", data[at:end])[0]
+            ticks = _float_of(data[at:end])
         at = end
-    for own, (tick, k), key, start, length in raw:
-        packets.append(Packet(own, tick * scale / 1e6 + k * (length * 1000 / RATE), key, start, length))  # laced frames follow each other
-    spans = {t: sum(p.size for p in packets if p.track == t) * 1000 / RATE for t in codecs}
-    return Media(packets, codecs, spans, clusters, blocks, cues, ticks * scale / 1e6)
+    tracks = {}
+    for entry in entries:
+        n, codec, rate, channels, bits, ns = (entry.get(f, default) for f, (_, default) in TRACK_FIELDS.items())
+        tracks[n] = Track(codec, rate, channels, bits, None if ns is None else ns / 1e6)
+    packets, before = [], 0.0
+    for own, tick, k, key, start, length in raw:
+        before = before if k else 0.0  # of the frames before it in its lace
+        packets.append(Packet(own, tick * scale / 1e6 + before, key, start, length))
+        before += tracks[own].duration_ms(length) if own in tracks else 0.0
+    return Media(packets, tracks, clusters, blocks, cues, ticks * scale / 1e6)
 
 
 def padded(text: str | None) -> tuple[int, bytes]:
@@ -253,53 +322,66 @@ def _mux_column(column: pd.Series) -> pd.Series:
     return pd.Series([mux(padded(t)[1]) for t in column], dtype=object)
 
 
-def packet_table(media: DataFrame) -> DataFrame:
-    """One row per packet: ``(doc_id, seq, track, timestamp_ms, keyframe, offset, size)``."""
-    own = media.select("doc_id", "media")
-    schema = f"doc_id {own.schema['doc_id'].dataType.simpleString()}, seq long, track long, timestamp_ms double, keyframe boolean, offset long, size long"
+PACKETS = (
+    "packets array<struct<track:bigint,timestamp_ms:double,keyframe:boolean,offset:bigint,size:bigint>>, codecs map<bigint,string>, clusters long, blocks long, n_cues long, duration_ms double, "
+    "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, sum long, sum_squares long, error string"
+)
+_PACKET = pa.list_(pa.struct([("track", pa.int64()), ("timestamp_ms", pa.float64()), ("keyframe", pa.bool_()), ("offset", pa.int64()), ("size", pa.int64())]))
+_KINDS = [_PACKET, pa.map_(pa.int64(), pa.string()), *[pa.int64()] * 3, pa.float64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+
+
+def read_file(data: bytes | None) -> tuple:
+    """The columns of ``PACKETS`` for one stored file; the payload is what the packets' byte ranges hold."""
+    try:
+        if data is None:
+            raise ValueError("no file")
+        media = demux(data)
+    except ValueError as broken:
+        return (None,) * (len(_KINDS) - 1) + (str(broken),)
+    payload = b"".join(data[p.offset : p.offset + p.size] for p in media.packets)
+    samples = np.frombuffer(payload, np.uint8)
+    squares = int((samples.astype(np.int64) ** 2).sum())
+    return (
+        [p._asdict() for p in media.packets], [(n, t.codec) for n, t in media.tracks.items()], media.clusters, media.blocks, len(media.cues), media.duration_ms,
+        len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), int(samples.sum(dtype=np.int64)), squares, None,
+    )
+
+
+def packets(media: DataFrame, media_col: str = "media") -> DataFrame:
+    """``media`` without its bytes, plus the columns of ``PACKETS``; columns of these names are replaced."""
+    names = [x.name for x in T.StructType.fromDDL(PACKETS)]
+    taken = {n.lower() for n in names}
+    own = [c for c in media.columns if c != media_col and c.lower() not in taken]
+    schema = T.StructType([*media.select(*own).schema.fields, *T.StructType.fromDDL(PACKETS).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, rows = [], []
-            for i, data in enumerate(batch.column(1)):
-                found = demux(data.as_py()).packets
-                at += [i] * len(found)
-                rows += [(k, *p) for k, p in enumerate(found)]
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))],
-                ["doc_id", "seq", "track", "timestamp_ms", "keyframe", "offset", "size"],
-            )
-
-    return own.mapInArrow(run, schema)
-
-
-def features(data: bytes) -> tuple:
-    """Digests and features of a stored file, all from its packets' byte ranges."""
-    media = demux(data)
-    payload = b"".join(data[p.offset : p.offset + p.size] for p in media.packets)
-    samples = np.frombuffer(payload, np.uint8)
-    total, power = int(samples.sum(dtype=np.int64)), int((samples.astype(np.int64) ** 2).sum())
-    last = media.packets[-1]
-    feature = (
-        f"codec={media.codecs[last.track]};clusters={media.clusters};blocks={media.blocks};packets={len(media.packets)};cues={len(media.cues)};"
-        f"duration_ms={media.duration_ms:.0f};last_ms={last.timestamp_ms:.0f};mean={total / len(samples):.4f};rms={(power / len(samples)) ** 0.5:.4f}"
-    )
-    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature
+            rows = [read_file(m.as_py()) for m in batch.column(len(own))]
+            columns = list(zip(*rows, strict=True)) or [()] * len(_KINDS)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(list(c), k) for c, k in zip(columns, _KINDS, strict=True))], [*own, *names])
+
+    return small_batches(media).select(*own, media_col).mapInArrow(run, schema)
 
 
-def _features_column(column: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([features(m) for m in column], columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+def packet_table(media: DataFrame) -> DataFrame:
+    """One row per packet: ``(doc_id, seq, track, timestamp_ms, keyframe, offset, size)``."""
+    return packets(media).select("doc_id", F.posexplode("packets").alias("seq", "p")).select("doc_id", F.col("seq").cast("long").alias("seq"), "p.*")
 
 
-def read_back(media: DataFrame) -> DataFrame:
-    """``media`` without its bytes, plus struct ``f`` of digests and features."""
-    kind = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.withColumn("f", F.pandas_udf(_features_column, kind)("media")).drop("media")
+def feature() -> Column:
+    """A file's feature string from the columns of ``packets``."""
+    last = F.element_at("packets", -1)
+    mean = F.col("sum") / F.col("payload_bytes")
+    rms = F.sqrt(F.col("sum_squares") / F.col("payload_bytes"))
+    keys = F.size(F.filter("packets", lambda p: p["keyframe"]))
+    text = "codec=%s;clusters=%d;blocks=%d;packets=%d;keyframes=%d;cues=%d;duration_ms=%.0f;last_ms=%.0f;mean=%.4f;rms=%.4f"
+    made = F.format_string(text, F.element_at("codecs", last["track"]), "clusters", "blocks", F.size("packets"), keys, "n_cues", "duration_ms", last["timestamp_ms"], mean, rms)
+    return F.when(F.col("error").isNull() & (F.size("packets") > 0), made)
 
 
 def op4_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contract query over all of ``documents``."""
+    """Contract query over all of ``documents``: files are stored in the shared folder and read back from there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return read_back(store(docs)).select("doc_id", "n_bytes", "f.*")
+    stored = materialize(store(docs), "media", keep=True, compression="zstd")
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
+    return packets(stored).select(*names, feature().alias("feature"))
