@@ -5,23 +5,27 @@ that stay and 1 for bytes that move is solved exactly; its optimum is the fewest
 any plan moves.  The flow is then carried out by blocks: each old shard is a set of hash
 blocks (equal texts share a block), and whole blocks go where the flow sends bytes.
 
+A stored shard's files lie by part, a range of its blocks (``shard=k/part=p``).  Of each old
+shard only the parts that give the flow's bytes are affected: only their blocks may move and
+only their files are read and written anew; all other files stay and serve the new shards.
+
 Sizes are measured per block by one aggregation, so the driver holds one row per block
 (a parameter), never one per document.  A heavy block is cut by a second hash of the
 text; only a group of copies of more than half a new shard is split by doc_id hash.
 
-The new shards are written as files under the shared folder (``shard=k/part-*``), each
-map task writing its own rows: texts are never shuffled.  A slot is the row's place in
+Map tasks write their own rows: texts are never shuffled.  A slot is the row's place in
 its shard's files, so numbering needs file row counts only.
 
 Defined cases: a null text counts one byte (its terminator) and has the checksum of the
 empty text; equal texts land in one shard unless their group is heavier than half a
-shard; a null doc_id is dealt like any other; extra columns are not written unless named in
-``keep``; an empty table gives an empty result; fewer rows than shards leaves some empty.
+shard; a null doc_id is dealt like any other; columns besides id and text are not written;
+an empty table gives an empty result; fewer rows than shards leaves some empty.
 """
 
 from __future__ import annotations
 
 from bisect import insort
+from dataclasses import dataclass
 from heapq import heappop, heappush
 
 import numpy as np
@@ -129,9 +133,39 @@ def place_blocks(blocks: list[tuple], capacity: list[int], cost: list[list[int]]
                 insort(inside[shard], into)
                 where[into[1]] = shard
             load[shard] += into[0] - out[0]
+    send_home(inside, load, capacity, where)
     return where
 
 
+def send_home(inside: list[list[tuple]], load: list[int], capacity: list[int], where: dict[tuple, int]) -> None:
+    """Exchange blocks that levelling moved for others of like size, or nothing, where no gap grows beyond the largest there is."""
+    shards = range(len(load))
+    worst = max((abs(x - c) for x, c in zip(load, capacity, strict=True)), default=0)
+    changed = True
+    while changed:  # every exchange lowers the moved bytes, so this ends
+        changed = False
+        for j in shards:
+            for a in sorted((x for x in inside[j] if x[1][0] != j and x[1][0] in shards), reverse=True):
+                h = a[1][0]
+                others = [x for x in inside[h] if x[1][0] != h]
+                fits = []
+                for b in [(0, None), *others]:
+                    d = a[0] - b[0]
+                    if abs(load[j] - d - capacity[j]) <= worst and abs(load[h] + d - capacity[h]) <= worst:
+                        fits.append((-b[0] if b[1] and b[1][0] == j else 0, abs(d), str(b[1]), b))
+                if not fits:
+                    continue
+                b = min(fits)[3]
+                for shard, out, into in ((j, a, b), (h, b, a)):
+                    if out[1] is not None:
+                        inside[shard].remove(out)
+                    if into[1] is not None:
+                        insort(inside[shard], into)
+                        where[into[1]] = shard
+                    load[shard] += into[0] - out[0]
+                changed = True
+
+
 def best_swap(high: list[tuple], low: list[tuple], gap: int) -> tuple[float, int, int] | None:
     """(miss, place, place) of the blocks (sorted by size) whose exchange best halves a gap; None if none narrows it."""
     if not high or not low:
@@ -155,76 +189,144 @@ def text_crc32(text: Column) -> Column:
     return F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))
 
 
-def plan(docs: DataFrame, old_shard: Column, shards: int, blocks: int = 512, heavy: int = 128, parts: int = 256) -> DataFrame:
-    """``docs`` (with doc_id and text) plus ``shard`` and ``old_shard``.  The driver holds one row per block.
+#: Blocks and parts of a stored shard, the share (one in ``HEAVY``) beyond which a block is cut, and its cuts.
+BLOCKS, PARTS, HEAVY, CUTS = 512, 4, 128, 256
+
+
+def store(docs: DataFrame, shard: Column, path: str) -> DataFrame:
+    """Write ``(doc_id, text)`` as shards: files by shard and part, with each row's size and block."""
+    rows = docs.select("doc_id", "text", text_size(F.col("text")).alias("size"), F.pmod(F.xxhash64("text"), F.lit(BLOCKS)).cast("int").alias("block"), shard.cast("int").alias("shard"))
+    rows.withColumn("part", F.floor(F.col("block") * PARTS / BLOCKS).cast("int")).write.partitionBy("shard", "part").parquet(path)
+    return docs.sparkSession.read.schema(f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, size long, block int, shard int, part int").parquet(path)
+
+
+@dataclass
+class Plan:
+    """Which parts of the stored shards are affected, and the new shard of every block in them."""
+
+    affected: list[tuple[int, int]]
+    where: dict[tuple, int]
+    heavy: list[tuple]
+    hot: dict[tuple, int]
+    moved_bytes: int
+    fewest_bytes: int
+
 
-    A block over ``1/heavy`` of all bytes or rows is cut in ``parts`` by a second hash of
-    the text.  A part of more than half a new shard is one group of copies, which equal
+AT = ["shard", "block", "sub", "cut"]
+
+
+def _parts_for(sizes: dict[int, int], need: int) -> list[int]:
+    """Parts of at least ``need`` bytes together: the largest until one more suffices, then the smallest that does."""
+    chosen, have = [], 0
+    left = sorted(sizes, key=lambda p: (-sizes[p], p))
+    while have < need:
+        enough = [p for p in left if have + sizes[p] >= need]
+        chosen.append(enough[-1] if enough else left[0])
+        left.remove(chosen[-1])
+        have += sizes[chosen[-1]]
+    return chosen
+
+
+def plan(stored: DataFrame, shards: int) -> Plan:
+    """Transfers of whole blocks that make ``shards`` shards of equal bytes.  The driver holds one row per block.
+
+    A block over ``1/HEAVY`` of all bytes or rows is cut in ``CUTS`` by a second hash of
+    the text.  A cut of more than half a new shard is one group of copies, which equal
     sizes cannot keep whole; it is cut by doc_id.
     """
-    spark, at = docs.sparkSession, ["__old", "__block", "__part", "__cut"]
-    keyed = docs.withColumns({"__old": old_shard.cast("int"), "__block": F.pmod(F.xxhash64("text"), F.lit(blocks)).cast("int"), "__size": text_size(F.col("text"))})
-    sizes, total, rows = _sizes(keyed, at[:2])
-    big = {k for k, (s, n) in sizes.items() if s * heavy > total or n * heavy > rows}
-    keyed = _marked(keyed, spark, [(*k, 1) for k in big], at[:2]).withColumn(
-        "__part", F.when(F.col("__k").isNotNull(), F.pmod(F.xxhash64("text", F.lit("part")), F.lit(parts)).cast("int")).otherwise(0)
-    )
-    inner = _sizes(keyed.where("__k IS NOT NULL"), at[:3])[0] if big else {}
-    hot = {k: 2 * (s * heavy // max(total, 1)) + 2 for k, (s, _) in inner.items() if s * 2 * shards > total}
-    keyed = _marked(keyed.drop("__k"), spark, [(*k, v) for k, v in hot.items()], at[:3]).withColumn(
-        "__cut", F.coalesce(F.pmod(F.xxhash64(F.struct("doc_id")), F.col("__k")).cast("int"), F.lit(0))
-    )
-    last = _sizes(keyed.where("__k IS NOT NULL"), at)[0] if hot else {}
-    whole = {(*k, 0, 0): v for k, v in sizes.items() if k not in big} | {(*k, 0): v for k, v in inner.items() if k not in hot} | last
-    where = place_blocks([(*k, s) for k, (s, _) in whole.items()], even_capacity(total, shards))
-    moves = spark.createDataFrame([(*k, j) for k, j in where.items()], "__old int, __block int, __part int, __cut int, shard int")
-    return keyed.join(F.broadcast(moves), at).select(*docs.columns, "shard", F.col("__old").alias("old_shard"))
-
-
-def _sizes(keyed: DataFrame, by: list[str]) -> tuple[dict, int, int]:
+    sizes, total, rows = _sizes(stored, AT[:2])
+    heavy = [k for k, (s, n) in sizes.items() if s * HEAVY > total or n * HEAVY > rows]
+    inner = _sizes(_cut_heavy(stored, heavy).where("sub IS NOT NULL"), AT[:3])[0] if heavy else {}
+    hot = {k: 2 * (s * HEAVY // max(total, 1)) + 2 for k, (s, _) in inner.items() if s * 2 * shards > total}
+    last = _sizes(_cut_hot(_cut_heavy(stored, heavy), hot).where("cut IS NOT NULL"), AT)[0] if hot else {}
+    gone = set(heavy)
+    whole = {(*k, 0, 0): s for k, (s, _) in sizes.items() if k not in gone} | {(*k, 0): s for k, (s, _) in inner.items() if k not in hot} | {k: s for k, (s, _) in last.items()}
+
+    capacity = even_capacity(total, shards)
+    old = sorted({k[0] for k in whole})
+    supply = [sum(s for k, s in whole.items() if k[0] == o) for o in old]
+    flow = min_cost_flow(supply, capacity, [[int(o != j) for j in range(shards)] for o in old])
+    leaving = [sum(f for j, f in enumerate(own) if j != o) for o, own in zip(old, flow, strict=True)]
+    affected = []
+    for o, need in zip(old, leaving, strict=True):
+        by_part: dict[int, int] = {}
+        for k, s in whole.items():
+            if k[0] == o:
+                by_part[k[1] * PARTS // BLOCKS] = by_part.get(k[1] * PARTS // BLOCKS, 0) + s
+        affected += [(o, p) for p in _parts_for(by_part, need)]
+    touched = {k: s for k, s in whole.items() if (k[0], k[1] * PARTS // BLOCKS) in set(affected)}
+    fixed = [sum(s for k, s in whole.items() if k[0] == j and k not in touched) for j in range(shards)]
+    where = place_blocks([(*k, s) for k, s in touched.items()], [c - f for c, f in zip(capacity, fixed, strict=True)]) if touched else {}
+    return Plan(affected, where, heavy, hot, sum(s for k, s in touched.items() if where[k] != k[0]), sum(leaving))
+
+
+def _sizes(rows: DataFrame, by: list[str]) -> tuple[dict, int, int]:
     """Bytes and rows by block, and in all; one row per block reaches the driver."""
-    got = {tuple(r[c] for c in by): (r["s"], r["n"]) for r in keyed.groupBy(*by).agg(F.sum("__size").alias("s"), F.count("*").alias("n")).collect()}
+    got = {tuple(r[c] for c in by): (r["s"], r["n"]) for r in rows.groupBy(*by).agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()}
     return got, sum(s for s, _ in got.values()), sum(n for _, n in got.values())
 
 
-def _marked(keyed: DataFrame, spark: SparkSession, rows: list[tuple], by: list[str]) -> DataFrame:
-    """``__k`` on the rows of the listed blocks; the list has at most 2 x heavy rows."""
-    listed = spark.createDataFrame(rows, ", ".join(f"{c} int" for c in by) + ", __k int")
-    return keyed.join(F.broadcast(listed), by, "left")
+def _marked(rows: DataFrame, listed: list[tuple], by: list[str]) -> DataFrame:
+    """``k`` on the rows of the listed blocks; the list has at most 2 x HEAVY rows."""
+    table = rows.sparkSession.createDataFrame(listed, ", ".join(f"{c} int" for c in by) + ", k int")
+    return rows.join(F.broadcast(table), by, "left")
 
 
-def rewrite(assigned: DataFrame, path: str, affected_only: bool = False) -> DataFrame:
-    """Write shards as ``path/shard=k``; with ``affected_only`` the shards no row enters or leaves stay as they are."""
-    spark = assigned.sparkSession
-    if affected_only:
-        moved = assigned.where("old_shard <> shard").select(F.explode(F.array("old_shard", "shard")).alias("shard")).distinct()
-        assigned = assigned.join(F.broadcast(moved), "shard", "left_semi")  # one row per shard at most
-    rows = assigned.drop("old_shard")
-    rows.write.partitionBy("shard").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "shard")
-    return spark.read.schema(f"{schema}, shard int").parquet(path)
+def _cut_heavy(rows: DataFrame, heavy: list[tuple]) -> DataFrame:
+    """``sub``: a second hash of the text in heavy blocks, else null."""
+    marked = _marked(rows, [(*k, 1) for k in heavy], AT[:2])
+    return marked.withColumn("sub", F.when(F.col("k").isNotNull(), F.pmod(F.xxhash64("text", F.lit("sub")), F.lit(CUTS)).cast("int"))).drop("k")
 
 
-def with_slots(stored: DataFrame, **columns: Column) -> DataFrame:
-    """``shard`` and ``columns`` of the stored rows plus ``slot``, a row's place in its shard by file and row in file.
+def _cut_hot(rows: DataFrame, hot: dict[tuple, int]) -> DataFrame:
+    """``cut``: a hash of the doc_id in the cuts that are too heavy for a shard, else null."""
+    marked = _marked(rows, [(*k, v) for k, v in hot.items()], AT[:3])
+    return marked.withColumn("cut", F.pmod(F.xxhash64(F.struct("doc_id")), F.col("k")).cast("int")).drop("k")
+
+
+def rewrite(stored: DataFrame, planned: Plan, path: str) -> tuple[DataFrame, DataFrame]:
+    """The files that stay, and the affected parts' rows written anew under ``path``; together the new shards.
+
+    Both have ``(doc_id, text, size, old_shard, shard)``.  The old files of affected parts are left alone, so a
+    reader of the old shards goes on, and a job that dies half way has changed nothing.
+    """
+    spark = stored.sparkSession
+    hit = F.lit(False)
+    for o in sorted({o for o, _ in planned.affected}):  # one term a shard
+        hit |= (F.col("shard") == o) & F.col("part").isin([p for x, p in planned.affected if x == o])
+    stay = stored.where(~hit).select("doc_id", "text", "size", F.col("shard").alias("old_shard"), "shard", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    keyed = _cut_hot(_cut_heavy(stored.where(hit), planned.heavy), planned.hot).withColumns({"sub": F.coalesce("sub", F.lit(0)), "cut": F.coalesce("cut", F.lit(0))})
+    moves = spark.createDataFrame([(*k, j) for k, j in planned.where.items()], "shard int, block int, sub int, cut int, new_shard int")
+    moved = keyed.join(F.broadcast(moves), AT).select("doc_id", "text", "size", F.col("shard").alias("old_shard"), F.col("new_shard").alias("shard"))
+    moved.write.partitionBy("shard").parquet(path)
+    fresh = spark.read.schema(", ".join(f"{f.name} {f.dataType.simpleString()}" for f in moved.schema)).parquet(path)
+    return stay, fresh.select(*moved.columns, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+
+
+def with_slots(shards: DataFrame, **columns: Column) -> DataFrame:
+    """``columns`` and ``shard`` of the rows of ``reshard`` plus ``slot``, a row's place in its shard by file and row in file.
 
     The columns are worked out at the scan, so only they meet the files' offsets.
     """
-    at = stored.select("shard", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"), *[c.alias(n) for n, c in columns.items()])
-    files = at.groupBy("shard", "__file").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = files.select("shard", "__file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
-    return at.join(offsets, ["shard", "__file"]).select(*columns, "shard", (F.col("__before") + F.col("__row")).cast("long").alias("slot"))
+    at = shards.select("shard", "file", "row", *[c.alias(n) for n, c in columns.items()])
+    files = at.groupBy("shard", "file").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("shard").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = files.select("shard", "file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return at.join(offsets, ["shard", "file"]).select(*columns, "shard", (F.col("before") + F.col("row")).cast("long").alias("slot"))
 
 
-def reshard(docs: DataFrame, old_shard: Column, shards: int, path: str | None = None, blocks: int = 512) -> DataFrame:
-    """Plan and rewrite ``(doc_id, text)``; the stored rows with their ``shard``."""
-    return rewrite(plan(docs, old_shard, shards, blocks), path or scratch_path(docs.sparkSession, "shards"))
+def reshard(stored: DataFrame, shards: int, path: str | None = None) -> tuple[DataFrame, Plan]:
+    """Plan and rewrite shards of ``store``: ``(doc_id, text, size, old_shard, shard, file, row)`` of all rows, and the plan."""
+    planned = plan(stored, shards)
+    stay, fresh = rewrite(stored, planned, path or scratch_path(stored.sparkSession, "shards"))
+    return stay.unionByName(fresh), planned
 
 
 def op3_min_cost_flow_reshard(spark: SparkSession, sf_dir: str, old_shards: int = 6, shards: int = 8) -> DataFrame:
-    """Contract query: six hash shards of ``documents`` become eight of near equal bytes."""
+    """Contract query: six stored hash shards of ``documents`` become eight of near equal bytes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    stored = reshard(docs, F.pmod(text_crc32(F.col("text")), F.lit(old_shards)), shards)
-    out = with_slots(stored, doc_id=F.col("doc_id"), size=text_size(F.col("text")), text_crc32=text_crc32(F.col("text")))
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    stored = store(docs, F.pmod(text_crc32(F.col("text")), F.lit(old_shards)), scratch_path(spark, "old-shards"))
+    made, planned = reshard(stored, shards)
+    out = with_slots(made, doc_id=F.col("doc_id"), size=F.col("size"), text_crc32=text_crc32(F.col("text")), old_shard=F.col("old_shard"))
+    ends = {"moved_bytes": planned.moved_bytes, "fewest_bytes": planned.fewest_bytes}
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard", *[F.lit(v).cast("long").alias(k) for k, v in ends.items()])
