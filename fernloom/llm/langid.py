@@ -1,28 +1,33 @@
 """Language identification by words first, with back-off to shorter character n-grams.
 
-Training counts words per language over a bounded sample of labelled documents
-(about ``sample_docs``, the rows whose hash of id and text falls in that share).  The model keeps the
-``max_words`` most frequent words and, for n from ``max_n`` down to 1, the ``max_ngrams``
-most frequent character n-grams (words padded with ``^`` and ``$``), each with its log
-frequency per language; so its size is bounded by parameters and it can be broadcast.
+A word is a run of letters and marks that begins with a letter, lower-cased; training and
+prediction cut texts with the same pattern.  Training counts words per language over a bounded
+sample of labelled documents (about ``sample_docs``, evenly over the languages: the rows whose
+hash of id and text falls in their language's share).  The model keeps the ``max_words`` most
+frequent words and, for n from ``max_n`` down to 1, the ``max_ngrams`` most frequent
+character n-grams (words padded with ``^`` and ``$``), each with its log frequency per
+language; so its size is bounded by parameters and it can be broadcast.
 
 Prediction: a known word adds its per-language log frequency.  An unseen word adds the
 mean log frequency of its known n-grams of the longest n that has any, plus a penalty a
-step of back-off.  The score is the winner's share of the softmax of the sums.
-
-Defined cases: a null text, or one without a letter, is ``und`` with score 0; rows with a
-null language or null text never train; ties go to the alphabetically first language;
-an empty training set predicts ``und`` for all; one language predicts it with score 1;
-extra columns are ignored or passed through; an empty table gives an empty result.
+step of back-off.  The score is the winner's share of the softmax of the sums; the fit is
+the winner's mean log frequency per word, so it does not grow with the text and is low for
+noise and for languages never learned.
+
+Defined cases: a null text, or one without a letter, is ``und`` with score 0 and a null fit;
+rows with a null language or null text never train; ties go to the alphabetically first
+language; an empty training set predicts ``und`` for all; one language predicts it with score
+1; extra columns are ignored or passed through; an empty table gives an empty result.
 """
 
 import math
-import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +36,12 @@ from fernloom.llm.batches import bounded_slices, small_batches
 from fernloom.scratch import materialize
 
 UNDETERMINED = "und"
-WORD = re.compile(r"[^\W\d_]+")
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+
+
+def words_of(text: str | None) -> list[str]:
+    """The words of a text, lower-cased, in its order."""
+    return WORD.findall((text or "").lower())
 
 
 #: Back-off vectors a worker keeps; beyond it they are worked out anew.
@@ -93,10 +103,11 @@ class Scorer:
         self.index.update(zip(words, range(len(self.logs), len(self.logs) + len(words)), strict=True))
         self.logs = np.concatenate([self.logs, out])
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        found = [WORD.findall((t or "").lower()) for t in texts]
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float | None]]:
+        """Language, score and fit of each text."""
+        found = [words_of(t) for t in texts]
         if not self.model.langs:
-            return [(UNDETERMINED, 0.0)] * len(texts)
+            return [(UNDETERMINED, 0.0, None)] * len(texts)
         if len(self.index) > len(self.model.words.terms) + CACHED_WORDS:
             self._reset()
         new = sorted(set().union(*found) - self.index.keys())
@@ -105,29 +116,48 @@ class Scorer:
         out, get = [], self.index.__getitem__
         for words in found:
             if not words:
-                out.append((UNDETERMINED, 0.0))
+                out.append((UNDETERMINED, 0.0, None))
                 continue
             total = self.logs[np.fromiter(map(get, words), np.int64, len(words))].sum(axis=0)
             best = int(total.argmax())  # the first of equals
-            out.append((self.model.langs[best], float(1.0 / np.exp(total - total[best]).sum())))
+            out.append((self.model.langs[best], float(1.0 / np.exp(total - total[best]).sum()), float(total[best]) / len(words)))
         return out
 
 
 def sampled(labelled: DataFrame, sample_docs: int) -> DataFrame:
-    """The bounded sample: rows whose hash falls in the share ``sample_docs / rows``; it stays distributed."""
-    share = min(1.0, sample_docs / max(labelled.count(), 1))
-    return labelled.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
+    """The bounded sample, about ``sample_docs`` rows: of each language the rows whose hash falls in its
+    share, so a rare language is taken whole; it stays distributed."""
+    rows = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
+    if not rows:
+        return labelled
+    left, quota = sample_docs, {}
+    for k, (lang, n) in enumerate(sorted(rows.items(), key=lambda x: (x[1], x[0]))):  # what small languages leave goes to larger ones
+        quota[lang] = min(n, left // (len(rows) - k))
+        left -= quota[lang]
+    share = F.create_map(*[F.lit(x) for lang, n in rows.items() for x in (lang, int(quota[lang] / n * (1 << 20)))])
+    return labelled.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < share[F.col("lang")])
 
 
 def _cut(n: int):
     return lambda i: F.substr(F.col("p"), i, F.lit(n))
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Word counts by language of each batch of ``(text, lang)``."""
+    for batch in batches:
+        seen: Counter = Counter()
+        for text, lang in zip(batch.column(0), batch.column(1), strict=True):
+            own = lang.as_py()
+            seen.update((w, own) for w in words_of(text.as_py()))
+        w, lang = ([k[i] for k in seen] for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(lang, pa.string()), pa.array(seen.values(), pa.int64())], ["w", "lang", "n"])
+
+
 def train(labelled: DataFrame, sample_docs: int = 8_000, max_words: int = 30_000, max_ngrams: int = 20_000, max_n: int = 5) -> Model:
     """Fit on ``(doc_id, text, lang)``; counts run in Spark, only the bounded tables reach the driver."""
     rows = sampled(labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang"), sample_docs)
-    words = rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}]+"), F.lit(0))).alias("w"))
-    counts = materialize(words.groupBy("w", "lang").agg(F.count("*").alias("n")), "words")
+    words = small_batches(rows).select("text", "lang").mapInArrow(_counted, "w string, lang string, n long")
+    counts = materialize(words.groupBy("w", "lang").agg(F.sum("n").alias("n")), "words")
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted(totals)
     by_lang = [F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, x in enumerate(langs)]
@@ -139,7 +169,7 @@ def train(labelled: DataFrame, sample_docs: int = 8_000, max_words: int = 30_000
         n = kept.drop(columns="w").to_numpy(np.float64)
         return Table(kept["w"].tolist(), np.log((n + 0.5) / (n.sum(axis=0) + 0.5 * max(len(n), 1))).reshape(len(n), len(langs)))
 
-    frequent = table(counts.where("n > 1"), max_words)
+    frequent = table(counts, max_words)
     padded = counts.select(F.concat(F.lit("^"), "w", F.lit("$")).alias("p"), "lang", "n")
     parts = [F.transform(F.sequence(F.lit(1), F.length("p") - n + 1), _cut(n)) for n in range(1, max_n + 1)]
     cut = F.flatten(F.array(*[F.when(F.length("p") >= n, x).otherwise(F.array().cast("array<string>")) for n, x in enumerate(parts, 1)]))
@@ -150,18 +180,18 @@ def train(labelled: DataFrame, sample_docs: int = 8_000, max_words: int = 30_000
 
 
 def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` plus ``lang_pred`` and ``score``; texts go to the workers once and come back as they were."""
-    docs = small_batches(docs).drop("lang_pred", "score")  # columns of these names are replaced
+    """``docs`` plus ``lang_pred``, ``score`` and ``fit``; texts go to the workers once and come back as they were."""
+    docs = small_batches(docs).drop("lang_pred", "score", "fit")  # columns of these names are replaced
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("fit", T.DoubleType())])
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for whole in batches:
             for part in bounded_slices(whole, at, 1 << 20):
-                langs, scores = zip(*scorer.predict(part.column(at).to_pylist()), strict=True)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*whole.schema.names, "lang_pred", "score"])
+                langs, scores, fits = zip(*scorer.predict(part.column(at).to_pylist()), strict=True)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(fits, pa.float64())], [*whole.schema.names, "lang_pred", "score", "fit"])
 
     return docs.mapInArrow(run, schema)
 
@@ -175,4 +205,4 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query over all of ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     model = train(docs.where(~held_out(F.col("doc_id"))))
-    return with_language(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), model).drop("text")
+    return with_language(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), model).drop("text", "fit")

@@ -1,5 +1,8 @@
+import math
 import random
+import unicodedata
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -25,7 +28,88 @@ def test_held_out_accuracy(spark):
     texts = [(lang, sentence(rng, lang, rng.randint(1, 12))) for lang in SOUNDS for _ in range(60)]
     out = scorer.predict([t for _, t in texts])
     assert sum(a == b[0] for (a, _), b in zip(texts, out, strict=True)) >= 0.97 * len(texts)
-    assert all(0 <= s <= 1 for _, s in out)
+    assert all(0 <= s <= 1 for _, s, _ in out)
+
+
+def brute_words(text):
+    """Runs of letters and marks from the first letter on, by the Unicode categories."""
+    out, own = [], ""
+    for c in f"{text or ''} ".lower():
+        kind = unicodedata.category(c)[0]
+        if kind == "L" or (kind == "M" and own):
+            own += c
+        elif own:
+            out.append(own)
+            own = ""
+    return out
+
+
+def brute_model(rows, max_words, max_ngrams, max_n):
+    langs = sorted({lang for _, lang in rows})
+    words = Counter((w, lang) for t, lang in rows for w in brute_words(t))
+
+    def table(counts, most):
+        total = Counter()
+        for (w, _), n in counts.items():
+            total[w] += n
+        kept = sorted(total, key=lambda w: (-total[w], w.encode()))[:most]
+        sums = [sum(counts[w, lang] for w in kept) for lang in langs]
+        return {w: [math.log((counts[w, lang] + 0.5) / (s + 0.5 * len(kept))) for lang, s in zip(langs, sums, strict=True)] for w in kept}
+
+    grams = {}
+    for n in range(1, max_n + 1):
+        own = Counter()
+        for (w, lang), k in words.items():
+            p = f"^{w}$"
+            for i in range(len(p) - n + 1):
+                own[p[i : i + n], lang] += k
+        grams[n] = table(own, max_ngrams)
+    spoken = Counter()
+    for (_, lang), n in words.items():
+        spoken[lang] += n
+    return langs, table(words, max_words), grams, [math.log(0.5 / (spoken[x] + 1)) for x in langs]
+
+
+def brute_predict(model, text):
+    langs, words, grams, unseen = model
+    found = brute_words(text)
+    if not found:
+        return "und", 0.0, None
+    total = [0.0] * len(langs)
+    for w in found:
+        v = words.get(w)
+        if v is None:
+            p, v = f"^{w}$", unseen
+            for step, n in enumerate(sorted(grams, reverse=True)):
+                known = [grams[n][p[i : i + n]] for i in range(len(p) - n + 1) if p[i : i + n] in grams[n]]
+                if known:
+                    v = [sum(x) / len(known) - 0.5 * step for x in zip(*known, strict=True)]
+                    break
+        total = [a + b for a, b in zip(total, v, strict=True)]
+    best = max(range(len(langs)), key=lambda i: (total[i], -i))
+    return langs[best], 1 / sum(math.exp(x - total[best]) for x in total), total[best] / len(found)
+
+
+ODD = ["½ ²", "①② 12", "e\u0301t\u00e9 cafe\u0301", "\u0301 \u0300", "हिन्दी में", "İstanbul ǅ ﬁ", "don't l’eau x", "русский текст", "ka_li 3mo", None, "", " \n"]
+
+
+def test_against_brute_force(spark):
+    rng = random.Random(5)
+    rows = [(sentence(rng, l := list(SOUNDS)[i % 3], 12) + " " + rng.choice([x for x in ODD if x]), l) for i in range(60)]
+    df = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(rows)], "doc_id long, text string, lang string").repartition(5)
+    for limits in ((40, 60, 5), (30_000, 20_000, 3)):
+        model = langid.train(df, 8_000, *limits)
+        brute = brute_model(rows, *limits)
+        texts = [*ODD, *(sentence(rng, lang, rng.randint(1, 6)) for lang in SOUNDS for _ in range(20)), *(t for t, _ in rows[:20])]
+        for text, got in zip(texts, langid.Scorer(model).predict(texts), strict=True):
+            want = brute_predict(brute, text)
+            assert got[0] == want[0] and math.isclose(got[1], want[1], rel_tol=1e-9) and (got[2] == want[2] or math.isclose(got[2], want[2], rel_tol=1e-9)), text
+
+
+def test_texts_without_a_letter_are_undetermined(spark):
+    model = langid.train(labelled(spark, random.Random(6), 30))
+    assert {x[:2] for x in langid.Scorer(model).predict(["½ ²", "①②", "\u0301", "12 !", "_", None])} == {("und", 0.0)}
+    assert langid.words_of("Cafe\u0301 हिन्दी") == ["cafe\u0301", "हिन्दी"]
 
 
 def test_words_first_then_shorter_ngrams():
@@ -52,8 +136,9 @@ def test_small_cache_changes_nothing(spark, monkeypatch):
 def test_tables_are_bounded_and_sample_is_a_share(spark):
     model = langid.train(labelled(spark, random.Random(3)), max_words=10, max_ngrams=7)
     assert len(model.words.terms) <= 10 and all(len(t.terms) <= 7 for t in model.grams.values())
-    rows = spark.range(2000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
-    assert 150 < langid.sampled(rows, 200).count() < 260
+    rows = spark.range(2000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"), F.when(F.col("id") < 20, "rare").otherwise("usual").alias("lang"))
+    got = {r.lang: r["count"] for r in langid.sampled(rows, 200).groupBy("lang").count().collect()}
+    assert got["rare"] == 20 and 140 < got["usual"] < 220  # a rare language is taken whole
     assert langid.sampled(rows, 5000).count() == 2000
 
 
@@ -64,7 +149,7 @@ def test_columns_held_out_nulls_and_empty(spark):
     assert model.langs == sorted(SOUNDS)
     docs = documents(spark, [None, "", "123", sentence(rng, "xa"), "x " * 50_000])
     out = langid.with_language(docs.drop("score"), model)
-    assert out.columns == [*docs.drop("score").columns, "lang_pred", "score"]
+    assert out.columns == [*docs.drop("score").columns, "lang_pred", "score", "fit"]
     assert [r.lang_pred for r in out.orderBy("doc_id").collect()][:4] == ["und", "und", "und", "xa"]
     nothing = langid.train(train.limit(0))
     assert {r.lang_pred for r in langid.with_language(docs.drop("score"), nothing).collect()} == {"und"}
