@@ -2,14 +2,13 @@
 
 Three passes over the whole documents, none of which shuffles a text:
 
-1. document frequencies of the benchmark's words (hashed to features), summed in Spark;
+1. document frequencies of the benchmark's words, word by word, summed in Spark;
    function words, frequent in many contexts, are left out, the rest are a text's *terms*
    (a word of no item can neither meet one in a product of vectors nor in a common
    subsequence).  Repeats of one context (the words on both sides), as in copies of a text
    that holds an item, do not make a word frequent, however many rows hold them;
 2. a randomised SVD of the TF-IDF passages A (non-overlapping runs of ``passage`` terms,
-   unit rows): one pass forms A'A*Omega for a random Omega, where each task first adds
-   ``sketch`` passages with random signs to a row; its Nystroem form gives the right
+   unit rows): one pass forms A'A*Omega for a random Omega; its Nystroem form gives the right
    singular vectors and values.  Only features x rank numbers reach the driver;
 3. every document slides windows of terms (a size for each benchmark item's length) over
    its passages' latent vectors; windows whose cosine with an item reaches ``min_cosine``
@@ -19,13 +18,15 @@ Three passes over the whole documents, none of which shuffles a text:
    answer (terms of its last sentence) for a paraphrase.
 
 Benchmark items are the stated query set: they go out in blocks of bounded size, against
-all documents.  Hashing has collisions only among features; the LCS runs over 64-bit word
-hashes.
-
-Defined cases: null or empty texts match nothing; a null or wordless item matches nothing;
-an item with fewer than ``min_terms`` terms is searched as its exact words; repeated rows
-are judged alike; ties between items go to the higher share, then the smaller item id;
-extra columns are ignored or passed through; an empty table gives an empty result and an
+all documents.  Words meet by 64-bit hashes everywhere but in the SVD, where a word's column is
+its place in the benchmark's sorted vocabulary modulo ``features`` (its own column up to that
+many words).
+
+Defined cases: null or empty texts match nothing; a null or wordless item, or one without an
+item_id, matches nothing; an item with fewer than ``min_terms`` terms is searched as its exact
+words; every row is judged by itself, so repeated rows, ids and null ids are rows of their own;
+ties between items go to the higher share, then the smaller item id; extra columns are ignored
+or passed through (one named ``found`` is replaced); an empty table gives an empty result and an
 empty benchmark contaminates nothing.
 """
 
@@ -38,6 +39,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fernloom.llm.batches import small_batches
 
@@ -66,7 +68,6 @@ class Params:
     features: int = 1 << 13
     rank: int = 96
     passage: int = 32
-    sketch: int = 64
     block: int = 8
     min_cosine: float = 0.18
     min_lcs: float = 0.75
@@ -128,28 +129,47 @@ MASK_BITS = 22
 MASK_SHIFT = np.uint64(64 - MASK_BITS)
 
 
-def vocabulary(benchmark: DataFrame) -> np.ndarray:
-    """Which cells (the first 22 bits of a word's hash) hold a word of the benchmark; 4 MB whatever its size."""
+#: Distinct words a benchmark may have, 32 MB of hashes; a larger one is run in parts.
+MAX_WORDS = 4_000_000
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cells = np.unique(words_of(batch.column(0))[0] >> MASK_SHIFT)
-            yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32))], ["cell"])
 
-    known = np.zeros(1 << MASK_BITS, bool)
-    known[benchmark.select("text").mapInArrow(run, "cell int").distinct().toPandas()["cell"].to_numpy(np.int64)] = True
-    return known
+@dataclass
+class Vocabulary:
+    """The benchmark's words: sorted hashes, and which cells (the first 22 bits of a hash) hold one, 4 MB whatever their number."""
+
+    words: np.ndarray
+    known: np.ndarray
 
+    @staticmethod
+    def of(words: np.ndarray) -> "Vocabulary":
+        known = np.zeros(1 << MASK_BITS, bool)
+        known[words >> MASK_SHIFT] = True
+        return Vocabulary(words, known)
 
-def feature_of(hashes: np.ndarray, features: int) -> np.ndarray:
-    return (hashes >> np.uint64(33)).astype(np.int64) % features
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the vocabulary's words among ``hashes``, and their places in the vocabulary."""
+        at = np.nonzero(self.known[hashes >> MASK_SHIFT])[0]
+        own = hashes[at]
+        ids = np.minimum(np.searchsorted(self.words, own), max(len(self.words) - 1, 0))
+        hit = self.words[ids] == own if len(self.words) else np.zeros(0, bool)
+        return at[hit], ids[hit]
 
 
-def terms_of(column: pa.Array, weights: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes and features of a column's terms (the benchmark's words but function words), and their number by row."""
+def vocabulary(benchmark: DataFrame) -> Vocabulary:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(words_of(batch.column(0))[0]).view(np.int64))], ["word"])
+
+    words = benchmark.select("text").mapInArrow(run, "word long").distinct().limit(MAX_WORDS + 1).toPandas()["word"].to_numpy(np.int64)
+    if len(words) > MAX_WORDS:
+        raise ValueError(f"the benchmark has over {MAX_WORDS} distinct words: run it in parts")
+    return Vocabulary.of(np.sort(words.view(np.uint64)))
+
+
+def terms_of(column: pa.Array, weights: np.ndarray, known: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and places of a column's terms (the benchmark's words but function words), and their number by row."""
     hashes, counts = words_of(column)
-    at = np.nonzero(known[hashes >> MASK_SHIFT])[0]
-    ids = feature_of(hashes[at], len(weights))
+    at, ids = known.find(hashes)
     heavy = weights[ids] > 0
     at, ids = at[heavy], ids[heavy]
     return hashes[at], ids, np.diff(np.searchsorted(at, np.concatenate(([0], np.cumsum(counts)))))
@@ -163,51 +183,54 @@ def _runs(counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.cumsum(counts) - counts)[row] + nth * size, row
 
 
-#: Groups of contexts in which a feature's documents are counted.
+#: Groups of contexts in which a word's documents are counted.
 CONTEXT_BITS = 4
 
 
-def _contexts(column: pa.Array, features: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, feature and context group of every word of the benchmark in a column; a context is the words on both sides."""
+def _contexts(column: pa.Array, known: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place and context group of every word of the benchmark in a column; a context is the words on both sides."""
     hashes, counts = words_of(column)
-    at, ends = np.nonzero(known[hashes >> MASK_SHIFT])[0], np.cumsum(counts)
+    at, ids = known.find(hashes)
+    ends = np.cumsum(counts)
     row = np.searchsorted(ends, at, "right")
     before = np.where(at == (ends - counts)[row], np.uint64(0), hashes[at - 1])
     after = np.where(at == ends[row] - 1, np.uint64(0), hashes[np.minimum(at + 1, len(hashes) - 1)])
     mixed = (before * np.uint64(_MIX) ^ after) * np.uint64(_BASE)
-    return row, feature_of(hashes[at], features), (mixed >> np.uint64(64 - CONTEXT_BITS)).astype(np.int64)
+    return row, ids, (mixed >> np.uint64(64 - CONTEXT_BITS)).astype(np.int64)
 
 
 def spread_frequencies(df: np.ndarray, by_context: np.ndarray) -> np.ndarray:
     """Document frequencies less what stands out in single context groups: copies of one text repeat one context."""
+    if not len(df):
+        return df
     usual = 4 * np.maximum(np.median(by_context, axis=1, keepdims=True), 1)
     return np.maximum(df - np.maximum(by_context - usual, 0).sum(axis=1), np.minimum(df, 1))
 
 
-def document_frequencies(docs: DataFrame, features: int, known: np.ndarray) -> tuple[int, np.ndarray]:
-    """Number of documents, and of those holding each of the benchmark's features in spread contexts (at most ``features`` rows)."""
-    shared, groups = docs.sparkSession.sparkContext.broadcast(known), 1 << CONTEXT_BITS
+def document_frequencies(docs: DataFrame, known: Vocabulary) -> tuple[int, np.ndarray]:
+    """Number of documents, and of those holding each of the benchmark's words in spread contexts (one row a word)."""
+    shared, groups, words = docs.sparkSession.sparkContext.broadcast(known), 1 << CONTEXT_BITS, len(known.words)
     names = ["n", *(f"c{i}" for i in range(groups))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros((features, groups + 1), np.int64), 0
+        total, n = np.zeros((words, groups + 1), np.int64), 0
         for batch in batches:
             n += batch.num_rows
             for at in range(0, batch.num_rows, 1024):
-                row, ids, group = _contexts(batch.column(0).slice(at, 1024), features, shared.value)
-                held = np.unique((row * features + ids) * groups + group)
-                total[:, 1:] += np.bincount(held % (features * groups), minlength=features * groups).reshape(features, groups)
-                total[:, 0] += np.bincount(np.unique(held // groups) % features, minlength=features)
+                row, ids, group = _contexts(batch.column(0).slice(at, 1024), shared.value)
+                held = np.unique((row * words + ids) * groups + group)
+                total[:, 1:] += np.bincount(held % (words * groups), minlength=words * groups).reshape(words, groups) if words else 0
+                total[:, 0] += np.bincount(np.unique(held // groups) % words, minlength=words) if words else 0
         some = np.nonzero(total[:, 0])[0]
         out = np.vstack([total[some], np.full((1, groups + 1), n)])
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1).astype(np.int32)), *(pa.array(out[:, i]) for i in range(groups + 1))], ["feature", *names])
-
-    made = docs.select("text").mapInArrow(run, "feature int, " + ", ".join(f"{c} long" for c in names))
-    rows = made.groupBy("feature").agg(*[F.sum(c).alias(c) for c in names]).toPandas()
-    n_docs = int(rows.loc[rows.feature < 0, "n"].sum())
-    rows = rows[rows.feature >= 0]
-    counted = np.zeros((features, groups + 1))
-    counted[rows.feature.to_numpy()] = rows[names].to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1).astype(np.int32)), *(pa.array(out[:, i]) for i in range(groups + 1))], ["word", *names])
+
+    made = docs.select("text").mapInArrow(run, "word int, " + ", ".join(f"{c} long" for c in names))
+    rows = made.groupBy("word").agg(*[F.sum(c).alias(c) for c in names]).toPandas()
+    n_docs = int(rows.loc[rows.word < 0, "n"].sum())
+    rows = rows[rows.word >= 0]
+    counted = np.zeros((words, groups + 1))
+    counted[rows.word.to_numpy()] = rows[names].to_numpy()
     return n_docs, spread_frequencies(counted[:, 0], counted[:, 1:])
 
 
@@ -217,55 +240,57 @@ def idf_of(n_docs: int, df: np.ndarray, p: Params) -> np.ndarray:
     return np.where(share > p.stop_share, 0.0, np.log((n_docs + p.prior_docs) / (df + 1.0))).astype(np.float32)
 
 
-class _Sketch:
-    """A'S'SA*Omega and A'1 of one task's passages A, where S adds ``sketch`` passages with random signs to a row."""
+class _Gram:
+    """A'A*Omega and A'1 of one task's passages A."""
 
-    ROWS = 32
+    TERMS = 1 << 12
 
     def __init__(self, idf: np.ndarray, omega: np.ndarray, p: Params):
         self.idf, self.omega, self.p = idf, omega, p
-        self.sums, self.ones, self.passages = np.zeros((len(idf), omega.shape[1]), np.float64), np.zeros(len(idf)), 0
+        self.sums, self.ones, self.passages = np.zeros((p.features, omega.shape[1]), np.float64), np.zeros(p.features), 0
 
-    def add(self, hashes: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+    def add(self, ids: np.ndarray, counts: np.ndarray) -> None:
         starts, _ = _runs(counts, self.p.passage)
         if not len(starts):
             return
-        w = self.idf[ids]
-        owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ids))))
+        w, ids = self.idf[ids], ids % self.p.features
+        ends = np.append(starts[1:], len(ids))
+        owner = np.repeat(np.arange(len(starts)), ends - starts)
         w = w / np.sqrt(np.add.reduceat(w * w, starts))[owner]
-        self.ones += np.bincount(ids, w, len(self.idf))
+        self.ones += np.bincount(ids, w, self.p.features)
         self.passages += len(starts)
-        mixed = np.bitwise_xor.reduceat(hashes, starts) * np.uint64(_MIX)
-        w = np.where((mixed >> np.uint64(63)).astype(bool)[owner], w, -w)
-        width, step = len(self.idf), self.ROWS * self.p.sketch
+        step = max(1, self.TERMS // self.p.passage)
         for first in range(0, len(starts), step):
-            a, b = int(starts[first]), int(starts[first + step]) if first + step < len(starts) else len(ids)
-            row = (owner[a:b] - first) // self.p.sketch
-            rows = np.bincount(row * width + ids[a:b], w[a:b], (int(row[-1]) + 1) * width).reshape(-1, width).astype(np.float32)
-            self.sums += rows.T @ (rows @ self.omega)
+            last = min(first + step, len(starts))
+            a, b = int(starts[first]), int(ends[last - 1])
+            latent = np.add.reduceat(w[a:b, None] * self.omega[ids[a:b]], starts[first:last] - a, axis=0)
+            order = np.argsort(ids[a:b], kind="stable")
+            own = ids[a:b][order]
+            heads = np.nonzero(np.diff(own, prepend=-1))[0]
+            self.sums[own[heads]] += np.add.reduceat(w[a:b][order, None] * latent[owner[a:b][order] - first], heads, axis=0)
 
 
-def gram_times(docs: DataFrame, idf: np.ndarray, known: np.ndarray, omega: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, float]:
-    """A'A*Omega (by the sketch), the column sums A'1 and the number of passages, over all documents."""
+def gram_times(docs: DataFrame, idf: np.ndarray, known: Vocabulary, omega: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, float]:
+    """A'A*Omega, the column sums A'1 and the number of passages, over all documents."""
     rank = omega.shape[1]
     shared = docs.sparkSession.sparkContext.broadcast((idf, omega, known))
     names = [f"y{i}" for i in range(rank + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, omega, known = shared.value
-        sketch = _Sketch(idf, omega, p)
+        gram = _Gram(idf, omega, p)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
-                sketch.add(*terms_of(batch.column(0).slice(at, 1024), idf, known))
-        some = np.nonzero(sketch.ones)[0]
-        out = np.vstack([np.column_stack([sketch.sums, sketch.ones])[some], np.full((1, rank + 1), sketch.passages)]).astype(np.float32)
+                gram.add(*terms_of(batch.column(0).slice(at, 1024), idf, known)[1:])
+        some = np.nonzero(gram.ones)[0]
+        out = np.vstack([np.column_stack([gram.sums, gram.ones])[some], np.full((1, rank + 1), gram.passages)]).astype(np.float32)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1).astype(np.int32)), *(pa.array(out[:, i]) for i in range(rank + 1))], ["feature", *names])
 
     made = docs.select("text").mapInArrow(run, "feature int, " + ", ".join(f"{n} float" for n in names))
     rows = made.groupBy("feature").agg(*[F.sum(n).alias(n) for n in names]).toPandas()  # at most features + 1 rows
     total = float(rows.loc[rows.feature < 0, names[0]].sum())
     rows = rows[rows.feature >= 0]
-    out = np.zeros((len(idf), rank + 1))
+    out = np.zeros((p.features, rank + 1))
     out[rows.feature.to_numpy()] = rows[names].to_numpy()
     return out[:, :rank], out[:, rank], total
 
@@ -273,9 +298,9 @@ def gram_times(docs: DataFrame, idf: np.ndarray, known: np.ndarray, omega: np.nd
 @dataclass
 class Space:
     """What a search needs of the corpus: a window's latent vector is the sum of its terms' projection
-    rows over its norm, less the mean passage's."""
+    rows, weighted by idf, over its norm, less the mean passage's."""
 
-    known: np.ndarray
+    known: Vocabulary
     idf: np.ndarray
     projection: np.ndarray
     mean: np.ndarray
@@ -283,7 +308,7 @@ class Space:
 
 def latent_space(docs: DataFrame, benchmark: DataFrame, p: Params) -> Space:
     known = vocabulary(benchmark)
-    idf = idf_of(*document_frequencies(docs, p.features, known), p)
+    idf = idf_of(*document_frequencies(docs, known), p)
     omega = np.linalg.qr(np.random.default_rng(p.seed).standard_normal((p.features, p.rank)))[0].astype(np.float32)
     return space_of(known, idf, omega, *gram_times(docs, idf, known, omega, p))
 
@@ -297,15 +322,16 @@ def space_of(known, idf, omega, w, sums, passages) -> Space:
     core = omega.T @ w
     lower = np.linalg.cholesky((core + core.T) / 2 + 1e-9 * shift * np.eye(omega.shape[1]))
     vectors, values, _ = np.linalg.svd(np.linalg.solve(lower, w.T).T, full_matrices=False)
-    projection = (vectors / np.maximum(values, 1e-4 * values[0])).astype(np.float32)  # every direction of equal weight
+    projection = (vectors * (values > 1e-4 * values[0])).astype(np.float32)
     mean = (sums / passages) @ projection
-    return Space(known, idf, (projection * idf[:, None]).astype(np.float32), mean.astype(np.float32))
+    return Space(known, idf, projection, mean.astype(np.float32))
 
 
 @dataclass
 class Item:
     item_id: int
     terms: np.ndarray  # hashes of the item's terms, in order
+    ids: np.ndarray  # their places in the vocabulary
     answer: np.ndarray
     exact: np.ndarray | None = None  # hashes of all words, for an item of very few terms
 
@@ -316,9 +342,9 @@ def read_item(item_id: int, text: str | None, space: Space, p: Params) -> Item |
     words, counts = words_of(column)
     if not counts[0]:
         return None
-    terms, _, by_row = terms_of(column, space.idf, space.known)
+    terms, ids, by_row = terms_of(column, space.idf, space.known)
     exact = words[: counts[0]] if by_row[0] < p.min_terms else None
-    return Item(item_id, terms[: by_row[0]], np.unique(terms[by_row[0] :]), exact)
+    return Item(item_id, terms[: by_row[0]], ids[: by_row[0]], np.unique(terms[by_row[0] :]), exact)
 
 
 def lcs_length(a: list[int], b: list[int]) -> int:
@@ -345,24 +371,27 @@ class Searcher:
             if x.exact is None:
                 self.by_blocks.setdefault(-(-len(x.terms) // p.block) + 1, []).append(x)
         self.widest = max(self.by_blocks, default=1)
-        self.vectors = {b: np.stack([self._unit(x.terms) for x in own]) for b, own in self.by_blocks.items()}
+        self.vectors = {b: np.stack([self._unit(x.ids) for x in own]) for b, own in self.by_blocks.items()}
         self.places = {b: self._places(own) for b, own in self.by_blocks.items()}
         # an LCS of the needed length leaves out at most so many of the item's distinct features
         self.need_kinds = {
-            b: np.array([len(np.unique(feature_of(x.terms, len(self.idf)))) - (len(x.terms) - int(np.ceil(p.min_paraphrase * len(x.terms) - 1e-9))) for x in own]) for b, own in self.by_blocks.items()
+            b: np.array([len(np.unique(x.ids % p.features)) - (len(x.terms) - int(np.ceil(p.min_paraphrase * len(x.terms) - 1e-9))) for x in own]) for b, own in self.by_blocks.items()
         }
         self.need = {b: np.array([int(np.ceil(p.min_paraphrase * len(x.terms) - 1e-9)) for x in own]) for b, own in self.by_blocks.items()}
 
-    def _unit(self, terms):
-        ids = feature_of(terms, len(self.idf))
-        v = self.projection[ids].sum(axis=0) / np.sqrt((self.idf[ids] ** 2).sum()) - self.mean
+    def _rows(self, ids):
+        """The terms' weighted rows of the projection."""
+        return self.projection[ids % self.p.features] * self.idf[ids, None]
+
+    def _unit(self, ids):
+        v = self._rows(ids).sum(axis=0) / np.sqrt((self.idf[ids] ** 2).sum()) - self.mean
         return v / max(float(np.linalg.norm(v)), 1e-12)
 
     def _places(self, own):
         """Per item, feature -> 1 + its place among the item's distinct features; 0 for others and the padding."""
-        table = np.zeros((len(own), len(self.idf) + 1), np.int16)
+        table = np.zeros((len(own), self.p.features + 1), np.int16)
         for i, x in enumerate(own):
-            kinds = np.unique(feature_of(x.terms, len(self.idf)))
+            kinds = np.unique(x.ids % self.p.features)
             table[i, kinds] = np.arange(1, len(kinds) + 1)
         return table
 
@@ -402,13 +431,13 @@ class Searcher:
         if not len(starts) or not self.by_blocks:
             return
         total = np.zeros((len(starts) + 1, self.projection.shape[1]), np.float32)
-        np.cumsum(np.add.reduceat(self.projection[ids], starts, axis=0), axis=0, out=total[1:])
+        np.cumsum(np.add.reduceat(self._rows(ids), starts, axis=0), axis=0, out=total[1:])
         energy = np.concatenate(([0.0], np.cumsum(np.add.reduceat(self.idf[ids] ** 2, starts), dtype=np.float64)))
         row_end = np.searchsorted(rows, rows, "right")  # past the row's last block
         row_begin = np.searchsorted(rows, rows, "left")
         term_end = np.cumsum(counts)[rows]
         blocks_at = np.arange(len(starts))
-        padded = np.append(ids, np.full((self.widest + 1) * p.block, len(self.idf)))
+        padded = np.append(ids % p.features, np.full((self.widest + 1) * p.block, p.features))
         for blocks, own in self.by_blocks.items():
             first = blocks_at[(blocks_at + blocks <= row_end) | (blocks_at == row_begin)]
             last = np.minimum(first + blocks, row_end[first])
@@ -496,35 +525,65 @@ def _searching(shared, params: Params):
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, params: Params = Params(), text_col: str = "text", block_items: int = 4096) -> DataFrame:
-    """``docs`` less the documents that hold a benchmark item; all columns stay, nothing is shuffled."""
-    spark = small_batches(docs).sparkSession
+    """``docs`` less the rows that hold a benchmark item; all columns stay, nothing is shuffled."""
+    out = judged(docs.withColumnRenamed("found", "found_before") if "found" in docs.columns else docs, benchmark, params, text_col, block_items=block_items)
+    out = out.where("found.n_items = 0").drop("found")
+    return out.withColumnRenamed("found_before", "found") if "found" in docs.columns else out
+
+
+FOUND = "struct<n_items:bigint,item_id:bigint,lcs_share:double,cosine:double,kind:string>"
+_FOUND = pa.struct([("n_items", pa.int64()), ("item_id", pa.int64()), ("lcs_share", pa.float64()), ("cosine", pa.float64()), ("kind", pa.string())])
+
+
+def judged(docs: DataFrame, benchmark: DataFrame, params: Params = Params(), text_col: str = "text", keep_text: bool = True, block_items: int = 4096) -> DataFrame:
+    """``docs`` plus struct ``found``: how many items a row's text holds, and the best of them (null without any).
+
+    Every block of items is one more pass of a task over its own rows; nothing is shuffled.
+    """
+    docs = small_batches(docs).drop("found")
     space = latent_space(docs.select(F.col(text_col).alias("text")), benchmark, params)
-    at = docs.columns.index(text_col)
+    names, at = docs.columns, docs.columns.index(text_col)
 
-    def keep(shared):
+    def judge(shared, first: bool, last: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             searcher = Searcher(*shared.value, params)
             for batch in batches:
-                found = searcher.search(batch.column(at))
-                yield batch.filter(pa.array([i not in found for i in range(batch.num_rows)], pa.bool_()))
+                before = [None] * batch.num_rows if first else batch.column(len(names)).to_pylist()
+                hits = searcher.search(batch.column(at))
+                rows = [_better(before[i], hits.get(i)) for i in range(batch.num_rows)]
+                kept = [c for c in range(len(names)) if c != at or keep_text or not last]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(rows, _FOUND)], [*(names[c] for c in kept), "found"])
 
         return run
 
-    for items in _item_blocks(benchmark, block_items):
-        shared = spark.sparkContext.broadcast((space, [x for i, t in items if (x := read_item(i, t, space, params))]))
-        docs = docs.mapInArrow(keep(shared), docs.schema)
+    blocks = list(_item_blocks(benchmark, block_items))
+    found = T.StructField("found", T.StructType.fromDDL(FOUND.removeprefix("struct<").removesuffix(">")))
+    for k, items in enumerate(blocks):
+        first, last = k == 0, k == len(blocks) - 1
+        shared = docs.sparkSession.sparkContext.broadcast((space, [x for i, t in items if (x := read_item(i, t, space, params))]))
+        fields = [f for f in docs.schema.fields if f.name != "found" and (f.name != text_col or keep_text or not last)]
+        docs = docs.mapInArrow(judge(shared, first, last), T.StructType([*fields, found]))
     return docs
 
 
-def op9_lsa_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document of ``documents`` against all of ``benchmark``: its items, best first."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return by_document(found)
+def _better(before: dict | None, hits: dict | None) -> dict:
+    """``found`` of a row after one more block of items."""
+    out = before or {"n_items": 0, "item_id": None, "lcs_share": None, "cosine": None, "kind": None}
+    for item_id, (share, cosine, kind) in (hits or {}).items():
+        out["n_items"] += 1
+        if out["item_id"] is None or (share, -item_id) > (out["lcs_share"], -out["item_id"]):
+            out |= {"item_id": item_id, "lcs_share": share, "cosine": cosine, "kind": kind}
+    return out
+
 
+def by_document(docs: DataFrame, benchmark: DataFrame, params: Params = Params(), block_items: int = 4096) -> DataFrame:
+    """One row per row of ``docs``: whether it is contaminated, its best item and how it was found."""
+    out = judged(docs.select("doc_id", "text"), benchmark, params, keep_text=False, block_items=block_items)
+    n = F.col("found.n_items")
+    return out.select("doc_id", (n > 0).alias("contaminated"), n.alias("n_items"), "found.item_id", F.round("found.lcs_share", 6).alias("lcs_share"), "found.kind")
 
-def by_document(found: DataFrame) -> DataFrame:
-    """One row a document: whether it is contaminated, its best item and how it was found."""
-    best = F.max(F.when(F.col("item_id").isNotNull(), F.struct("share", (-F.col("item_id")).alias("last"), "item_id", "kind", "cosine"))).alias("b")
-    out = found.groupBy("doc_id").agg(F.size(F.collect_set("item_id")).cast("long").alias("n_items"), best)
-    return out.select("doc_id", (F.col("n_items") > 0).alias("contaminated"), "n_items", F.col("b.item_id").alias("item_id"), F.round("b.share", 6).alias("lcs_share"), F.col("b.kind").alias("kind"))
+
+def op9_lsa_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document of ``documents`` against all of ``benchmark``: its items, best first."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return by_document(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
