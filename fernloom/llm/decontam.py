@@ -9,7 +9,8 @@ Three passes over the whole documents, none of which shuffles a text:
    that holds an item, do not make a word frequent, however many rows hold them;
 2. a randomised SVD of the TF-IDF passages A (non-overlapping runs of ``passage`` terms,
    unit rows): one pass forms A'A*Omega for a random Omega; its Nystroem form gives the right
-   singular vectors and values.  Only features x rank numbers reach the driver;
+   singular vectors and values.  Only features x rank numbers reach the driver.  The leading
+   tenth of the directions, shared by languages and topics, are weighted down to one size;
 3. every document slides windows of terms (a size for each benchmark item's length) over
    its passages' latent vectors; windows whose cosine with an item reaches ``min_cosine``
    are candidates.  A candidate must share enough terms with the item (an upper bound of
@@ -69,7 +70,7 @@ class Params:
     rank: int = 96
     passage: int = 32
     block: int = 8
-    min_cosine: float = 0.18
+    min_cosine: float = 0.12
     min_lcs: float = 0.75
     min_paraphrase: float = 0.55
     min_answer: float = 0.5
@@ -243,7 +244,7 @@ def idf_of(n_docs: int, df: np.ndarray, p: Params) -> np.ndarray:
 class _Gram:
     """A'A*Omega and A'1 of one task's passages A."""
 
-    TERMS = 1 << 12
+    ROWS = 64
 
     def __init__(self, idf: np.ndarray, omega: np.ndarray, p: Params):
         self.idf, self.omega, self.p = idf, omega, p
@@ -259,15 +260,12 @@ class _Gram:
         w = w / np.sqrt(np.add.reduceat(w * w, starts))[owner]
         self.ones += np.bincount(ids, w, self.p.features)
         self.passages += len(starts)
-        step = max(1, self.TERMS // self.p.passage)
-        for first in range(0, len(starts), step):
-            last = min(first + step, len(starts))
+        for first in range(0, len(starts), self.ROWS):
+            last = min(first + self.ROWS, len(starts))
             a, b = int(starts[first]), int(ends[last - 1])
-            latent = np.add.reduceat(w[a:b, None] * self.omega[ids[a:b]], starts[first:last] - a, axis=0)
-            order = np.argsort(ids[a:b], kind="stable")
-            own = ids[a:b][order]
-            heads = np.nonzero(np.diff(own, prepend=-1))[0]
-            self.sums[own[heads]] += np.add.reduceat(w[a:b][order, None] * latent[owner[a:b][order] - first], heads, axis=0)
+            own, column = np.unique(ids[a:b], return_inverse=True)
+            rows = np.bincount((owner[a:b] - first) * len(own) + column, w[a:b], (last - first) * len(own)).reshape(-1, len(own)).astype(np.float32)
+            self.sums[own] += rows.T @ (rows @ self.omega[own])
 
 
 def gram_times(docs: DataFrame, idf: np.ndarray, known: Vocabulary, omega: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, float]:
@@ -322,7 +320,8 @@ def space_of(known, idf, omega, w, sums, passages) -> Space:
     core = omega.T @ w
     lower = np.linalg.cholesky((core + core.T) / 2 + 1e-9 * shift * np.eye(omega.shape[1]))
     vectors, values, _ = np.linalg.svd(np.linalg.solve(lower, w.T).T, full_matrices=False)
-    projection = (vectors * (values > 1e-4 * values[0])).astype(np.float32)
+    # the leading tenth of the directions, what languages and topics share, get one weight; the others keep theirs
+    projection = (vectors / max(float(np.quantile(values, 0.9)), 1e-30) * np.minimum(1, np.quantile(values, 0.9) / np.maximum(values, 1e-30))).astype(np.float32)
     mean = (sums / passages) @ projection
     return Space(known, idf, projection, mean.astype(np.float32))
 
