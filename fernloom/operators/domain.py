@@ -41,9 +41,9 @@ def connected_on(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", x.connected_on(shape, F.lit("mdy")).alias("day"))
 
 
-@query("d_learn_slash", "SELECT o_orderstatus, 'mdy' AS slash FROM orders GROUP BY 1")
+@query("d_learn_slash", "SELECT o_orderstatus, CASE WHEN o_orderstatus = 'F' THEN 'dmy' ELSE 'mdy' END AS slash FROM orders GROUP BY 1")
 def learn_slash(t: Tables) -> DataFrame:
-    return t.orders.groupBy("o_orderstatus").agg(x.slash_order(F.date_format("o_orderdate", "M/d/yyyy")).alias("slash"))
+    return t.orders.groupBy("o_orderstatus").agg(x.slash_order(F.when(F.col("o_orderstatus") == "F", F.date_format("o_orderdate", "d/M/yyyy")).otherwise(F.date_format("o_orderdate", "M/d/yyyy"))).alias("slash"))
 
 
 @query("d_years_between", "SELECT l_orderkey, l_linenumber, CAST(date_part('year', age(CAST(l_shipdate AS DATE), DATE '1990-03-15')) AS INT) AS years FROM lineitem")
@@ -219,9 +219,9 @@ def parse_location(t: Tables) -> DataFrame:
     return posts(t).select("id", F.explode(x.parse_location(F.col("location"))).alias("p")).select("id", "p.*")
 
 
-@query("d_is_us", f"{JOBS} SELECT job_id, CASE WHEN country = 'UNITED STATES' OR coalesce(list_has_any(remote_regions, ['US', 'WORLDWIDE']), FALSE) THEN TRUE ELSE FALSE END AS is_us FROM jobs")
+@query("d_is_us", f"{JOBS} SELECT job_id, CASE WHEN country = 'NATION_7' OR coalesce(list_has_any(remote_regions, ['US', 'WORLDWIDE']), FALSE) THEN TRUE ELSE FALSE END AS is_us FROM jobs")
 def is_us(t: Tables) -> DataFrame:
-    places = F.array(F.struct(F.when(F.col("country") == "UNITED STATES", "US").otherwise(F.col("country")).alias("country")))
+    places = F.array(F.struct(F.when(F.col("country") == "NATION_7", "US").otherwise(F.col("country")).alias("country")))
     return jobs(t).select("job_id", x.is_us(places, F.col("remote_regions")).alias("is_us"))
 
 
@@ -251,12 +251,12 @@ def haversine(t: Tables) -> DataFrame:
     return t.supplier.select("s_suppkey", F.round(haversine_miles(F.lit(40.0), F.lit(-74.0), lat, lon), 3).alias("miles"))
 
 
-@query("d_place_resolve", """WITH asked AS (SELECT DISTINCT o_orderkey % 30 AS id, CASE WHEN o_orderkey % 30 < 25 THEN (SELECT n_name FROM nation WHERE n_nationkey = o_orderkey % 30) ELSE 'NOWHERE' END AS text FROM orders WHERE o_orderkey < 60)
+@query("d_place_resolve", """WITH asked AS (SELECT DISTINCT o_orderkey % 30 AS id, CASE WHEN o_orderkey % 30 < 25 THEN (SELECT n_name FROM nation WHERE n_nationkey = o_orderkey % 30) ELSE 'NOWHERE' END AS text FROM orders)
   SELECT CAST(id AS BIGINT) AS id, n_nationkey AS place, n_nationkey IS NULL AS unknown FROM asked LEFT JOIN nation ON n_name = text""")
 def place_resolve(t: Tables) -> DataFrame:
     """Text to a place of the dictionary; unknown where none has the name."""
     names = t.nation.select((F.col("n_nationkey")).cast("long").alias("id"), F.col("n_name").alias("name"))
-    asked = t.orders.where("o_orderkey < 60").select((F.col("o_orderkey") % 30).alias("id")).distinct().join(names, "id", "left").select("id", F.coalesce("name", F.lit("NOWHERE")).alias("text"))
+    asked = t.orders.select((F.col("o_orderkey") % 30).alias("id")).distinct().join(names, "id", "left").select("id", F.coalesce("name", F.lit("NOWHERE")).alias("text"))
     return asked.join(t.nation, F.col("n_name") == F.col("text"), "left").select("id", F.col("n_nationkey").alias("place"), F.col("n_nationkey").isNull().alias("unknown"))
 
 

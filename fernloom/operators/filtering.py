@@ -31,7 +31,7 @@ _filter("f_employment", {"employment_types": ["contract"]}, "employment_type = '
 _filter("f_max_years", {"max_years": 5}, "coalesce(years_min, years_max) <= 5")
 _filter("f_posted_within", {"posted_within": ("30d", NOW)}, f"posted_at >= TIMESTAMP '{NOW}' - INTERVAL 30 DAY OR posted_at IS NULL", ["posted_within"])
 _filter("f_min_pay", {"min_pay": 200000}, "(currency = 'USD' AND coalesce(annual_max, annual_min) >= 200000) OR currency IS NULL OR currency <> 'USD'", ["min_pay"])
-_filter("f_countries", {"countries": ["FRANCE", "CHINA"]}, "country IN ('FRANCE', 'CHINA')")
+_filter("f_countries", {"countries": ["NATION_3", "NATION_17"]}, "country IN ('NATION_3', 'NATION_17')")
 _filter("f_remote_regions", {"remote_regions": ["US"]}, "work_model = 'remote' AND list_has_any(remote_regions, ['US', 'WORLDWIDE'])")
 _filter("f_skills", {"skills": ["skill1", "skill9"]}, "list_has_any(skills, ['skill1', 'skill9'])")
 _filter("f_ex_skills", {"exclude_skills": ["skill1"]}, "NOT coalesce(list_has_any(skills, ['skill1']), FALSE)")
@@ -82,22 +82,23 @@ def likely_mask(t: Tables) -> DataFrame:
     return own.select(F.col("c_custkey").alias("company_id"), F.coalesce(stored, "likely", F.lit(False)).alias("likely"))
 
 
-@query("f_places", f"{JOBS} SELECT job_id FROM jobs WHERE list_has_any([country, area, country || '|' || area], ['FRANCE', 'CHINA|ASIA'])")
+@query("f_places", f"{JOBS} SELECT job_id FROM jobs WHERE list_has_any([country, area, country || '|' || area], ['NATION_3', 'NATION_4|' || (SELECT r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_name = 'NATION_4')])")
 def places_filter(t: Tables) -> DataFrame:
     tags = F.array("country", "area", F.concat_ws("|", "country", "area"))
-    return _ids(jobs(t).where(F.arrays_overlap(tags, F.array(F.lit("FRANCE"), F.lit("CHINA|ASIA")))))
+    home = t.nation.where("n_name = 'NATION_4'").join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.array(F.lit("NATION_3"), F.concat_ws("|", "n_name", "r_name")).alias("wanted"))
+    return _ids(jobs(t).crossJoin(F.broadcast(home)).where(F.arrays_overlap(tags, "wanted")))  # one row
 
 
-@query("f_place_match", f"{JOBS} SELECT job_id FROM jobs WHERE country = 'FRANCE' AND area = 'EUROPE'")
+@query("f_place_match", f"{JOBS} SELECT job_id FROM jobs WHERE country IN ('NATION_1', 'NATION_11') AND area = 'AMERICA'")
 def place_match(t: Tables) -> DataFrame:
     """City and region must stand in one segment of the location text."""
     location = F.concat(F.lit("Elsewhere, NOWHERE; "), F.col("country"), F.lit(", "), F.col("area"))
-    return _ids(jobs(t).where(F.exists(F.split(location, r"[;|]"), lambda s: s.rlike(r"(^|\W)FRANCE(\W|$)") & s.rlike(r"(^|\W)EUROPE(\W|$)"))))
+    return _ids(jobs(t).where(F.exists(F.split(location, r"[;|]"), lambda s: s.rlike(r"(^|\W)NATION_1{1,2}(\W|$)") & s.rlike(r"(^|\W)AMERICA(\W|$)"))))
 
 
-@query("f_states_in", "SELECT n_nationkey, list_sort(list_distinct(list_filter([CASE WHEN n_name = 'FRANCE' THEN 'FR' END, CASE WHEN n_name LIKE '%UNITED%' THEN 'UN' END, CASE WHEN n_name LIKE 'I%' THEN 'IX' END], lambda x: x IS NOT NULL))) AS codes FROM nation")
+@query("f_states_in", "SELECT n_nationkey, list_sort(list_distinct(list_filter([CASE WHEN n_name = 'NATION_3' THEN 'N3' END, CASE WHEN n_name LIKE '%_1%' THEN 'N1' END, CASE WHEN n_name LIKE '%2' THEN 'X2' END], lambda x: x IS NOT NULL))) AS codes FROM nation")
 def states_in(t: Tables) -> DataFrame:
-    rules = {"^FRANCE$": "FR", "UNITED": "UN", "^I": "IX"}
+    rules = {"^NATION_3$": "N3", ".1": "N1", "2$": "X2"}
     codes = F.array_compact(F.array(*[F.when(F.col("n_name").rlike(rx), code) for rx, code in rules.items()]))
     return t.nation.select("n_nationkey", F.array_sort(F.array_distinct(codes)).alias("codes"))
 

@@ -26,8 +26,9 @@ def payloads(t: Tables, **fields: str) -> DataFrame:
 
 
 def facts(rows: DataFrame, *names: str) -> DataFrame:
+    """The named facts of the postings ``p``; rejects go.  Behind the explode a mapper's work is not repeated per fact."""
     kinds = {"posted_at": "timestamp_ntz"}
-    return rows.where("p IS NOT NULL").select(*[F.col(f"p.{n}").cast(kinds[n]).alias(n) if n in kinds else F.col(f"p.{n}").alias(n) for n in names])
+    return rows.select(F.explode(F.array_compact(F.array("p"))).alias("p")).select(*[F.col(f"p.{n}").cast(kinds[n]).alias(n) if n in kinds else F.col(f"p.{n}").alias(n) for n in names])
 
 
 _ID, _TITLE, _URL, _AT = "CAST(o_orderkey AS STRING) AS external_id", "'Job ' || o_orderpriority AS title", "'https://x.org/' || CAST(o_orderkey AS STRING) AS url", "CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS posted_at"
@@ -176,10 +177,10 @@ def scan_jsonld(t: Tables) -> DataFrame:
     return facts(t.orders.select(b.jsonld(F.expr(_LD)).alias("p")), "external_id", "title", "company", "location")
 
 
-@query("scan_html_jsonld", f"SELECT {_ID}, {_TITLE} FROM orders WHERE o_orderkey < 500")
+@query("scan_html_jsonld", f"SELECT {_ID}, {_TITLE} FROM orders")
 def scan_html_jsonld(t: Tables) -> DataFrame:
     html = F.concat(F.lit('<html><script>x()</script><script type="application/ld+json">'), F.expr(_LD), F.lit('</script><p>y</p></html>'))
-    blocks = t.orders.where("o_orderkey < 500").select(F.explode(b.html_jsonld(html)).alias("block"))
+    blocks = t.orders.select(F.explode(b.html_jsonld(html)).alias("block"))
     return facts(blocks.select(b.jsonld(F.col("block")).alias("p")), "external_id", "title")
 
 
@@ -366,9 +367,9 @@ def sink_codec(t: Tables) -> DataFrame:
 
 @query("sink_vacuum", "SELECT count(*) AS n FROM orders")
 def sink_vacuum(t: Tables) -> DataFrame:
-    """Compaction: rewritten in few files."""
+    """Compaction: rewritten in files of the advisory partition size, many or few as the bytes ask."""
     path = scratch_path(t.spark, "compact")
-    t.orders.coalesce(1).write.parquet(path)
+    t.orders.hint("rebalance").write.parquet(path)
     return t.spark.read.parquet(path).agg(F.count("*").alias("n"))
 
 

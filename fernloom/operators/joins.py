@@ -62,18 +62,29 @@ def missing_anti(t: Tables) -> DataFrame:
     return t.orders.where("o_orderstatus <> 'F'").join(listed, "o_orderkey", "left_anti").select("o_orderkey")
 
 
-def resolve_by_keys(asked: DataFrame, known: DataFrame, keys: list[str], veto: Column | None = None) -> DataFrame:
+def resolve_by_keys(asked: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
     """``asked`` ids to ``known`` ids by the first key that matches, smallest known id on ties.
 
-    Both sides have ``id`` and the key columns; ``veto`` rejects pairs (columns of the
-    known side are prefixed ``k_``).
+    Both sides have ``id`` and the key columns.  The known side comes down to one id per key first, so a hot
+    key makes no pairs.
     """
-    stack = lambda df, n: df.select(n, *[c for c in df.columns if c not in keys and c != n], F.posexplode(F.array(*[F.col(k).cast("string") for k in keys])).alias("rank", "key")).where("key IS NOT NULL")
-    right = known.select(*[F.col(c).alias(c if c in keys else f"k_{c}") for c in known.columns])
-    pairs = stack(asked, "id").join(stack(right, "k_id"), ["rank", "key"])
-    if veto is not None:
-        pairs = pairs.where(~F.coalesce(veto, F.lit(False)))
-    return pairs.groupBy("id").agg(F.min(F.struct("rank", "k_id")).alias("m")).select("id", F.col("m.k_id").alias("match_id"), F.col("m.rank").alias("rank"))
+    stack = lambda df: df.select("id", F.posexplode(F.array(*[F.col(k).cast("string") for k in keys])).alias("rank", "key")).where("key IS NOT NULL")
+    least = stack(known).groupBy("rank", "key").agg(F.min("id").alias("k_id"))
+    return stack(asked).join(least, ["rank", "key"]).groupBy("id").agg(F.min(F.struct("rank", "k_id")).alias("m")).select("id", F.col("m.k_id").alias("match_id"), F.col("m.rank").alias("rank"))
+
+
+def least_of_others(asked: DataFrame, known: DataFrame, key: list[str], kind: list[str], name: str) -> DataFrame:
+    """``asked`` (id, key, kind) plus ``name``: the least known id of the same key and another kind, null if there is none.
+
+    Per key only the least ids of two kinds are kept: whichever kind asks, one of them is the answer.  A null key
+    part matches nothing.
+    """
+    mins = known.select("id", *key, F.struct(*kind).alias("kind")).dropna(subset=key).groupBy(*key, "kind").agg(F.min("id").alias("m"))
+    first = mins.groupBy(*key).agg(F.min(F.struct("m", "kind")).alias("a"))
+    rest = mins.join(first, key).where(F.col("kind") != F.col("a.kind")).groupBy(*key).agg(F.min("m").alias("b"))
+    two = first.join(rest, key, "left").select(*key, F.col("a.m").alias("m1"), F.col("a.kind").alias("k1"), F.col("b").alias("m2"))
+    out = asked.join(two, key, "left")
+    return out.select(*asked.columns, F.when(F.struct(*kind) == F.col("k1"), F.col("m2")).otherwise(F.col("m1")).alias(name))
 
 
 @query("j_identity_resolve", """WITH a AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey END AS k0, CASE WHEN s_suppkey % 3 <> 2 THEN s_nationkey * 100 END AS k1, s_name AS k2 FROM supplier),
@@ -88,32 +99,30 @@ def identity_resolve(t: Tables) -> DataFrame:
 
 
 @query("j_content_merge_veto", f"""{JOBS} SELECT a.job_id AS id, min(b.job_id) AS match_id, CAST(0 AS INT) AS rank FROM jobs a JOIN jobs b ON a.company || a.title = b.company || b.title
-  WHERE a.job_id % 50 = 0 AND b.job_id % 50 <> 0 AND NOT (a.ats = b.ats AND a.external_id <> b.external_id) GROUP BY a.job_id""")
+  WHERE a.job_id % 50 = 0 AND b.job_id <> a.job_id AND NOT (a.ats = b.ats AND a.external_id <> b.external_id) GROUP BY a.job_id""")
 def content_merge_veto(t: Tables) -> DataFrame:
-    """A content match does not merge postings whose ids of one family differ."""
+    """A content match does not merge postings whose ids of one family differ: it takes another family, or the same id."""
     base = jobs(t).select(F.col("job_id").alias("id"), "ats", "external_id", F.concat("company", "title").alias("content"))
-    veto = (F.col("ats") == F.col("k_ats")) & (F.col("external_id") != F.col("k_external_id"))
-    return resolve_by_keys(base.where("id % 50 = 0"), base.where("id % 50 <> 0"), ["content"], veto)
+    other = least_of_others(base.where("id % 50 = 0"), base, ["content"], ["ats"], "other")
+    twin = least_of_others(other, base, ["content", "ats", "external_id"], ["id"], "twin")
+    return twin.select("id", F.least("other", "twin").alias("match_id"), F.lit(0).alias("rank")).where("match_id IS NOT NULL")
 
 
 @query("j_url_owner", f"""{JOBS} SELECT a.job_id, min(b.job_id) AS owner_id FROM jobs a JOIN jobs b ON a.url = b.url AND a.title = b.title AND NOT (a.ats = b.ats AND a.board = b.board) AND (a.country = b.country OR a.level = b.level) GROUP BY a.job_id""")
 def url_owner(t: Tables) -> DataFrame:
     """The same URL and title on another board, with a compatible place or level; the smallest id owns it."""
-    a = jobs(t).select("job_id", "url", "title", "ats", "board", "country", "level")
-    b = a.select(*[F.col(c).alias(c if c in ("url", "title") else f"b_{c}") for c in a.columns])
-    other = ~((F.col("ats") == F.col("b_ats")) & (F.col("board") == F.col("b_board"))) & ((F.col("country") == F.col("b_country")) | (F.col("level") == F.col("b_level")))
-    return a.join(b, ["url", "title"]).where(other).groupBy("job_id").agg(F.min("b_job_id").alias("owner_id"))
+    a = jobs(t).select(F.col("job_id").alias("id"), "url", "title", "ats", "board", "country", "level")
+    out = least_of_others(a, a, ["url", "title", "country"], ["ats", "board"], "by_place")
+    out = least_of_others(out, a, ["url", "title", "level"], ["ats", "board"], "by_level")
+    return out.select(F.col("id").alias("job_id"), F.least("by_place", "by_level").alias("owner_id")).where("owner_id IS NOT NULL")
 
 
 @query("j_role_canonical", f"""{JOBS} SELECT a.job_id, min(b.job_id) AS canonical_id FROM jobs a JOIN jobs b ON a.company = b.company AND a.title = b.title AND a.country = b.country AND a.ats <> b.ats GROUP BY a.job_id""")
 def role_canonical(t: Tables) -> DataFrame:
-    """Lowest id of the role on another board, from the two least (id, board) minima of each role: no pairs are made."""
-    role = ["company", "title", "country"]
-    mins = jobs(t).groupBy(*role, "ats").agg(F.min("job_id").alias("m"))
-    w = Window.partitionBy(*role).orderBy("m")
-    firsts = mins.withColumn("n", F.row_number().over(w)).where("n <= 2").groupBy(*role).agg(F.min_by("ats", "n").alias("a1"), F.min("m").alias("m1"), F.when(F.count("*") > 1, F.max("m")).alias("m2"))
-    out = jobs(t).select("job_id", "ats", *role).join(firsts, role)
-    return out.select("job_id", F.when(F.col("ats") == F.col("a1"), F.col("m2")).otherwise(F.col("m1")).alias("canonical_id")).where("canonical_id IS NOT NULL")
+    """Lowest id of the role on another board."""
+    base = jobs(t).select(F.col("job_id").alias("id"), "ats", "company", "title", "country")
+    out = least_of_others(base, base, ["company", "title", "country"], ["ats"], "canonical_id")
+    return out.select(F.col("id").alias("job_id"), "canonical_id").where("canonical_id IS NOT NULL")
 
 
 @query("j_h1b_lookup", """WITH v AS (SELECT s_suppkey, unnest([s_name, replace(s_name, 'Supplier', 'Customer'), 'Customer#000000001']) AS name, unnest([0, 1, 2]) AS rank FROM supplier)
@@ -233,11 +242,11 @@ def tracker_list(t: Tables) -> DataFrame:
     return out.select("o_orderkey", "c_name", F.coalesce("has_notes", F.lit(False)).alias("has_notes"), F.coalesce("has_reminder", F.lit(False)).alias("has_reminder"))
 
 
-@query("j_boards_entries", """SELECT coalesce(s_suppkey, c_custkey) AS board, s_name, c_name, p_partkey IS NOT NULL AS checked FROM supplier FULL OUTER JOIN (SELECT * FROM customer WHERE c_custkey % 4 = 0 AND c_custkey < 300) ON s_suppkey = c_custkey
+@query("j_boards_entries", """SELECT coalesce(s_suppkey, c_custkey) AS board, s_name, c_name, p_partkey IS NOT NULL AS checked FROM supplier FULL OUTER JOIN (SELECT * FROM customer WHERE c_custkey % 4 = 0) ON s_suppkey = c_custkey
   LEFT JOIN (SELECT * FROM part WHERE p_partkey % 3 = 0) ON p_partkey = coalesce(s_suppkey, c_custkey)""")
 def boards_entries(t: Tables) -> DataFrame:
     directory = t.supplier.select(F.col("s_suppkey").alias("board"), "s_name")
-    prefs = t.customer.where("c_custkey % 4 = 0 AND c_custkey < 300").select(F.col("c_custkey").alias("board"), "c_name")
+    prefs = t.customer.where("c_custkey % 4 = 0").select(F.col("c_custkey").alias("board"), "c_name")
     checks = t.part.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("board"), F.lit(True).alias("checked"))
     return directory.join(prefs, "board", "full_outer").join(checks, "board", "left").withColumn("checked", F.coalesce("checked", F.lit(False)))
 

@@ -54,10 +54,10 @@ def u_title_family(t: Tables) -> DataFrame:
     return t.spark.sql("SELECT title, fl_title_family(title) AS family FROM {j}", j=jobs(t).select("title").distinct())
 
 
-@query("u_sql_place_match", f"{JOBS} SELECT DISTINCT country, country = 'JAPAN' AS fits FROM jobs")
+@query("u_sql_place_match", f"{JOBS} SELECT DISTINCT country, country = 'NATION_5' AS fits FROM jobs")
 def u_place_match(t: Tables) -> DataFrame:
     register(t.spark)
-    return t.spark.sql("SELECT country, fl_place_match(concat('x; ', country, ', ', area), 'Japan, Asia') AS fits FROM {j}", j=jobs(t).select("country", "area").distinct())
+    return t.spark.sql("SELECT country, fl_place_match(concat('x; ', country, ', ', area), 'Nation_5, Africa') AS fits FROM {j}", j=jobs(t).select("country", "area").distinct())
 
 
 def embed(column: Column, dims: int = 64) -> Column:

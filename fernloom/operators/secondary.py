@@ -61,10 +61,10 @@ def floor(t: Tables) -> DataFrame:
     return lexical(t).where("hits >= 1").select("job_id")
 
 
-@query("x_location_gate", f"{JOBS} SELECT job_id FROM jobs WHERE country IN ('FRANCE', 'JAPAN')")
+@query("x_location_gate", f"{JOBS} SELECT job_id FROM jobs WHERE country IN ('NATION_2', 'NATION_5')")
 def location_gate(t: Tables) -> DataFrame:
     """Whole-term match of any wanted place; nothing wanted lets all pass."""
-    return jobs(t).where(place_gate(F.col("country"), ["france", "japan"])).select("job_id")
+    return jobs(t).where(place_gate(F.col("country"), ["nation_2", "nation_5"])).select("job_id")
 
 
 def place_gate(location: Column, wanted: list[str]) -> Column:

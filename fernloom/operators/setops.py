@@ -107,9 +107,9 @@ def union_feeds(t: Tables) -> DataFrame:
     return a.unionByName(b).unionByName(t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand")), allowMissingColumns=True)
 
 
-@query("s_except_missing", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("s_except_missing", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'")
 def except_missing(t: Tables) -> DataFrame:
-    return t.customer.select("c_custkey").subtract(t.orders.select("o_custkey"))
+    return t.customer.select("c_custkey").subtract(t.orders.where("o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'").select("o_custkey"))
 
 
 @query("s_seed_cross_union", "SELECT n_nationkey, role FROM nation CROSS JOIN (SELECT 'recruiter' AS role UNION ALL SELECT 'manager' UNION ALL SELECT 'peer')")

@@ -43,14 +43,14 @@ def fold_accents(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", text.fold_accents(F.col("text")).alias("text"))
 
 
-@query("t_key_of", f"SELECT doc_id, trim(regexp_replace(replace(lower({_fold('substr(text, 1, 200)')}), '&', ' and '), '[^a-z0-9]+', ' ', 'g')) AS key FROM documents")
+@query("t_key_of", f"SELECT doc_id, trim(regexp_replace(replace(lower({_fold('text')}), '&', ' and '), '[^a-z0-9]+', ' ', 'g')) AS key FROM documents")
 def key_of(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", text.dictionary_key(F.substr("text", F.lit(1), F.lit(200))).alias("key"))
+    return t.documents.select("doc_id", text.dictionary_key(F.col("text")).alias("key"))
 
 
-@query("t_fold_place", f"SELECT doc_id, trim(regexp_replace(lower({_fold('substr(text, 1, 60)')}), '[^a-z0-9]+', ' ', 'g')) AS place FROM documents")
+@query("t_fold_place", f"SELECT doc_id, trim(regexp_replace(lower({_fold('text')}), '[^a-z0-9]+', ' ', 'g')) AS place FROM documents")
 def fold_place(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", text.place_key(F.substr("text", F.lit(1), F.lit(60))).alias("place"))
+    return t.documents.select("doc_id", text.place_key(F.col("text")).alias("place"))
 
 
 _SPECIAL = _steps("lower(title)", (r"c\+\+", "cplusplus"), (r"c#", "csharp"), (r"(^|[^a-z0-9])\.net", r"\1dotnet"), (r"([a-z]+)\.js", r"\1js"), (r"401\(k\)", "401k"), (r"r&d", "randd"))
@@ -79,15 +79,16 @@ def match_words(t: Tables) -> DataFrame:
     return w.where(F.array_contains("w", "that") & F.array_contains("w", "with")).select("doc_id", F.size(F.array_intersect("w", wanted)).cast("long").alias("hits"))
 
 
-def inverted_index(docs: DataFrame) -> DataFrame:
-    """``(term, id)`` once per document and term."""
-    return docs.select(F.explode(F.array_distinct("tokens")).alias("term"), "id")
+def inverted_index(docs: DataFrame, terms: list[str] | None = None) -> DataFrame:
+    """``(term, id)`` once per document and term, of all terms or the given ones (others are dropped before the explode)."""
+    own = F.array_distinct("tokens") if terms is None else F.array_intersect("tokens", F.array(*[F.lit(x) for x in terms]))
+    return docs.select(F.explode(own).alias("term"), "id")
 
 
 @query("t_fts_rids", "WITH i AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term, doc_id FROM documents) SELECT doc_id FROM i WHERE term IN ('apache', 'license') GROUP BY doc_id HAVING count(*) = 2")
 def fts_rids(t: Tables) -> DataFrame:
-    index = inverted_index(t.documents.select(F.col("doc_id").alias("id"), F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("tokens")))
-    return index.where(F.col("term").isin("apache", "license")).groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("n")).where("n = 2").select("doc_id")
+    index = inverted_index(t.documents.select(F.col("doc_id").alias("id"), F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("tokens")), ["apache", "license"])
+    return index.groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("n")).where("n = 2").select("doc_id")
 
 
 @query("t_fts_query_server")
@@ -117,17 +118,24 @@ def lookup(table: dict[str, str], key: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
 
 
-_CASE = "CASE n_name WHEN 'FRANCE' THEN 'FR' WHEN 'GERMANY' THEN 'DE' WHEN 'UNITED STATES' THEN 'US' WHEN 'CHINA' THEN 'CN' END"
+#: A place text per nation, for Spark and for the oracle: names, codes and texts that name no country.
+_TEXT = "CASE n_nationkey % 7 WHEN 0 THEN 'FRANCE' WHEN 1 THEN 'Germany' WHEN 2 THEN 'UNITED STATES' WHEN 3 THEN 'CHINA' WHEN 4 THEN substr(lower(n_name), 1, 2) WHEN 5 THEN n_name END"
+_CASE = "CASE {0} WHEN 'FRANCE' THEN 'FR' WHEN 'GERMANY' THEN 'DE' WHEN 'UNITED STATES' THEN 'US' WHEN 'CHINA' THEN 'CN' END"
 
 
-@query("t_region_key", f"SELECT n_nationkey, {_CASE} AS code FROM nation")
+@query("t_region_key", f"SELECT n_nationkey, {_CASE.format('t')} AS code FROM (SELECT n_nationkey, {_TEXT} AS t FROM nation)")
 def region_key(t: Tables) -> DataFrame:
-    return t.nation.select("n_nationkey", lookup(REGIONS, F.col("n_name")).alias("code"))
+    return t.nation.select("n_nationkey", lookup(REGIONS, F.expr(_TEXT)).alias("code"))
 
 
-@query("t_country_text", f"SELECT n_nationkey, coalesce({_CASE}, CASE WHEN length(n_name) = 2 THEN upper(n_name) END) AS code FROM nation")
+def country_of_text(place: Column) -> Column:
+    """Code of a country's name in any case, or a code of two letters."""
+    return F.coalesce(lookup(REGIONS, F.upper(place)), F.when(F.length(place) == 2, F.upper(place)))
+
+
+@query("t_country_text", f"SELECT n_nationkey, coalesce({_CASE.format('upper(t)')}, CASE WHEN length(t) = 2 THEN upper(t) END) AS code FROM (SELECT n_nationkey, {_TEXT} AS t FROM nation)")
 def country_text(t: Tables) -> DataFrame:
-    return t.nation.select("n_nationkey", F.coalesce(lookup(REGIONS, F.upper("n_name")), F.when(F.length("n_name") == 2, F.upper("n_name"))).alias("code"))
+    return t.nation.select("n_nationkey", country_of_text(F.expr(_TEXT)).alias("code"))
 
 
 @query("t_parse_place_query", f"{JOBS} SELECT DISTINCT country || ', ' || area AS text, country AS city, area AS region FROM jobs")
@@ -232,11 +240,11 @@ def evidence_snippet(t: Tables) -> DataFrame:
     return t.documents.where(F.length("text") > 240).select("doc_id", F.trim(F.substr("text", F.lit(1), F.lit(120))).alias("quote"))
 
 
-@query("t_analyze_text", """WITH l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE doc_id % 5 = 0)), h AS (SELECT *, CASE WHEN length(line) < 20 THEN line END AS heading FROM l)
+@query("t_analyze_text", """WITH l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)), h AS (SELECT *, CASE WHEN length(line) < 20 THEN line END AS heading FROM l)
   SELECT doc_id, CAST(pos AS INT) AS pos, last_value(heading IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos) AS section, len(regexp_extract_all(line, '[^.!?]+')) AS sentences FROM h""")
 def analyze_text(t: Tables) -> DataFrame:
     """Lines with the section heading above them and their number of sentences."""
-    lines = t.documents.where("doc_id % 5 = 0").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     w = Window.partitionBy("doc_id").orderBy("pos")
     section = F.last(F.when(F.length("line") < 20, F.col("line")), ignorenulls=True).over(w)
     return lines.select("doc_id", "pos", section.alias("section"), F.size(F.regexp_extract_all("line", F.lit("[^.!?]+"), F.lit(0))).cast("long").alias("sentences"))
@@ -379,10 +387,11 @@ def _kinded(kind: str):
     return lambda s: F.struct(F.lit(kind).alias("kind"), s.alias("s"))
 
 
-@query("t_truth_gate", "WITH f AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\\b(?:19|20)[0-9]{2}\\b')) AS fact FROM documents) SELECT doc_id, fact FROM f WHERE fact NOT IN (SELECT DISTINCT CAST(year(o_orderdate) AS STRING) FROM orders)")
+@query("t_truth_gate", "WITH f AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text || ' Since ' || CAST(1990 + doc_id % 15 AS STRING) || '.', '\\b(?:19|20)[0-9]{2}\\b')) AS fact FROM documents) SELECT doc_id, fact FROM f WHERE fact NOT IN (SELECT DISTINCT CAST(year(o_orderdate) AS STRING) FROM orders)")
 def truth_gate(t: Tables) -> DataFrame:
     """Facts of a draft that no fact of the profile supports."""
-    facts = t.documents.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(FACTS["year"]), F.lit(0))).alias("fact")).distinct()
+    draft = F.concat("text", F.lit(" Since "), (F.col("doc_id") % 15 + 1990).cast("string"), F.lit("."))
+    facts = t.documents.select("doc_id", F.explode(F.regexp_extract_all(draft, F.lit(FACTS["year"]), F.lit(0))).alias("fact")).distinct()
     profile = t.orders.select(F.year("o_orderdate").cast("string").alias("fact")).distinct()
     return facts.join(profile, "fact", "left_anti").select("doc_id", "fact")
 

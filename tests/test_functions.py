@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from fernloom.functions import facts, ranking, text
 from fernloom.functions.filters import compile_filter
-from fernloom.operators import domain, joins, ranking as rank_ops
+from fernloom.operators import domain, ingest, joins, ranking as rank_ops
 from fernloom.operators.ingest import CSV_TEXT, upsert
 from fernloom.registry import Tables
-from fernloom.sources import files
+from fernloom.sources import boards, files
 from fernloom.streaming import lifecycle as lc
 
 
@@ -187,3 +187,32 @@ def test_stream_equals_batch(spark, tmp_path):
     q = stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert q.exception() is None and got == batch
+
+
+MAPPED = {
+    "greenhouse": '{"id": 5, "title": "T", "updated_at": "2024-01-02T00:00:00Z"}', "lever": '{"id": "5", "text": "T"}', "ashby": '{"id": "5", "title": "T", "location": "A"}', "workable": '{"shortcode": "5", "title": "T"}',
+    "recruitee": '{"id": 5, "title": "T"}', "gem": '{"id": "5", "title": "T"}', "remotive": '{"id": 5, "title": "T"}', "remoteok": '{"id": "5", "position": "T"}', "github_json": '{"id": "5", "title": "T", "active": true, "is_visible": true}',
+    "personio": "<position><id>5</id><name>T</name></position>", "teamtailor": "<item><guid>5</guid><title>T</title></item>", "jsonld": '{"@type": "JobPosting", "title": "T", "identifier": {"value": "5"}}',
+}
+
+
+@pytest.mark.parametrize("name", sorted(MAPPED))
+def test_mappers_reject_what_is_no_posting(spark, name):
+    broken = ["{broken", "<x>", "", None, "[]", "{}", "7", MAPPED[name][:-3]]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate([MAPPED[name], *broken])], "i int, payload string")
+    rows = ingest.facts(df.select(getattr(boards, name)(F.col("payload")).alias("p")), "external_id", "title").collect()
+    assert [tuple(r) for r in rows] == [("5", "T")]
+
+
+def test_a_payload_is_parsed_once(spark):
+    df = spark.createDataFrame([(MAPPED["greenhouse"],)], "payload string")
+    out = ingest.facts(df.select(boards.greenhouse(F.col("payload")).alias("p")), "external_id", "title", "url", "posted_at", "pay_min", "text")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+
+
+def test_least_of_others_against_all_pairs(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["x", "y", None]), rng.choice("abc")) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, k string, c string")
+    want = {i: min((j for j, l, d in rows if l == k and k is not None and d != c), default=None) for i, k, c in rows}
+    assert {r.id: r.m for r in joins.least_of_others(df, df, ["k"], ["c"], "m").collect()} == want

@@ -21,6 +21,10 @@ def duck(sf):
     return con
 
 
+#: Queries that find nothing in the smallest tables.
+EMPTY = {"j_url_owner"}
+
+
 def plain(x):
     if isinstance(x, (float, decimal.Decimal)):
         return None if math.isnan(x) else float(f"{float(x):.9g}")
@@ -34,6 +38,7 @@ def test_query(spark, sf, duck, name):
     df = catalog.QUERIES[name](spark, sf)
     columns = sorted(df.columns)
     got = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
+    assert got or name in EMPTY, "a query without rows proves nothing"
     if name not in catalog.ORACLE_SQL:
         return
     cursor = duck.execute(catalog.ORACLE_SQL[name])
