@@ -502,7 +502,10 @@ def vec_half(t: Tables) -> DataFrame:
 
     def pack(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for column in columns:
-            yield column.map(lambda v: np.asarray(v, np.float32).astype("<f2").tobytes())
+            sizes = column.map(len).to_numpy()
+            flat = (np.concatenate(column.to_list()) if len(column) else np.zeros(0)).astype(np.float32).astype("<f2").tobytes()  # one cast a batch
+            ends = np.concatenate(([0], np.cumsum(sizes))) * 2
+            yield pd.Series([flat[a:b] for a, b in zip(ends, ends[1:], strict=False)], dtype=object)
 
     pack.__annotations__ = {"columns": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return t.embeddings.select("vec_id", F.hex(F.pandas_udf(pack, "binary")("embedding")).alias("half"))

@@ -212,7 +212,7 @@ def retry_ladder(t: Tables) -> DataFrame:
     return t.supplier.select("s_suppkey", r.retry_delay(F.col("s_suppkey") % 6, [5, 15, 60, 240]).alias("delay"))
 
 
-@query("w_jitter")
+@query("w_jitter", "SELECT s_suppkey, CAST(list_reduce(list_prepend(CAST(2166136261 AS UBIGINT), list_transform(string_split(s_name, ''), lambda c: CAST(ord(c) AS UBIGINT))), lambda h, b: (xor(h, b) * 16777619) % 4294967296) % 3600 AS BIGINT) AS jitter_s FROM supplier")
 def jitter(t: Tables) -> DataFrame:
     """Stable jitter per board: FNV-1a of its key over the refresh period."""
     return t.supplier.select("s_suppkey", (r.fnv1a32(F.col("s_name")) % 3600).alias("jitter_s"))

@@ -53,7 +53,16 @@ def fold_place(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", text.place_key(F.col("text")).alias("place"))
 
 
-_SPECIAL = _steps("lower(title)", (r"c\+\+", "cplusplus"), (r"c#", "csharp"), (r"(^|[^a-z0-9])\.net", r"\1dotnet"), (r"([a-z]+)\.js", r"\1js"), (r"401\(k\)", "401k"), (r"r&d", "randd"))
+_SYMBOLS = [(r"c\+\+", "cplusplus"), (r"c#", "csharp"), (r"(^|[^a-z0-9])\.net", r"\1dotnet"), (r"([a-z]+)\.js", r"\1js"), (r"401\(k\)", "401k"), (r"r&d", "randd")]
+_SPECIAL = _steps("lower(title)", *_SYMBOLS)
+
+
+def _token_sql(expr: str) -> str:
+    """The oracle's tokens of a text."""
+    return f"regexp_extract_all({_fold(_steps(f'lower({expr})', *_SYMBOLS))}, '[a-z0-9]+')"
+
+
+_STOP = "[" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + "]"
 
 
 @query("t_rewrite_special", f"{JOBS} SELECT job_id, {_SPECIAL} AS title FROM jobs")
@@ -66,7 +75,8 @@ def tokens(t: Tables) -> DataFrame:
     return jobs(t).select("job_id", text.tokens(F.col("title")).alias("tokens"))
 
 
-@query("t_parse_query")
+@query("t_parse_query", f"""WITH w AS (SELECT item_id, {_token_sql('substr(text, 1, 500)')} AS w FROM benchmark), d AS (SELECT item_id, list_filter(w, lambda x, i: list_position(w, x) = i) AS f FROM w),
+  r AS (SELECT item_id, f, list_filter(f, lambda x: NOT list_contains({_STOP}, x)) AS rest FROM d) SELECT item_id, (CASE WHEN len(rest) > 0 THEN rest ELSE f END)[1:12] AS terms FROM r""")
 def parse_query(t: Tables) -> DataFrame:
     return t.benchmark.select("item_id", text.query_terms(F.col("text")).alias("terms"))
 
@@ -91,7 +101,8 @@ def fts_rids(t: Tables) -> DataFrame:
     return index.groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("n")).where("n = 2").select("doc_id")
 
 
-@query("t_fts_query_server")
+@query("t_fts_query_server", """WITH p AS (SELECT item_id, regexp_extract_all('"' || substr(text, 1, 20) || '" c++ ' || substr(text, 30, 40), '"[^"]+"|[^\\s"]+')[1:20] AS match FROM benchmark)
+  SELECT item_id, match, list_filter(match, lambda x: regexp_matches(x, '[+#.()]')) AS exact FROM p""")
 def fts_query(t: Tables) -> DataFrame:
     """Quoted phrases stay whole, symbol words are kept exactly, at most 20 tokens."""
     asked = F.concat(F.lit('"'), F.substr("text", F.lit(1), F.lit(20)), F.lit('" c++ '), F.substr("text", F.lit(30), F.lit(40)))
@@ -230,7 +241,10 @@ def cut_other_jobs(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", text.cut_at(F.col("text"), _CUT).alias("text"))
 
 
-@query("t_drop_other_roles")
+@query("t_drop_other_roles", """WITH l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+  f AS (SELECT *, CASE WHEN regexp_matches(line, '^[A-M]') THEN 0 WHEN regexp_matches(line, '^The .*\\.$') THEN 1 END AS flag FROM l),
+  s AS (SELECT *, coalesce(last_value(flag IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING), 0) AS off FROM f)
+  SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (off = 0), '') AS text FROM s GROUP BY doc_id""")
 def drop_other_roles(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", text.drop_block(F.col("text"), r"^The .*\.$", r"^[A-M]").alias("text"))
 
@@ -327,7 +341,11 @@ def find_contacts(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", every(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}").alias("emails"), every(r"\+?[0-9][0-9 ().-]{7,}[0-9]").alias("phones"), every(r"https?://[^\s]+").alias("links"))
 
 
-@query("t_similarity")
+_FOLD_SQL = "CASE WHEN regexp_matches(w, 'ies$') THEN regexp_replace(w, 'ies$', 'y') WHEN regexp_matches(w, '(?:[sx]|ch|sh)es$') THEN regexp_replace(w, 'es$', '') WHEN regexp_matches(w, '[^s]s$') THEN regexp_replace(w, 's$', '') ELSE w END"
+
+
+@query("t_similarity", f"""WITH c AS (SELECT item_id, list_filter(list_distinct(list_transform({_token_sql('text')}, lambda w: {_FOLD_SQL})), lambda x: NOT list_contains({_STOP}, x)) AS c FROM benchmark)
+  SELECT a.item_id, CASE WHEN len(list_distinct(list_concat(a.c, b.c))) > 0 THEN round(len(list_intersect(a.c, b.c))::DOUBLE / len(list_distinct(list_concat(a.c, b.c))), 6) ELSE 0 END AS similarity FROM c a JOIN c b ON b.item_id = a.item_id + 1""")
 def similarity(t: Tables) -> DataFrame:
     """Neighbouring benchmark items by the Jaccard share of their content words."""
     a = t.benchmark.select("item_id", F.col("text").alias("a"))
@@ -339,7 +357,11 @@ def base36(number: Column) -> Column:
     return F.lower(F.conv(number.cast("string"), 10, 36))
 
 
-@query("t_stable_id")
+#: FNV-1a of a supplier's name (ASCII) for the oracle.
+FNV_SQL = "list_reduce(list_prepend(CAST(2166136261 AS UBIGINT), list_transform(string_split(s_name, ''), lambda c: CAST(ord(c) AS UBIGINT))), lambda h, b: (xor(h, b) * 16777619) % 4294967296)"
+
+
+@query("t_stable_id", f"SELECT s_suppkey, 's_' || ltrim(array_to_string(list_transform([6, 5, 4, 3, 2, 1, 0], lambda k: substr('0123456789abcdefghijklmnopqrstuvwxyz', CAST(h // CAST(pow(36, k) AS BIGINT) % 36 + 1 AS BIGINT), 1)), ''), '0') AS id FROM (SELECT s_suppkey, CAST({FNV_SQL} AS BIGINT) AS h FROM supplier)")
 def stable_id(t: Tables) -> DataFrame:
     """FNV-1a of the parts in base 36."""
     return t.supplier.select("s_suppkey", F.concat(F.lit("s_"), base36(ranking.fnv1a32(F.col("s_name")))).alias("id"))
