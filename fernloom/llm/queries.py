@@ -15,9 +15,11 @@ QUERIES = {
     "op8_language_id": langid.op8_language_id,
     "op9_lsa_decontamination": decontam.op9_lsa_decontamination,
     "op10_line_dedup": linededup.op10_line_dedup,
+    "quoted_threads": quotes.quoted_threads,  # op1 on replies that quote: the table itself holds no quotes
 }
 ORACLE_SQL = {
     "op1_quotation_linking": quotes.OP1_SQL,
     "op5_url_filter": urlfilter.OP5_SQL,
     "op10_line_dedup": linededup.OP10_SQL,
+    "quoted_threads": quotes.QUOTED_THREADS_SQL,
 }

@@ -4,7 +4,10 @@ A line's quote level is the number of ``>`` in its leading run of markers.  Cons
 lines of one level make a quoted passage.  Passages are normalised (markers off, lower
 case, white space collapsed) and hashed; the same is done to every message's own text,
 as a whole, by paragraph and by line.  A passage is linked to the latest earlier message
-of its conversation with that hash, else to the first message of any conversation.
+of its conversation with that hash, else to the first message of any conversation.  A passage
+linked to neither, as one of several paragraphs or lines, is split into its paragraphs and
+lines: each votes for the latest earlier message of the conversation that holds it, and the
+message with most votes is taken, the latest on ties.
 
 A message replies to the latest message its level-1 passages are linked to within the
 conversation, else to the one before it.  Reply order is the preorder of that tree:
@@ -70,7 +73,10 @@ def parse(messages: DataFrame) -> DataFrame:
     """``(conv_id, turn, ord, role, own, passages)``: text without quotes, and the quotes."""
     same = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
     out = messages.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
-    out = out.withColumn("ord", F.row_number().over(same))
+    placed = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
+    # rows without a place are only told apart; they never meet in one window
+    loose = out.where(~placed).withColumn("ord", F.monotonically_increasing_id())
+    out = out.where(placed).withColumn("ord", F.row_number().over(same).cast("long")).unionByName(loose)
     out = out.withColumn("quoting", F.col("text").rlike(r"(?m)" + MARKERS))
     out = out.withColumn("lines", F.when(F.col("quoting"), _lines(F.col("text"))))
     quoted_next = F.transform("lines", lambda x, i: F.coalesce(F.get(F.col("lines"), i + 1)["level"], F.lit(0)) > 0)
@@ -91,17 +97,48 @@ def _originals(parsed: DataFrame) -> DataFrame:
     return parsed.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", F.explode(hashes).alias("hash"))
 
 
+def _latest_earlier(asked: DataFrame, said: DataFrame) -> DataFrame:
+    """``asked (conv_id, hash, turn)`` plus ``found``: the latest earlier turn of ``said``, by ranges of turns.
+
+    Both sides are merged and a running maximum goes over them, so a line that is said and quoted any number
+    of times makes no pairs; within a hash a range of ``SPAN`` turns and the ranges' maxima are ordered apart.
+    """
+    asked, key = asked.dropna().distinct(), ["conv_id", "hash"]
+    said = said.select(*key, "turn").join(asked.select(*key).distinct(), key, "left_semi")
+    span = F.floor(F.col("turn") / SPAN).alias("span")
+    spans = said.groupBy(*key, span).agg(F.max("turn").alias("latest")).unionByName(asked.select(*key, span).distinct(), allowMissingColumns=True)
+    spans = spans.groupBy(*key, "span").agg(F.max("latest").alias("latest"))
+    before = Window.partitionBy(*key).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select(*key, "span", F.max("latest").over(before).alias("carried"))
+    both = said.select(*key, "turn", F.col("turn").alias("at")).unionByName(asked.select(*key, "turn"), allowMissingColumns=True).select("*", span)
+    inside = Window.partitionBy(*key, "span").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    own = both.withColumn("inside", F.max("at").over(inside)).where("at IS NULL").join(spans, [*key, "span"])
+    return own.select(*key, "turn", F.coalesce("inside", "carried").alias("found"))
+
+
+def _voted(passages: DataFrame, originals: DataFrame) -> DataFrame:
+    """``(KEY, at, voted)`` of passages ``(KEY, at, text)``: the earlier turn that most paragraphs and lines were last seen in."""
+    parts = F.concat(F.split("text", r"\n[ \t]*\n"), F.split("text", "\n"))
+    hashes = F.array_distinct(F.transform(F.filter(F.transform(parts, normalised), lambda x: x != ""), lambda x: F.md5(x)))
+    units = passages.select(*KEY, "at", F.explode(hashes).alias("hash"))
+    found = _latest_earlier(units.select("conv_id", "hash", "turn"), originals).where("found IS NOT NULL")
+    votes = units.join(found, ["conv_id", "hash", "turn"]).groupBy(*KEY, "at", "found").agg(F.count("*").alias("n"))
+    return votes.groupBy(*KEY, "at").agg(F.max(F.struct("n", "found")).alias("v")).select(*KEY, "at", F.col("v.found").alias("voted"))
+
+
 def links(parsed: DataFrame) -> DataFrame:
     """One row per quoted passage: ``(conv_id, turn, ord, at, level, from_conv, from_turn)``."""
     quoted = parsed.where("size(passages) > 0").select(*KEY, F.posexplode("passages").alias("at", "p"))
-    quoted = quoted.select(*KEY, "at", "p.level", normalised(F.col("p.text")).alias("t")).select(*KEY, "at", "level", F.when(F.col("t") != "", F.md5("t")).alias("hash"))
+    quoted = quoted.select(*KEY, "at", "p.level", "p.text", normalised(F.col("p.text")).alias("t")).select(*KEY, "at", "level", "text", F.when(F.col("t") != "", F.md5("t")).alias("hash"))
     originals = _originals(parsed)
-    here = originals.select("conv_id", "hash", F.col("turn").alias("from_turn"))
-    own = quoted.join(here, ["conv_id", "hash"], "left").groupBy(*KEY, "at", "level", "hash").agg(F.max(F.when(F.col("from_turn") < F.col("turn"), F.col("from_turn"))).alias("own_turn"))
-    own = materialize(own, "own-links")
+    found = _latest_earlier(quoted.select("conv_id", "hash", "turn"), originals).withColumnRenamed("found", "own_turn")
+    own = materialize(quoted.join(found, ["conv_id", "hash", "turn"], "left").select(*KEY, "at", "level", "text", "hash", "own_turn"), "own-links")
     wanted = own.where("own_turn IS NULL AND hash IS NOT NULL").select("hash").distinct()
     first = originals.join(wanted, "hash", "left_semi").groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
     both = own.join(first, "hash", "left").withColumn("first", F.when(~((F.col("first.conv_id") == F.col("conv_id")) & (F.col("first.turn") >= F.col("turn"))), F.col("first")))
+    both = materialize(both, "whole-links")
+    voted = _voted(both.where("own_turn IS NULL AND first IS NULL AND hash IS NOT NULL"), originals)
+    both = both.join(voted, [*KEY, "at"], "left").withColumn("own_turn", F.coalesce("own_turn", F.when(F.col("first").isNull(), F.col("voted"))))
     return both.select(
         *KEY,
         "at",
@@ -210,19 +247,30 @@ WITH RECURSIVE msg AS (
 ), runs AS (
   SELECT *, sum(CASE WHEN level <> prev_level THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, turn, ord ORDER BY i) AS run FROM nx
 ), quoted AS (
-  SELECT conv_id, turn, ord, run, level, trim(regexp_replace(lower(string_agg(body, chr(10) ORDER BY i)), '[\s>]+', ' ', 'g')) AS t
+  SELECT conv_id, turn, ord, run, level, string_agg(body, chr(10) ORDER BY i) AS raw, trim(regexp_replace(lower(string_agg(body, chr(10) ORDER BY i)), '[\s>]+', ' ', 'g')) AS t
   FROM runs WHERE level > 0 GROUP BY 1, 2, 3, 4, 5
 ), src AS (
   SELECT DISTINCT conv_id, turn, trim(regexp_replace(lower(p), '[\s>]+', ' ', 'g')) AS t FROM (
     SELECT conv_id, turn, own AS p FROM own UNION ALL SELECT conv_id, turn, unnest(regexp_split_to_array(own, '\n[ \t]*\n')) FROM own
     UNION ALL SELECT conv_id, turn, unnest(string_split(own, chr(10))) FROM own)
 ), here AS (
-  SELECT q.conv_id, q.turn, q.ord, q.run, q.level, q.t, max(s.turn) AS own_turn
+  SELECT q.conv_id, q.turn, q.ord, q.run, q.level, q.t, any_value(q.raw) AS raw, max(s.turn) AS own_turn
   FROM quoted q LEFT JOIN src s ON q.conv_id = s.conv_id AND q.t = s.t AND s.turn < q.turn AND q.t <> '' GROUP BY 1, 2, 3, 4, 5, 6
 ), firsts AS (
   SELECT t, min((conv_id, turn)) AS f FROM src WHERE t <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY t
-), lk AS (
+), whole AS (
   SELECT h.*, f.f IS NOT NULL AND NOT (f.f[1] = h.conv_id AND f.f[2] >= h.turn) AS elsewhere FROM here h LEFT JOIN firsts f ON h.t = f.t AND h.own_turn IS NULL
+), units AS (
+  SELECT DISTINCT conv_id, turn, ord, run, trim(regexp_replace(lower(p), '[\s>]+', ' ', 'g')) AS u FROM (
+    SELECT conv_id, turn, ord, run, unnest(regexp_split_to_array(raw, '\n[ \t]*\n')) AS p FROM whole WHERE own_turn IS NULL AND elsewhere IS NOT TRUE
+    UNION ALL SELECT conv_id, turn, ord, run, unnest(string_split(raw, chr(10))) FROM whole WHERE own_turn IS NULL AND elsewhere IS NOT TRUE)
+), votes AS (
+  SELECT conv_id, turn, ord, run, found, count(*) AS n FROM (
+    SELECT u.conv_id, u.turn, u.ord, u.run, u.u, max(s.turn) AS found FROM units u JOIN src s ON u.conv_id = s.conv_id AND u.u = s.t AND s.turn < u.turn AND u.u <> '' GROUP BY 1, 2, 3, 4, 5) GROUP BY 1, 2, 3, 4, 5
+), pick AS (
+  SELECT conv_id, turn, ord, run, arg_max(found, (n, found)) AS voted FROM votes GROUP BY 1, 2, 3, 4
+), lk AS (
+  SELECT w.conv_id, w.turn, w.ord, w.run, w.level, coalesce(w.own_turn, p.voted) AS own_turn, w.elsewhere FROM whole w LEFT JOIN pick p USING (conv_id, turn, ord, run)
 ), par AS (
   SELECT conv_id, turn, ord, max(own_turn) FILTER (level = 1) AS own_parent, count(*) FILTER (own_turn IS NOT NULL OR elsewhere) AS n_linked,
          count(*) AS n_quotes, max(level) AS depth FROM lk GROUP BY 1, 2, 3
@@ -247,3 +295,21 @@ SELECT o.conv_id, o.turn, o.role, o.own AS text, CAST(coalesce(a.n_quotes, 0) AS
 FROM own o LEFT JOIN par a ON (o.conv_id, o.turn, o.ord) IS NOT DISTINCT FROM (a.conv_id, a.turn, a.ord)
 LEFT JOIN pos p ON (o.conv_id, o.turn, o.ord) IS NOT DISTINCT FROM (p.conv_id, p.turn, p.ord)
 """
+
+
+#: Fixed value: replies made of the conversations, each quoting the message one to three turns before it: all of its text,
+#: all but its first line, its first paragraph with a line no one wrote, or nothing.
+QUOTING = r"""
+SELECT a.conv_id, a.turn, a.role, CASE WHEN b.text IS NULL OR a.turn % 4 = 3 THEN a.text ELSE
+  '> ' || replace(CASE a.turn % 4 WHEN 0 THEN b.text WHEN 1 THEN regexp_replace(b.text, '^[^\n]*\n', '') ELSE split_part(b.text, chr(10), 1) || chr(10) || 'a line no one wrote' END, chr(10), chr(10) || '> ') || chr(10) || a.text END AS text
+FROM {table} a LEFT JOIN {table} b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1 - a.turn % 3
+"""
+
+
+def quoted_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``op1_quotation_linking`` on replies that quote: whole messages, parts of them and altered ones."""
+    made = spark.sql(QUOTING.format(table="{conversations}").replace(r"'^[^\n]*\n'", r"'^[^\\n]*\\n'"), conversations=spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return reply_order(made)
+
+
+QUOTED_THREADS_SQL = OP1_SQL.replace("WITH RECURSIVE msg AS (", f"WITH RECURSIVE threads AS ({QUOTING.format(table='conversations')}), msg AS (").replace("AS text FROM conversations", "AS text FROM threads")

@@ -1,5 +1,6 @@
 import random
 
+import duckdb
 import pandas as pd
 import pytest
 
@@ -40,6 +41,32 @@ def test_nested_quotes_make_branches(spark):
     assert out[2, 0].n_linked == 1 and out[2, 0].quoted_turn is None
 
 
+def test_parts_of_a_message_are_linked_by_votes(spark):
+    long = "first paragraph\nits second line\n\nsecond paragraph\nof two lines\n\nthird one"
+    rows = [
+        (1, 0, "user", long),
+        (1, 1, "assistant", "its second line\nin another message"),
+        (1, 2, "user", "> first paragraph\n> its second line\n>\n> second paragraph\n> of two lines\ntwo of three paragraphs"),
+        (1, 3, "user", "> second paragraph\n> OF two lines\n> and a line no one wrote\naltered"),
+        (1, 4, "user", "> its second line\n> in another\na line and a half"),
+        (1, 5, "user", "> never said\n> by anyone\nunknown"),
+        (1, 6, "user", "> its second line\n> third one\ntie"),
+        (2, 0, "user", "> second paragraph\n> nothing else\nelsewhere parts are not voted"),
+    ]
+    got, want = both(spark, rows)
+    assert got == want
+    out = {(r.conv_id, r.turn): r.quoted_turn for r in quotes.reply_order(spark.createDataFrame([(*r, "", "") for r in rows], SCHEMA)).collect()}
+    assert [out[1, t] for t in range(2, 7)] == [0, 0, 1, None, 1] and out[2, 0] is None
+
+
+def test_quoted_threads_match_sql(spark, sf):
+    want = duckdb.connect().execute(quotes.QUOTED_THREADS_SQL.replace("FROM conversations", f"FROM '{sf}/conversations.parquet'").replace("JOIN conversations", f"JOIN '{sf}/conversations.parquet'")).fetchdf()
+    got = quotes.quoted_threads(spark, sf).toPandas()
+    ints = {c: "Int64" for c in got.columns if c not in ("role", "text")}
+    assert rows_of(got.astype(ints)) == rows_of(want.astype(ints))
+    assert (got.n_quotes > 0).sum() > 10 and (got.n_linked > 0).sum() > 10 and (got.quoted_turn < got.turn - 1).any()  # the smallest table holds few threads
+
+
 def test_random_threads_match_sql(spark):
     rng, rows = random.Random(5), []
     for conv in range(40):
@@ -50,6 +77,8 @@ def test_random_threads_match_sql(spark):
                 if own:
                     mark = ">" * rng.randint(1, 3) + rng.choice(["", " "])
                     text = f"{mark}{rng.choice(own)}\n{text}"
+                    if rng.random() < 0.4:  # a second line of the same passage, from anywhere
+                        text = f"{mark}{rng.choice(own)}\n{text}"
             rows.append((conv, turn, rng.choice(["user", "assistant"]), text))
             own.append(text.split("\n")[-1])
     got, want = both(spark, rows)
