@@ -109,7 +109,30 @@ def parse_number(t: Tables) -> DataFrame:
     return t.supplier.select("s_suppkey", x.parse_number(token).alias("number"))
 
 
-#: Small texts that state the facts the driver's prose lacks.
+#: One SQL text for Spark and for the oracle: an ad per order whose title, place and text state facts of its columns.
+#: ``lo`` and ``hi`` are thousands, ``y`` years; the remainders tell which sentence an ad has.
+_ADS = """SELECT o_orderkey AS job_id, lo, hi, y, o_orderkey % 7 AS k7, o_orderkey % 6 AS k6, o_orderkey % 5 AS k5, o_custkey % 6 AS c6, o_custkey % 5 AS c5,
+  CASE o_orderkey % 5 WHEN 0 THEN 'Senior ' WHEN 1 THEN 'Staff ' WHEN 2 THEN 'Junior ' WHEN 3 THEN 'Lead ' ELSE '' END
+    || CASE o_custkey % 5 WHEN 0 THEN 'Marketing Intern' WHEN 1 THEN 'Analyst (part-time)' WHEN 2 THEN 'Contract Engineer' ELSE 'Engineer' END AS title,
+  CASE o_custkey % 5 WHEN 0 THEN 'Berlin, Germany' WHEN 1 THEN 'New York, NY; Austin, TX' WHEN 2 THEN 'Paris, France' WHEN 3 THEN 'London, United Kingdom' END AS location,
+  CASE o_orderkey % 7 WHEN 0 THEN 'Pay: $' || CAST(lo AS STRING) || ',000 - $' || CAST(hi AS STRING) || ',000 per year. ' WHEN 1 THEN '€' || CAST(lo AS STRING) || '.000 to €' || CAST(hi AS STRING) || '.000 salary. '
+    WHEN 2 THEN '£' || CAST(lo AS STRING) || 'k to £' || CAST(hi AS STRING) || 'k. ' WHEN 3 THEN '$' || CAST(lo AS STRING) || ' - $' || CAST(hi AS STRING) || ' per hour. '
+    WHEN 4 THEN 'Earn $' || CAST(lo AS STRING) || '00 a month. ' WHEN 5 THEN 'We raised $' || CAST(lo AS STRING) || ' million. ' ELSE '' END
+    || CASE o_custkey % 6 WHEN 0 THEN CAST(y AS STRING) || '+ years of experience required. ' WHEN 1 THEN CAST(y AS STRING) || '-' || CAST(y + 2 AS STRING) || ' years of SQL. ' WHEN 2 THEN CAST(y AS STRING) || ' years preferred. '
+    WHEN 3 THEN CAST(y AS STRING) || ' years or ' || CAST(y + 2 AS STRING) || ' years of Java. ' WHEN 4 THEN 'We have been in business for ' || CAST(y AS STRING) || ' years. ' ELSE '' END
+    || CASE o_orderkey % 5 WHEN 0 THEN 'Visa sponsorship is available. ' WHEN 1 THEN 'We cannot sponsor visas. ' WHEN 2 THEN 'Must be a U.S. citizen. ' WHEN 3 THEN 'Security clearance required. ' ELSE 'An equal opportunity employer, no sponsorship question is asked. ' END
+    || CASE o_orderkey % 6 WHEN 0 THEN 'This is a remote role. ' WHEN 1 THEN 'Hybrid. ' WHEN 2 THEN 'This is an on-site role. ' WHEN 3 THEN 'This role is not remote. ' WHEN 4 THEN 'Not remote, hybrid. ' ELSE '' END
+    || CASE WHEN o_custkey % 5 = 3 THEN 'Job type: full-time.' ELSE '' END AS text
+  FROM (SELECT o_orderkey, o_custkey, 40 + o_orderkey % 160 AS lo, 45 + o_orderkey % 160 + o_custkey % 40 AS hi, 1 + o_custkey % 9 AS y FROM orders)"""
+_WITH = f"WITH ads AS ({_ADS}) "
+_MIN_YEARS = "CASE WHEN c6 IN (0, 1, 3) THEN y END"
+
+
+def ads(t: Tables) -> DataFrame:
+    return t.spark.sql(_ADS.replace("FROM orders", "FROM {orders}"), orders=t.orders)
+
+
+#: Small texts of all kinds, for unit cases.
 POSTS = [
     (1, "Senior Data Engineer", "Remote, USA", "Pay: $120,000 - $150,000 per year. 5+ years of experience required. Visa sponsorship is available."),
     (2, "Recruiter", "Berlin, Germany", "€60.000 - €70.000 salary. On-site. 3-5 years preferred. We cannot sponsor visas."),
@@ -121,17 +144,14 @@ POSTS = [
 ]
 
 
-#: What the texts above state, written down by hand.
-STATED_PLACES = "(1, 'USA', NULL, NULL, 'US'), (2, 'Berlin, Germany', 'Berlin', NULL, 'DE'), (3, 'New York, NY', 'New York', 'NY', 'US'), (3, 'Austin, TX', 'Austin', 'TX', 'US'), (4, 'London, United Kingdom', 'London', NULL, 'GB'), (6, 'Paris, France', 'Paris', NULL, 'FR')"
-
-
 def posts(t: Tables) -> DataFrame:
     return frame(t, POSTS, "id int, title string, location string, text string")
 
 
-@query("d_parse_pay", "SELECT * FROM (VALUES (1, 120000.0::DOUBLE, 150000.0::DOUBLE, 'USD', 'year'), (2, 60000.0, 70000.0, 'EUR', 'year'), (3, 45.0, 60.0, 'USD', 'hour'), (4, NULL, NULL, NULL, NULL), (5, NULL, NULL, NULL, NULL), (6, 30000.0, 35000.0, 'GBP', 'year'), (7, NULL, NULL, NULL, NULL)) v(id, \"min\", \"max\", currency, period)")
+@query("d_parse_pay", f"""{_WITH} SELECT job_id, CAST(CASE WHEN k7 IN (0, 1, 2) THEN lo * 1000 WHEN k7 = 3 THEN lo WHEN k7 = 4 THEN lo * 100 END AS DOUBLE) AS "min", CAST(CASE WHEN k7 IN (0, 1, 2) THEN hi * 1000 WHEN k7 = 3 THEN hi END AS DOUBLE) AS "max",
+  CASE k7 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' WHEN 2 THEN 'GBP' WHEN 3 THEN 'USD' WHEN 4 THEN 'USD' END AS currency, CASE k7 WHEN 0 THEN 'year' WHEN 1 THEN 'year' WHEN 2 THEN 'year' WHEN 3 THEN 'hour' WHEN 4 THEN 'month' END AS period FROM ads""")
 def parse_pay(t: Tables) -> DataFrame:
-    return posts(t).select("id", x.parse_pay(F.col("text")).alias("pay")).select("id", "pay.*")
+    return ads(t).select("job_id", x.parse_pay(F.col("text")).alias("pay")).select("job_id", "pay.*")
 
 
 @query("d_pay_from_board", f"{JOBS} SELECT job_id, least(annual_min, annual_max) AS low, greatest(annual_min, annual_max) AS high, CASE WHEN annual_min >= 10000 THEN 'year' WHEN annual_min BETWEEN 5 AND 250 THEN 'hour' END AS period FROM jobs WHERE annual_min > 0")
@@ -155,14 +175,15 @@ def format_pay(t: Tables) -> DataFrame:
     return jobs(t).where("currency IS NOT NULL").select("job_id", F.concat("currency", F.lit(" "), F.format_number("annual_min", 0), top).alias("pay"))
 
 
-@query("d_years_required", "SELECT * FROM (VALUES (1, 5, NULL::INT), (2, NULL, NULL), (3, 2, NULL), (4, NULL, NULL), (5, NULL, NULL), (6, NULL, NULL), (7, NULL, NULL)) v(id, \"min\", \"max\")")
+@query("d_years_required", f"""{_WITH} SELECT job_id, CAST({_MIN_YEARS} AS INT) AS "min", CAST(CASE WHEN c6 = 1 THEN y + 2 END AS INT) AS "max" FROM ads""")
 def years_required(t: Tables) -> DataFrame:
-    return posts(t).select("id", x.years_required(F.col("text")).alias("y")).select("id", "y.*")
+    return ads(t).select("job_id", x.years_required(F.col("text")).alias("r")).select("job_id", "r.*")
 
 
-@query("d_level", "SELECT * FROM (VALUES (1, 'senior'), (2, NULL), (3, 'mid'), (4, 'intern'), (5, 'director'), (6, NULL), (7, NULL)) v(id, level)")
+@query("d_level", f"""{_WITH}, o AS (SELECT job_id, {_MIN_YEARS} AS years, CASE k5 WHEN 0 THEN 'senior' WHEN 1 THEN 'staff' WHEN 3 THEN 'lead' ELSE CASE WHEN c5 = 0 THEN 'intern' WHEN k5 = 2 THEN 'junior' END END AS own FROM ads)
+  SELECT job_id, CASE WHEN own IN ('senior', 'staff', 'intern') THEN own WHEN years <= 1 THEN 'entry' WHEN years <= 4 THEN 'mid' WHEN years IS NOT NULL THEN 'senior' ELSE own END AS level FROM o""")
 def level(t: Tables) -> DataFrame:
-    return posts(t).select("id", x.level(F.col("title"), x.years_required(F.col("text"))["min"], F.lit(None).cast("string")).alias("level"))
+    return ads(t).select("job_id", x.level(F.col("title"), x.years_required(F.col("text"))["min"], F.lit(None).cast("string")).alias("level"))
 
 
 @query("d_level_title", f"{JOBS} SELECT DISTINCT title, CASE title WHEN 'Senior Data Engineer' THEN 'senior' WHEN 'Engineering Manager' THEN 'manager' WHEN 'Registered Nurse II' THEN 'mid' WHEN 'Lead Analyst, 2024 Summer' THEN 'lead' WHEN 'Junior Software Engineer' THEN 'junior' WHEN 'Director of Data' THEN 'director' END AS level FROM jobs")
@@ -192,9 +213,9 @@ def level_bucket(t: Tables) -> DataFrame:
     return jobs(t).select("job_id", x.level_bucket(F.col("level")).alias("bucket"))
 
 
-@query("d_work_model", "SELECT * FROM (VALUES (1, 'remote'), (2, 'onsite'), (3, 'hybrid'), (4, 'onsite'), (5, NULL), (6, NULL), (7, NULL)) v(id, work_model)")
+@query("d_work_model", f"""{_WITH} SELECT job_id, CASE k6 WHEN 0 THEN 'remote' WHEN 1 THEN 'hybrid' WHEN 2 THEN 'onsite' WHEN 3 THEN 'onsite' WHEN 4 THEN 'hybrid' END AS work_model FROM ads""")
 def work_model(t: Tables) -> DataFrame:
-    return posts(t).select("id", x.work_model(F.col("location"), F.col("text")).alias("work_model"))
+    return ads(t).select("job_id", x.work_model(F.col("location"), F.col("text")).alias("work_model"))
 
 
 @query("d_regions_of_area", "SELECT n_nationkey, CASE WHEN r_name = 'EUROPE' THEN ['EU', 'EMEA'] WHEN r_name = 'ASIA' THEN ['APAC'] WHEN r_name IN ('AFRICA', 'MIDDLE EAST') THEN ['EMEA'] ELSE ['AMER'] END AS regions FROM nation JOIN region ON n_regionkey = r_regionkey")
@@ -204,19 +225,20 @@ def regions_of_area(t: Tables) -> DataFrame:
     return t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.element_at(table, F.col("r_name")).alias("regions"))
 
 
-@query("d_statements", "SELECT * FROM (VALUES (1, 'yes', NULL::BOOLEAN, NULL::BOOLEAN), (2, 'no', NULL, NULL), (3, NULL, NULL, TRUE), (4, NULL, TRUE, NULL), (5, NULL, NULL, NULL), (6, NULL, NULL, NULL), (7, NULL, NULL, NULL)) v(id, sponsorship, clearance_required, us_citizen_only)")
+@query("d_statements", f"""{_WITH} SELECT job_id, CASE k5 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' END AS sponsorship, CASE WHEN k5 = 3 THEN TRUE END AS clearance_required, CASE WHEN k5 = 2 THEN TRUE END AS us_citizen_only FROM ads""")
 def statements(t: Tables) -> DataFrame:
-    return posts(t).select("id", x.statements(F.coalesce("text", F.lit(""))).alias("s")).select("id", "s.*")
+    return ads(t).select("job_id", x.statements(F.col("text")).alias("s")).select("job_id", "s.*")
 
 
-@query("d_employment_type", "SELECT * FROM (VALUES (1, NULL), (2, NULL), (3, NULL), (4, 'intern'), (5, NULL), (6, 'part_time'), (7, NULL)) v(id, employment_type)")
+@query("d_employment_type", f"""{_WITH} SELECT job_id, CASE c5 WHEN 0 THEN 'intern' WHEN 1 THEN 'part_time' WHEN 2 THEN 'contract' WHEN 3 THEN 'full_time' END AS employment_type FROM ads""")
 def employment_type(t: Tables) -> DataFrame:
-    return posts(t).select("id", x.employment_type(F.lit(""), F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))).alias("employment_type"))
+    return ads(t).select("job_id", x.employment_type(F.lit(""), F.col("title"), F.col("text")).alias("employment_type"))
 
 
-@query("d_parse_location", f"SELECT * FROM (VALUES {STATED_PLACES}) v(id, text, city, region, country)")
+@query("d_parse_location", f"""{_WITH}, stated(c5, text, city, region, country) AS (VALUES (0, 'Berlin, Germany', 'Berlin', NULL, 'DE'), (1, 'New York, NY', 'New York', 'NY', 'US'), (1, 'Austin, TX', 'Austin', 'TX', 'US'), (2, 'Paris, France', 'Paris', NULL, 'FR'), (3, 'London, United Kingdom', 'London', NULL, 'GB'))
+  SELECT job_id, stated.text, city, region, country FROM ads JOIN stated USING (c5)""")
 def parse_location(t: Tables) -> DataFrame:
-    return posts(t).select("id", F.explode(x.parse_location(F.col("location"))).alias("p")).select("id", "p.*")
+    return ads(t).select("job_id", F.explode(x.parse_location(F.col("location"))).alias("p")).select("job_id", "p.*")
 
 
 @query("d_is_us", f"{JOBS} SELECT job_id, CASE WHEN country = 'NATION_7' OR coalesce(list_has_any(remote_regions, ['US', 'WORLDWIDE']), FALSE) THEN TRUE ELSE FALSE END AS is_us FROM jobs")
@@ -227,7 +249,7 @@ def is_us(t: Tables) -> DataFrame:
 
 @query("d_extract_facts")
 def extract_facts(t: Tables) -> DataFrame:
-    return posts(t).select("id", F.to_json(x.extract_facts(F.coalesce("title", F.lit("")), F.coalesce("location", F.lit("")), F.coalesce("text", F.lit("")))).alias("facts"))
+    return ads(t).select("job_id", F.to_json(x.extract_facts(F.col("title"), F.coalesce("location", F.lit("")), F.col("text"))).alias("facts"))
 
 
 @query("d_facets", f"{JOBS} SELECT job_id, [country, area] AS tags, level IS NOT NULL AS has_level, coalesce(years_min, years_max, 254) AS years, coalesce(skills, []) AS skill_keys FROM jobs")
@@ -338,12 +360,15 @@ def h1b_tag(t: Tables) -> DataFrame:
     return jobs(t).select("job_id", F.when(no, "no").when(F.col("sponsorship") == "yes", "yes").when(F.col("company_id") % 3 == 0, "likely").otherwise("unknown").alias("tag"))
 
 
-@query("d_requirements", "SELECT * FROM (VALUES (1, '5+ years of experience required.', 'years', FALSE), (1, 'Visa sponsorship is available.', 'authorization', FALSE), (2, '3-5 years preferred.', 'years', TRUE), (2, 'We cannot sponsor visas.', 'authorization', FALSE), (3, '2 years or 4 years of SQL.', 'years', FALSE), (3, 'Must be a U.S. citizen.', 'authorization', FALSE), (4, 'Security clearance required.', 'clearance', FALSE)) v(id, s, kind, preferred)")
+@query("d_requirements", f"""{_WITH} SELECT job_id, CASE c6 WHEN 0 THEN CAST(y AS STRING) || '+ years of experience required.' WHEN 1 THEN CAST(y AS STRING) || '-' || CAST(y + 2 AS STRING) || ' years of SQL.' WHEN 2 THEN CAST(y AS STRING) || ' years preferred.'
+    ELSE CAST(y AS STRING) || ' years or ' || CAST(y + 2 AS STRING) || ' years of Java.' END AS s, 'years' AS kind, c6 = 2 AS preferred FROM ads WHERE c6 < 4
+  UNION ALL SELECT job_id, CASE k5 WHEN 0 THEN 'Visa sponsorship is available.' WHEN 1 THEN 'We cannot sponsor visas.' WHEN 2 THEN 'Must be a U.S. citizen.' WHEN 3 THEN 'Security clearance required.'
+    ELSE 'An equal opportunity employer, no sponsorship question is asked.' END, CASE k5 WHEN 3 THEN 'clearance' ELSE 'authorization' END, FALSE FROM ads""")
 def requirements(t: Tables) -> DataFrame:
     """Must-haves named by sentences, with whether they are only preferred."""
     s = F.explode(F.split("text", x.SENTENCE_END)).alias("s")
     kinds = x.first_case([(F.col("s").rlike(x.YEARS) & ~F.col("s").rlike(x.NOT_ASKED), F.lit("years")), (F.col("s").rlike(r"(?i)\b(?:bachelor|master|degree|phd)\b"), F.lit("degree")), (F.col("s").rlike(r"(?i)clearance"), F.lit("clearance")), (F.col("s").rlike(r"(?i)citizen|sponsor"), F.lit("authorization"))])
-    return posts(t).select("id", s).select("id", "s", kinds.alias("kind"), F.col("s").rlike("(?i)preferred|a plus").alias("preferred")).where("kind IS NOT NULL")
+    return ads(t).select("job_id", s).select("job_id", "s", kinds.alias("kind"), F.col("s").rlike("(?i)preferred|a plus").alias("preferred")).where("kind IS NOT NULL")
 
 
 @query("d_primary_years", f"{JOBS} SELECT company_id, job_id, years_min FROM (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY level IS NULL, years_min IS NULL, job_id) AS n FROM jobs) WHERE n = 1")

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fernloom.functions import facts, text, urls
-from fernloom.operators.domain import STATED_PLACES
+from fernloom.operators.domain import ads
 from fernloom.operators.setops import first_of
 from fernloom.plans.postings import JOBS, jobs
-from fernloom.registry import Tables, query
+from fernloom.registry import ORACLE_SQL, Tables, query
 
 TERMS = ["engineer", "data", "nurse", "analyst"]
 
@@ -382,14 +382,12 @@ def explain(t: Tables) -> DataFrame:
     return why.orderBy((F.col("why") == "same").desc(), F.col("n").desc(), "name").limit(10)
 
 
-@query("x_places_from_text", f"SELECT * FROM (VALUES {STATED_PLACES}) v(id, text, city, region, country)")
+@query("x_places_from_text", ORACLE_SQL["d_parse_location"])
 def places_from_text(t: Tables) -> DataFrame:
     """A labelled location line of a text, read as places."""
-    from fernloom.operators.domain import posts
-
     labelled = F.concat(F.lit("About us\nLocation: "), F.coalesce("location", F.lit("")), F.lit("\nApply"))
     line = F.regexp_extract(labelled, r"(?im)^[ \t]*locations?[ \t]*:[ \t]*(\S.*)$", 1)
-    return posts(t).select("id", F.explode(facts.parse_location(line)).alias("p")).select("id", "p.*")
+    return ads(t).select("job_id", F.explode(facts.parse_location(line)).alias("p")).select("job_id", "p.*")
 
 
 @query("x_place_address", "SELECT c_custkey, 'City' || CAST(c_custkey % 9 AS STRING) || ', ' || n_name AS text, n_name AS country FROM customer JOIN nation ON c_nationkey = n_nationkey")
