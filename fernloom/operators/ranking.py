@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -173,13 +175,23 @@ def bare_city(t: Tables) -> DataFrame:
 
 
 def bm25(docs: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """``(id, score)`` of documents ``(id, tokens)`` with any of the terms."""
-    stats = docs.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avg_len"))
-    hits = docs.select("id", F.size("tokens").alias("len"), F.explode(F.filter("tokens", lambda x: x.isin(terms))).alias("term")).groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    return hits.join(df, "term").crossJoin(stats).groupBy("id").agg(F.sum(weight).alias("score"))  # one row of statistics
+    """``(id, score)`` of documents ``(id, tokens)`` with any of the terms.
+
+    One pass counts documents, lengths and documents per term to one row; the other scores each
+    document from its own tokens.  Nothing is exploded or shuffled.
+    """
+    counts = [F.count_if(F.array_contains("tokens", x)).alias(f"df{i}") for i, x in enumerate(terms)]
+    stats = docs.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avg_len"), *counts)
+    times = lambda x: F.size(F.filter("tokens", lambda w: w == x))
+    found = [times(x).alias(f"tf{i}") for i, x in enumerate(terms)]
+    rows = docs.select("id", F.size("tokens").alias("len"), *found).where(" + ".join(f"tf{i}" for i in range(len(terms))) + " > 0").crossJoin(F.broadcast(stats))  # one row of statistics
+    length = k1 * (1 - b + b * F.col("len") / F.col("avg_len"))
+
+    def weight(i: int) -> Column:
+        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
+        return F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + length)
+
+    return rows.select("id", reduce(lambda x, y: x + y, [weight(i) for i in range(len(terms))]).alias("score"))
 
 
 @query("w_bm25", """WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z]+') AS tokens FROM documents), s AS (SELECT count(*) AS n, avg(len(tokens)) AS avg_len FROM d),
