@@ -21,8 +21,8 @@ def duck(sf):
     return con
 
 
-#: Queries that find nothing in the smallest tables.
-EMPTY = {"j_url_owner"}
+#: Queries that find nothing in the smallest tables; at scale 0.01 their SQL gives rows.
+EMPTY = {"j_url_owner", "st_change_feed", "w_keyset_sql", "x_tag_having"}
 
 
 def plain(x):
