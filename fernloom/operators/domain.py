@@ -312,15 +312,19 @@ def greedy_spans(tokens: list[str], aliases: dict[str, str], longest: int) -> li
 
 
 def scan_aliases(tokens: Column, aliases: dict[str, str]) -> Column:
-    """Greedy scanning is sequential, so it runs per row in an Arrow UDF over a bounded dictionary."""
+    """The same as a fold over the places of the tokens; ``aliases`` is a bounded dictionary."""
     longest = max(len(a.split()) for a in aliases)
+    table = F.create_map(*[F.lit(v) for kv in aliases.items() for v in kv])
+    start = F.struct(F.lit(0).alias("next"), F.array().cast("array<string>").alias("out"))
 
-    def run(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for column in columns:
-            yield column.map(lambda ts: greedy_spans(list(ts), aliases, longest))
+    def step(a: Column, i: Column) -> Column:
+        hits = [F.when(i + n <= F.size(tokens), F.element_at(table, F.array_join(F.slice(tokens, i + 1, F.lit(n)), " "))) for n in range(longest, 0, -1)]
+        width = x.first_case([(h.isNotNull(), F.lit(n)) for h, n in zip(hits, range(longest, 0, -1), strict=True)])
+        found = F.struct((i + F.coalesce(width, F.lit(1))).alias("next"), F.when(width.isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(F.coalesce(*hits)))).alias("out"))
+        return F.when(i < a["next"], a).otherwise(found)
 
-    run.__annotations__ = {"columns": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, "array<string>")(tokens)
+    places = F.when(F.size(tokens) > 0, F.sequence(F.lit(0), F.size(tokens) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(places, start, step, lambda a: a["out"])
 
 
 @query("d_scan_skills", "SELECT * FROM (VALUES ('Registered Nurse II', []), ('Senior Data Engineer', ['data engineering']), ('Software Developer (C++)', ['development', 'c']), ('Junior Software Engineer', ['software']), ('Engineering Manager', []), ('Director of Data', ['data']), ('Lead Analyst, 2024 Summer', ['analysis']), ('Recruiter', [])) v(title, skills)")
@@ -329,7 +333,7 @@ def scan_skills(t: Tables) -> DataFrame:
     return jobs(t).select("title").distinct().select("title", scan_aliases(words(F.col("title")), aliases).alias("skills"))
 
 
-@query("d_scan_industries")
+@query("d_scan_industries", "SELECT DISTINCT p_name, CASE WHEN p_name = 'red widget' THEN ['widgets'] WHEN p_name LIKE '%widget' THEN ['hardware'] WHEN p_name LIKE '%ring' THEN ['jewels'] ELSE [] END AS industries FROM part")
 def scan_industries(t: Tables) -> DataFrame:
     return t.part.select("p_name").distinct().select("p_name", scan_aliases(words(F.col("p_name")), {"red widget": "widgets", "widget": "hardware", "small ring": "jewels", "ring": "jewels"}).alias("industries"))
 

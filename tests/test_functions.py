@@ -216,3 +216,11 @@ def test_least_of_others_against_all_pairs(spark):
     df = spark.createDataFrame(rows, "id int, k string, c string")
     want = {i: min((j for j, l, d in rows if l == k and k is not None and d != c), default=None) for i, k, c in rows}
     assert {r.id: r.m for r in joins.least_of_others(df, df, ["k"], ["c"], "m").collect()} == want
+
+
+def test_alias_fold_equals_the_plain_scan(spark):
+    rng = random.Random(8)
+    aliases = {"a b": "AB", "a": "A", "b c a": "BCA", "c": "C", "d d": "DD"}
+    rows = [(i, [rng.choice("abcdx") for _ in range(rng.randint(0, 9))]) for i in range(80)]
+    got = spark.createDataFrame(rows, "i int, t array<string>").select("i", domain.scan_aliases(F.col("t"), aliases).alias("s")).collect()
+    assert {r.i: r.s for r in got} == {i: domain.greedy_spans(t, aliases, 3) for i, t in rows}
