@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fernloom.llm import decontam, langid, linededup, matroska, pii, quotes, reshard, simhash, spm, urlfilter
+from fernloom.llm import decontam, fim, langid, linededup, matroska, pii, quotes, reshard, simhash, spm, urlfilter
 
 QUERIES = {
     "op1_quotation_linking": quotes.op1_quotation_linking,
@@ -15,11 +15,13 @@ QUERIES = {
     "op8_language_id": langid.op8_language_id,
     "op9_lsa_decontamination": decontam.op9_lsa_decontamination,
     "op10_line_dedup": linededup.op10_line_dedup,
+    "op11_fill_in_middle": fim.op11_fill_in_middle,
     "quoted_threads": quotes.quoted_threads,  # op1 on replies that quote: the table itself holds no quotes
 }
 ORACLE_SQL = {
     "op1_quotation_linking": quotes.OP1_SQL,
     "op5_url_filter": urlfilter.OP5_SQL,
     "op10_line_dedup": linededup.OP10_SQL,
+    "op11_fill_in_middle": fim.OP11_SQL,
     "quoted_threads": quotes.QUOTED_THREADS_SQL,
 }
