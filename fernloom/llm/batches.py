@@ -54,3 +54,61 @@ def groups(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[pa.RecordBatc
             open_run.append(batch.slice(a, b - a))
     if open_run:
         yield pa.concat_batches(open_run)
+
+
+def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a text or binary column and the offsets of its rows; a null row is empty."""
+    large = column.cast(pa.large_binary())
+    if large.null_count:
+        large = large.fill_null(b"")
+    offsets = np.frombuffer(large.buffers()[1], np.int64)[large.offset : large.offset + len(large) + 1]
+    data = np.frombuffer(large.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if len(large) else np.empty(0, np.uint8)
+    return data, offsets - offsets[0]
+
+
+def token_cutter(inside: np.ndarray, fold: np.ndarray):
+    """A function of texts that cuts out the maximal runs of ``inside`` bytes, folded by ``fold``: lengths, rows and bytes of all tokens."""
+
+    def cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        data, offsets = bytes_of(texts)
+        own = inside[data]
+        starts = own.copy()
+        starts[1:] &= ~own[:-1]
+        heads = offsets[:-1][np.diff(offsets) > 0]
+        starts[heads] = own[heads]  # a token ends with its row
+        first = np.flatnonzero(starts)
+        lengths = np.add.reduceat(own, first, dtype=np.int64) if len(first) else np.empty(0, np.int64)
+        return lengths, np.searchsorted(offsets, first, "right") - 1, fold[data[own]]
+
+    return cut
+
+
+def strings(lengths: np.ndarray, data: np.ndarray) -> pa.Array:
+    """Texts of these byte lengths, one after another in ``data``."""
+    ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+    return pa.LargeStringArray.from_buffers(len(lengths), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data)))
+
+
+class Pooled:
+    """Counts by key gathered inside a task; what grows over ``most`` rows is handed on."""
+
+    def __init__(self, keys: list[str], counts: list[str], most: int = 1 << 19):
+        self.keys, self.counts, self.most, self.held = keys, counts, most, []
+
+    def add(self, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Take in a table; yields what no longer fits."""
+        self.held.append(table)
+        if sum(t.num_rows for t in self.held) > self.most:
+            self.held = [self._sum()]
+            if self.held[0].num_rows > self.most // 2:
+                yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        """All that is held."""
+        if self.held:
+            whole, self.held = self._sum(), []
+            yield from whole.to_batches(max_chunksize=1 << 16)
+
+    def _sum(self) -> pa.Table:
+        grouped = pa.concat_tables(self.held).group_by(self.keys).aggregate([(c, "sum") for c in self.counts])
+        return grouped.select([*self.keys, *[f"{c}_sum" for c in self.counts]]).rename_columns([*self.keys, *self.counts])

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fernloom.llm.batches import small_batches
+from fernloom.llm.batches import bytes_of, small_batches
 
 #: The sentinels, and the bytes that count as white space.
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
@@ -36,19 +36,9 @@ _BLANK = np.zeros(256, bool)
 _BLANK[list(BLANKS)] = True
 
 
-def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of a text or binary column and the offsets of its rows; a null row is empty."""
-    large = column.cast(pa.large_binary())
-    if large.null_count:
-        large = large.fill_null(b"")
-    offsets = np.frombuffer(large.buffers()[1], np.int64)[large.offset : large.offset + len(large) + 1]
-    data = np.frombuffer(large.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if len(large) else np.empty(0, np.uint8)
-    return data, offsets - offsets[0]
-
-
 def boundaries(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Places of all boundaries inside rows (a blank byte after another), and each row's first index in them."""
-    data, offsets = _bytes_of(column)
+    data, offsets = bytes_of(column)
     blank = _BLANK[data]
     at = np.flatnonzero(blank[1:] & ~blank[:-1]) + 1
     starts = np.zeros(len(data) + 1, bool)
@@ -66,14 +56,14 @@ def _count(chunk: pa.Array) -> pa.Array:
 def _place(chunk: pa.Array, rank: pa.Array) -> pa.Array:
     """Bytes before the ``rank``-th boundary (from 1) of each chunk."""
     at, first = boundaries(chunk)
-    offsets = _bytes_of(chunk)[1]
+    offsets = bytes_of(chunk)[1]
     return pa.array(at[first[:-1] + rank.to_numpy(zero_copy_only=False) - 1] - offsets[:-1])
 
 
 @F.arrow_udf(CUTS)
 def _cut_whole(text: pa.Array, h1: pa.Array, h2: pa.Array) -> pa.Array:
     """Token count and both cuts, in bytes, of texts of one chunk."""
-    data, offsets = _bytes_of(text)
+    data, offsets = bytes_of(text)
     at, first = boundaries(text)
     n = np.diff(first) + (np.diff(offsets) > 0)
     ranks = np.sort(np.stack([h.to_numpy(zero_copy_only=False) % (n + 1) for h in (h1, h2)]), axis=0)
