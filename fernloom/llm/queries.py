@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fernloom.llm import decontam, fim, langid, lexical, linededup, matroska, pii, quotes, reshard, simhash, spm, urlfilter
+from fernloom.llm import decontam, fim, langid, lexical, linededup, matroska, maxent, pii, quotes, reshard, simhash, spm, urlfilter
 
 QUERIES = {
     "op1_quotation_linking": quotes.op1_quotation_linking,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_lsa_decontamination": decontam.op9_lsa_decontamination,
     "op10_line_dedup": linededup.op10_line_dedup,
     "op11_fill_in_middle": fim.op11_fill_in_middle,
+    "op12_maxent_scores": maxent.op12_maxent_scores,
     "op13_ranked_search": lexical.op13_ranked_search,
     "quoted_threads": quotes.quoted_threads,  # op1 on replies that quote: the table itself holds no quotes
 }

@@ -1,13 +1,16 @@
 """The registered queries on the smallest tables, each against its SQL or a brute-force version."""
 
 import hashlib
+import math
 import zlib
+from collections import Counter
 
 import duckdb
 import pytest
 
 from fernloom.llm import queries
 from tests.llm.test_linededup import brute as brute_lines
+from tests.llm.test_maxent import held, tokens
 from tests.llm.test_pii import brute as brute_spans
 from tests.llm.test_simhash import brute_components, brute_fingerprint
 
@@ -19,6 +22,7 @@ LEAST = {
     "op6_pii_spans": {"doc_id": "bigint", "n_email": "bigint", "n_ip": "bigint", "n_card": "bigint", "n_phone": "bigint", "base_sha256": "string", "spans": "string"},
     "op8_language_id": {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"},
     "op11_fill_in_middle": {"doc_id": "bigint", "n": "bigint", "form": "string", "prefix_chars": "bigint", "middle_chars": "bigint", "output_sha256": "string", "restored_sha256": "string"},
+    "op12_maxent_scores": {"doc_id": "bigint", "held_out": "boolean", "n_tokens": "bigint", "n_known": "bigint", "train_tokens": "bigint", "base_score": "double", "score": "double"},
     "op13_ranked_search": {"item_id": "bigint", "rank": "int", "doc_id": "bigint", "score": "bigint"},
     "op10_line_dedup": {"doc_id": "bigint", "n_lines": "bigint", "n_dropped": "bigint", "kept_sha256": "string"},
 }
@@ -106,3 +110,16 @@ def test_op9_finds_every_copied_item(spark, run, sf, texts):
 def test_op10(run, texts):
     want = brute_lines(list(texts.items()))
     assert {(r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in run("op10_line_dedup")[1]} == {(i, n, g, hashlib.sha256(t.encode()).hexdigest()) for i, (n, g, t) in want.items()}
+
+
+def test_op12(run, texts):
+    rows = run("op12_maxent_scores")[1]
+    train = Counter(t for i, x in texts.items() if not held(i) for t in tokens(x))
+    n, v = sum(train.values()), len(train)
+    assert len(rows) == len(texts)
+    for r in rows:
+        own = tokens(texts[r.doc_id])
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(r.doc_id), len(own), sum(train[t] > 0 for t in own), n)
+        assert r.base_score == pytest.approx(sum(math.log10((train[t] + 1) / (n + v + 1)) for t in own), rel=1e-9)
+    fresh = [r for r in rows if r.held_out]
+    assert sum(r.score for r in fresh) > sum(r.base_score for r in fresh)
