@@ -71,14 +71,15 @@ def token_cutter(inside: np.ndarray, fold: np.ndarray):
 
     def cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         data, offsets = bytes_of(texts)
-        own = inside[data]
-        starts = own.copy()
-        starts[1:] &= ~own[:-1]
-        heads = offsets[:-1][np.diff(offsets) > 0]
-        starts[heads] = own[heads]  # a token ends with its row
+        own = np.append(inside[data], False)
+        starts, ends = own[:-1].copy(), own[:-1] & ~own[1:]
+        starts[1:] &= ~own[:-2]
+        filled = np.diff(offsets) > 0
+        starts[offsets[:-1][filled]] = own[offsets[:-1][filled]]  # a token begins and ends with its row
+        ends[offsets[1:][filled] - 1] = own[offsets[1:][filled] - 1]
         first = np.flatnonzero(starts)
-        lengths = np.add.reduceat(own, first, dtype=np.int64) if len(first) else np.empty(0, np.int64)
-        return lengths, np.searchsorted(offsets, first, "right") - 1, fold[data[own]]
+        row = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(first, offsets)))
+        return np.flatnonzero(ends) + 1 - first, row, fold[data[own[:-1]]]
 
     return cut
 

@@ -64,14 +64,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte lengths, rows and bytes of all tokens of a column; each row's last token is its end, of no bytes."""
     lengths, row, data = _cut(texts)
-    n = np.bincount(row, minlength=len(texts))
-    at = np.cumsum(n)
-    return np.insert(lengths, at, 0), np.insert(row, at, np.arange(len(texts))), data
+    at = np.arange(len(lengths)) + row  # every earlier row has an end before
+    ends = np.cumsum(np.bincount(row, minlength=len(texts)) + 1) - 1
+    all_lengths, all_rows = np.zeros(len(lengths) + len(texts), np.int64), np.empty(len(lengths) + len(texts), np.int64)
+    all_lengths[at], all_rows[at], all_rows[ends] = lengths, row, np.arange(len(texts))
+    return all_lengths, all_rows, data
 
 
-def tails(lengths: np.ndarray, data: np.ndarray, buckets: int) -> np.ndarray:
-    """Hash of each token's last three bytes."""
-    ends, code = np.cumsum(lengths), np.zeros(len(lengths), np.uint64)
+def tails(ends: np.ndarray, lengths: np.ndarray, data: np.ndarray, buckets: int) -> np.ndarray:
+    """Hash of the last three bytes of tokens that end at ``ends`` in ``data``."""
+    code = np.zeros(len(lengths), np.uint64)
     padded = data if len(data) else np.zeros(1, np.uint8)
     for back in (1, 2, 3):
         byte = np.where(lengths >= back, padded[np.clip(ends - back, 0, len(padded) - 1)].astype(np.uint64) + np.uint64(1), np.uint64(0))
@@ -107,8 +109,10 @@ class Model:
     def units(self, lengths: np.ndarray, data: np.ndarray) -> np.ndarray:
         """The unit of each token."""
         code = pc.index_in(strings(lengths, data), value_set=self.words)
-        known = pc.fill_null(code, -1).to_numpy(zero_copy_only=False).astype(np.int64)
-        return np.where(known >= 0, known, len(self.words) + tails(lengths, data, self.tail_units))
+        units = pc.fill_null(code, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        rare = np.flatnonzero(units < 0)
+        units[rare] = len(self.words) + tails(np.cumsum(lengths)[rare], lengths[rare], data, self.tail_units)
+        return units
 
     def slots(self, before: np.ndarray, units: np.ndarray) -> np.ndarray:
         """Places of the pair weights of previous classes and units."""
@@ -120,17 +124,22 @@ class Model:
         one[1:] = np.where(row[1:] == row[:-1], units[:-1], self.start)
         two[2:] = np.where(row[2:] == row[:-2], units[:-2], self.start)
         k = np.uint64(self.buckets)
-        rows = [mix(one) % k, mix(two + (1 << 41)) % k, mix(one * (1 << 21) + two + (1 << 62)) % k]
-        return np.stack([r.astype(np.int64) + i * self.buckets for i, r in enumerate(rows)]), self.class_of[one]
-
-    def class_logs(self, rows: np.ndarray) -> np.ndarray:
-        """Log probability of every class in each context."""
-        logits = self.weights[rows[0]] + self.log_prior
-        logits += self.weights[rows[1]]
-        logits += self.weights[rows[2]]
-        logits -= logits.max(axis=1, keepdims=True)
-        logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
-        return logits
+        each = np.arange(self.start + 1)
+        alone = [(mix(x) % k).astype(np.int64) for x in (each, each + (1 << 41))]
+        both = (mix(one * (1 << 21) + two + (1 << 62)) % k).astype(np.int64)
+        return np.stack([alone[0][one], alone[1][two] + self.buckets, both + 2 * self.buckets]), self.class_of[one]
+
+    def class_shares(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Unnormalised shares of every class in each context, and their sums.
+
+        Steps of training bound the weights, so the powers need no shift against overflow.
+        """
+        shares = self.weights.take(rows[0], axis=0)
+        shares += self.weights.take(rows[1], axis=0)
+        shares += self.weights.take(rows[2], axis=0)
+        shares += self.log_prior.astype(np.float32)
+        np.exp(shares, out=shares)
+        return shares, shares @ np.ones(shares.shape[1], np.float32)
 
     def unit_logs(self, before: np.ndarray, units: np.ndarray) -> np.ndarray:
         """Log probability of each unit in its class."""
@@ -196,7 +205,7 @@ def _tail_shares(tail_units: int):
             words = batch.column(0)
             lengths = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
             data = np.frombuffer(b"".join(words.to_pylist()), np.uint8)
-            np.add.at(sums, tails(lengths, data, tail_units), batch.column(1).to_numpy() + 1)
+            np.add.at(sums, tails(np.cumsum(lengths), lengths, data, tail_units), batch.column(1).to_numpy() + 1)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(tail_units)), pa.array(sums)], ["tail", "shares"])
 
     return run
@@ -265,17 +274,18 @@ class Gradient:
         rows, before = model.features(units, row)
         own = model.class_of[units]
         n_classes, k = self.classes.shape[1], model.buckets
+        sums_by_class = np.zeros((3, n_classes, k))
         for start in range(0, len(units), CHUNK):
             part = slice(start, start + CHUNK)
-            error = np.exp(model.class_logs(rows[:, part]))
-            np.negative(error, out=error)
+            error, sums = model.class_shares(rows[:, part])
+            error *= (-1 / sums)[:, None]
             error[np.arange(len(error)), own[part]] += 1
+            by_class = np.ascontiguousarray(error.T, dtype=np.float64)
             for i in range(3):
                 local = rows[i, part] - i * k
-                order = np.argsort(local.astype(np.uint16 if k <= 1 << 16 else np.int64), kind="stable")
-                ranked = local[order]
-                first = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
-                self.classes[ranked[first] + i * k] += np.add.reduceat(error[order], first, axis=0)
+                for c in range(n_classes):
+                    sums_by_class[i, c] += np.bincount(local, by_class[c], k)
+        self.classes += sums_by_class.transpose(0, 2, 1).reshape(self.classes.shape)
         self.seen += np.bincount(rows.ravel(), minlength=len(self.seen))
         self.after += np.bincount(before * n_classes + own, minlength=n_classes**2).reshape(n_classes, n_classes)
         rich = np.flatnonzero(units < model.rich)
@@ -390,8 +400,8 @@ def token_logs(model: Model, units: np.ndarray, row: np.ndarray) -> np.ndarray:
     own, out = model.class_of[units], np.empty(len(units))
     for start in range(0, len(units), CHUNK):
         part = slice(start, start + CHUNK)
-        logs = model.class_logs(rows[:, part])
-        out[part] = logs[np.arange(len(logs)), own[part]]
+        shares, sums = model.class_shares(rows[:, part])
+        out[part] = np.log(shares[np.arange(len(shares)), own[part]] / sums)
     out += model.unit_logs(before, units)
     return out - np.where(units >= len(model.words), np.log(model.shares[units]), 0.0)
 

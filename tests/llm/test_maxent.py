@@ -55,7 +55,7 @@ def brute_score(model, counts, text):
         if word in listed:
             return listed[word]
         raw = word.encode()
-        return len(listed) + int(maxent.tails(np.array([len(raw)]), np.frombuffer(raw, np.uint8), model.tail_units)[0])
+        return len(listed) + int(maxent.tails(np.array([len(raw)]), np.array([len(raw)]), np.frombuffer(raw, np.uint8), model.tail_units)[0])
 
     one = two = model.start
     total = 0.0
@@ -98,13 +98,14 @@ def test_probabilities_sum_to_one(small):
         k = np.uint64(model.buckets)
         ctx = np.array([one]), np.array([two])
         rows = np.stack([(maxent.mix(x) % k).astype(np.int64) + i * model.buckets for i, x in enumerate((ctx[0], ctx[1] + (1 << 41), ctx[0] * (1 << 21) + ctx[1] + (1 << 62)))])
-        classes = model.class_logs(rows)[0]
+        shares, sums = model.class_shares(rows)
+        classes = np.log(shares[0] / sums[0])
         whole = np.exp(classes[model.class_of[units]] + model.unit_logs(np.full(len(units), model.class_of[one]), units)).sum()
         assert whole == pytest.approx(1.0, rel=1e-5)
     # inside a tail unit: a share a count, one a known word, one for the unknown
     shares = defaultdict(lambda: 1)
     for r in small[2].counts.where("NOT frequent").collect():
-        shares[int(maxent.tails(np.array([len(r.word)]), np.frombuffer(bytes(r.word), np.uint8), model.tail_units)[0])] += r.n + 1
+        shares[int(maxent.tails(np.array([len(r.word)]), np.array([len(r.word)]), np.frombuffer(bytes(r.word), np.uint8), model.tail_units)[0])] += r.n + 1
     assert all(model.shares[len(model.words) + t] == shares[t] for t in range(model.tail_units))
 
 
@@ -121,7 +122,8 @@ def test_gradient_is_the_derivative_and_is_summed_over_all_rows(small, spark):
     rows, _ = model.features(units, row)
 
     def likelihood():
-        return sum(float(model.class_logs(rows[:, i : i + 4096])[np.arange(len(c)), c].sum()) for i in range(0, len(units), 4096) for c in [model.class_of[units[i : i + 4096]]])
+        shares, sums = model.class_shares(rows)
+        return float(np.log(shares[np.arange(len(units)), model.class_of[units]] / sums).sum(dtype=np.float64))
 
     busy = int(want.seen[: model.buckets].argmax())
     for c in range(want.classes.shape[1]):
