@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,20 +29,6 @@ def recommended(t: Tables) -> DataFrame:
     return jobs(t).select("job_id", r.recommended_key().alias("key"))
 
 
-_TOK = r"string_split(trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g')), ' ')"
-
-
-@query("w_key_words", f"""{JOBS}, k AS (SELECT job_id, len(list_intersect({_TOK.format('title')}, ['data', 'engineer'])) AS exact, contains(lower(title), 'data engineer') AS phrase, len(list_intersect({_TOK.format("country || ' ' || area")}, ['data', 'engineer', 'china'])) AS coverage, {DAY} AS day FROM jobs)
-  SELECT job_id FROM k ORDER BY exact DESC, phrase DESC, coverage DESC, day DESC, job_id LIMIT 40""")
-def word_order(t: Tables) -> DataFrame:
-    """Exact title words, then the phrase, then coverage, then the day."""
-    from fernloom.functions.filters import words
-
-    hits = lambda text, *ws: F.size(F.array_intersect(words(text), F.array(*[F.lit(w) for w in ws])))
-    k = jobs(t).select("job_id", hits(F.col("title"), "data", "engineer").alias("exact"), F.lower("title").contains("data engineer").alias("phrase"), hits(F.concat_ws(" ", "country", "area"), "data", "engineer", "china").alias("coverage"), r.day_number(F.col("posted_at")).alias("day"))
-    return top(k, 40, *[F.col(c).desc() for c in ("exact", "phrase", "coverage", "day")], F.col("job_id")).select("job_id")
-
-
 @query("w_key_fit", """SELECT o_orderkey, CASE WHEN o_orderkey % 10 <> 0 THEN CAST(2097152 + floor((greatest(-1.0::DOUBLE, least(1.0::DOUBLE, (o_orderkey % 2001 - 1000) / 900.0::DOUBLE)) + 1) / 2 * 2097151 + 0.5) AS BIGINT) END AS key FROM orders""")
 def fit(t: Tables) -> DataFrame:
     score = F.when(F.col("o_orderkey") % 10 != 0, (F.col("o_orderkey") % 2001 - 1000) / F.lit(900.0))
@@ -174,34 +158,6 @@ def bare_city(t: Tables) -> DataFrame:
     return r.dominant(best, ["c_mktsegment"], "pop", 20.0, "c_nationkey").select("c_mktsegment", F.col("c_nationkey").alias("pick"), "ambiguous")
 
 
-def bm25(docs: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """``(id, score)`` of documents ``(id, tokens)`` with any of the terms.
-
-    One pass counts documents, lengths and documents per term to one row; the other scores each
-    document from its own tokens.  Nothing is exploded or shuffled.
-    """
-    counts = [F.count_if(F.array_contains("tokens", x)).alias(f"df{i}") for i, x in enumerate(terms)]
-    stats = docs.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avg_len"), *counts)
-    times = lambda x: F.size(F.filter("tokens", lambda w: w == x))
-    found = [times(x).alias(f"tf{i}") for i, x in enumerate(terms)]
-    rows = docs.select("id", F.size("tokens").alias("len"), *found).where(" + ".join(f"tf{i}" for i in range(len(terms))) + " > 0").crossJoin(F.broadcast(stats))  # one row of statistics
-    length = k1 * (1 - b + b * F.col("len") / F.col("avg_len"))
-
-    def weight(i: int) -> Column:
-        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
-        return F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + length)
-
-    return rows.select("id", reduce(lambda x, y: x + y, [weight(i) for i in range(len(terms))]).alias("score"))
-
-
-@query("w_bm25", """WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z]+') AS tokens FROM documents), s AS (SELECT count(*) AS n, avg(len(tokens)) AS avg_len FROM d),
-  h AS (SELECT id, len(tokens) AS l, term, count(*) AS tf FROM (SELECT id, tokens, unnest(tokens) AS term FROM d) WHERE term IN ('that', 'heention', 'license') GROUP BY id, tokens, term), f AS (SELECT term, count(*) AS df FROM h GROUP BY term)
-  SELECT id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / avg_len))), 6) AS score FROM h JOIN f USING (term), s GROUP BY id""")
-def bm25_query(t: Tables) -> DataFrame:
-    docs = t.documents.select(F.col("doc_id").alias("id"), F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("tokens"))
-    return bm25(docs, ["that", "heention", "license"]).withColumn("score", F.round("score", 6))
-
-
 @query("w_recent_n", "SELECT event_id FROM events WHERE event_type = (SELECT min(event_type) FROM events) ORDER BY ts DESC, event_id LIMIT 10")
 def recent_n(t: Tables) -> DataFrame:
     kind = t.events.agg(F.min("event_type").alias("event_type"))

@@ -89,18 +89,6 @@ def match_words(t: Tables) -> DataFrame:
     return w.where(F.array_contains("w", "that") & F.array_contains("w", "with")).select("doc_id", F.size(F.array_intersect("w", wanted)).cast("long").alias("hits"))
 
 
-def inverted_index(docs: DataFrame, terms: list[str] | None = None) -> DataFrame:
-    """``(term, id)`` once per document and term, of all terms or the given ones (others are dropped before the explode)."""
-    own = F.array_distinct("tokens") if terms is None else F.array_intersect("tokens", F.array(*[F.lit(x) for x in terms]))
-    return docs.select(F.explode(own).alias("term"), "id")
-
-
-@query("t_fts_rids", "WITH i AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term, doc_id FROM documents) SELECT doc_id FROM i WHERE term IN ('apache', 'license') GROUP BY doc_id HAVING count(*) = 2")
-def fts_rids(t: Tables) -> DataFrame:
-    index = inverted_index(t.documents.select(F.col("doc_id").alias("id"), F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("tokens")), ["apache", "license"])
-    return index.groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("n")).where("n = 2").select("doc_id")
-
-
 @query("t_fts_query_server", """WITH p AS (SELECT item_id, regexp_extract_all('"' || substr(text, 1, 20) || '" c++ ' || substr(text, 30, 40), '"[^"]+"|[^\\s"]+')[1:20] AS match FROM benchmark)
   SELECT item_id, match, list_filter(match, lambda x: regexp_matches(x, '[+#.()]')) AS exact FROM p""")
 def fts_query(t: Tables) -> DataFrame:
