@@ -227,12 +227,6 @@ def scan_lenient(t: Tables) -> DataFrame:
     return raw.select("o_orderkey", one_of(F.col("o_orderpriority"), ["1-URGENT", "2-HIGH"]).alias("level"), F.col("pay").try_cast("double").alias("pay"), F.when(F.trim("title") == "", "no title").alias("error"))
 
 
-@query("scan_incremental_sync", "SELECT count(*) AS seen, max(o_orderdate) AS high_water FROM orders WHERE o_orderdate > TIMESTAMP '2001-01-01'")
-def scan_incremental(t: Tables) -> DataFrame:
-    changed = t.orders.where(F.col("o_orderdate") > F.expr("TIMESTAMP_NTZ '2001-01-01 00:00:00'"))
-    return changed.agg(F.count("*").alias("seen"), F.max("o_orderdate").alias("high_water"))
-
-
 @query("scan_synthetic")
 def scan_synthetic(t: Tables) -> DataFrame:
     """Seeded postings; every fact is unknown for some."""

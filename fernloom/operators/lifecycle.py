@@ -10,16 +10,61 @@ from fernloom.registry import Tables, query
 from fernloom.streaming import lifecycle as lc
 
 
+#: Kinds of readings by board and day, for Spark and for the oracle: most are listings, one board falls empty for good.
+_KIND = "CASE WHEN (b * 3 + d) % 13 = 0 THEN 'failed' WHEN (b * 3 + d) % 13 = 5 THEN 'not_modified' WHEN b = 7 AND d >= 12 OR (b + d) % 9 = 4 THEN 'empty' ELSE 'listing' END"
+
+
 def readings(t: Tables) -> DataFrame:
     """Events as daily complete readings of twenty boards."""
     day = F.date_trunc("day", F.col("ts").cast("timestamp"))
-    named = t.events.select((F.col("user_id") % 20).cast("string").alias("board"), day.alias("reading_ts"), F.concat_ws("-", "event_type", F.col("user_id") % 7).alias("posting"))
-    return named.groupBy(F.lit("ats").alias("ats"), "board", "reading_ts").agg(F.lit("listing").alias("kind"), F.collect_set("posting").alias("listed"))
+    named = t.events.select((F.col("user_id") % 20).alias("b"), day.alias("reading_ts"), F.concat_ws("-", "event_type", F.col("user_id") % 7).alias("posting"))
+    daily = named.groupBy("b", "reading_ts").agg(F.collect_set("posting").alias("listed")).withColumn("d", F.date_diff(F.to_date("reading_ts"), F.expr("DATE '2024-01-01'")))
+    return daily.select(F.lit("ats").alias("ats"), F.col("b").cast("string").alias("board"), "reading_ts", F.expr(_KIND).alias("kind"), "listed")
+
+
+#: The same rules on every posting by itself, a reading a step.
+_LIFE = f"""WITH RECURSIVE e AS (SELECT user_id % 20 AS b, date_trunc('day', ts) AS tm, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS d, event_type || '-' || CAST(user_id % 7 AS VARCHAR) AS posting FROM events),
+  r AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY tm) AS k FROM (SELECT DISTINCT b, CAST(epoch(tm) AS BIGINT) AS tm, {_KIND} AS kind FROM e)),
+  l AS (SELECT DISTINCT e.b, k, posting FROM e JOIN r ON r.b = e.b AND r.tm = CAST(epoch(e.tm) AS BIGINT) WHERE kind = 'listing'),
+  s AS (SELECT b, posting, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS tm, 0 AS held, CAST(NULL AS BIGINT) AS since, 0 AS empty, CAST(NULL AS BIGINT) AS yielded, FALSE AS known, 0 AS miss, CAST(NULL AS BIGINT) AS first,
+      CAST(NULL AS BIGINT) AS seen, CAST(NULL AS BIGINT) AS closed, CAST(NULL AS VARCHAR) AS reason, FALSE AS was_open, FALSE AS lost, FALSE AS fresh, FALSE AS hold FROM (SELECT DISTINCT b, posting FROM l)
+    UNION ALL
+    SELECT b, posting, k, tm, CASE WHEN quiet THEN held WHEN guard AND NOT release THEN held + 1 ELSE 0 END, CASE WHEN quiet THEN since WHEN guard AND NOT release THEN coalesce(since, tm) END,
+      CASE kind WHEN 'empty' THEN empty + 1 WHEN 'failed' THEN empty ELSE 0 END, CASE WHEN quiet THEN yielded ELSE tm END, known OR here, CASE WHEN here THEN 0 WHEN lost AND NOT guard THEN miss + 1 ELSE miss END,
+      CASE WHEN here THEN NULL WHEN lost AND NOT guard THEN coalesce(first, tm) ELSE first END, CASE WHEN here THEN tm ELSE seen END,
+      CASE WHEN here THEN NULL WHEN drop_all OR lost AND (release OR NOT guard AND gone) THEN tm ELSE closed END,
+      CASE WHEN here THEN NULL WHEN drop_all THEN 'board_empty' WHEN lost AND release THEN 'mass_close' WHEN lost AND NOT guard AND gone THEN 'missing' ELSE reason END, was_open, lost, lost AND miss = 0, guard AND NOT release
+    FROM (SELECT *, guard AND held + 1 >= 3 AND tm - coalesce(since, tm) >= 86400 AS release, miss + 1 >= 2 AND (tm - coalesce(first, tm) >= 7200 OR tm - seen >= 172800) AS gone,
+        was_open AND kind = 'empty' AND empty + 1 >= 3 AND yielded IS NOT NULL AND tm - yielded >= 604800 AS drop_all
+      FROM (SELECT *, NOT quiet AND count(*) FILTER (was_open) OVER w >= 10 AND count(*) FILTER (lost AND miss = 0) OVER w > 0.5 * count(*) FILTER (was_open) OVER w AS guard
+        FROM (SELECT *, was_open AND NOT here AND NOT quiet AS lost
+          FROM (SELECT s.b, s.posting, r.k, r.tm, r.kind, s.held, s.since, s.empty, s.yielded, s.known, s.miss, s.first, s.seen, s.closed, s.reason, s.known AND s.closed IS NULL AS was_open, r.kind IN ('empty', 'failed') AS quiet,
+              CASE r.kind WHEN 'listing' THEN l.posting IS NOT NULL WHEN 'not_modified' THEN s.known AND s.closed IS NULL AND s.miss = 0 ELSE FALSE END AS here
+            FROM s JOIN r ON r.b = s.b AND r.k = s.k + 1 LEFT JOIN l ON l.b = s.b AND l.k = r.k AND l.posting = s.posting)) WINDOW w AS (PARTITION BY b))))"""
+
+
+def _plain_times(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
+
+
+@query("st_reading", f"{_LIFE} SELECT 'ats' AS ats, CAST(b AS VARCHAR) AS board, posting, CAST(miss AS INTEGER) AS miss_count, CAST(make_timestamp(seen * 1000000) AS TIMESTAMP) AS last_seen, CAST(make_timestamp(closed * 1000000) AS TIMESTAMP) AS closed_at, reason AS closed_reason FROM s WHERE known AND k = (SELECT max(k) FROM r WHERE r.b = s.b)")
+def st_reading(t: Tables) -> DataFrame:
+    return _plain_times(lc.settle(readings(t)), "last_seen", "closed_at")
 
 
-@query("st_reading")
-def st_reading(t: Tables) -> DataFrame:
-    return lc.settle(readings(t)).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("last_seen", "closed_at")})
+@query("st_reading_log", f"{_LIFE} SELECT CAST(b AS VARCHAR) AS board, make_timestamp(tm * 1000000) AS \"at\", count(*) FILTER (was_open) AS open, count(*) FILTER (lost) AS missing, count(*) FILTER (fresh) AS newly, count(*) FILTER (was_open AND closed = tm) AS closed, bool_or(hold) AS held FROM s WHERE k > 0 GROUP BY b, k, tm")
+def st_reading_log(t: Tables) -> DataFrame:
+    """What each reading found and did: open, missing and newly missing postings, closed ones, and whether the guard held it."""
+    told = lc.told(readings(t)).where("what = 'reading'")
+    listed_ever = lc.listings(readings(t)).select("board").distinct()  # boards that never list have no postings to tell of
+    return _plain_times(told.join(listed_ever, "board", "left_semi").select("board", "at", "open", "missing", "newly", "closed", "held"), "at")
+
+
+@query("st_confirm_task", f"{_LIFE} SELECT CAST(b AS VARCHAR) AS board, make_timestamp((tm + 7200) * 1000000) AS confirm_at, count(*) AS postings FROM s WHERE fresh AND NOT hold AND closed IS NULL GROUP BY b, tm")
+def st_confirm_task(t: Tables) -> DataFrame:
+    """Confirming readings asked for two hours after a first miss (readings here are a day apart, so nothing comes between)."""
+    told = lc.told(readings(t)).where("what = 'confirm'")
+    return _plain_times(told.select("board", F.col("at").alias("confirm_at"), F.col("n").alias("postings")), "confirm_at")
 
 
 @query("st_not_modified", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE 0 END + CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE 0 END AS misses FROM orders WHERE o_orderstatus = 'O'")
@@ -97,12 +142,6 @@ def st_reserve_lease(t: Tables) -> DataFrame:
     return asked.groupBy("user_id").agg(F.min("event_id").alias("holder"))
 
 
-@query("st_change_feed", "SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'delete' ELSE 'upsert' END AS op FROM orders WHERE o_orderkey > 10000")
-def st_change_feed(t: Tables) -> DataFrame:
-    """Rows and tombstones after a change number."""
-    return t.orders.where("o_orderkey > 10000").select("o_orderkey", F.when(F.col("o_orderkey") % 10 == 0, "delete").otherwise("upsert").alias("op"))
-
-
 @query("st_vec_incremental", "SELECT CAST(i - 1 AS INT) AS dim, round(avg(CAST(x AS DOUBLE)), 9) AS mean FROM (SELECT unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY i")
 def st_vec_incremental(t: Tables) -> DataFrame:
     """Sums and counts of two parts add up to the mean of the whole."""
@@ -118,14 +157,6 @@ def st_fit_queue(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", (F.col("n_chars") % 3).alias("hash")).join(have, ["doc_id", "hash"], "left_anti").select("doc_id")
 
 
-@query("st_alerts", "SELECT c_mktsegment, count(*) FILTER (o_orderdate > TIMESTAMP '2001-07-01') AS fresh FROM (SELECT c_mktsegment, o_orderdate, row_number() OVER (PARTITION BY c_mktsegment ORDER BY o_orderdate DESC, o_orderkey) AS n FROM orders JOIN customer ON o_custkey = c_custkey) WHERE n <= 100 GROUP BY 1")
-def st_alerts(t: Tables) -> DataFrame:
-    """New matches among the newest hundred of each saved filter (that limit is the feature)."""
-    w = Window.partitionBy("c_mktsegment").orderBy(F.col("o_orderdate").desc(), "o_orderkey")
-    top = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).withColumn("n", F.row_number().over(w)).where("n <= 100")
-    return top.groupBy("c_mktsegment").agg(F.count_if(F.col("o_orderdate") > F.expr("TIMESTAMP_NTZ '2001-07-01 00:00:00'")).alias("fresh"))
-
-
 @query("st_notify_dedupe", "SELECT user_id, event_type FROM events GROUP BY 1, 2")
 def st_notify_dedupe(t: Tables) -> DataFrame:
     return t.events.select("user_id", "event_type").dropDuplicates()
@@ -150,8 +181,3 @@ def st_run_resume(t: Tables) -> DataFrame:
     """Keys whose last step is not the closing one."""
     last = t.events.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last"))
     return last.crossJoin(t.events.agg(F.max("event_type").alias("k"))).where("last <> k").select("user_id")  # one row
-
-
-@query("st_confirm_task", "SELECT o_custkey, max(o_orderdate) + INTERVAL 2 HOUR AS confirm_at FROM orders WHERE o_orderkey % 9 = 0 GROUP BY 1")
-def st_confirm_task(t: Tables) -> DataFrame:
-    return t.orders.where("o_orderkey % 9 = 0").groupBy("o_custkey").agg((F.max("o_orderdate") + F.expr("INTERVAL 2 HOURS")).alias("confirm_at"))

@@ -16,7 +16,6 @@ from fernloom.operators import domain, ingest, joins, ranking as rank_ops
 from fernloom.operators.ingest import CSV_TEXT, upsert
 from fernloom.registry import Tables
 from fernloom.sources import boards, files
-from fernloom.streaming import lifecycle as lc
 
 
 @pytest.fixture(scope="module")
@@ -136,59 +135,6 @@ def test_spreadsheet_dbase_and_word(spark, tmp_path):
     assert [r.cells for r in sorted(out, key=lambda r: r.row)] == [["name", None, "7"], ["Ada", None, "x"]]
 
 
-DAY = 86400.0
-
-
-def run(readings):
-    state = lc.new_board()
-    for r in readings:
-        lc.apply_reading(state, *r)
-    return state["p"]
-
-
-def test_lifecycle_rules():
-    p = run([(0, "listing", ["a", "b"]), (100, "listing", ["a"]), (200, "listing", ["a"])])
-    assert p["b"]["closed"] is None  # second miss too soon
-    p = run([(0, "listing", ["a", "b"]), (100, "listing", ["a"]), (7400, "not_modified", [])])
-    assert p["b"]["reason"] == "missing" and p["a"]["seen"] == 7400
-    p = run([(0, "listing", ["a"]), (100, "listing", ["b"]), (200, "listing", ["a"])])
-    assert p["a"]["miss"] == 0 and p["a"]["closed"] is None
-    many = [str(i) for i in range(12)]
-    p = run([(0, "listing", many), (100, "listing", ["0"]), (DAY, "listing", ["0"]), (DAY + 50, "listing", ["0"])])
-    assert all(x["closed"] is None for x in p.values())
-    p = run([(0, "listing", many), (100, "listing", ["0"]), (DAY, "listing", ["0"]), (DAY + 200, "listing", ["0"])])
-    assert sum(x["reason"] == "mass_close" for x in p.values()) == 11
-    p = run([(0, "listing", ["a"]), (1, "empty", []), (2, "empty", []), (3, "empty", [])])
-    assert p["a"]["closed"] is None
-    p = run([(0, "listing", ["a"]), (1, "empty", []), (2, "empty", []), (8 * DAY, "empty", [])])
-    assert p["a"]["reason"] == "board_empty"
-    assert run([(10, "listing", ["a"]), (5, "listing", ["b"])]).keys() == {"a"}  # a late reading is ignored
-
-
-def test_stream_equals_batch(spark, tmp_path):
-    rng, rows = random.Random(3), []
-    for board in "xyz":
-        for k in range(12):
-            kind = rng.choice(["listing"] * 6 + ["not_modified", "empty", "failed"])
-            listed = [f"p{i}" for i in range(15) if rng.random() < 0.7] if kind == "listing" else []
-            rows.append(("ats", board, dt.datetime(2024, 1, 1) + dt.timedelta(hours=9 * k), kind, listed))
-    schema = "ats string, board string, reading_ts timestamp, kind string, listed array<string>"
-    batch = {tuple(r)[:3]: tuple(r)[3:] for r in lc.settle(spark.createDataFrame(rows, schema)).collect()}
-    source = str(tmp_path / "in")
-    for part in range(3):  # three files, in time order
-        cut = sorted(rows, key=lambda r: r[2])[part * 12 : part * 12 + 12]
-        spark.createDataFrame(cut, schema).coalesce(1).write.mode("append").parquet(source)
-    stream = lc.settle_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source))
-    got = {}
-
-    def keep(df, _):
-        got.update({tuple(r)[:3]: tuple(r)[3:] for r in df.collect()})
-
-    q = stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert q.exception() is None and got == batch
-
-
 MAPPED = {
     "greenhouse": '{"id": 5, "title": "T", "updated_at": "2024-01-02T00:00:00Z"}', "lever": '{"id": "5", "text": "T"}', "ashby": '{"id": "5", "title": "T", "location": "A"}', "workable": '{"shortcode": "5", "title": "T"}',
     "recruitee": '{"id": 5, "title": "T"}', "gem": '{"id": "5", "title": "T"}', "remotive": '{"id": 5, "title": "T"}', "remoteok": '{"id": "5", "position": "T"}', "github_json": '{"id": "5", "title": "T", "active": true, "is_visible": true}',
