@@ -327,17 +327,6 @@ def scan_aliases(tokens: Column, aliases: dict[str, str]) -> Column:
     return F.aggregate(places, start, step, lambda a: a["out"])
 
 
-@query("d_scan_skills", "SELECT * FROM (VALUES ('Registered Nurse II', []), ('Senior Data Engineer', ['data engineering']), ('Software Developer (C++)', ['development', 'c']), ('Junior Software Engineer', ['software']), ('Engineering Manager', []), ('Director of Data', ['data']), ('Lead Analyst, 2024 Summer', ['analysis']), ('Recruiter', [])) v(title, skills)")
-def scan_skills(t: Tables) -> DataFrame:
-    aliases = {"software developer": "development", "c": "c", "data engineer": "data engineering", "data": "data", "software": "software", "analyst": "analysis"}
-    return jobs(t).select("title").distinct().select("title", scan_aliases(words(F.col("title")), aliases).alias("skills"))
-
-
-@query("d_scan_industries", "SELECT DISTINCT p_name, CASE WHEN p_name = 'red widget' THEN ['widgets'] WHEN p_name LIKE '%widget' THEN ['hardware'] WHEN p_name LIKE '%ring' THEN ['jewels'] ELSE [] END AS industries FROM part")
-def scan_industries(t: Tables) -> DataFrame:
-    return t.part.select("p_name").distinct().select("p_name", scan_aliases(words(F.col("p_name")), {"red widget": "widgets", "widget": "hardware", "small ring": "jewels", "ring": "jewels"}).alias("industries"))
-
-
 @query("d_family_related", "WITH e(a, b, w) AS (VALUES ('data', 'analysis', 0.6::DOUBLE), ('engineering', 'data', 0.5::DOUBLE)), f AS (SELECT DISTINCT x FROM (SELECT a AS x FROM e UNION ALL SELECT b FROM e)) SELECT p.x AS a, q.x AS b, coalesce(max(w), CASE WHEN p.x = q.x THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS weight FROM f p CROSS JOIN f q LEFT JOIN e ON (e.a = p.x AND e.b = q.x) OR (e.a = q.x AND e.b = p.x) GROUP BY 1, 2")
 def family_related(t: Tables) -> DataFrame:
     """Symmetric weights of a small edge table; unrelated families weigh nothing."""

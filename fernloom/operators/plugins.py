@@ -88,22 +88,6 @@ def u_embedder(t: Tables) -> DataFrame:
     return t.benchmark.select("item_id", embed(F.col("text")).alias("embedding"))
 
 
-class SkillRows:
-    """Table function: the skills of a text, one row each."""
-
-    def eval(self, words: list):
-        aliases = {"red widget": "widgets", "ring": "jewels", "widget": "hardware"}
-        for i, s in enumerate(domain.greedy_spans(list(words), aliases, 2)):
-            yield i, s
-
-
-@query("u_skill_dictionary", "SELECT p_partkey, CAST(0 AS INT) AS pos, CASE WHEN p_name LIKE '%red widget' THEN 'widgets' WHEN p_name LIKE '%widget' THEN 'hardware' ELSE 'jewels' END AS skill FROM part WHERE p_name LIKE '%widget' OR p_name LIKE '%ring'")
-def u_skills(t: Tables) -> DataFrame:
-    t.spark.udtf.register("fl_skills", F.udtf(SkillRows, returnType="pos int, skill string"))
-    words = t.part.select("p_partkey", F.split("p_name", " ").alias("ws"))
-    return t.spark.sql("SELECT p_partkey, pos, skill FROM {w}, LATERAL fl_skills(ws)", w=words)
-
-
 class _Board(InputPartition):
     def __init__(self, name: str, rows: int):
         super().__init__(name)
