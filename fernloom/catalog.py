@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fernloom.operators import aggregates, alerts, aliases, changes, domain, filtering, ingest, joins, lifecycle, plugins, ranking, secondary, setops, text, wordsearch  # noqa: F401
+from fernloom.operators import aggregates, alerts, aliases, changes, domain, filtering, identity, ingest, joins, lifecycle, plugins, ranking, secondary, setops, setsim, text, topk, wordsearch  # noqa: F401
 from fernloom.plans import search
 from fernloom.registry import ORACLE_SQL, QUERIES
 
