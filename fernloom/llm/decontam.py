@@ -13,11 +13,16 @@ Three passes over the whole documents, none of which shuffles a text:
    tenth of the directions, shared by languages and topics, are weighted down to one size;
 3. every document slides windows of terms (a size for each benchmark item's length) over
    its passages' latent vectors; windows whose cosine with an item reaches ``min_cosine``
-   are candidates.  A candidate must share enough terms with the item (an upper bound of
+   are candidates.  A copy may lie far off in that space, where most passages share its words;
+   so windows with one of the item's rarest terms, enough of them that no copy can lack all, are
+   candidates too.  A candidate must share enough terms with the item (an upper bound of
    the next test), then its longest common subsequence with the item decides: at least
    ``min_lcs`` of the item's terms for a copy, at least ``min_paraphrase`` and the item's
    answer (terms of its last sentence) for a paraphrase.
 
+Words are runs of letters and digits, case folded; signs beyond ASCII (quotes, dashes, no-break
+spaces) part them as ASCII ones do, and each Han or Kana character is a word.
+
 Benchmark items are the stated query set: they go out in blocks of bounded size, against
 all documents.  Words meet by 64-bit hashes everywhere but in the SVD, where a word's column is
 its place in the benchmark's sorted vocabulary modulo ``features`` (its own column up to that
@@ -44,7 +49,8 @@ from pyspark.sql import types as T
 
 from fernloom.llm.batches import small_batches
 
-#: A-Z folded, digits and a-z kept, other ASCII a space, other bytes kept (Latin-1 capitals are folded apart).
+#: A-Z folded, digits and a-z kept, other ASCII a space, other bytes kept (Latin-1 capitals are folded apart,
+#: other scripts' before this table is used).
 FOLD = np.array([c if c > 127 or chr(c).isdigit() or chr(c).islower() else c + 32 if chr(c).isupper() else 32 for c in range(256)], np.uint8)
 SENTENCE = re.compile(r"[.!?\n]+")
 #: Bytes hashed and terms projected at once.
@@ -87,9 +93,13 @@ def _hash_piece(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
         capital = np.zeros(len(data), bool)
         capital[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
         folded[capital] += 32
-    inside = folded != 32
+    inside, alone = folded != 32, np.zeros(0, np.int64)
+    lead = np.flatnonzero(data >= 0xC2)
+    if len(lead) and data[lead].max() != 0xC3 or (data[lead] == 0xC2).any():
+        alone = _other_scripts(data, lead, inside)
     edge = np.zeros(len(data) + 1, bool)
     edge[bounds] = True  # a word ends with its text
+    edge[alone], edge[alone + 3] = True, True  # a character of an unspaced script is a word
     begin, end = inside.copy(), inside.copy()
     begin[1:] &= ~inside[:-1] | edge[1:-1]
     end[:-1] &= ~inside[1:] | edge[1:-1]
@@ -100,9 +110,28 @@ def _hash_piece(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return hashes, np.diff(np.searchsorted(first, bounds))
 
 
+def _other_scripts(data: np.ndarray, lead: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Marks the bytes of spaces, quotes, dashes and other signs beyond ASCII as outside words; where Han and Kana characters begin."""
+    lead = lead[lead + 2 < len(data)]
+    first, second, third = data[lead], data[lead + 1], data[lead + 2]
+    two = (first == 0xC2) & (second != 0xAA) & (second != 0xB5) & (second != 0xBA)
+    three = (first == 0xE2) & (second <= 0x81) | (first == 0xE3) & (second == 0x80) | (first == 0xEF) & (second == 0xBC) & (third <= 0x8F)
+    inside[lead[two]] = inside[lead[two] + 1] = False
+    for k in range(3):
+        inside[lead[three] + k] = False
+    return lead[(first >= 0xE3) & (first <= 0xE9) & ~three]
+
+
+def _bytes(column: pa.Array) -> np.ndarray:
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+
+
 def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts of a column, and the number of words of each row (null: none)."""
     column = pc.fill_null(column, "").cast(pa.large_string())
+    if (_bytes(column) >= 0xC4).any():  # beyond Latin-1 letters the case is folded by character
+        column = pc.utf8_lower(column)
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     hashes, counts, row = [np.zeros(0, np.uint64)], np.zeros(len(column), np.int64), 0
@@ -118,6 +147,8 @@ def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
                 cut = min(end, at + PIECE_BYTES)
                 if cut < end and len(spaces := np.nonzero(FOLD[data[at:cut]] == 32)[0]):
                     cut = at + int(spaces[-1]) + 1
+                while cut < end and data[cut] & 0xC0 == 0x80:  # never inside a character
+                    cut -= 1
                 found, n = _hash_piece(data[at:cut], np.array([0, cut - at]))
                 hashes.append(found)
                 counts[row] += n[0]
@@ -377,6 +408,19 @@ class Searcher:
             b: np.array([len(np.unique(x.ids % p.features)) - (len(x.terms) - int(np.ceil(p.min_paraphrase * len(x.terms) - 1e-9))) for x in own]) for b, own in self.by_blocks.items()
         }
         self.need = {b: np.array([int(np.ceil(p.min_paraphrase * len(x.terms) - 1e-9)) for x in own]) for b, own in self.by_blocks.items()}
+        self.rare = {b: self._rare(own) for b, own in self.by_blocks.items()}
+
+    def _rare(self, own) -> tuple[np.ndarray, np.ndarray]:
+        """Places and items of words one of which every copy must hold, by place: an LCS of ``min_lcs`` leaves out fewer of the item's terms than these, its rarest."""
+        places, items = [], []
+        for i, x in enumerate(own):
+            spare = len(x.terms) - int(np.ceil(self.p.min_lcs * len(x.terms) - 1e-9)) + 1
+            some = np.unique(x.ids[np.argsort(-self.idf[x.ids], kind="stable")[:spare]])
+            places.append(some)
+            items.append(np.full(len(some), i))
+        places, items = np.concatenate(places), np.concatenate(items)
+        order = np.argsort(places, kind="stable")
+        return places[order], items[order]
 
     def _rows(self, ids):
         """The terms' weighted rows of the projection."""
@@ -444,13 +488,12 @@ class Searcher:
             v /= np.sqrt(energy[last] - energy[first]).astype(np.float32)[:, None]
             v -= self.mean
             v /= np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v)), 1e-12)[:, None]
+            pairs = [self._copies(blocks, ids, starts, rows, first, len(own))]
             for j0 in range(0, len(own), 512):
-                cosine = v @ self.vectors[blocks][j0 : j0 + 512].T
-                i, j = np.nonzero(cosine >= p.min_cosine)
-                if not len(i):
-                    continue
-                value, j, width = cosine[i, j], j + j0, blocks * p.block
-                ok = np.zeros(len(i), bool)
+                i, j = np.nonzero(v @ self.vectors[blocks][j0 : j0 + 512].T >= p.min_cosine)
+                pairs.append((i, j + j0))
+            for i, j in pairs:
+                width, ok = blocks * p.block, np.zeros(len(i), bool)
                 for c in range(0, len(i), 4096):  # upper bounds of the LCS: terms, then distinct features, of the item
                     jc = j[c : c + 4096]
                     place = self.places[blocks][jc[:, None], padded[starts[first[i[c : c + 4096]], None] + np.arange(width)]]
@@ -458,10 +501,31 @@ class Searcher:
                     kinds = np.zeros((len(some), width + 1), bool)
                     kinds[np.arange(len(some))[:, None], place[some]] = True
                     ok[c + some] = kinds[:, 1:].sum(axis=1) >= self.need_kinds[blocks][jc[some]]
-                for k, item, cos in zip(first[i[ok]].tolist(), j[ok].tolist(), value[ok].tolist(), strict=True):
+                i, j = i[ok], j[ok]
+                cosines = np.einsum("ij,ij->i", v[i], self.vectors[blocks][j])
+                for k, item, cos in zip(first[i].tolist(), j.tolist(), cosines.tolist(), strict=True):
                     window = hashes[starts[k] : min(int(term_end[k]), int(starts[k]) + width, n)]
                     self._verify(own[item], window, cos, found, row0 + int(rows[k]))
 
+    def _copies(self, blocks, ids, starts, rows, first, n_items) -> tuple[np.ndarray, np.ndarray]:
+        """Windows (as places in ``first``) and items that share one of the item's rare words: none that holds a copy is missing."""
+        places, items = self.rare[blocks]
+        lo, hi = np.searchsorted(places, ids, "left"), np.searchsorted(places, ids, "right")
+        at = np.flatnonzero(hi > lo)
+        times = hi[at] - lo[at]
+        item = items[np.repeat(lo[at] - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(times.sum())] if len(at) else np.zeros(0, np.int64)
+        block = np.repeat(np.searchsorted(starts, at, "right") - 1, times)
+        found = [np.zeros(0, np.int64)]
+        for back in range(blocks):  # every window over the word's block
+            begin = block - back
+            same = (begin >= 0) & (rows[np.maximum(begin, 0)] == rows[block])
+            begin, own = begin[same], item[same]
+            spot = np.minimum(np.searchsorted(first, begin), len(first) - 1)
+            hit = first[spot] == begin
+            found.append(spot[hit] * n_items + own[hit])
+        pairs = np.unique(np.concatenate(found))
+        return pairs // n_items, pairs % n_items
+
     def _verify(self, item: Item, window, cosine: float, found, row: int) -> None:
         p = self.p
         share = lcs_length(item.terms.tolist(), window.tolist()) / len(item.terms)
@@ -492,14 +556,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, params: Params = P
 
 def _item_blocks(benchmark: DataFrame, size: int) -> Iterator[list[tuple]]:
     """The benchmark in blocks of bounded size; at least one, if empty."""
-    rows = benchmark.select("item_id", "text").where("item_id IS NOT NULL").orderBy("item_id").toLocalIterator()
     block: list[tuple] = []
-    for r in rows:
-        block.append((r["item_id"], r["text"]))
+    for r in benchmark.select("item_id", "text").where("item_id IS NOT NULL").orderBy("item_id").toLocalIterator():
         if len(block) == size:
             yield block
             block = []
-            continue
+        block.append((r["item_id"], r["text"]))
     yield block
 
 
@@ -555,13 +617,15 @@ def judged(docs: DataFrame, benchmark: DataFrame, params: Params = Params(), tex
 
         return run
 
-    blocks = list(_item_blocks(benchmark, block_items))
     found = T.StructField("found", T.StructType.fromDDL(FOUND.removeprefix("struct<").removesuffix(">")))
-    for k, items in enumerate(blocks):
-        first, last = k == 0, k == len(blocks) - 1
+    blocks = _item_blocks(benchmark, block_items)
+    items, first = next(blocks), True
+    while items is not None:  # one block at a time on the driver
+        after = next(blocks, None)
         shared = docs.sparkSession.sparkContext.broadcast((space, [x for i, t in items if (x := read_item(i, t, space, params))]))
-        fields = [f for f in docs.schema.fields if f.name != "found" and (f.name != text_col or keep_text or not last)]
-        docs = docs.mapInArrow(judge(shared, first, last), T.StructType([*fields, found]))
+        fields = [f for f in docs.schema.fields if f.name != "found" and (f.name != text_col or keep_text or after is not None)]
+        docs = docs.mapInArrow(judge(shared, first, after is None), T.StructType([*fields, found]))
+        items, first = after, False
     return docs
 
 

@@ -224,3 +224,39 @@ def test_edits_within_a_hot_group_do_not_hide_its_item(spark):
     got = {r.doc_id: r.item_id for r in out if r.contaminated}
     assert {d: i for d, i in got.items() if d < 300} == planted
     assert sum(got.get(d) == 3 for d in range(300, 460)) >= 150  # the latent search is approximate: 156 when written
+
+
+def test_a_copy_in_a_table_of_its_own_words_is_found(spark):
+    """Most rows share the item's words, so its latent direction is the mean; an edited copy is found all the same."""
+    item = "Which harbour did the northern fleet leave before sunrise while guard number twelve counted lanterns"
+    words = item.split()
+    pattern = [f"northern fleet harbour before number {i} guard counted leave lanterns sunrise" for i in range(300)]
+    edited = words[:]
+    edited[4], edited[5], edited[11] = edited[5], edited[4], "soldier"
+    docs = [*pattern, " ".join(edited), item]
+    out = {r.doc_id: r for r in dc.by_document(documents(spark, docs), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert out[300].contaminated and out[301].contaminated and out[300].lcs_share >= 0.75
+    assert not any(out[d].contaminated for d in range(300))
+
+
+def test_unspaced_scripts_capitals_and_signs(spark):
+    chinese = "北方舰队在日出之前离开了哪一个港口并且数了多少盏灯笼"
+    russian = "какая северная эскадра вышла из гавани перед рассветом считая фонари на стене"
+    greek = "ποιος στόλος έφυγε από το λιμάνι πριν από την αυγή μετρώντας φανάρια"
+    english = "which lantern did the keeper's mate carry over the harbour wall that winter night"
+    items = spark.createDataFrame(list(enumerate([chinese, russian, greek, english])), "item_id long, text string")
+    rng = random.Random(2)
+    docs = [
+        f"昨天我们看见了很多东西然后{chinese}最后大家都回家了", prose(rng, 20) + " " + russian.upper() + " " + prose(rng, 20), f"{greek.upper()} {prose(rng, 5)}",
+        "which “lantern” did the keeper’s\u00a0mate carry — over the harbour\u2009wall, that winter night", "昨天我们看见了很多东西", prose(rng, 60),
+    ]
+    out = {r.doc_id: r.item_id for r in dc.by_document(documents(spark, docs), items).collect()}
+    assert out == {0: 0, 1: 1, 2: 2, 3: 3, 4: None, 5: None}
+
+
+def test_no_copy_is_lost_at_any_cosine(spark):
+    """With the latent candidates off, the exact ones find every copy that the rule names; paraphrases need the latent ones."""
+    items, docs, planted = corpus(seed=9, n=200)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    kinds = lambda p: {r.doc_id: (r.item_id, r.lcs_share) for r in dc.by_document(documents(spark, docs), bench, p).collect() if r.kind == "copy"}
+    assert kinds(dc.Params(min_cosine=2.0)) == kinds(dc.Params(min_cosine=-1.0)) != {}
