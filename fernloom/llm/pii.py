@@ -1,8 +1,8 @@
 r"""Personal data spans with native functions only.
 
 Regular expressions propose spans, checksums confirm them (Luhn for cards, mod-97 for
-IBANs), ranges and digit counts reject, and context words shortly before a span adjust
-its score.  Offsets are code points, end exclusive.
+IBANs, in one run or in groups of four), ranges and digit counts reject, and context words
+shortly before or after a span adjust its score.  Offsets are code points, end exclusive.
 
 Each base pattern is the contract's with possessive repetition, which Java runs as a loop
 (no deep stack, no backtracking on very long runs): a match that starts inside a run of
@@ -31,7 +31,7 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+\-])|\G)[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[
 IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20\-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9\-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
 SSN = r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
 
 #: Score of a confirmed span, and words that raise it when they stand before it.
@@ -90,7 +90,8 @@ def luhn(digits: Column) -> Column:
 
 
 def mod97(iban: Column) -> Column:
-    """Mod-97 checksum: the first four characters move to the end, letters count 10 to 35."""
+    """Mod-97 checksum without spaces: the first four characters move to the end, letters count 10 to 35."""
+    iban = F.replace(iban, F.lit(" "), F.lit(""))
     moved = F.concat(F.substr(iban, F.lit(5)), F.substr(iban, F.lit(1), F.lit(4)))
     rest = F.aggregate(
         F.split(moved, ""),
@@ -108,7 +109,7 @@ def _confirmed(kind: str, s: Column) -> Column:
     if kind == "phone":
         return F.length(_digits(s)).between(9, 15)
     if kind == "iban":
-        return mod97(s)
+        return mod97(s) & (F.length(F.replace(s, F.lit(" "), F.lit(""))) >= 15)
     if kind == "ssn":
         return ~s.rlike(r"^(?:000|666|9[0-9]{2})-|-00-|-0000$")
     return F.lit(True)
@@ -120,21 +121,32 @@ PROPOSALS = {
     "ip": (r"[0-9]\.[0-9]", IP),
     "card": (r"[0-9](?:[\x20\-]?[0-9]){11}", CARD),
     "phone": (r"\+[0-9]", PHONE),
-    "iban": (r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11}", IBAN),
+    "iban": (r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11}| [A-Z0-9]{4} [A-Z0-9]{4})", IBAN),
     "ssn": (r"[0-9]-[0-9]{2}-[0-9]{4}", SSN),
 }
 
 
 def _score(kind: str, span: Column) -> Column:
     before = F.substr(F.col("text"), F.greatest(span["start"] - CONTEXT_CHARS, F.lit(0)) + 1, F.least(span["start"], F.lit(CONTEXT_CHARS)))
-    bonus = F.when(before.rlike(rf"(?i)\b(?:{CONTEXT_WORDS[kind]})\b"), CONTEXT_BONUS).otherwise(0.0)
+    after = F.substr(F.col("text"), span["end"] + 1, F.lit(CONTEXT_CHARS))
+    word = rf"(?i)\b(?:{CONTEXT_WORDS[kind]})\b"
+    bonus = F.when(before.rlike(word) | after.rlike(word), CONTEXT_BONUS).otherwise(0.0)
     return F.round(F.least(F.lit(1.0), F.lit(BASE_SCORE[kind]) + bonus), 2)
 
 
+def _cut_short(s: Column) -> Column:
+    """A number in groups may have run into the capitals after it: up to two groups are left off until the checksum holds."""
+    out = s
+    for shorter in (F.regexp_replace(s, " [A-Z0-9]+ [A-Z0-9]+$", ""), F.regexp_replace(s, " [A-Z0-9]+$", ""), s):
+        out = F.when(_confirmed("iban", shorter), shorter).otherwise(out)
+    return out
+
+
 def _scored(rank: int, kind: str) -> Column:
     """Confirmed and scored spans of one kind from its offsets, piece lengths and hits."""
     at = F.zip_with(F.col(f"off_{kind}"), F.col(f"len_{kind}"), lambda o, p: o + p)
-    spans = F.zip_with(at, F.col(f"hit_{kind}"), lambda a, h: F.struct(a.alias("start"), (a + F.length(h)).alias("end"), h.alias("s")))
+    spans = F.zip_with(at, F.col(f"hit_{kind}"), lambda a, h: F.struct(a.alias("start"), (_cut_short(h) if kind == "iban" else h).alias("s")))
+    spans = F.transform(spans, lambda m: F.struct(m["start"].alias("start"), (m["start"] + F.length(m["s"])).alias("end"), m["s"].alias("s")))
     good = F.filter(spans, lambda m: _confirmed(kind, m["s"]))
     scored = F.transform(
         good,
@@ -170,4 +182,4 @@ def op6_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter("spans", lambda m: m["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     base = F.filter("spans", lambda m: m["rank"] < len(BASE))
-    return found.select("doc_id", *[count(k) for k in BASE], F.sha2(F.encode(_joined(base), "UTF-8"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *[count(k) for k in BASE], F.sha2(F.encode(_joined(base), "UTF-8"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), F.array_join(F.transform("spans", lambda m: m["score"].cast("string")), ",").alias("scores"))

@@ -18,6 +18,7 @@ QUERIES = {
     "op11_fill_in_middle": fim.op11_fill_in_middle,
     "op12_maxent_scores": maxent.op12_maxent_scores,
     "op13_ranked_search": lexical.op13_ranked_search,
+    "quote_free_chats": quotes.quote_free_chats,
     "quoted_threads": quotes.quoted_threads,  # op1 on replies that quote: the table itself holds no quotes
 }
 ORACLE_SQL = {
@@ -26,5 +27,6 @@ ORACLE_SQL = {
     "op10_line_dedup": linededup.OP10_SQL,
     "op11_fill_in_middle": fim.OP11_SQL,
     "op13_ranked_search": lexical.OP13_SQL,
+    "quote_free_chats": quotes.CHATS_SQL,
     "quoted_threads": quotes.QUOTED_THREADS_SQL,
 }

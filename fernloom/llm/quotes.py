@@ -4,10 +4,10 @@ A line's quote level is the number of ``>`` in its leading run of markers.  Cons
 lines of one level make a quoted passage.  Passages are normalised (markers off, lower
 case, white space collapsed) and hashed; the same is done to every message's own text,
 as a whole, by paragraph and by line.  A passage is linked to the latest earlier message
-of its conversation with that hash, else to the first message of any conversation.  A passage
-linked to neither, as one of several paragraphs or lines, is split into its paragraphs and
-lines: each votes for the latest earlier message of the conversation that holds it, and the
-message with most votes is taken, the latest on ties.
+of its conversation with that hash.  Where there is none, as for one of several paragraphs or
+lines, it is split into its paragraphs and lines: each votes for the latest earlier message of
+the conversation that holds it, and the message with most votes is taken, the latest on ties.
+A passage that nothing of its own conversation matches is linked to the first message of any.
 
 A message replies to the latest message its level-1 passages are linked to within the
 conversation, else to the one before it.  Reply order is the preorder of that tree:
@@ -133,12 +133,12 @@ def links(parsed: DataFrame) -> DataFrame:
     originals = _originals(parsed)
     found = _latest_earlier(quoted.select("conv_id", "hash", "turn"), originals).withColumnRenamed("found", "own_turn")
     own = materialize(quoted.join(found, ["conv_id", "hash", "turn"], "left").select(*KEY, "at", "level", "text", "hash", "own_turn"), "own-links")
-    wanted = own.where("own_turn IS NULL AND hash IS NOT NULL").select("hash").distinct()
+    voted = _voted(own.where("own_turn IS NULL AND hash IS NOT NULL"), originals)
+    both = own.join(voted, [*KEY, "at"], "left").withColumn("own_turn", F.coalesce("own_turn", "voted"))
+    both = materialize(both, "thread-links")
+    wanted = both.where("own_turn IS NULL AND hash IS NOT NULL").select("hash").distinct()
     first = originals.join(wanted, "hash", "left_semi").groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
-    both = own.join(first, "hash", "left").withColumn("first", F.when(~((F.col("first.conv_id") == F.col("conv_id")) & (F.col("first.turn") >= F.col("turn"))), F.col("first")))
-    both = materialize(both, "whole-links")
-    voted = _voted(both.where("own_turn IS NULL AND first IS NULL AND hash IS NOT NULL"), originals)
-    both = both.join(voted, [*KEY, "at"], "left").withColumn("own_turn", F.coalesce("own_turn", F.when(F.col("first").isNull(), F.col("voted"))))
+    both = both.join(first, "hash", "left").withColumn("first", F.when(~((F.col("first.conv_id") == F.col("conv_id")) & (F.col("first.turn") >= F.col("turn"))), F.col("first")))
     return both.select(
         *KEY,
         "at",
@@ -224,6 +224,11 @@ def chat(ordered: DataFrame, messages_per_row: int = 256) -> DataFrame:
     return parts.select("conv_id", "part", F.array_join(F.transform("m", lambda x: x["line"]), "\n").alias("chat"))
 
 
+def quote_free_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations of ``conversations``, formatted without quotes and in reply order."""
+    return chat(op1_quotation_linking(spark, sf_dir))
+
+
 def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every message of ``conversations`` without its quotes, linked and in reply order."""
     return reply_order(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
@@ -262,8 +267,8 @@ WITH RECURSIVE msg AS (
   SELECT h.*, f.f IS NOT NULL AND NOT (f.f[1] = h.conv_id AND f.f[2] >= h.turn) AS elsewhere FROM here h LEFT JOIN firsts f ON h.t = f.t AND h.own_turn IS NULL
 ), units AS (
   SELECT DISTINCT conv_id, turn, ord, run, trim(regexp_replace(lower(p), '[\s>]+', ' ', 'g')) AS u FROM (
-    SELECT conv_id, turn, ord, run, unnest(regexp_split_to_array(raw, '\n[ \t]*\n')) AS p FROM whole WHERE own_turn IS NULL AND elsewhere IS NOT TRUE
-    UNION ALL SELECT conv_id, turn, ord, run, unnest(string_split(raw, chr(10))) FROM whole WHERE own_turn IS NULL AND elsewhere IS NOT TRUE)
+    SELECT conv_id, turn, ord, run, unnest(regexp_split_to_array(raw, '\n[ \t]*\n')) AS p FROM whole WHERE own_turn IS NULL
+    UNION ALL SELECT conv_id, turn, ord, run, unnest(string_split(raw, chr(10))) FROM whole WHERE own_turn IS NULL)
 ), votes AS (
   SELECT conv_id, turn, ord, run, found, count(*) AS n FROM (
     SELECT u.conv_id, u.turn, u.ord, u.run, u.u, max(s.turn) AS found FROM units u JOIN src s ON u.conv_id = s.conv_id AND u.u = s.t AND s.turn < u.turn AND u.u <> '' GROUP BY 1, 2, 3, 4, 5) GROUP BY 1, 2, 3, 4, 5
@@ -313,3 +318,7 @@ def quoted_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUOTED_THREADS_SQL = OP1_SQL.replace("WITH RECURSIVE msg AS (", f"WITH RECURSIVE threads AS ({QUOTING.format(table='conversations')}), msg AS (").replace("AS text FROM conversations", "AS text FROM threads")
+
+#: The formatted conversations of the query above.
+CHATS_SQL = f"""WITH o AS ({OP1_SQL}) SELECT conv_id, position // 256 AS part, string_agg('<|' || coalesce(role, '') || '|>' || chr(10) || text, chr(10) ORDER BY position) AS chat
+FROM o WHERE position IS NOT NULL GROUP BY conv_id, position // 256"""

@@ -78,3 +78,16 @@ def test_query_digest_nulls_and_empty(spark, tmp_path):
     assert all(out[i].base_sha256 == hashlib.sha256(brute(t).encode()).hexdigest() for i, t in enumerate(texts))
     assert out[1].spans == out[2].spans == "" and out[3][1:] == out[4][1:]
     assert pii.find_pii(documents(spark, [])).count() == 0
+
+
+def test_ibans_in_groups_and_context_on_both_sides(spark):
+    iban, spaced = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"
+    texts = [
+        f"pay to {iban} now", f"pay to {spaced} now", f"{spaced} AND MORE", "GB82 WEST 1234 5698 7654 32 THEN", "NO93 8601 1117 947", "NL91 ABNA 0417 1643 00 IBAN OK", "DE89 3704 0044 0532 0130 01 wrong", "AB12 CDEF GHIJ is no account",
+        "123-45-6789 is my social security number", "my ssn: 123-45-6789", "123-45-6789 alone", "number 123-45-6789",
+    ]
+    rows = pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {r.doc_id: [(s.kind, texts[r.doc_id][s.start : s.end], s.score) for s in r.spans if s.kind in ("iban", "ssn")] for r in rows}
+    assert [x[1] for i in range(6) for x in got[i]] == [iban, spaced, spaced, "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947", "NL91 ABNA 0417 1643 00"]
+    assert got[6] == [] and got[7] == []
+    assert [got[i] for i in range(8, 12)] == [[("ssn", "123-45-6789", 0.6)], [("ssn", "123-45-6789", 0.6)], [], []]

@@ -59,6 +59,22 @@ def test_parts_of_a_message_are_linked_by_votes(spark):
     assert [out[1, t] for t in range(2, 7)] == [0, 0, 1, None, 1] and out[2, 0] is None
 
 
+def test_the_own_thread_comes_before_other_conversations(spark):
+    rows = [
+        (0, 0, "user", "line one\nline two"),
+        (1, 0, "user", "line one\nline two\nline three"),
+        (1, 1, "assistant", "something else"),
+        (1, 2, "user", "and more"),
+        (1, 3, "user", "> line one\n> line two\nI mean this"),
+        (2, 0, "user", "unrelated"),
+        (2, 1, "user", "> line one\n> line two\nfrom another conversation"),
+    ]
+    got, want = both(spark, rows)
+    assert got == want
+    out = {(r.conv_id, r.turn): (r.quoted_turn, r.n_linked) for r in quotes.reply_order(spark.createDataFrame([(*r, "", "") for r in rows], SCHEMA)).collect()}
+    assert out[1, 3] == (0, 1) and out[2, 1] == (None, 1)
+
+
 def test_quoted_threads_match_sql(spark, sf):
     want = duckdb.connect().execute(quotes.QUOTED_THREADS_SQL.replace("FROM conversations", f"FROM '{sf}/conversations.parquet'").replace("JOIN conversations", f"JOIN '{sf}/conversations.parquet'")).fetchdf()
     got = quotes.quoted_threads(spark, sf).toPandas()
