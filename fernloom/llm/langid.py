@@ -3,10 +3,11 @@
 A word is a run of letters and marks that begins with a letter, lower-cased; training and
 prediction cut texts with the same pattern.  Training counts words per language over a bounded
 sample of labelled documents (about ``sample_docs``, evenly over the languages: the rows whose
-hash of id and text falls in their language's share).  The model keeps the ``max_words`` most
-frequent words and, for n from ``max_n`` down to 1, the ``max_ngrams`` most frequent
-character n-grams (words padded with ``^`` and ``$``), each with its log frequency per
-language; so its size is bounded by parameters and it can be broadcast.
+hash of id and text falls in their language's share).  The model keeps of each language its
+``max_words`` most frequent words and, for n from ``max_n`` down to 1, its ``max_ngrams`` most
+frequent character n-grams (words padded with ``^`` and ``$``), so a rare language keeps its own;
+each has its log frequency per language.  Labels beyond the ``max_langs`` most frequent ones are not
+learned.  So the model's size is bounded by parameters and it can be broadcast.
 
 Prediction: a known word adds its per-language log frequency.  An unseen word adds the
 mean log frequency of its known n-grams of the longest n that has any, plus a penalty a
@@ -31,6 +32,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from fernloom.llm.batches import bounded_slices, small_batches
 from fernloom.scratch import materialize
@@ -124,10 +126,11 @@ class Scorer:
         return out
 
 
-def sampled(labelled: DataFrame, sample_docs: int) -> DataFrame:
+def sampled(labelled: DataFrame, sample_docs: int, max_langs: int = 256) -> DataFrame:
     """The bounded sample, about ``sample_docs`` rows: of each language the rows whose hash falls in its
     share, so a rare language is taken whole; it stays distributed."""
-    rows = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(max_langs)
+    rows = {r["lang"]: r["n"] for r in sizes.collect()}
     if not rows:
         return labelled
     left, quota = sample_docs, {}
@@ -153,9 +156,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(lang, pa.string()), pa.array(seen.values(), pa.int64())], ["w", "lang", "n"])
 
 
-def train(labelled: DataFrame, sample_docs: int = 8_000, max_words: int = 30_000, max_ngrams: int = 20_000, max_n: int = 5) -> Model:
+def train(labelled: DataFrame, sample_docs: int = 8_000, max_words: int = 30_000, max_ngrams: int = 20_000, max_n: int = 5, max_langs: int = 256) -> Model:
     """Fit on ``(doc_id, text, lang)``; counts run in Spark, only the bounded tables reach the driver."""
-    rows = sampled(labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang"), sample_docs)
+    rows = sampled(labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang"), sample_docs, max_langs)
     words = small_batches(rows).select("text", "lang").mapInArrow(_counted, "w string, lang string, n long")
     counts = materialize(words.groupBy("w", "lang").agg(F.sum("n").alias("n")), "words")
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
@@ -163,9 +166,10 @@ def train(labelled: DataFrame, sample_docs: int = 8_000, max_words: int = 30_000
     by_lang = [F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, x in enumerate(langs)]
 
     def table(frame: DataFrame, most: int) -> Table:
-        """Log frequencies of the most frequent terms, smoothed by half a count."""
-        own = frame.groupBy("w").agg(F.sum("n").alias("all"), *by_lang)
-        kept = own.orderBy(F.col("all").desc(), "w").limit(most).drop("all").toPandas()
+        """Log frequencies of each language's most frequent terms, smoothed by half a count."""
+        place = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "w"))
+        own = frame.withColumn("place", place).where(F.col("place") <= most).select("w").distinct()
+        kept = frame.join(own, "w").groupBy("w").agg(F.sum("n").alias("all"), *by_lang).orderBy(F.col("all").desc(), "w").drop("all").toPandas()
         n = kept.drop(columns="w").to_numpy(np.float64)
         return Table(kept["w"].tolist(), np.log((n + 0.5) / (n.sum(axis=0) + 0.5 * max(len(n), 1))).reshape(len(n), len(langs)))
 

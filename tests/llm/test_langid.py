@@ -49,10 +49,10 @@ def brute_model(rows, max_words, max_ngrams, max_n):
     words = Counter((w, lang) for t, lang in rows for w in brute_words(t))
 
     def table(counts, most):
-        total = Counter()
-        for (w, _), n in counts.items():
-            total[w] += n
-        kept = sorted(total, key=lambda w: (-total[w], w.encode()))[:most]
+        kept = set()
+        for lang in langs:  # of each language its most frequent ones
+            own = {w: n for (w, x), n in counts.items() if x == lang}
+            kept |= set(sorted(own, key=lambda w: (-own[w], w.encode()))[:most])
         sums = [sum(counts[w, lang] for w in kept) for lang in langs]
         return {w: [math.log((counts[w, lang] + 0.5) / (s + 0.5 * len(kept))) for lang, s in zip(langs, sums, strict=True)] for w in kept}
 
@@ -135,7 +135,7 @@ def test_small_cache_changes_nothing(spark, monkeypatch):
 
 def test_tables_are_bounded_and_sample_is_a_share(spark):
     model = langid.train(labelled(spark, random.Random(3)), max_words=10, max_ngrams=7)
-    assert len(model.words.terms) <= 10 and all(len(t.terms) <= 7 for t in model.grams.values())
+    assert 10 <= len(model.words.terms) <= 3 * 10 and all(len(t.terms) <= 3 * 7 for t in model.grams.values())  # three languages
     rows = spark.range(2000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"), F.when(F.col("id") < 20, "rare").otherwise("usual").alias("lang"))
     got = {r.lang: r["count"] for r in langid.sampled(rows, 200).groupBy("lang").count().collect()}
     assert got["rare"] == 20 and 140 < got["usual"] < 220  # a rare language is taken whole
@@ -156,3 +156,14 @@ def test_columns_held_out_nulls_and_empty(spark):
     assert langid.with_language(docs.drop("score").limit(0), model).count() == 0
     ids = spark.range(50).select(F.col("id"), langid.held_out(F.col("id")).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 5 == 0) for r in ids)
+
+
+def test_a_rare_language_keeps_its_words_and_labels_are_bounded(spark):
+    rows = [(i, "alpha beta gamma delta epsilon zeta eta theta", "en") for i in range(40)]
+    rows += [(100 + i, "uno dos tres cuatro", "es") for i in range(2)]
+    rows += [(200 + i, f"noise{i}", f"junk{i:03d}") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df, max_words=4, max_langs=2)
+    assert model.langs == ["en", "es"] and {"uno", "dos", "tres", "cuatro"} <= set(model.words.terms) and len(model.words.terms) == 8
+    out = {r.doc_id: r.lang_pred for r in langid.with_language(df.drop("lang"), model).collect()}
+    assert out[0] == "en" and out[100] == "es"
