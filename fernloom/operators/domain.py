@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from fernloom.functions import facts as x
 from fernloom.functions.filters import words
+from fernloom.functions.pay import with_pay
 from fernloom.operators.joins import haversine_miles
 from fernloom.plans.postings import JOBS, jobs
 from fernloom.registry import Tables, query
@@ -148,10 +149,32 @@ def posts(t: Tables) -> DataFrame:
     return frame(t, POSTS, "id int, title string, location string, text string")
 
 
-@query("d_parse_pay", f"""{_WITH} SELECT job_id, CAST(CASE WHEN k7 IN (0, 1, 2) THEN lo * 1000 WHEN k7 = 3 THEN lo WHEN k7 = 4 THEN lo * 100 END AS DOUBLE) AS "min", CAST(CASE WHEN k7 IN (0, 1, 2) THEN hi * 1000 WHEN k7 = 3 THEN hi END AS DOUBLE) AS "max",
+@query("d_parse_pay", f"""{_WITH} SELECT job_id, CAST(CASE WHEN k7 IN (0, 1, 2) THEN lo * 1000 WHEN k7 = 3 THEN lo WHEN k7 = 4 THEN lo * 100 END AS DOUBLE) AS "min", CAST(CASE WHEN k7 IN (0, 1, 2) THEN hi * 1000 WHEN k7 = 3 THEN hi WHEN k7 = 4 THEN lo * 100 END AS DOUBLE) AS "max",
   CASE k7 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' WHEN 2 THEN 'GBP' WHEN 3 THEN 'USD' WHEN 4 THEN 'USD' END AS currency, CASE k7 WHEN 0 THEN 'year' WHEN 1 THEN 'year' WHEN 2 THEN 'year' WHEN 3 THEN 'hour' WHEN 4 THEN 'month' END AS period FROM ads""")
 def parse_pay(t: Tables) -> DataFrame:
-    return ads(t).select("job_id", x.parse_pay(F.col("text")).alias("pay")).select("job_id", "pay.*")
+    return with_pay(ads(t).select("job_id", "text"), "text").select("job_id", "pay.min", "pay.max", "pay.currency", "pay.period")
+
+
+#: Texts of every shape of pay, and of figures that are none, by the remainder ``k``; ``lo`` and ``hi`` are thousands or units.
+_PAYS = """SELECT job_id, k, lo, hi, place, CASE WHEN c3 = 0 THEN 'CA' WHEN c3 = 1 THEN 'FR' END AS country, CASE WHEN place = 0 THEN {array}('Denver', 'CO') END AS places,
+  CASE k WHEN 0 THEN 'Salary: Up to $' || h || ',000 per year' WHEN 1 THEN 'Starting pay $' || l || '/hr.' WHEN 2 THEN 'Compensation $' || l || ',000+, based on output' WHEN 3 THEN 'Salary: $' || l || '-' || h || 'k'
+    WHEN 4 THEN 'Gehalt: ' || l || '.000 € brutto jährlich' WHEN 5 THEN '$' || l || '/hr plus a $3/hr night differential' WHEN 6 THEN '$' || l || 'K base, $' || h || 'K OTE' WHEN 7 THEN 'Compensation is CAD $' || l || ',000 to $' || h || ',000 annually'
+    WHEN 8 THEN '$' || l || ',000 sign-on bonus' WHEN 9 THEN 'Cash compensation is $' || l || ',000/yearly - $' || h || ',000/yearly in Phoenix and $' || CAST(lo + 100 AS STRING) || ',000/yearly - $' || CAST(hi + 100 AS STRING) || ',000/yearly in Denver.'
+    WHEN 10 THEN 'We raised $' || l || 'M from investors.' WHEN 11 THEN 'Similar positions at other companies pay $' || l || ',000 per year.' WHEN 12 THEN 'Salary range: ' || l || 'k - ' || h || 'k yearly' ELSE 'Salary: DOE' END AS text
+  FROM (SELECT o_orderkey AS job_id, o_orderkey % 14 AS k, o_custkey % 3 AS c3, o_custkey % 2 AS place, 40 + o_orderkey % 160 AS lo, 45 + o_orderkey % 160 + o_custkey % 40 AS hi,
+    CAST(40 + o_orderkey % 160 AS STRING) AS l, CAST(45 + o_orderkey % 160 + o_custkey % 40 AS STRING) AS h FROM orders)"""
+
+
+@query("d_pay_spans", f"""WITH p AS ({_PAYS.format(array='list_value')}) SELECT job_id,
+  CAST(CASE WHEN k IN (1, 5) THEN lo WHEN k IN (2, 3, 4, 6, 7) OR k = 12 AND country IS NOT NULL THEN lo * 1000 WHEN k = 9 THEN (lo + CASE WHEN place = 0 THEN 100 ELSE 0 END) * 1000 END AS DOUBLE) AS "min",
+  CAST(CASE WHEN k = 5 THEN lo WHEN k IN (0, 3, 7) OR k = 12 AND country IS NOT NULL THEN hi * 1000 WHEN k IN (4, 6) THEN lo * 1000 WHEN k = 9 THEN (hi + CASE WHEN place = 0 THEN 100 ELSE 0 END) * 1000 END AS DOUBLE) AS "max",
+  CASE WHEN k = 4 OR k = 12 AND country = 'FR' THEN 'EUR' WHEN k = 7 OR country = 'CA' AND (k <= 6 OR k IN (9, 12)) THEN 'CAD' WHEN k <= 6 OR k = 9 THEN 'USD' END AS currency,
+  CASE WHEN k IN (1, 5) THEN 'hour' WHEN k <= 7 OR k = 9 OR k = 12 AND country IS NOT NULL THEN 'year' END AS period, CASE WHEN k = 9 THEN 2 WHEN k <= 7 OR k = 12 AND country IS NOT NULL THEN 1 END AS ranges FROM p""")
+def pay_spans(t: Tables) -> DataFrame:
+    """Pay of every shape, with the country's currency, the place's range and the number of ranges."""
+    texts = t.spark.sql(_PAYS.format(array="array").replace("FROM orders", "FROM {{orders}}").replace("{{orders}}", "{orders}"), orders=t.orders)
+    read = with_pay(texts, "text", "country", "places")
+    return read.select("job_id", *[f"pay.{c}" for c in ("min", "max", "currency", "period", "ranges")])
 
 
 @query("d_pay_from_board", f"{JOBS} SELECT job_id, least(annual_min, annual_max) AS low, greatest(annual_min, annual_max) AS high, CASE WHEN annual_min >= 10000 THEN 'year' WHEN annual_min BETWEEN 5 AND 250 THEN 'hour' END AS period FROM jobs WHERE annual_min > 0")
