@@ -13,6 +13,9 @@ PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
 PAIRS = {"ß": "ss", "ł": "l", "ø": "o", "æ": "ae", "đ": "d", "ı": "i"}
 #: Legal endings of company names.
 LEGAL = "inc|incorporated|llc|ltd|limited|corp|corporation|co|company|gmbh|plc|lp|llp|sa|ag"
+#: Words dropped from a query when others remain.
+QUERY_STOP_WORDS = ["a", "an", "the", "and", "or", "not", "near", "of", "in", "on", "at", "for", "to", "with", "by", "from", "as", "is", "job", "jobs"]
+#: Frequent English words, for content words and the guess of a language.
 STOP_WORDS = ["the", "of", "and", "a", "to", "in", "it", "that", "for", "on"]
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&"}
 
@@ -52,7 +55,7 @@ def tokens(text: Column) -> Column:
 def query_terms(text: Column, most: int = 12) -> Column:
     """Distinct terms of the first 500 characters, without stop words unless nothing else is left."""
     found = F.array_distinct(tokens(F.substr(text, F.lit(1), F.lit(500))))
-    rest = F.array_except(found, F.array(*[F.lit(w) for w in STOP_WORDS]))
+    rest = F.array_except(found, F.array(*[F.lit(w) for w in QUERY_STOP_WORDS]))
     return F.slice(F.when(F.size(rest) > 0, rest).otherwise(found), 1, most)
 
 

@@ -62,6 +62,7 @@ def _token_sql(expr: str) -> str:
     return f"regexp_extract_all({_fold(_steps(f'lower({expr})', *_SYMBOLS))}, '[a-z0-9]+')"
 
 
+_QUERY_STOP = "[" + ", ".join(f"'{w}'" for w in text.QUERY_STOP_WORDS) + "]"
 _STOP = "[" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + "]"
 
 
@@ -76,7 +77,7 @@ def tokens(t: Tables) -> DataFrame:
 
 
 @query("t_parse_query", f"""WITH w AS (SELECT item_id, {_token_sql('substr(text, 1, 500)')} AS w FROM benchmark), d AS (SELECT item_id, list_filter(w, lambda x, i: list_position(w, x) = i) AS f FROM w),
-  r AS (SELECT item_id, f, list_filter(f, lambda x: NOT list_contains({_STOP}, x)) AS rest FROM d) SELECT item_id, (CASE WHEN len(rest) > 0 THEN rest ELSE f END)[1:12] AS terms FROM r""")
+  r AS (SELECT item_id, f, list_filter(f, lambda x: NOT list_contains({_QUERY_STOP}, x)) AS rest FROM d) SELECT item_id, (CASE WHEN len(rest) > 0 THEN rest ELSE f END)[1:12] AS terms FROM r""")
 def parse_query(t: Tables) -> DataFrame:
     return t.benchmark.select("item_id", text.query_terms(F.col("text")).alias("terms"))
 
