@@ -8,6 +8,7 @@ survive a lost executor.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -34,19 +35,26 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/fernloom/{label}-{uuid.uuid4().hex}"
 
 
-#: Paths written inside each open ``temporary`` block, the innermost last.
-_OPEN: list[list[str]] = []
+#: Per thread: paths written inside each open ``temporary`` block, the innermost last.
+_LOCAL = threading.local()
+
+
+def _open_blocks() -> list[list[str]]:
+    if not hasattr(_LOCAL, "blocks"):
+        _LOCAL.blocks = []
+    return _LOCAL.blocks
 
 
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
     """Tables materialised inside go when the block ends, save those made with ``keep``."""
     paths: list[str] = []
-    _OPEN.append(paths)
+    blocks = _open_blocks()
+    blocks.append(paths)
     try:
         yield
     finally:
-        _OPEN[:] = [x for x in _OPEN if x is not paths]
+        blocks[:] = [x for x in blocks if x is not paths]
         for path in paths:
             remove(spark, path)
 
@@ -57,8 +65,9 @@ def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None
     Inside a ``temporary`` block the table goes with the block; ``keep`` leaves it to the caller.
     """
     path = scratch_path(df.sparkSession, label)
-    if _OPEN and not keep:
-        _OPEN[-1].append(path)
+    blocks = _open_blocks()
+    if blocks and not keep:
+        blocks[-1].append(path)
     writer = df.write.options(**options)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
