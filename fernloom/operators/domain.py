@@ -157,10 +157,10 @@ def parse_pay(t: Tables) -> DataFrame:
 
 #: Texts of every shape of pay, and of figures that are none, by the remainder ``k``; ``lo`` and ``hi`` are thousands or units.
 _PAYS = """SELECT job_id, k, lo, hi, place, CASE WHEN c3 = 0 THEN 'CA' WHEN c3 = 1 THEN 'FR' END AS country, CASE WHEN place = 0 THEN {array}('Denver', 'CO') END AS places,
-  CASE k WHEN 0 THEN 'Salary: Up to $' || h || ',000 per year' WHEN 1 THEN 'Starting pay $' || l || '/hr.' WHEN 2 THEN 'Compensation $' || l || ',000+, based on output' WHEN 3 THEN 'Salary: $' || l || '-' || h || 'k'
-    WHEN 4 THEN 'Gehalt: ' || l || '.000 € brutto jährlich' WHEN 5 THEN '$' || l || '/hr plus a $3/hr night differential' WHEN 6 THEN '$' || l || 'K base, $' || h || 'K OTE' WHEN 7 THEN 'Compensation is CAD $' || l || ',000 to $' || h || ',000 annually'
-    WHEN 8 THEN '$' || l || ',000 sign-on bonus' WHEN 9 THEN 'Cash compensation is $' || l || ',000/yearly - $' || h || ',000/yearly in Phoenix and $' || CAST(lo + 100 AS STRING) || ',000/yearly - $' || CAST(hi + 100 AS STRING) || ',000/yearly in Denver.'
-    WHEN 10 THEN 'We raised $' || l || 'M from investors.' WHEN 11 THEN 'Similar positions at other companies pay $' || l || ',000 per year.' WHEN 12 THEN 'Salary range: ' || l || 'k - ' || h || 'k yearly' ELSE 'Salary: DOE' END AS text
+  CASE k WHEN 0 THEN 'Salary: Up to $' || h || ',000 per year' WHEN 1 THEN 'Starting pay $' || l || '/hr.' WHEN 2 THEN 'Compensation $' || l || ',000+, by experience' WHEN 3 THEN 'Salary: $' || l || '-' || h || 'k'
+    WHEN 4 THEN 'Gehalt: ' || l || '.000 € brutto jährlich' WHEN 5 THEN '$' || l || '/hr, plus $3/hr at night' WHEN 6 THEN '$' || l || 'K base, $' || h || 'K OTE' WHEN 7 THEN 'We pay CAD $' || l || ',000 to $' || h || ',000 annually'
+    WHEN 8 THEN '$' || l || ',000 sign-on bonus' WHEN 9 THEN 'In Phoenix we pay $' || l || ',000 - $' || h || ',000 per year; the range in Denver: $' || CAST(lo + 100 AS STRING) || ',000 - $' || CAST(hi + 100 AS STRING) || ',000 per year.'
+    WHEN 10 THEN 'We raised $' || l || 'M this year.' WHEN 11 THEN 'Other companies pay $' || l || ',000 per year.' WHEN 12 THEN 'Salary range: ' || l || 'k - ' || h || 'k yearly' ELSE 'Salary: DOE' END AS text
   FROM (SELECT o_orderkey AS job_id, o_orderkey % 14 AS k, o_custkey % 3 AS c3, o_custkey % 2 AS place, 40 + o_orderkey % 160 AS lo, 45 + o_orderkey % 160 + o_custkey % 40 AS hi,
     CAST(40 + o_orderkey % 160 AS STRING) AS l, CAST(45 + o_orderkey % 160 + o_custkey % 40 AS STRING) AS h FROM orders)"""
 
