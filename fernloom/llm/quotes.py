@@ -120,7 +120,7 @@ def _voted(passages: DataFrame, originals: DataFrame) -> DataFrame:
     """``(KEY, at, voted)`` of passages ``(KEY, at, text)``: the earlier turn that most paragraphs and lines were last seen in."""
     parts = F.concat(F.split("text", r"\n[ \t]*\n"), F.split("text", "\n"))
     hashes = F.array_distinct(F.transform(F.filter(F.transform(parts, normalised), lambda x: x != ""), lambda x: F.md5(x)))
-    units = passages.select(*KEY, "at", F.explode(hashes).alias("hash"))
+    units = materialize(passages.select(*KEY, "at", F.explode(hashes).alias("hash")), "units")  # read several times below
     found = _latest_earlier(units.select("conv_id", "hash", "turn"), originals).where("found IS NOT NULL")
     votes = units.join(found, ["conv_id", "hash", "turn"]).groupBy(*KEY, "at", "found").agg(F.count("*").alias("n"))
     return votes.groupBy(*KEY, "at").agg(F.max(F.struct("n", "found")).alias("v")).select(*KEY, "at", F.col("v.found").alias("voted"))
