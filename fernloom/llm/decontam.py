@@ -220,15 +220,28 @@ CONTEXT_BITS = 4
 
 
 def _contexts(column: pa.Array, known: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, place and context group of every word of the benchmark in a column; a context is the words on both sides."""
+    """Where each row's words of the benchmark begin and end, their places and their context groups; a context is the words on both sides."""
     hashes, counts = words_of(column)
     at, ids = known.find(hashes)
     ends = np.cumsum(counts)
-    row = np.searchsorted(ends, at, "right")
-    before = np.where(at == (ends - counts)[row], np.uint64(0), hashes[at - 1])
-    after = np.where(at == ends[row] - 1, np.uint64(0), hashes[np.minimum(at + 1, len(hashes) - 1)])
+    cuts = np.searchsorted(at, np.concatenate(([0], ends)))
+    before, after = hashes[at - 1], hashes[np.minimum(at + 1, len(hashes) - 1)]
+    # a text's first word has none before it, its last one none after it
+    filled = cuts[1:] > cuts[:-1]
+    first, last = cuts[:-1][filled], cuts[1:][filled] - 1
+    before[first[at[first] == (ends - counts)[filled]]] = 0
+    after[last[at[last] == ends[filled] - 1]] = 0
     mixed = (before * np.uint64(_MIX) ^ after) * np.uint64(_BASE)
-    return row, ids, (mixed >> np.uint64(64 - CONTEXT_BITS)).astype(np.int64)
+    return cuts, ids, (mixed >> np.uint64(64 - CONTEXT_BITS)).astype(np.int64)
+
+
+def count_documents(cuts: np.ndarray, ids: np.ndarray, group: np.ndarray, by_word: np.ndarray, by_context: np.ndarray) -> None:
+    """Adds one to each word, and to each word's context group, for every row that holds it; a row's words lie between two ``cuts``."""
+    keys, edges = (ids << CONTEXT_BITS) + group, cuts.tolist()
+    for a, b in zip(edges, edges[1:], strict=False):
+        if b > a:  # indexed sums count a repeated index once
+            by_word[ids[a:b]] += 1
+            by_context[keys[a:b]] += 1
 
 
 def spread_frequencies(df: np.ndarray, by_context: np.ndarray) -> np.ndarray:
@@ -245,16 +258,13 @@ def document_frequencies(docs: DataFrame, known: Vocabulary) -> tuple[int, np.nd
     names = ["n", *(f"c{i}" for i in range(groups))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros((words, groups + 1), np.int64), 0
+        by_word, by_context, n = np.zeros(words, np.int64), np.zeros(words * groups, np.int64), 0
         for batch in batches:
             n += batch.num_rows
             for at in range(0, batch.num_rows, 1024):
-                row, ids, group = _contexts(batch.column(0).slice(at, 1024), shared.value)
-                held = np.unique((row * words + ids) * groups + group)
-                total[:, 1:] += np.bincount(held % (words * groups), minlength=words * groups).reshape(words, groups) if words else 0
-                total[:, 0] += np.bincount(np.unique(held // groups) % words, minlength=words) if words else 0
-        some = np.nonzero(total[:, 0])[0]
-        out = np.vstack([total[some], np.full((1, groups + 1), n)])
+                count_documents(*_contexts(batch.column(0).slice(at, 1024), shared.value), by_word, by_context)
+        some = np.nonzero(by_word)[0]
+        out = np.vstack([np.column_stack([by_word[some], by_context.reshape(words, groups)[some]]), np.full((1, groups + 1), n)])
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1).astype(np.int32)), *(pa.array(out[:, i]) for i in range(groups + 1))], ["word", *names])
 
     made = docs.select("text").mapInArrow(run, "word int, " + ", ".join(f"{c} long" for c in names))
@@ -408,19 +418,28 @@ class Searcher:
             b: np.array([len(np.unique(x.ids % p.features)) - (len(x.terms) - int(np.ceil(p.min_paraphrase * len(x.terms) - 1e-9))) for x in own]) for b, own in self.by_blocks.items()
         }
         self.need = {b: np.array([int(np.ceil(p.min_paraphrase * len(x.terms) - 1e-9)) for x in own]) for b, own in self.by_blocks.items()}
-        self.rare = {b: self._rare(own) for b, own in self.by_blocks.items()}
-
-    def _rare(self, own) -> tuple[np.ndarray, np.ndarray]:
-        """Places and items of words one of which every copy must hold, by place: an LCS of ``min_lcs`` leaves out fewer of the item's terms than these, its rarest."""
-        places, items = [], []
-        for i, x in enumerate(own):
-            spare = len(x.terms) - int(np.ceil(self.p.min_lcs * len(x.terms) - 1e-9)) + 1
-            some = np.unique(x.ids[np.argsort(-self.idf[x.ids], kind="stable")[:spare]])
-            places.append(some)
-            items.append(np.full(len(some), i))
-        places, items = np.concatenate(places), np.concatenate(items)
-        order = np.argsort(places, kind="stable")
-        return places[order], items[order]
+        self.member = self._member([x for own in self.by_blocks.values() for x in own])
+        self.rare_places, self.rare_blocks, self.rare_items = self._rare()
+        self.is_rare = np.zeros(len(self.idf), bool)
+        self.is_rare[self.rare_places] = True
+
+    def _rare(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places, window sizes and items of words one of which every copy must hold, by place: an LCS of ``min_lcs`` leaves out fewer of the item's terms than these, its rarest."""
+        found = [np.zeros((3, 0), np.int64)]
+        for blocks, own in self.by_blocks.items():
+            for i, x in enumerate(own):
+                spare = len(x.terms) - int(np.ceil(self.p.min_lcs * len(x.terms) - 1e-9)) + 1
+                some = np.unique(x.ids[np.argsort(-self.idf[x.ids], kind="stable")[:spare]])
+                found.append(np.stack([some, np.full(len(some), blocks), np.full(len(some), i)]))
+        out = np.concatenate(found, axis=1)
+        return tuple(out[:, np.argsort(out[0], kind="stable")])
+
+    def _member(self, items) -> np.ndarray:
+        """feature -> 1 for each item that holds it; a last row of zeros for the padding.  Sums over a block fit its type."""
+        table = np.zeros((self.p.features + 1, len(items)), np.min_scalar_type(self.p.block))
+        for i, x in enumerate(items):
+            table[x.ids % self.p.features, i] = 1
+        return table
 
     def _rows(self, ids):
         """The terms' weighted rows of the projection."""
@@ -474,13 +493,16 @@ class Searcher:
         if not len(starts) or not self.by_blocks:
             return
         total = np.zeros((len(starts) + 1, self.projection.shape[1]), np.float32)
-        np.cumsum(np.add.reduceat(self._rows(ids), starts, axis=0), axis=0, out=total[1:])
+        sums, held = self._by_block(ids, starts)
+        np.cumsum(sums, axis=0, out=total[1:])
         energy = np.concatenate(([0.0], np.cumsum(np.add.reduceat(self.idf[ids] ** 2, starts), dtype=np.float64)))
         row_end = np.searchsorted(rows, rows, "right")  # past the row's last block
         row_begin = np.searchsorted(rows, rows, "left")
         term_end = np.cumsum(counts)[rows]
         blocks_at = np.arange(len(starts))
         padded = np.append(ids % p.features, np.full((self.widest + 1) * p.block, p.features))
+        rare = self._rare_words(ids, starts)
+        column = 0
         for blocks, own in self.by_blocks.items():
             first = blocks_at[(blocks_at + blocks <= row_end) | (blocks_at == row_begin)]
             last = np.minimum(first + blocks, row_end[first])
@@ -488,41 +510,67 @@ class Searcher:
             v /= np.sqrt(energy[last] - energy[first]).astype(np.float32)[:, None]
             v -= self.mean
             v /= np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v)), 1e-12)[:, None]
-            pairs = [self._copies(blocks, ids, starts, rows, first, len(own))]
+            copy_i, copy_j = self._copies(blocks, *rare, rows, first, len(own))
+            width = blocks * p.block
             for j0 in range(0, len(own), 512):
-                i, j = np.nonzero(v @ self.vectors[blocks][j0 : j0 + 512].T >= p.min_cosine)
-                pairs.append((i, j + j0))
-            for i, j in pairs:
-                width, ok = blocks * p.block, np.zeros(len(i), bool)
-                for c in range(0, len(i), 4096):  # upper bounds of the LCS: terms, then distinct features, of the item
+                j1 = min(j0 + 512, len(own))
+                near = v @ self.vectors[blocks][j0:j1].T >= p.min_cosine
+                here = (copy_j >= j0) & (copy_j < j1)
+                near[copy_i[here], copy_j[here] - j0] = True
+                i, j = np.nonzero(near & (self._shared(held[:, column + j0 : column + j1], first, last) >= self.need[blocks][j0:j1]))
+                j, ok = j + j0, np.zeros(len(i), bool)
+                for c in range(0, len(i), 4096):  # a second upper bound of the LCS: distinct features of the item
                     jc = j[c : c + 4096]
                     place = self.places[blocks][jc[:, None], padded[starts[first[i[c : c + 4096]], None] + np.arange(width)]]
-                    some = np.nonzero((place > 0).sum(axis=1) >= self.need[blocks][jc])[0]
-                    kinds = np.zeros((len(some), width + 1), bool)
-                    kinds[np.arange(len(some))[:, None], place[some]] = True
-                    ok[c + some] = kinds[:, 1:].sum(axis=1) >= self.need_kinds[blocks][jc[some]]
+                    kinds = np.zeros((len(jc), width + 1), bool)
+                    kinds[np.arange(len(jc))[:, None], place] = True
+                    ok[c : c + 4096] = kinds[:, 1:].sum(axis=1) >= self.need_kinds[blocks][jc]
                 i, j = i[ok], j[ok]
                 cosines = np.einsum("ij,ij->i", v[i], self.vectors[blocks][j])
                 for k, item, cos in zip(first[i].tolist(), j.tolist(), cosines.tolist(), strict=True):
                     window = hashes[starts[k] : min(int(term_end[k]), int(starts[k]) + width, n)]
                     self._verify(own[item], window, cos, found, row0 + int(rows[k]))
+            column += len(own)
+
+    def _by_block(self, ids, starts) -> tuple[np.ndarray, np.ndarray]:
+        """Each block's sum of its terms' weighted projection rows, and how many of its terms each item's features hold."""
+        sums = np.zeros((len(starts), self.projection.shape[1]), np.float32)
+        held = np.zeros((len(starts), self.member.shape[1]), self.member.dtype)
+        features, weights = np.append(ids % self.p.features, self.p.features), np.append(self.idf[ids], np.float32(0))
+        ends = np.append(starts[1:], len(ids))
+        for k in range(self.p.block):  # the k-th terms of all blocks; a shorter block goes on with the padding, of no weight
+            at = np.where(starts + k < ends, starts + k, len(ids))
+            rows = self.projection.take(features[at], axis=0, mode="clip")
+            rows *= weights[at, None]
+            sums += rows
+            held += self.member.take(features[at], axis=0)
+        return sums, held
 
-    def _copies(self, blocks, ids, starts, rows, first, n_items) -> tuple[np.ndarray, np.ndarray]:
+    @staticmethod
+    def _shared(held, first, last) -> np.ndarray:
+        """An upper bound of each window's LCS with each item: its terms that are the item's."""
+        before = np.zeros((len(held) + 1, held.shape[1]), np.int32)
+        np.cumsum(held, axis=0, dtype=np.int32, out=before[1:])
+        return before[last] - before[first]
+
+    def _rare_words(self, ids, starts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Blocks, window sizes and items of all occurrences of an item's rare words."""
+        at = np.flatnonzero(self.is_rare[ids])
+        lo, hi = np.searchsorted(self.rare_places, ids[at], "left"), np.searchsorted(self.rare_places, ids[at], "right")
+        times = hi - lo
+        entry = np.repeat(lo - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        return np.repeat(np.searchsorted(starts, at, "right") - 1, times), self.rare_blocks[entry], self.rare_items[entry]
+
+    def _copies(self, blocks, block, size, item, rows, first, n_items) -> tuple[np.ndarray, np.ndarray]:
         """Windows (as places in ``first``) and items that share one of the item's rare words: none that holds a copy is missing."""
-        places, items = self.rare[blocks]
-        lo, hi = np.searchsorted(places, ids, "left"), np.searchsorted(places, ids, "right")
-        at = np.flatnonzero(hi > lo)
-        times = hi[at] - lo[at]
-        item = items[np.repeat(lo[at] - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(times.sum())] if len(at) else np.zeros(0, np.int64)
-        block = np.repeat(np.searchsorted(starts, at, "right") - 1, times)
-        found = [np.zeros(0, np.int64)]
+        block, item = block[size == blocks], item[size == blocks]
+        found, window = [np.zeros(0, np.int64)], np.full(len(rows), -1)
+        window[first] = np.arange(len(first))
         for back in range(blocks):  # every window over the word's block
             begin = block - back
-            same = (begin >= 0) & (rows[np.maximum(begin, 0)] == rows[block])
-            begin, own = begin[same], item[same]
-            spot = np.minimum(np.searchsorted(first, begin), len(first) - 1)
-            hit = first[spot] == begin
-            found.append(spot[hit] * n_items + own[hit])
+            spot = window[np.maximum(begin, 0)]
+            hit = (begin >= 0) & (spot >= 0) & (rows[np.maximum(begin, 0)] == rows[block])
+            found.append(spot[hit] * n_items + item[hit])
         pairs = np.unique(np.concatenate(found))
         return pairs // n_items, pairs % n_items
 

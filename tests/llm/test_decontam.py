@@ -260,3 +260,71 @@ def test_no_copy_is_lost_at_any_cosine(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     kinds = lambda p: {r.doc_id: (r.item_id, r.lcs_share) for r in dc.by_document(documents(spark, docs), bench, p).collect() if r.kind == "copy"}
     assert kinds(dc.Params(min_cosine=2.0)) == kinds(dc.Params(min_cosine=-1.0)) != {}
+
+
+def plain_space(items):
+    """A space of the items' words, all of one weight, with random directions."""
+    known = dc.Vocabulary.of(np.unique(dc.words_of(pa.array(items))[0]))
+    rng = np.random.default_rng(1)
+    return dc.Space(known, np.ones(len(known.words), np.float32), rng.standard_normal((dc.Params.features, 8)).astype(np.float32), np.zeros(8, np.float32))
+
+
+def test_terms_are_looked_up_a_few_times_however_many_lengths_items_have(monkeypatch):
+    """The work for a text's terms does not grow with the number of window sizes (it did: twice a size)."""
+    rng = random.Random(14)
+    common = VOCAB[:40]
+    texts = [" ".join(w for k in range(n // 2) for w in (rng.choice(common), f"own{n}x{k}")) for n in range(8, 208, 8)]
+    space = plain_space(texts)
+    space.idf[~np.isin(space.known.words, dc.words_of(pa.array([" ".join(common)]))[0])] = 3
+    searcher = dc.Searcher(space, [dc.read_item(i, t, space, dc.Params()) for i, t in enumerate(texts)], dc.Params())
+    assert len(searcher.by_blocks) >= 20
+    docs, looked, searchsorted = pa.array([*(" ".join(rng.choice(common) for _ in range(400)) for _ in range(20)), *texts]), [0], np.searchsorted
+
+    def counting(a, v, *rest, **named):
+        looked[0] += np.size(v) if len(a) > 1 else 0
+        return searchsorted(a, v, *rest, **named)
+
+    monkeypatch.setattr(np, "searchsorted", counting)
+    found = searcher.search(docs)
+    terms = int(dc.terms_of(docs, space.idf, space.known)[2].sum())
+    assert all(20 + i in found and i in found[20 + i] for i in range(len(texts)))
+    assert looked[0] < 10 * terms
+
+
+def test_the_bound_of_a_window_counts_no_terms_of_other_rows():
+    rng = random.Random(15)
+    item = prose(rng, 40)
+    space = plain_space([item])
+    searcher = dc.Searcher(space, [dc.read_item(0, item, space, dc.Params())], dc.Params())
+    words = item.split()
+    docs = [" ".join(words[:13]), " ".join(words[13:]), item, "", " ".join(words[5:]), words[0]]
+    _, ids, counts = dc.terms_of(pa.array(docs), space.idf, space.known)
+    starts, rows = dc._runs(counts, 8)
+    _, held = searcher._by_block(ids, starts)
+    first = np.searchsorted(rows, np.unique(rows))
+    got = searcher._shared(held, first, np.searchsorted(rows, np.unique(rows), "right"))[:, 0]
+    assert got.tolist() == [13, 27, 40, 35, 1]
+    assert {k: set(v) for k, v in searcher.search(pa.array(docs)).items()} == {1: {0}, 2: {0}, 4: {0}}
+
+
+def test_documents_are_counted_once_a_row():
+    rng = random.Random(16)
+    texts = [None, "", "b", *(" ".join(rng.choice("abcxyz") for _ in range(rng.randint(1, 30))) for _ in range(60)), "", "a b a b a"]
+    known = dc.Vocabulary.of(np.unique(dc.words_of(pa.array(["a b c"]))[0]))
+    groups = 1 << dc.CONTEXT_BITS
+    by_word, by_context = np.zeros(3, np.int64), np.zeros(3 * groups, np.int64)
+    dc.count_documents(*dc._contexts(pa.array(texts), known), by_word, by_context)
+    place = {w: int(np.searchsorted(known.words, dc.words_of(pa.array([w]))[0][0])) for w in "abc"}
+    hashed = {w: int(dc.words_of(pa.array([w]))[0][0]) for w in "abcxyz"} | {None: 0}
+
+    def group(before, after):
+        return ((hashed[before] * dc._MIX % 2**64 ^ hashed[after]) * dc._BASE % 2**64) >> (64 - dc.CONTEXT_BITS)
+
+    want_word, want_context = Counter(), Counter()
+    for t in texts:
+        own = [None, *(t or "").split(), None]
+        held = {(place[w], group(own[k], own[k + 2])) for k, w in enumerate(own[1:-1]) if w in "abc"}
+        want_context.update(held)
+        want_word.update({w for w, _ in held})
+    assert by_word.tolist() == [want_word[i] for i in range(3)]
+    assert by_context.tolist() == [want_context[divmod(i, groups)] for i in range(3 * groups)]
