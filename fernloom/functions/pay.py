@@ -44,9 +44,11 @@ TO = r"\s*(?:-|–|—|\bto\b|\bbis\b|\bà\b|\band\b(?: go up to)?|\band go up t
 MARKED = rf"{MARK}\s?(?:{MARK}\s?)?\(?{AFTER_MARK}{K}{UNIT}(?:{TO}(?:{MARK}\s?)?{AFTER_MARK}{K}(?![\d]))?"
 MARKED_BEHIND = rf"{NUM}{K}\s?(?:{BEHIND})?(?:{TO}{AFTER_MARK}{K}\s?)?(?<![A-Za-z]){BEHIND}"
 BARE = rf"{NUM}{K}(?:{TO}{AFTER_MARK}{K})?"
-PATTERNS = [MARKED, MARKED_BEHIND, BARE]
 
 CUE = r"(?i)\b(?:pay|paid|pays|hourly|salary|salaries|salario|sueldo|compensation|comp|wages?|rates?|earn\w*|income|remuneration|rémunération|\w*gehalt|vergütung|\w*lohn|range|base)\b"
+#: Patterns of spans, each with what a text must hold for one of them to count: bare numbers do so only by a cue.
+PATTERNS = [(MARKED, MARK), (MARKED_BEHIND, BEHIND), (BARE, CUE.replace(r"\b", ""))]
+
 BASE = r"(?i)\b(?:base|basic|fixed|fixe|guaranteed)\b"
 TOTAL = r"(?i)\b(?:ote|on[- ]target|total (?:target )?(?:compensation|comp|cash|pay|package|earnings)|(?:with|including) (?:commissions?|bonus(?:es)?|tips)|package)\b"
 NOT_PAY = (
@@ -70,6 +72,7 @@ UNIT_WORDS = {
     "month": (r"(?:(?:/|per|an?|por|par|pro)\s*(?:months?|mo|mes|mois|monat)|monthly|mensual(?:es)?|mensuel(?:le)?|monatlich)", r"(?:monthly|per month|mensual|monatlich)"),
     "year": (r"(?:(?:/|per|an?|por|par|pro)\s*(?:years?|yrs?|yearly|annum|año|an|jahr)|annual(?:ly)?|yearly|annuel(?:le)?|jährlich|p\.?a\.?)", r"(?:annual(?:ly)?|yearly|per year|per annum|jährlich|年収)"),
 }
+LAST_UNIT = r"(?s)^.*((?i:(?<![a-z])(?:" + "|".join(rx for _, rx in UNIT_WORDS.values()) + r")(?![a-z])))"
 
 
 def _last(rx: str, text: Column) -> Column:
@@ -77,11 +80,15 @@ def _last(rx: str, text: Column) -> Column:
     return F.length(F.regexp_extract(text, rf"(?s)^(.*{rx})", 1))
 
 
-def _spans(text: Column, rx: str) -> Column:
-    """``array<struct<start,end,s>>`` of a pattern's matches."""
-    hits, pieces = F.regexp_extract_all(text, F.lit(rx), F.lit(0)), F.split(text, rx, -1)
-    before = lambda xs, n: F.aggregate(F.slice(xs, F.lit(1), n), F.lit(0), lambda a, x: a + F.length(x))
-    return F.transform(hits, lambda h, i: F.struct((before(pieces, i + 1) + before(hits, i)).alias("start"), (before(pieces, i + 1) + before(hits, i + 1)).alias("end"), h.alias("s")))
+def _reach(text: Column, rx: str) -> Column:
+    """Of each match of a pattern, the length from the end of the match before it to its own end."""
+    return F.transform(F.regexp_extract_all(text, F.lit(rf"(?s)\G.*?(?:{rx})"), F.lit(0)), F.length)
+
+
+def _placed(hits: str, reach: str, mark: int) -> Column:
+    """``array<struct<start,end,s,mark>>`` of the matches in one column and their reach in another, so that the text is not searched again for each."""
+    end = lambda i: F.aggregate(F.slice(reach, F.lit(1), i + 1), F.lit(0), lambda a, n: a + n)
+    return F.transform(hits, lambda h, i: F.struct((end(i) - F.length(h)).alias("start"), end(i).alias("end"), h.alias("s"), F.lit(mark).alias("mark")))
 
 
 class _Spans:
@@ -104,9 +111,13 @@ def _plausible(units: Column, period: Column) -> Column:
     return F.coalesce(first_case([(period == k, units.between(lo, hi)) for k, (lo, hi) in PLAUSIBLE.items()]), F.lit(False))
 
 
+def _soon(rx: str, words: int) -> str:
+    """The words stand shortly behind."""
+    return rf"(?i)^\W*(?:\w+\W+){{0,{words}}}(?:{rx[4:]})"
+
+
 def _read(spans: _Spans, home: Column, dollar: Column) -> None:
-    """Numbers, currency, period and cue words of every span, from its own text and the clause around it."""
-    soon = lambda rx, words: rf"(?i)^\W*(?:\w+\W+){{0,{words}}}(?:{rx[4:]})"  # noqa: E731  the words stand shortly behind
+    """Numbers, currency and period of every span, from its own text and the clause around it."""
     aside = r"(?:[^\w+]|\bin\b|\ban?\b|\bannual(?:ly)?\b|\bper year\b|/ ?(?:year|yr|month)\b)*"
     spans.add(
         tokens=lambda m: F.regexp_extract_all(m["s"], F.lit(rf"({AFTER_MARK})"), F.lit(1)),
@@ -116,9 +127,8 @@ def _read(spans: _Spans, home: Column, dollar: Column) -> None:
         ahead=lambda m: F.regexp_extract(m["before"], r"\b(USD|EUR|GBP|CAD|AUD|CHF|INR|JPY|SEK|MXN)\s*$", 1),
         behind=lambda m: F.regexp_replace(F.regexp_extract(m["after"], r"^[^\n]*", 0), FILLER, ""),
         tail=lambda m: F.substr(m["before"], _last(CUE, m["before"]) + 1),  # what stands between the last cue and the span
-        cue=lambda m: m["before"].rlike(CUE) | m["after"].rlike(soon(CUE, 3)),
-        base=lambda m: m["before"].rlike(BASE) | m["after"].rlike(soon(BASE, 1)),
-        **{f"at_{k}": (lambda m, rx=rx: _last(rf"(?i:(?<![a-z]){rx}(?![a-z]))", m["before"])) for k, (_, rx) in UNIT_WORDS.items()},
+        base=lambda m: m["before"].rlike(BASE) | m["after"].rlike(_soon(BASE, 1)),
+        nearest=lambda m: F.regexp_extract(m["before"], LAST_UNIT, 1),
     )
     spans.add(
         n1=lambda m: F.nullif(F.regexp_replace(F.regexp_replace(F.coalesce(F.get(m["tokens"], F.lit(0)), F.lit("")), "[' ]", ","), r"^(\d{1,3})\.(\d{3}),(\d{1,2})$", "$1$2.$3"), F.lit("")),
@@ -127,14 +137,13 @@ def _read(spans: _Spans, home: Column, dollar: Column) -> None:
         k2=lambda m: F.coalesce(F.get(m["ks"], F.lit(1)), F.lit("")) != "",
         after_p=lambda m: first_case([(m["behind"].rlike(rf"(?i)^\s*{rx}(?![a-z])"), k) for k, (rx, _) in UNIT_WORDS.items()]),
         inside_p=lambda m: first_case([(m["s"].rlike(rf"(?i)\d\s?[kK]?\s?{rx}(?![a-z])"), k) for k, (rx, _) in UNIT_WORDS.items()]),
-        nearest=lambda m: F.greatest(*[m[f"at_{k}"] for k in UNIT_WORDS]),
         code=lambda m: F.coalesce(F.when(F.length(m["ahead"]) == 3, m["ahead"]), F.when(F.length(m["second"]) == 3, m["second"])),
-        total=lambda m: (m["before"].rlike(TOTAL) & ~m["tail"].rlike(BASE)) | m["after"].rlike(soon(TOTAL, 1)),
+        total=lambda m: (m["before"].rlike(TOTAL) & ~m["tail"].rlike(BASE)) | m["after"].rlike(_soon(TOTAL, 1)),
         bad=lambda m: m["tail"].rlike(NOT_PAY)
         | (m["after"].rlike(rf"(?i)^{aside}(?:\w+\W+){{0,1}}(?:{NOT_PAY[4:]})") & ~m["after"].rlike(r"^\s*[+,]"))
         | m["before"].rlike(MARKET) | m["after"].rlike(MARKET) | m["tail"].rlike(ON_TOP) | m["after"].rlike(REJECTED),
     )
-    spans.add(v1=lambda m: parse_number(m["n1"]), v2=lambda m: parse_number(m["n2"]), before_p=lambda m: F.when(m["nearest"] > 0, first_case([(m[f"at_{k}"] == m["nearest"], k) for k in UNIT_WORDS])))
+    spans.add(v1=lambda m: parse_number(m["n1"]), v2=lambda m: parse_number(m["n2"]), before_p=lambda m: F.when(m["nearest"] != "", first_case([(m["nearest"].rlike(rf"(?i)^{rx}$"), k) for k, (_, rx) in UNIT_WORDS.items()])))
     spans.add(
         w1=lambda m: m["v1"] * F.when(m["k1"] | (m["k2"] & (m["v1"] < 1000)), 1000).otherwise(1),  # a k behind the second counts for both
         w2=lambda m: m["v2"] * F.when(m["k2"] | (m["k1"] & (m["v2"] < 1000)), 1000).otherwise(1),
@@ -210,17 +219,18 @@ def with_pay(df: DataFrame, text: str, country: str | None = None, places: str |
     t, home = F.col("_text"), F.col(country) if country else F.lit(None).cast("string")
     dollar = F.when(home.isin(DOLLARS), _mapped(OF_COUNTRY, home)).otherwise("USD")
     rows = df.withColumn("_text", F.regexp_replace(F.coalesce(F.col(text), F.lit("")), OTHER_JOBS, ""))
-    for k, rx in enumerate(PATTERNS):
-        rows = rows.withColumn(f"_s{k}", F.when(t.rlike(r"\d"), _spans(t, rx)).otherwise(F.array().cast("array<struct<start:int,end:int,s:string>>")))
-
-    def marked(k: int) -> Column:
-        return F.transform(f"_s{k}", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["s"].alias("s"), F.lit(k).alias("mark")))
-
-    spans = _Spans(rows.withColumn("_c", F.concat(*[marked(k) for k in range(len(PATTERNS))])).drop(*[f"_s{k}" for k in range(len(PATTERNS))]), ["start", "end", "s", "mark"])
+    for k, (rx, needed) in enumerate(PATTERNS):
+        some, none = t.rlike(r"\d") & t.rlike(needed), F.array()
+        rows = rows.withColumn(f"_s{k}", F.when(some, F.regexp_extract_all(t, F.lit(rx), F.lit(0))).otherwise(none.cast("array<string>")))
+        rows = rows.withColumn(f"_r{k}", F.when(F.size(f"_s{k}") > 0, _reach(t, rx)).otherwise(none.cast("array<int>")))
+    all_ = range(len(PATTERNS))
+    spans = _Spans(rows.withColumn("_c", F.concat(*[_placed(f"_s{k}", f"_r{k}", k) for k in all_])).drop(*[f"_{x}{k}" for x in "sr" for k in all_]), ["start", "end", "s", "mark"])
     spans.add(
         before=lambda m: F.regexp_extract(F.substr(t, F.greatest(m["start"] - 90, F.lit(0)) + 1, F.least(m["start"], F.lit(90))), r"(?:[^.!?;\n•|]|\.(?=\S))*$", 0),
         after=lambda m: F.regexp_extract(F.substr(t, m["end"] + 1, F.lit(60)), r"^(?:[^.!?;\n•|]|\.(?=[a-z0-9]))*", 0),
     )
+    spans.add(cue=lambda m: m["before"].rlike(CUE) | m["after"].rlike(_soon(CUE, 3)))
+    spans.rows = spans.rows.withColumn("_c", F.filter("_c", lambda m: (m["mark"] < 2) | m["cue"]))  # bare numbers without one are never pay
     _read(spans, _mapped(OF_COUNTRY, home), dollar)
     _close(spans)
     rows = spans.rows

@@ -129,8 +129,13 @@ _WITH = f"WITH ads AS ({_ADS}) "
 _MIN_YEARS = "CASE WHEN c6 IN (0, 1, 3) THEN y END"
 
 
-def ads(t: Tables) -> DataFrame:
-    return t.spark.sql(_ADS.replace("FROM orders", "FROM {orders}"), orders=t.orders)
+def ads(t: Tables, orders: DataFrame | None = None) -> DataFrame:
+    return t.spark.sql(_ADS.replace("FROM orders", "FROM {orders}"), orders=t.orders if orders is None else orders)
+
+
+def dealt(t: Tables) -> DataFrame:
+    """The keys of orders over all cores: a text takes far longer to read than its keys to move, and a small file is one task."""
+    return t.orders.select("o_orderkey", "o_custkey").repartition(4 * t.spark.sparkContext.defaultParallelism)
 
 
 #: Small texts of all kinds, for unit cases.
@@ -152,7 +157,7 @@ def posts(t: Tables) -> DataFrame:
 @query("d_parse_pay", f"""{_WITH} SELECT job_id, CAST(CASE WHEN k7 IN (0, 1, 2) THEN lo * 1000 WHEN k7 = 3 THEN lo WHEN k7 = 4 THEN lo * 100 END AS DOUBLE) AS "min", CAST(CASE WHEN k7 IN (0, 1, 2) THEN hi * 1000 WHEN k7 = 3 THEN hi WHEN k7 = 4 THEN lo * 100 END AS DOUBLE) AS "max",
   CASE k7 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' WHEN 2 THEN 'GBP' WHEN 3 THEN 'USD' WHEN 4 THEN 'USD' END AS currency, CASE k7 WHEN 0 THEN 'year' WHEN 1 THEN 'year' WHEN 2 THEN 'year' WHEN 3 THEN 'hour' WHEN 4 THEN 'month' END AS period FROM ads""")
 def parse_pay(t: Tables) -> DataFrame:
-    return with_pay(ads(t).select("job_id", "text"), "text").select("job_id", "pay.min", "pay.max", "pay.currency", "pay.period")
+    return with_pay(ads(t, dealt(t)).select("job_id", "text"), "text").select("job_id", "pay.min", "pay.max", "pay.currency", "pay.period")
 
 
 #: Texts of every shape of pay, and of figures that are none, by the remainder ``k``; ``lo`` and ``hi`` are thousands or units.
@@ -172,7 +177,7 @@ _PAYS = """SELECT job_id, k, lo, hi, place, CASE WHEN c3 = 0 THEN 'CA' WHEN c3 =
   CASE WHEN k IN (1, 5) THEN 'hour' WHEN k <= 7 OR k = 9 OR k = 12 AND country IS NOT NULL THEN 'year' END AS period, CASE WHEN k = 9 THEN 2 WHEN k <= 7 OR k = 12 AND country IS NOT NULL THEN 1 END AS ranges FROM p""")
 def pay_spans(t: Tables) -> DataFrame:
     """Pay of every shape, with the country's currency, the place's range and the number of ranges."""
-    texts = t.spark.sql(_PAYS.format(array="array").replace("FROM orders", "FROM {{orders}}").replace("{{orders}}", "{orders}"), orders=t.orders)
+    texts = t.spark.sql(_PAYS.format(array="array").replace("FROM orders", "FROM {{orders}}").replace("{{orders}}", "{orders}"), orders=dealt(t))
     read = with_pay(texts, "text", "country", "places")
     return read.select("job_id", *[f"pay.{c}" for c in ("min", "max", "currency", "period", "ranges")])
 

@@ -6,6 +6,8 @@ import random
 import pytest
 
 from fernloom.functions import pay
+from fernloom.operators import domain
+from fernloom.registry import Tables
 from pyspark.sql import functions as F
 
 STATED = [
@@ -88,3 +90,19 @@ def test_spans_apart_have_the_largest_sum(spark):
 
         best = max(sum(m.weight for m in xs) for n in range(len(r.c) + 1) for xs in itertools.combinations(r.c, n) if apart(xs))
         assert apart(r.p) and sum(m.weight for m in r.p) == best
+
+
+def test_long_texts_of_many_figures(spark):
+    """Places of spans in long texts with copies of figures, signs around them and figures of other kinds between."""
+    fill = "In 2019 we had 1,200 people in 14 towns; A60,000 and 60,000.5.1 are no pay €. "
+    texts = [fill * n + "Salary: $60,000 - $70,000 per year. " + fill * m + "\x00 35.000 € im Monat." for n, m in ((0, 0), (1, 3), (40, 40))]
+    got = pay.with_pay(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), "text").orderBy("id").collect()
+    for r, text in zip(got, texts, strict=True):
+        assert (r.pay.min, r.pay.max, r.pay.currency, r.pay.period) == (60000.0, 70000.0, "USD", "year")
+        assert text[r.pay.start : r.pay.end] == "$60,000 - $70,000"
+
+
+def test_work_on_a_text(spark, sf):
+    """Spans are placed without searching the text again for each, and one small file is read by all cores."""
+    plan = domain.parse_pay(Tables(spark, sf))._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(_text" not in plan and "\nRepartition" in plan.replace("+- ", "\n")
