@@ -82,6 +82,39 @@ def test_similar_sets_equal_all_pairs(spark, least):
     assert set(got) == set(want) and all((n, round(j, 9)) in got[k] for k, (n, j) in want.items())
 
 
+@pytest.mark.parametrize("most_words", [0, setsim.MOST_WORDS])
+def test_similar_sets_by_either_way(spark, most_words):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    make = lambda n: [(i, [rng.choice(words[: rng.choice([6, 40])]) for _ in range(rng.randint(0, 15))]) for i in range(n)]
+    left, right, schema = [*make(60), (60, None), (61, ["w1", None])], [*make(120), (120, None)], "id long, words array<string>"
+    right = [*right, *[(i + 1000, w) for i, w in right], right[3]]
+    sets = lambda rows: [(i, set(w or []) - {None}) for i, w in rows]
+    want = {(i, j, len(x & y)) for i, x in sets(left) for j, y in sets(right) if x & y and len(x & y) >= 0.5 * len(x | y)}
+    rows = setsim.similar_sets(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), 0.5, most_words).collect()
+    assert sorted((r.left_id, r.right_id, r.shared) for r in rows) == sorted(want)
+    none = spark.createDataFrame([], schema)
+    assert setsim.similar_sets(none, spark.createDataFrame(right, schema), 0.5, most_words).count() == 0
+    assert setsim.similar_sets(spark.createDataFrame(left, schema), none, 0.5, most_words).count() == 0
+
+
+def shuffled_bytes(spark):
+    gateway = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("given, times", [({}, 1), ({"most_words": 0}, 8)])
+def test_long_sets_are_not_moved_with_each_word(spark, given, times):
+    """What the join moves grows with the words, not with the square of a set's size."""
+    rng = random.Random(6)
+    text = [" ".join(f"{rng.randrange(10**9):09d}" for _ in range(600)) for _ in range(30)]
+    rows = spark.createDataFrame([(i, x.split()) for i, x in enumerate(text)], "id long, words array<string>")
+    before = shuffled_bytes(spark)
+    assert setsim.similar_sets(rows.limit(2), rows, 0.5, **given).count() == 2
+    assert shuffled_bytes(spark) - before < times * sum(map(len, text))
+
+
 @pytest.mark.parametrize("block", [4, 2048])
 def test_nearest_equals_all_pairs(spark, block):
     rng = np.random.default_rng(block)
