@@ -13,7 +13,7 @@ from fernloom.functions import ranking, text
 from fernloom.operators.wordindex import WordIndex
 from fernloom.plans.postings import JOBS, jobs
 from fernloom.registry import Tables, query
-from fernloom.scratch import scratch_root
+from fernloom.scratch import materialize, scratch_root
 
 WORDS = "regexp_extract_all(lower({}), '[a-z]+')"
 
@@ -122,16 +122,21 @@ def word_ranked(index: WordIndex, queries: DataFrame, rows: DataFrame, k: int =
     """
     asked = queries.select("query_id", F.array_distinct("terms").alias("terms"))
     each = asked.select("query_id", F.size("terms").alias("k"), F.explode("terms").alias("term")).withColumn("stem", text.fold_word(F.col("term")))
-    plain = each.join(index.postings(each, [f for f in index.manifest["fields"] if f != "stem"]), "term")
-    stems = each.select("stem").withColumnRenamed("stem", "term")
-    bent = each.join(index.postings(stems, ["stem"]).withColumnRenamed("term", "stem"), "stem")
-    columns = ["query_id", "k", "id", "term", "field", "len"]
-    in_field = lambda f: F.count_distinct(F.when(F.col("field") == f, F.col("term")))
-    found = plain.select(columns).unionByName(bent.select(columns)).groupBy("query_id", "k", "id").agg(
-        F.count_distinct("term").alias("all"), in_field("title").alias("exact"), in_field("stem").alias("folded"), in_field("company").alias("company"), F.max(F.when(F.col("field").isin("title", "stem"), F.col("len"))).alias("words")
-    )
+    columns = ["id", "field", "len"]
+    plain = index.postings(each, [f for f in index.manifest["fields"] if f != "stem"]).select("term", *columns)
+    bent = index.postings(each.select(F.col("stem").alias("term")), ["stem"]).select(F.col("term").alias("stem"), *columns)
+    # rows that may be shown and hold the term of the query that the fewest hold; the other terms are looked up for these alone
+    numbers = [df.groupBy(c).agg(F.count("*").alias(f"n_{c}")) for df, c in ((plain, "term"), (bent, "stem"))]
+    least = F.min(F.struct((F.coalesce("n_term", F.lit(0)) + F.coalesce("n_stem", F.lit(0))).alias("n"), "term", "stem")).alias("least")
+    rare = each.join(numbers[0], "term", "left").join(numbers[1], "stem", "left").groupBy("query_id").agg(least).select("query_id", "least.term", "least.stem")
+    some = rare.join(plain, "term").select("query_id", "id").unionByName(rare.join(bent, "stem").select("query_id", "id")).distinct().join(rows.select("id", "day"), "id")
+    sought = materialize(some.join(F.broadcast(each), "query_id"), "sought", keep=True)
+    found = sought.join(plain, ["id", "term"]).drop("stem").unionByName(sought.join(bent, ["id", "stem"]).drop("stem")).repartition("query_id", "id")
+    held = lambda *f: F.max(F.col("field").isin(*f).cast("int"))
+    terms = found.groupBy("query_id", "id", "k", "day", "term").agg(held("title").alias("exact"), held("stem").alias("folded"), held("company").alias("company"), F.max(F.when(F.col("field").isin("title", "stem"), F.col("len"))).alias("words"))
+    whole = terms.groupBy("query_id", "id", "k", "day").agg(F.count("*").alias("all"), *[F.sum(c).alias(c) for c in ("exact", "folded", "company")], F.max("words").alias("words"))
     phrases = index.phrase(asked.where("size(terms) > 1"), ["title"]).select("query_id", "id", F.lit(1).alias("phrase"))
-    both = found.where(F.col("all") == F.col("k")).join(phrases, ["query_id", "id"], "left").join(rows.select("id", "day"), "id")
+    both = whole.where(F.col("all") == F.col("k")).join(phrases, ["query_id", "id"], "left")
     exact, fold = F.least(F.lit(15), "exact"), F.least(F.lit(15), "folded")
     title = F.greatest(F.coalesce("words", F.lit(1)), F.col("k"))
     cover = F.least(F.lit(31), F.floor(F.least(F.greatest(fold, exact), F.col("k")) / title * 31 + 0.5))
